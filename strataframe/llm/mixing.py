@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strataframe.llm.common import WORD, table, text_of
+from strataframe.runtime import cut, sized_broadcast
 
 #: Seeded bins of a source.  A source's fraction ends inside one bin; only that bin is ordered.
 BINS = 1024
+#: Rows of a plan (sources times bins) that may be broadcast: about 100 MB.
+PLAN_ROWS = 1_000_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -48,46 +51,61 @@ def seeded(seed: int, key: str | Column = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weight: Column | None = None, max_epochs: float = 3.0, seed: int = 17, whole_documents: bool = False, size: str = "size") -> DataFrame:
-    """Take each source of ``docs (doc_id, source, size)`` up to its share of all sizes.
+def mix(docs: DataFrame, size: Column, weight: Column | None = None, max_epochs: float = 3.0, seed: int = 17, whole_documents: bool = False) -> DataFrame:
+    """Take each source of ``docs (doc_id, source, ...)`` up to its share of all sizes; ``size`` measures a row.
 
-    Adds ``source_size``, ``target``, ``copies`` (whole repetitions) and ``taken`` (size units taken).
+    Adds ``size``, ``source_size``, ``target``, ``copies`` (repetitions, a last partial one included) and
+    ``taken`` (size units taken); columns of these names are replaced, all others are kept.
     A source is repeated ``floor(target / size)`` times; the fraction left over is a seeded prefix of its
     documents in hash order.  The document at which the fraction ends gives only the units that are
     still missing; with ``whole_documents`` it is taken or left whole, whichever is nearer, and ``taken``
     is always a multiple of the size.  So a source misses its target by under one unit, or by half of one
     document.
 
-    Null sources form a source of their own, sorted last; null sizes count as 0; an empty table gives no
-    rows; repeated rows are separate documents of the same hash, ordered by size.  Hot sources are split
-    into ``BINS`` seeded bins before anything is ordered: bins are summed per source (partial sums before
-    the shuffle), and only documents of one bin meet in a window.
+    Null sources form a source of their own, sorted last; null sizes count as 0; a document of size 0
+    follows the fraction as well; an empty table gives no rows; repeated rows are separate documents of
+    the same hash, ordered by size.
+
+    Hot sources are split into ``BINS`` seeded bins before anything is ordered.  Bins are summed per
+    source (partial sums before the shuffle); the plan has a row per bin and is broadcast while it has
+    at most ``PLAN_ROWS``, beyond which it is joined by a shuffle on source and bin.  Rows of bins that are
+    taken or left as a whole never move; only the one bin of a source in which its fraction ends is
+    shuffled and ordered.  Weights and levels are windows over one row per source.
     """
-    rows = docs.withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long")).withColumn("_h", seeded(seed)).withColumn("_bin", F.shiftright("_h", 42).cast("int"))
-    bins = rows.groupBy("source", "_bin").agg(F.sum(size).alias("_bin_size"))
+    made = ("size", "source_size", "target", "copies", "taken")
+    sized = F.coalesce(size, F.lit(0)).cast("long")
+    rows = docs.withColumn("_size", sized).withColumn("_h", seeded(seed)).withColumn("_bin", F.shiftright("_h", 42).cast("int"))
+    bins = cut(rows.groupBy("source", "_bin").agg(F.sum("_size").alias("_bin_size")))
     shares = bins.groupBy("source").agg(F.sum("_bin_size").alias("source_size"))
     shares = water_fill(shares.withColumn("weight", cyclic_weights() if weight is None else weight), max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shares = shares.withColumn("_whole", F.floor(rate)).withColumn("_part", F.round(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
     before = F.sum("_bin_size").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bin_size")
-    plan = (
+    plan = cut(
         bins.withColumn("_before", before)
         .withColumnRenamed("source", "_s")
         .join(shares.withColumnRenamed("source", "_source"), F.col("_s").eqNullSafe(F.col("_source")))
-        .select("_s", F.col("_bin").alias("_b"), "source_size", "target", "_whole", (F.col("_part") - F.col("_before")).alias("_left"), "weight")
+        .select("_s", F.col("_bin").alias("_b"), F.col("source_size").alias("_total"), F.col("target").alias("_target"), "_whole", (F.col("_part") - F.col("_before")).alias("_left"), "_bin_size")
     )
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")), "left")
-    ordered = Window.partitionBy("source", "_bin").orderBy("_h", "doc_id", size).rowsBetween(Window.unboundedPreceding, 0)
-    left = F.col("_left") - (F.sum(size).over(ordered) - F.col(size))
-    extra = F.when(left >= F.col(size) / 2, F.col(size)).otherwise(F.lit(0)) if whole_documents else F.greatest(F.least(left, F.col(size)), F.lit(0))
-    # a document of no size follows the fraction as well: it is copied if the fraction reaches it
-    more = F.when((F.col(size) == 0) & (left <= 0), F.lit(0)).when(extra > 0, F.lit(1)).when((F.col(size) == 0) & (left > 0), F.lit(1)).otherwise(F.lit(0))
+    placed = rows.drop("_size").join(sized_broadcast(plan, plan.count(), PLAN_ROWS), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")), "left")
+    ends = (F.col("_left") > 0) & (F.col("_left") < F.col("_bin_size"))
+    sure = placed.where(~ends).withColumn("_size", sized).withColumn("_rest", F.when(F.col("_left") > 0, F.greatest(F.col("_size"), F.lit(1))).otherwise(F.lit(0)).cast("long"))
+    ordered = Window.partitionBy("source", "_bin").orderBy("_h", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.where(ends).withColumn("_size", sized).withColumn("_rest", F.col("_left") - (F.sum("_size").over(ordered) - F.col("_size")))
+    near = F.when(F.col("_rest") * 2 >= F.col("_size"), F.col("_size")).otherwise(F.lit(0)) if whole_documents else F.greatest(F.least("_rest", "_size"), F.lit(0))
+    more = F.when(F.col("_size") == 0, F.col("_rest") > 0).otherwise(F.col("_extra") > 0)
+    kept = [F.col(c) for c in docs.columns if c not in made]
     return (
-        joined.withColumn("_extra", extra)
-        .withColumn("_more", more)
-        .withColumn("copies", (F.col("_whole") + F.col("_more")).cast("int"))
-        .withColumn("taken", F.col("_whole") * F.col(size) + F.col("_extra"))
-        .drop("_h", "_bin", "_s", "_b", "_whole", "_left", "_extra", "_more", "weight")
+        sure.unionByName(edge)
+        .withColumn("_extra", near)
+        .select(
+            *kept,
+            F.col("_size").alias("size"),
+            F.col("_total").alias("source_size"),
+            F.col("_target").alias("target"),
+            (F.col("_whole") + more.cast("int")).cast("int").alias("copies"),
+            (F.col("_whole") * F.col("_size") + F.col("_extra")).alias("taken"),
+        )
     )
 
 
@@ -97,8 +115,8 @@ def repeated(docs: DataFrame, copies: str = "copies") -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, word_count("text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP1_SQL = r"""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataframe.llm import bpe, chat, mixing, pii, quality, topk
+from strataframe.llm import bpe, chat, extraction, mixing, neardup, pii, pipeline, quality, topk, toxicity, warc
 
-_MODULES = (mixing, topk, bpe, quality, chat, pii)
+_MODULES = (mixing, topk, bpe, extraction, quality, warc, toxicity, neardup, chat, pii, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
