@@ -16,6 +16,8 @@ from strataframe.runtime import cut, sized_broadcast
 HALF, HALVES = 3, 14
 #: Candidate ids are broadcast to the scan up to this many (8 MB of longs); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Classes in a block when the classes of one hub are compared with each other.
+BLOCK = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(32)
 _STRIDE = 2048
@@ -93,15 +95,97 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, half: int = HAL
     return docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).mapInArrow(run, "node long, n long, cls binary, a array<long>, b array<long>")
 
 
-def _tables(reps: DataFrame, percent: int) -> DataFrame:
-    """Rows ``(ka, kb, node, n, comp)``: every representative in the tables where it may meet another.
+def _met(reps: DataFrame) -> DataFrame:
+    """Rows ``(ka, node, n, b)``: first half keys that two classes or more share, with the second half keys.
 
-    Rows are dealt out by the first half key only.  A table key pairs it with a second half key, so the
-    pairs are formed and grouped where the rows already lie, and only where the first half is shared.
+    Half keys are counted on their own first, so the other collection travels only where a table may form.
     """
-    first = reps.select("node", "n", "comp", "b", F.explode("a").alias("ka"))
-    shared = first.withColumn("c", F.expr("count(1) OVER (PARTITION BY ka)")).where("c > 1")
-    return shared.select("ka", F.explode("b").alias("kb"), "node", "n", "comp")
+    first = reps.select("node", F.explode("a").alias("ka"))
+    shared = first.withColumn("c", F.expr("count(1) OVER (PARTITION BY ka)")).where("c > 1").select("ka", "node")
+    return cut(shared.join(reps.select("node", "n", "b"), "node"))
+
+
+def _hubs(met: DataFrame, percent: int) -> DataFrame:
+    """``(x, y)``: for each class one hub among those that it shares a table with.
+
+    A table key joins a first half key with a second one.  In every first-half group the hub is the class
+    whose tables hold most members; of its groups' hubs a class takes the one of most members.
+    """
+    tables = met.repartition("ka").select("ka", "node", F.explode("b").alias("kb"))
+    scores = tables.withColumn("c", F.expr("count(1) OVER (PARTITION BY ka, kb)")).groupBy("ka", "node").agg(F.sum("c").alias("score"))
+    best = scores.groupBy("ka").agg(F.max(F.struct("score", (-F.col("node")).alias("low"))).alias("m")).select("ka", (-F.col("m.low")).alias("hub"), F.col("m.score").alias("score"))
+    hubs = best.join(met.select("ka", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("b").alias("hub_b")), ["ka", "hub"])
+    pairs = met.join(hubs, "ka").where(f"node <> hub AND {_fits('n', 'hub_n', percent)} AND arrays_overlap(b, hub_b)")
+    return pairs.groupBy("node").agg(F.max(F.struct("score", (-F.col("hub")).alias("low"))).alias("m")).select(F.col("node").alias("x"), (-F.col("m.low")).alias("y"))
+
+
+def _within_hubs(star: DataFrame, comps: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links between different components among the classes of one hub, all of them compared.
+
+    Only groups with two components or more are looked at.  They are dealt into blocks of about ``BLOCK``
+    classes, every pair of a group's blocks is one row, and a task counts common shingles of a block pair
+    through postings; what leaves it are links, not pairs.
+    """
+    members = star.select(F.col("y").alias("hub"), F.col("x").alias("node")).union(star.select("y", F.col("y").alias("node"))).distinct()
+    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("hub", "node", "comp")
+    groups = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    mixed = cut(placed.join(groups.select("hub", "size"), "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))).select("hub", "node", "comp", "block"))
+    ids = cut(mixed.select(F.col("node").alias("id")).distinct())
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(sized_broadcast(ids, ids.count(), BROADCAST_IDS), "id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [shingle_set(t.as_py() or "", width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "s"])
+
+    rows = mixed.join(texts.mapInArrow(sets, "node long, s binary"), "node")
+    blocks = cut(rows.groupBy("hub", "block").agg(F.collect_list(F.struct("node", "comp", "s")).alias("m")))
+    pairs = blocks.select("hub", "block", F.col("m").alias("p")).join(blocks.select("hub", F.col("block").alias("other"), F.col("m").alias("q")), "hub").where("block <= other").select("p", "q")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def opened(block: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            return np.array([m["node"] for m in block], np.int64), np.array([m["comp"] for m in block], np.int64), [np.frombuffer(m["s"], np.uint64) for m in block]
+
+        for batch in batches:
+            xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for p, q in zip(batch.column(0), batch.column(1), strict=True):
+                (ids_p, comps_p, sets_p), (ids_q, comps_q, sets_q) = opened(p.as_py()), opened(q.as_py())
+                sizes = np.array([len(v) for v in sets_q])
+                owner = np.repeat(np.arange(len(sets_q)), sizes)
+                flat = np.concatenate(sets_q)
+                order = np.argsort(flat, kind="stable")
+                terms, owner = flat[order], owner[order]
+                for node, comp, own in zip(ids_p, comps_p, sets_p, strict=True):
+                    others = comps_q != comp
+                    if not others.any():
+                        continue
+                    lo, hi = np.searchsorted(terms, own, "left"), np.searchsorted(terms, own, "right")
+                    n = hi - lo
+                    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    both = np.bincount(owner[at], minlength=len(sizes))
+                    hit = others & (100 * both >= percent * (len(own) + sizes - both))
+                    xs.append(np.full(int(hit.sum()), node))
+                    ys.append(ids_q[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+
+    return cut(pairs.mapInArrow(compare, "x long, y long"))
+
+
+def _across_hubs(met: DataFrame, star: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a table whose classes have different hubs and lie in different components, each once.
+
+    A pair is met in the first of the first-half groups that it shares.
+    """
+    hub = star.select(F.col("x").alias("node"), F.col("y").alias("hub"))
+    own = met.select("node").distinct().join(hub, "node", "left").join(comps, "node", "left").select("node", F.coalesce("hub", "node").alias("hub"), F.coalesce("component", "node").alias("comp"))
+    rows = met.join(own, "node")
+    groups = rows.groupBy("ka").agg(F.min("hub").alias("h0"), F.max("hub").alias("h1"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("h0 < h1 AND c0 < c1").select("ka")
+    rows = rows.join(groups, "ka", "left_semi")
+    all_keys = met.groupBy("node").agg(F.sort_array(F.collect_set("ka")).alias("keys"))
+    rows = cut(rows.join(all_keys, "node"))
+    other = rows.select("ka", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "b", "hub", "comp", "keys")])
+    apart = f"node < o_node AND hub <> o_hub AND comp <> o_comp AND {_fits('n', 'o_n', percent)} AND arrays_overlap(b, o_b) AND array_min(array_intersect(keys, o_keys)) = ka"
+    return rows.join(other, "ka").where(apart).select(F.col("node").alias("x"), F.col("o_node").alias("y"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -141,11 +225,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     half keys.  A pair of similarity s is missed with probability below ``2 * (1 - s**half) ** halves``
     (9e-5 at 0.8 by default, 7e-7 at 0.9).
 
-    Equal sets form one class first, so a hot group of copies is one row from then on.  In every table
-    group each class is compared with one hub (the smallest id whose size allows the similarity), and of
-    its hubs only with the one that it meets in most tables; the verified links give components.  Then all
-    pairs of a table group that lie in different components, sizes allowing, are verified as well: no
-    link between different texts is lost to the hubs.  Links, components and sets never reach the driver.
+    Equal sets form one class first, so a hot group of copies is one row from then on.  Each class is
+    verified against one hub of the tables that it is in; these links give components.  Then what lies in
+    different components is verified as well, so that no link between different texts is lost to the hubs:
+    within the classes of one hub all of them, in blocks, and between classes of different hubs each pair
+    that shares a table and whose sizes allow the similarity.  Links, components and sets never reach the
+    driver.
 
     Texts without words, null texts included, have no shingles and are linked with nothing.  Rows with a
     null id take no part: component null, kept.  Ids are expected to be unique; rows that repeat one are
@@ -153,24 +238,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     signed = cut(signatures(docs, key, text, width, half, halves))
     classes = signed.where("n > 0 AND node IS NOT NULL").groupBy("cls").agg(F.min(F.struct("node", "n", "a", "b")).alias("r"))
-    reps = cut(classes.select("cls", "r.*").withColumn("comp", F.col("node")))
-
-    groups = _tables(reps, percent).withColumn("hub", F.expr("min(struct(node, n)) OVER (PARTITION BY ka, kb)")).where(f"node <> hub.node AND {_fits('n', 'hub.n', percent)}")
-    met = groups.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("tables"))
-    star = met.groupBy("node").agg(F.max(F.struct("tables", (-F.col("hub")).alias("low"))).alias("m")).select(F.col("node").alias("x"), (-F.col("m.low")).alias("y"))
+    reps = cut(classes.select("cls", "r.*"))
+    met = _met(reps)
+    star = cut(_hubs(met, percent))
     links = _verified(star, docs, key, text, width, percent)
-    comps = connected_components(links, "x", "y")
-
-    placed = cut(reps.drop("comp").join(comps.select("node", F.col("component").alias("c")), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c"))
-    mixed = _tables(placed, percent).withColumn("lo", F.expr("min(comp) OVER (PARTITION BY ka, kb)")).withColumn("hi", F.expr("max(comp) OVER (PARTITION BY ka, kb)")).where("lo < hi")
-    mixed = cut(mixed.select("ka", "kb", "node", "n", "comp"))
-    other = mixed.select("ka", "kb", F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("d"))
-    rest = mixed.join(other, ["ka", "kb"]).where(f"node < y AND comp <> d AND {_fits('n', 'm', percent)}").select(F.col("node").alias("x"), "y").distinct()
-    late = _verified(rest, docs, key, text, width, percent)
-    all_links = links.unionByName(late)
-    comps = connected_components(all_links, "x", "y")
-
-    named = placed.select("cls", "node").join(comps.select("node", "component"), "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
+    comps = connected_components(links, "x", "y").select("node", "component")
+    inner = _within_hubs(star, comps, docs, key, text, width, percent)
+    outer = _verified(_across_hubs(met, star, comps, percent), docs, key, text, width, percent)
+    comps = connected_components(links.unionByName(inner).unionByName(outer), "x", "y")
+
+    named = reps.select("cls", "node").join(comps.select("node", "component"), "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
     joined = signed.select(F.col("node").alias("id"), "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     component = F.coalesce("component", "id")
     return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -181,4 +258,17 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_minhash_near_dedup": op8_minhash_near_dedup}
-SQL: dict[str, str] = {}
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS meet FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * meet >= 80 * (p.n + q.n - meet)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS d, doc_id AS c FROM w UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.d),
+m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, m.c = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN m ON m.d = w.doc_id
+"""
+
+SQL = {"op8_minhash_near_dedup": OP8_SQL}
