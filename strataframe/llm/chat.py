@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strataframe.llm.common import table, text_of
 
-#: Control strings all begin with OPEN and end with SHUT; escaped texts hold neither.
-OPEN, SHUT = "<|", "|>"
+#: Control strings all begin with OPEN and end with SHUT; escaped texts hold neither.  The colon of END keeps
+#: a role's last character and the bar apart.
+OPEN, SHUT, END = "<|", "|>", ":|>\n"
 
 
 def escape(text: Column) -> Column:
@@ -21,8 +22,8 @@ def unescape(text: Column) -> Column:
 
 
 def _role(role: Column) -> Column:
-    """A role as a header name; a leading + or /, and any <, would read as a control, so each is broken as well."""
-    name = F.replace(escape(role), F.lit("<"), F.lit("\\<"))
+    """A role as a header name; a leading + or / would read as a control, so it is broken as well."""
+    name = escape(role)
     return F.when(name.startswith("+") | name.startswith("/"), F.concat(F.lit("\\"), name)).otherwise(name)
 
 
@@ -32,7 +33,7 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     Turns are sorted by turn number (null first), then role and text, so ties and repeated rows have one
     order and are all kept.  Adjacent turns of one role are merged into one block::
 
-        <|role|>\n first text <|+role|>\n next text of the same role <|/role|>\n
+        <|role:|>\n first text <|+role:|>\n next text of the same role <|/role:|>\n
 
     Texts and roles are escaped, so the marks are the only control strings and everything can be read
     back (``read_back``).  ``segments`` splits ``formatted`` without gaps; ``loss`` marks the texts of
@@ -55,7 +56,7 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
     def parts(block: Column) -> Column:
         name, learned = _role(block["role"]), block["role"].isin(*learn)
-        mark = lambda sign: F.struct(F.concat(F.lit(OPEN + sign), name, F.lit(SHUT + "\n")).alias("text"), F.lit(False).alias("loss"))
+        mark = lambda sign: F.struct(F.concat(F.lit(OPEN + sign), name, F.lit(END)).alias("text"), F.lit(False).alias("loss"))
         told = lambda t: F.struct(escape(t).alias("text"), learned.alias("loss"))
         body = F.transform(block["texts"], lambda t, i: F.array(F.when(i == 0, mark("")).otherwise(mark("+")), told(t)))
         return F.concat(F.flatten(body), F.array(mark("/")))
@@ -69,8 +70,8 @@ def read_back(formatted: Column) -> Column:
     pieces = F.filter(F.split(formatted, r"<\|"), lambda p: (p != "") & ~p.startswith("/"))
 
     def turn(piece: Column) -> Column:
-        name = F.substring_index(piece, SHUT + "\n", 1)
-        body = F.substring(piece, F.length(name) + 4, F.length(piece))
+        name = F.substring_index(piece, END, 1)
+        body = F.substring(piece, F.length(name) + 1 + len(END), F.length(piece))
         return F.struct(unescape(F.regexp_replace(name, r"^\+", "")).alias("role"), unescape(body).alias("text"))
 
     return F.transform(pieces, turn)
@@ -112,7 +113,7 @@ g AS (
   SELECT conv_id, count(*) AS n,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
          coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
-         sum(length(told) + length(role) + CASE WHEN opens THEN 5 + 6 + length(role) ELSE 6 END) AS chars
+         sum(length(told) + length(role) + CASE WHEN opens THEN 6 + 7 + length(role) ELSE 7 END) AS chars
   FROM e GROUP BY conv_id)
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
        sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
