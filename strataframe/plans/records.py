@@ -51,9 +51,9 @@ def profile_deltas(spark, sf):
     return _deltas(spark, sf).select("run", "seq", "step", *_r("delta"))
 
 
-@query(f"WITH {_D} SELECT run, step, round(seconds, 4) + 0e0 AS seconds FROM st")
+@query(f"WITH {_D} SELECT run, step, round(seconds, 6) + 0e0 AS seconds FROM st")
 def profile_step_time(spark, sf):
-    return P.step_time(_deltas(spark, sf)).select("run", "step", V.tidy(F.col("seconds"), 4).alias("seconds"))
+    return P.step_time(_deltas(spark, sf)).select("run", "step", *_r("seconds"))
 
 
 @query("SELECT run, seq, step FROM profile_events WHERE step IN ('click', 'view', 'purchase') AND NOT (computation = 'voxels' AND step = 'view') AND version IN (1, 2, 3, 4)")
@@ -73,15 +73,15 @@ def profile_mean_step(spark, sf):
     return P.mean_step(P.in_range(_profiles(spark, sf), _FROM, _TO)).select("computation", "version", "step", V.tidy(F.col("mean_seconds"), 4).alias("mean_seconds"))
 
 
-@query(f"WITH {_D} SELECT computation, version, run, round(sum(seconds), 4) + 0e0 AS total FROM st GROUP BY ALL")
+@query(f"WITH {_D} SELECT computation, version, run, round(sum(seconds), 6) + 0e0 AS total FROM st GROUP BY ALL")
 def profile_total(spark, sf):
-    return P.total_time(_profiles(spark, sf)).select("computation", "version", "run", V.tidy(F.col("total"), 4).alias("total"))
+    return P.total_time(_profiles(spark, sf)).select("computation", "version", "run", *_r("total"))
 
 
-@query(f"WITH {_D} SELECT computation, version, run, step, round(seconds * 1000, 2) + 0e0 AS ms, epoch_us(start_time) AS start_us FROM st JOIN pr USING (computation, version, run) WHERE start_time BETWEEN TIMESTAMP '{_FROM}' AND TIMESTAMP '{_TO}'")
+@query(f"WITH {_D} SELECT computation, version, run, step, round(seconds * 1000, 3) + 0e0 AS ms, epoch_us(start_time) AS start_us FROM st JOIN pr USING (computation, version, run) WHERE start_time BETWEEN TIMESTAMP '{_FROM}' AND TIMESTAMP '{_TO}'")
 def profile_timeseries(spark, sf):
     rows = P.timeseries(P.in_range(_profiles(spark, sf), _FROM, _TO))
-    return rows.select("computation", "version", "run", "step", V.tidy(F.col("ms"), 2).alias("ms"), F.unix_micros(F.col("start_time").cast("timestamp")).alias("start_us"))
+    return rows.select("computation", "version", "run", "step", V.tidy(F.col("ms"), 3).alias("ms"), F.unix_micros(F.col("start_time").cast("timestamp")).alias("start_us"))
 
 
 @query(f"WITH {_D} SELECT computation, version, count(*) AS runs, epoch_us(max(start_time)) AS last_us FROM pr GROUP BY ALL")
@@ -89,9 +89,9 @@ def profile_runs(spark, sf):
     return P.runs(_profiles(spark, sf)).select("computation", "version", "runs", F.unix_micros(F.col("last_start").cast("timestamp")).alias("last_us"))
 
 
-@query(f"WITH {_D} SELECT computation, version, step, round(max_by(seconds, (start_time, run)), 4) + 0e0 AS seconds FROM st JOIN pr USING (computation, version, run) GROUP BY ALL")
+@query(f"WITH {_D} SELECT computation, version, step, round(max_by(seconds, (start_time, run)), 6) + 0e0 AS seconds FROM st JOIN pr USING (computation, version, run) GROUP BY ALL")
 def profile_last_step(spark, sf):
-    return P.last_step(_profiles(spark, sf)).select("computation", "version", "step", V.tidy(F.col("seconds"), 4).alias("seconds"))
+    return P.last_step(_profiles(spark, sf)).select("computation", "version", "step", *_r("seconds"))
 
 
 @query("SELECT event_id, event_type AS kind, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS missing FROM events")
@@ -227,7 +227,7 @@ def stream_latest_state(spark, sf):
     return _drain(spark, streams.latest_states(_stream(spark, sf)))
 
 
-@query("""WITH d AS (SELECT CAST(ts AS DATE) - k AS bucket, name, runtime FROM task_events, range(7) AS q(k))
+@query("""WITH d AS (SELECT CAST(ts AS DATE) - CAST(k AS INT) AS bucket, name, runtime FROM task_events, range(7) AS q(k))
 SELECT epoch_us(CAST(bucket AS TIMESTAMP)) AS bucket_us, name, round(avg(runtime), 5) + 0e0 AS avg_runtime FROM (SELECT CAST(bucket AS DATE) AS bucket, name, runtime FROM d) GROUP BY ALL""")
 def stream_sliding_runtime(spark, sf):
     return _drain(spark, streams.sliding_runtime(_stream(spark, sf))).select(F.unix_micros("bucket").alias("bucket_us"), "name", V.tidy(F.col("avg_runtime"), 5).alias("avg_runtime"))

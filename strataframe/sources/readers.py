@@ -38,7 +38,7 @@ def read_dem(spark: SparkSession, path: str) -> DataFrame:
 def _off(spark: SparkSession, path: str) -> DataFrame:
     """Mesh files whose first bytes say that they are text meshes, as lines without blanks and comments."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).where(F.substring("content", 1, 3) == F.lit(b"OFF"))
-    lines = F.filter(F.transform(_lines(F.decode("content", F.lit("UTF-8"))), lambda s: F.trim(s)), lambda s: (s != "") & ~s.startswith("#"))
+    lines = F.filter(F.transform(_lines(F.decode("content", "UTF-8")), lambda s: F.trim(s)), lambda s: (s != "") & ~s.startswith("#"))
     parsed = files.select(F.element_at(F.split("path", "/"), -1).alias("mesh_id"), lines.alias("l"))
     counts = F.transform(_words(F.get("l", F.lit(1))), lambda w: w.try_cast("int"))
     return parsed.withColumn("nv", F.get(counts, F.lit(0))).withColumn("nf", F.get(counts, F.lit(1)))
