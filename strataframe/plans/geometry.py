@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataframe.functions import vector as V
-from strataframe.operators import graph, grids, groundwater, meshes, sections as S, spatial, tunnels as T
+from strataframe.operators import assembly, graph, grids, groundwater, meshes, sections as S, spatial, tunnels as T
 from strataframe.plans.views import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,3 +538,29 @@ def section_report(spark, sf):
     holes = S.project_drillholes(view(spark, sf, "sections"), view(spark, sf, "drillholes"), _LIMIT).groupBy("section_id", "seg").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", F.array(F.array("u0", "v0"), F.array("u1", "v1")))))).alias("drillholes"))
     joined = ranks.join(springs, ["section_id", "seg"], "left").join(holes, ["section_id", "seg"], "left")
     return joined.select("section_id", "seg", F.to_json(F.struct("matrix", "springs", "drillholes")).alias("report"))
+
+
+@query("SELECT DISTINCT fault FROM (SELECT fault FROM faults UNION ALL SELECT stops_on FROM faults WHERE stops_on IS NOT NULL)")
+def fault_names(spark, sf):
+    return assembly.fault_names(_faults(spark, sf))
+
+
+@query("SELECT gwb_id, array_to_string(list_sort(list(mesh_id)), ',') AS meshes FROM boxes GROUP BY gwb_id")
+def gwb_groups(spark, sf):
+    grouped = assembly.gwb_groups(view(spark, sf, "boxes"))
+    return grouped.select("gwb_id", F.array_join(F.transform("meshes", lambda m: m.cast("string")), ",").alias("meshes"))
+
+
+@query("SELECT 'fault' AS kind, 'fault_' || fault AS name, sum(p_size % 6 + 1) AS triangles FROM part JOIN faults ON fault = p_partkey % 40 GROUP BY fault".replace("sum(p_size % 6 + 1)", "CAST(sum(p_size % 6 + 1) AS BIGINT)"))
+def fault_mesh_outputs(spark, sf):
+    """Triangles by fault from polygon faces; faces of unknown faults are dropped."""
+    faces = _polygons(spark, sf).select((F.col("face_id") % 40).cast("string").alias("part"), F.col("face_id").alias("f"), "face")
+    tris = assembly.fault_meshes(faces, view(spark, sf, "faults"))
+    return tris.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("triangles"))
+
+
+@query()
+def unit_mesh_outputs(spark, sf):
+    """Triangles by rock unit from the surfaces of the rank grid."""
+    tris = assembly.unit_meshes(spark, view(spark, sf, "rank_grid"), view(spark, sf, "series"))
+    return tris.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("triangles"))
