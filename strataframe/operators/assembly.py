@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strataframe.functions.vector import fan
 from strataframe.operators.meshes import extract_surfaces
@@ -73,4 +74,4 @@ def with_field(points: DataFrame, evaluate: Callable[[pd.DataFrame], pd.Series],
         for frame in frames:
             yield frame.assign(**{name: evaluate(frame)})
 
-    return points.mapInPandas(run, points.schema.add(name, "double"))
+    return points.mapInPandas(run, StructType([*points.schema.fields, StructField(name, DoubleType())]))
