@@ -19,6 +19,22 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+#: Rows of an Arrow batch of texts, at most.
+BATCH_ROWS = 512
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand Python at most ``BATCH_ROWS`` rows at once.
+
+    Texts may be long, and a batch is held as Arrow buffers on both sides and as Python strings; a lower
+    setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a lambda variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

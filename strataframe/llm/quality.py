@@ -73,12 +73,11 @@ def line_rules(docs: DataFrame, text: str = "text", max_loss: float = 0.5, min_w
     """Add the base counts, ``clean_text``, ``lost_chars``, ``base_failed`` and ``kept`` to ``docs``.
 
     Lines without a word are neither judged nor counted as lost.  ``clean_text`` holds the lines that
-    pass; a text whose last judged line is its only failing one and short (under a tenth of its
-    characters) still loses that line.  A document is rejected if the failing lines hold more than
-    ``max_loss`` of the word characters, or if the base rules fail: under ``min_words`` words, or more
-    than ``max_repeat`` percent of the words in repeated five-word windows.  Null texts count as empty:
-    no words, base failed.  Repeated rows are judged one by one; all work stays in the row, so nothing
-    is shuffled and no hot key matters.
+    pass.  A document is rejected if the failing lines hold more than ``max_loss`` of the word
+    characters, or if the base rules fail: under ``min_words`` words, or more than ``max_repeat`` percent
+    of the words in repeated five-word windows.  Null texts count as empty: no words, base failed.
+    Repeated rows are judged one by one; all work stays in the row, so nothing is shuffled and no hot key
+    matters.  Columns of the added names are replaced.
     """
     src = text_of(text)
     bare = lambda c: F.length(F.regexp_replace(c, r"[\x20\x09-\x0D]+", ""))

@@ -208,7 +208,7 @@ def test_scores_do_not_depend_on_steps_and_empty_texts(spark):
     assert whole[0] == whole[1] and all(0 <= s <= 1 for s in whole)
     words = toxicity._tokens(long)
     rows = model.table[np.array([toxicity.features(w) for w in words])].sum(axis=1) @ model.projection()
-    assert model.score(model.logit(model.pooled(rows)), toxicity.language(words)) == pytest.approx(whole[2])
+    assert model.score(model.logit(model.pooled(rows)), toxicity.language(toxicity.votes(words).sum(axis=0), len(words))) == pytest.approx(whole[2])
 
 
 def test_one_class_scores_the_prior():
