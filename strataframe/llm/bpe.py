@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from strataframe.llm.common import table
+from strataframe.llm.common import in_small_batches, table
 
 #: Pre-tokens whose ids a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 200_000
@@ -137,7 +137,7 @@ def map_texts(docs: DataFrame, text: str, made: list[tuple[str, T.DataType]], st
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in kept], *columns], [*[f.name for f in kept], *names])
 
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, text: str = "text", file: str = VOCABULARY) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strataframe.llm.common import table
+from strataframe.llm.common import in_small_batches, table
 from strataframe.operators.graph import connected_components
 from strataframe.runtime import cut, sized_broadcast
 
@@ -29,7 +29,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, half: int = HAL
                 right.append(keys[halves:])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))], ["node", "n", "cls", "a", "b"])
 
-    return docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).mapInArrow(run, "node long, n long, cls binary, a array<long>, b array<long>")
+    return in_small_batches(docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t"))).mapInArrow(run, "node long, n long, cls binary, a array<long>, b array<long>")
 
 
 def _met(reps: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def _within_hubs(star: DataFrame, comps: DataFrame, docs: DataFrame, key: str, t
             packed = [shingle_set(t.as_py() or "", width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "s"])
 
-    rows = mixed.join(texts.mapInArrow(sets, "node long, s binary"), "node")
+    rows = mixed.join(in_small_batches(texts).mapInArrow(sets, "node long, s binary"), "node")
     blocks = cut(rows.groupBy("hub", "block").agg(F.collect_list(F.struct("node", "comp", "s")).alias("m")))
     pairs = blocks.select("hub", "block", F.col("m").alias("p")).join(blocks.select("hub", F.col("block").alias("other"), F.col("m").alias("q")), "hub").where("block <= other").select("p", "q")
 
@@ -209,7 +209,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["x", "y"])
 
-    return cut(sides.mapInArrow(run, "x long, y long"))
+    return cut(in_small_batches(sides).mapInArrow(run, "x long, y long"))
 
 
 def _fits(a: str, b: str, percent: int) -> str:
