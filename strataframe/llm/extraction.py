@@ -40,7 +40,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-#: Nodes of a host's wrapper; beyond it the optional parts seen on fewest pages are left out of it (not out of the pages).
+#: Nodes of a host's wrapper; beyond it the optional parts seen on fewest pages are left out of it (not out of the
+#: pages, nor articles and ``main`` parts), their characters added to the parent.
 WRAPPER_NODES = 1500
 #: Hosts whose partial wrappers a task holds before it passes them on.
 OPEN_HOSTS = 500
@@ -192,9 +193,8 @@ def folded(parts: list[Part]) -> list[Part]:
     out: list[Part] = []
     for p in parts:
         if out and out[-1].key == p.key:
-            pages = max(out[-1].pages, p.pages)
-            out[-1] = aligned(out[-1], p)
-            out[-1].many, out[-1].pages = True, pages
+            out[-1] = aligned(out[-1], p, same_pages=True)
+            out[-1].many = True
         else:
             out.append(p)
     return out
@@ -225,15 +225,38 @@ def _matches(a: list[Part], b: list[Part]) -> list[tuple[int, int]]:
     return [*((k, k) for k in range(i)), *middle, *((len(a) - j + k, len(b) - j + k) for k in range(j))]
 
 
-def aligned(a: Part, b: Part) -> Part:
+def _names(key: str) -> set[str]:
+    """The parts of a key's class, id and role words."""
+    return set(re.split(r"[^a-z0-9]+", key.partition(".")[2]))
+
+
+def _common(a: str, b: str) -> str:
+    """The key of two keys of one tag: shared words, and ``*`` for the words that differ."""
+    if a == b:
+        return a
+    tag, *words = a.split(".")
+    others = set(b.split(".")[1:])
+    return ".".join((tag, *(w for w in words if w in others and w != "*"), "*"))
+
+
+def _alike(a: Part, b: Part) -> bool:
+    """Whether two unmatched elements are one container under different names, as where the id is the page's own."""
+    tag = a.key.partition(".")[0]
+    if a.furniture or b.furniture or tag != b.key.partition(".")[0]:
+        return False
+    return tag in ("article", "main") or bool(_names(_common(a.key, b.key)) & MAIN)
+
+
+def aligned(a: Part, b: Part, same_pages: bool = False) -> Part:
     """Align two expressions of one element.
 
-    A text that differs becomes a slot, parts that only one side has become optional, and what then
-    stands next to its like becomes repeated.
+    A text that differs becomes a slot, so do the differing names of a container, parts that only one
+    side has become optional, and what then stands next to its like becomes repeated.
+    Two instances from the ``same_pages`` do not add up in the number of pages.
     """
-    out = Part(a.key, a.furniture and b.furniture)
+    out = Part(_common(a.key, b.key), a.furniture and b.furniture)
     out.maybe, out.many = a.maybe or b.maybe, a.many or b.many
-    out.pages, out.chars, out.link = a.pages + b.pages, a.chars + b.chars, a.link + b.link
+    out.pages, out.chars, out.link = max(a.pages, b.pages) if same_pages else a.pages + b.pages, a.chars + b.chars, a.link + b.link
     out.text = a.text if a.text == b.text else None
     kids: list[Part] = []
     i = j = 0
@@ -243,35 +266,61 @@ def aligned(a: Part, b: Part) -> Part:
             p.maybe = True
             kids.append(p)
 
+    def between(left: list[Part], right: list[Part]) -> None:
+        at = 0
+        for p in left:
+            k = next((k for k in range(at, len(right)) if _alike(p, right[k])), None)
+            if k is None:
+                alone([p])
+            else:
+                alone(right[at:k])
+                kids.append(aligned(p, right[k], same_pages))
+                at = k + 1
+        alone(right[at:])
+
     for x, y in [*_matches(a.kids, b.kids), (len(a.kids), len(b.kids))]:
-        alone(a.kids[i:x])
-        alone(b.kids[j:y])
+        between(a.kids[i:x], b.kids[j:y])
         if x < len(a.kids):
-            kids.append(aligned(a.kids[x], b.kids[y]))
+            kids.append(aligned(a.kids[x], b.kids[y], same_pages))
         i, j = x + 1, y + 1
     out.kids = folded(kids)
     return out
 
 
 def pruned(root: Part) -> Part:
-    """Keep a wrapper within WRAPPER_NODES by leaving out the optional parts of fewest pages."""
-    sizes: list[int] = []
+    """Keep a wrapper within WRAPPER_NODES by leaving out nodes of optional parts, those of fewest pages first.
 
-    def count(p: Part) -> None:
-        sizes.append(p.pages)
-        for k in p.kids:
-            count(k)
+    Parts that are not optional stay, however many, and so do articles and ``main`` parts with what holds
+    them.  The characters of a node that is left out go to its parent, so every container keeps its share.
+    """
+    total, loose = 0, []
 
-    count(root)
-    if len(sizes) > WRAPPER_NODES:
-        least = sorted(sizes, reverse=True)[WRAPPER_NODES]
+    def count(p: Part, depth: int, optional: bool) -> bool:
+        nonlocal total
+        total += 1
+        keep = p.key.partition(".")[0] in ("article", "main")
+        for k in p.kids:
+            keep |= count(k, depth + 1, optional or k.maybe)
+        if optional and not keep:
+            loose.append((p.pages, -depth, len(loose), p))
+        return keep
 
-        def cut_below(p: Part) -> None:
-            p.kids = [k for k in p.kids if k.pages > least]
-            for k in p.kids:
-                cut_below(k)
+    count(root, 0, False)
+    gone = {id(p) for *_, p in sorted(loose, key=lambda v: v[:3])[: max(0, total - WRAPPER_NODES)]}
 
-        cut_below(root)
+    def without(p: Part) -> None:
+        left = []
+        for k in p.kids:
+            without(k)
+            if id(k) not in gone:
+                left.append(k)
+            elif not k.furniture:
+                p.chars, p.link, p.text = p.chars + k.chars, p.link + k.link, None
+                left += k.kids
+        p.kids = left
+
+    if gone:
+        without(root)
     return root
 
 
@@ -280,35 +329,46 @@ def _mass(p: Part) -> int:
     return 0 if p.furniture else max(0, p.chars - p.link) + sum(map(_mass, p.kids))
 
 
-def rules(root: Part) -> list[list[str]]:
-    """Where the main text of a host lies: paths of keys to the container, best first.
+def _ranked(p: Part, whole: int) -> int | None:
+    """How surely a part is the container of main text, 0 first; None if nothing says so."""
+    tag, _, words = p.key.partition(".")
+    named = _names(p.key)
+    return 0 if tag == "article" else 1 if tag == "main" or "role=main" in words or "articlebody" in named else 2 if named & MAIN and _mass(p) * 5 >= 2 * whole else None
+
+
+def _steps(kids: list[Part]) -> Iterator[tuple[Part, str | list]]:
+    """Parts with their step of a path: a key, or a key with open words and the keys beside it that it leaves out."""
+    for k in kids:
+        if not k.furniture:
+            tag = k.key.partition(".")[0]
+            yield k, [k.key, sorted({o.key for o in kids if o.key.partition(".")[0] == tag and not o.key.endswith(".*")})] if k.key.endswith(".*") else k.key
+
+
+def rules(root: Part) -> list[list]:
+    """Where the main text of a host lies: paths of steps to all its containers, best first, then the walk.
 
     An ``article`` comes first, then ``main``, then parts whose class, id or role says so and that hold
-    two fifths of the text; of equals the one with the most slot text.  Without any of them the walk
-    goes down from the top as long as one child holds two thirds of the text.
+    two fifths of the text; of equals the one with the most slot text.  The last path serves pages without
+    any of them: it goes down from the top as long as one child holds two thirds of the text.
     """
-    found: list[tuple[int, int, list[str]]] = []
+    found: list[tuple[int, int, list]] = []
     whole = _mass(root)
 
-    def look(p: Part, path: list[str]) -> None:
-        if p.furniture:
-            return
-        tag, _, words = p.key.partition(".")
-        named = set(re.split(r"[^a-z0-9]+", words))
-        rank = 0 if tag == "article" else 1 if tag == "main" or "role=main" in words or "articlebody" in named else 2 if named & MAIN and _mass(p) * 5 >= 2 * whole else None
-        if rank is not None and _mass(p) > 0:
-            found.append((rank, -_mass(p), path))
-        for k in p.kids:
-            look(k, [*path, k.key])
+    def look(p: Part, path: list) -> None:
+        rank = _ranked(p, whole)
+        if rank is not None and (mass := _mass(p)) > 0:
+            found.append((rank, -mass, path))
+        for k, step in _steps(p.kids):
+            look(k, [*path, step])
 
     look(root, [])
-    ways = [path for _, _, path in sorted(found, key=lambda f: f[:2])][:8]
+    ways = [path for _, _, path in sorted(found, key=lambda f: f[:2])]
     p, path = root, []
     while True:
-        big = max((k for k in p.kids if not k.furniture), key=_mass, default=None)
+        big, step = max(_steps(p.kids), key=lambda k: _mass(k[0]), default=(None, ""))
         if big is None or _mass(big) * 3 < 2 * _mass(p) or _mass(big) == 0 or big.tag_is_text():
             break
-        p, path = big, [*path, big.key]
+        p, path = big, [*path, step]
     return [*ways, path]
 
 
@@ -319,25 +379,43 @@ def _tag_is_text(self: Part) -> bool:
 Part.tag_is_text = _tag_is_text
 
 
-def _at(nodes: list[Node], path: list[str]) -> list[Node]:
-    for key in path:
-        nodes = [k for n in nodes for k in n.kids if k.key == key and not k.furniture]
+def _fits(node: Node, step: str | list) -> bool:
+    if isinstance(step, str):
+        return node.key == step
+    tag, *words = step[0].split(".")
+    return node.tag == tag and node.key not in step[1] and set(words[:-1]) <= set(node.key.split(".")[1:])
+
+
+def _at(nodes: list[Node], path: list) -> list[Node]:
+    for step in path:
+        nodes = [k for n in nodes for k in n.kids if not k.furniture and _fits(k, step)]
     return nodes
 
 
-def main_text(root: Node, ways: list[list[str]]) -> str:
-    """Blocks of the first container that the page has and that holds text, in page order."""
-    for path in ways:
-        blocks: list[str] = []
-        for n in _at([root], path):
-            _blocks(n, blocks, inside=bool(path))
-        if blocks:
-            return "\n".join(blocks)
+def main_text(root: Node, ways: list[list]) -> str:
+    """Blocks of the first container that the page has and that holds text, in page order.
+
+    The host's containers are asked first, then the page's own, then the host's walk and the page's own;
+    a walk leaves out page headers.
+    """
+    own: list[list] | None = None
+    for walk in (False, True):
+        for of_host in (True, False):
+            if not of_host and own is None:
+                own = rules(of_page(root))
+            paths = ways if of_host else own
+            for path in paths[-1:] if walk else paths[:-1]:
+                blocks: list[str] = []
+                for n in _at([root], path):
+                    _blocks(n, blocks, not walk)
+                if blocks:
+                    return "\n".join(blocks)
     return ""
 
 
 def _blocks(node: Node, out: list[str], inside: bool) -> None:
     runs, at = node.runs, 0
+    inside = inside or node.tag in ("article", "main", "section")
     for i, kid in enumerate([*node.kids, None]):
         while at < len(runs) and runs[at][0] <= i:
             if line := " ".join("".join(runs[at][1]).split()):
@@ -428,7 +506,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html") -> Data
     schema = pages.select(*kept).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ways: dict[str, list[list[str]]] = {}
+        ways: dict[str, list[list]] = {}
         for batch in batches:
             texts = []
             for page, packed in zip(batch.column(len(kept)), batch.column(len(kept) + 1), strict=True):
@@ -438,7 +516,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html") -> Data
                         ways.clear()
                     ways[key] = json.loads(key)
                 root = parse(page.as_py())
-                texts.append(main_text(root, ways[key]) or main_text(root, rules(of_page(root))))
+                texts.append(main_text(root, ways[key]))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], pa.array(texts, pa.string())], [*kept, "text"])
 
     return in_small_batches(joined).mapInArrow(run, schema)

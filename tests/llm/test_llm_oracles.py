@@ -321,3 +321,28 @@ def test_stages_keep_the_columns_and_do_their_work(spark, sf_dir):
 def test_pipeline_runs(spark, sf_dir):
     out = registry.queries()["pipeline"](spark, sf_dir)
     assert out.count() > 0 and out.where("NOT round_trip").count() == 0
+
+
+def test_varying_containers_of_a_host_are_all_found(spark):
+    slug = "<html><body><header>Site head</header><article id='%s-story'><p>Told by %s in %s.</p></article><div class=r>Rest %s</div></body></html>"
+    kinds = "<html><body><header>Site head</header><div class=x><article class='k-%s'><p>Text of %s alone.</p></article></div><p>Tail %s</p></body></html>"
+    names = [a + b for a in "abcdefgh" for b in "uvwxyz"]
+    rows = [(i, "http://slug.example/", slug % (n, n, n, n)) for i, n in enumerate(names)] + [(100 + i, "http://kinds.example/", kinds % (n, n, n)) for i, n in enumerate(names)]
+    got = {r.page_id: r.text for r in extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Told by {n} in {n}." for i, n in enumerate(names)} | {100 + i: f"Text of {n} alone." for i, n in enumerate(names)}
+
+
+def test_containers_that_the_wrapper_lacks_and_page_headers():
+    page = extraction.parse("<body><header>Site head</header><article class=q><p>Own text.</p></article><p>Tail</p></body>")
+    assert extraction.main_text(page, [["body", "article.a"], ["body"]]) == "Own text."
+    page = extraction.parse("<body><header>Site head</header><p>Plain text.</p></body>")
+    assert extraction.main_text(page, [["body", "article.a"], ["body"]]) == "Plain text."
+
+
+def test_long_pages_keep_their_wrapper():
+    html = "<body><article>" + "".join(f"<div class=a{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}><p>w{i}</p></div>" for i in range(900)) + "</article></body>"
+    one, two, three = (extraction.of_page(extraction.parse(h)) for h in (html, html, "<body><p>Short</p></body>"))
+    both = extraction.pruned(extraction.aligned(one, two))
+    assert len(both.kids[0].kids[0].kids) == 900
+    mixed = extraction.pruned(extraction.aligned(both, three))
+    assert ["body", "article"] in extraction.rules(mixed)
