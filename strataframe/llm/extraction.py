@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -43,6 +44,8 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\s*
 #: Nodes of a host's wrapper; beyond it the optional parts seen on fewest pages are left out of it (not out of the
 #: pages, nor articles and ``main`` parts), their characters added to the parent.
 WRAPPER_NODES = 1500
+#: A text is constant where it is the same on this many pages of a host and on half of them at least.
+CONSTANT_PAGES = 3
 #: Hosts whose partial wrappers a task holds before it passes them on.
 OPEN_HOSTS = 500
 RULES_BYTES, SALTS = 32 << 20, 32
@@ -179,11 +182,20 @@ class Part:
         return f"({body}){'*' if self.maybe and self.many else '+' if self.many else '?'}" if self.maybe or self.many else body
 
 
+def _said(node: Node) -> str:
+    return " ".join(" ".join("".join(r[1]).split()) for r in node.runs).strip()
+
+
+def _mark(said: str) -> str:
+    """A text as a wrapper holds it: a long one as its beginning and a hash of the whole."""
+    return said if len(said) <= 80 else f"{said[:48]}\u2026{blake2b(said.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}"
+
+
 def of_page(node: Node) -> Part:
     part = Part(node.key, node.furniture)
-    said = " ".join(" ".join("".join(r[1]).split()) for r in node.runs).strip()
+    said = _said(node)
     part.chars, part.link = len(said), sum(r[2] for r in node.runs)
-    part.text = said[:200]
+    part.text = _mark(said)
     part.kids = folded([of_page(k) for k in node.kids])
     return part
 
@@ -325,8 +337,26 @@ def pruned(root: Part) -> Part:
 
 
 def _mass(p: Part) -> int:
-    """Characters of text slots below a part, furniture and links not counted."""
-    return 0 if p.furniture else max(0, p.chars - p.link) + sum(map(_mass, p.kids))
+    """Characters of text slots below a part; furniture, links and texts known to be constant are not counted."""
+    own = 0 if p.text is not None and p.pages >= CONSTANT_PAGES else max(0, p.chars - p.link)
+    return 0 if p.furniture else own + sum(map(_mass, p.kids))
+
+
+def constants(root: Part) -> list[list[str]]:
+    """``[tag above, key, text]`` of every element whose text the host's pages repeat; none if all they hold is constant."""
+    out: list[list[str]] = []
+
+    def look(p: Part, above: str) -> None:
+        if p.furniture:
+            return
+        if p.text and p.pages >= CONSTANT_PAGES and 2 * p.pages >= root.pages:
+            out.append([above, p.key, p.text])
+        for k in p.kids:
+            look(k, p.key.partition(".")[0])
+
+    if _mass(root) > 0:
+        look(root, "")
+    return out
 
 
 def _ranked(p: Part, whole: int) -> int | None:
@@ -392,11 +422,11 @@ def _at(nodes: list[Node], path: list) -> list[Node]:
     return nodes
 
 
-def main_text(root: Node, ways: list[list]) -> str:
+def main_text(root: Node, ways: list[list], constant: Set[tuple[str, str, str]] = frozenset()) -> str:
     """Blocks of the first container that the page has and that holds text, in page order.
 
     The host's containers are asked first, then the page's own, then the host's walk and the page's own;
-    a walk leaves out page headers.
+    a walk leaves out page headers.  ``constant`` texts of the host are left out, unless nothing else is there.
     """
     own: list[list] | None = None
     for walk in (False, True):
@@ -407,14 +437,19 @@ def main_text(root: Node, ways: list[list]) -> str:
             for path in paths[-1:] if walk else paths[:-1]:
                 blocks: list[str] = []
                 for n in _at([root], path):
-                    _blocks(n, blocks, not walk)
+                    _blocks(n, blocks, not walk, constant)
+                if not blocks and constant:
+                    for n in _at([root], path):
+                        _blocks(n, blocks, not walk, frozenset())
                 if blocks:
                     return "\n".join(blocks)
     return ""
 
 
-def _blocks(node: Node, out: list[str], inside: bool) -> None:
+def _blocks(node: Node, out: list[str], inside: bool, constant: Set[tuple[str, str, str]], above: str = "") -> None:
     runs, at = node.runs, 0
+    if constant and runs and (above, node.key, _mark(_said(node))) in constant:
+        runs = []
     inside = inside or node.tag in ("article", "main", "section")
     for i, kid in enumerate([*node.kids, None]):
         while at < len(runs) and runs[at][0] <= i:
@@ -423,7 +458,7 @@ def _blocks(node: Node, out: list[str], inside: bool) -> None:
             at += 1
         if kid is None or kid.furniture or not inside and (kid.tag == "header" or HEADERS & {p for w in kid.words for p in re.split(r"[^a-z0-9]+", w)}):
             continue
-        _blocks(kid, out, inside)
+        _blocks(kid, out, inside, constant, node.tag)
 
 
 def host_of(url: str = "url"):
@@ -479,7 +514,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [Part.unpack(json.loads(w.as_py())) for w in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.expression() for p in parts], pa.string()), pa.array([json.dumps(rules(p)) for p in parts], pa.string())], ["host", "wrapper", "rules"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.expression() for p in parts], pa.string()), pa.array([json.dumps([rules(p), constants(p)]) for p in parts], pa.string())], ["host", "wrapper", "rules"])
 
     return merged.mapInArrow(decide, "host string, wrapper string, rules string")
 
@@ -487,7 +522,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Add ``text``, the main text of every page, to ``pages``; a clashing column is replaced.
 
-    The wrappers of the hosts say where the main text lies.  Null html and pages without main text give
+    The wrappers of the hosts say where the main text lies and which texts their pages repeat.  Null html and pages without main text give
     an empty text; null urls form a host of their own; repeated rows are extracted one by one; an empty
     table gives no rows.  The rules of all hosts are broadcast while they measure under ``RULES_BYTES``;
     beyond it pages meet them in a shuffle salted ``SALTS`` ways.
@@ -506,17 +541,18 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html") -> Data
     schema = pages.select(*kept).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ways: dict[str, list[list]] = {}
+        known: dict[str, tuple[list[list], Set[tuple[str, str, str]]]] = {}
         for batch in batches:
             texts = []
             for page, packed in zip(batch.column(len(kept)), batch.column(len(kept) + 1), strict=True):
-                key = packed.as_py() or "[[]]"
-                if key not in ways:
-                    if len(ways) > OPEN_HOSTS:
-                        ways.clear()
-                    ways[key] = json.loads(key)
+                key = packed.as_py() or "[[[]], []]"
+                if key not in known:
+                    if len(known) > OPEN_HOSTS:
+                        known.clear()
+                    ways, constant = json.loads(key)
+                    known[key] = ways, frozenset(map(tuple, constant))
                 root = parse(page.as_py())
-                texts.append(main_text(root, ways[key]))
+                texts.append(main_text(root, *known[key]))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], pa.array(texts, pa.string())], [*kept, "text"])
 
     return in_small_batches(joined).mapInArrow(run, schema)

@@ -346,3 +346,23 @@ def test_long_pages_keep_their_wrapper():
     assert len(both.kids[0].kids[0].kids) == 900
     mixed = extraction.pruned(extraction.aligned(both, three))
     assert ["body", "article"] in extraction.rules(mixed)
+
+
+def test_boxes_that_a_host_repeats_are_left_out(spark):
+    start = "The same long beginning of every story, " * 8
+    html = "<html><body><article><h1>On %s</h1><div class='by-house'>Written by the house.</div><section><p>%s ends with %s.</p></section><div class='fine'>All prices are net.</div></article></body></html>"
+    rows = [(i, "http://c.example/", html % (w, start, w)) for i, w in enumerate("one two three four".split())]
+    rows += [(10 + i, "http://same.example/", html % ("this", start, "this")) for i in range(4)]
+    got = {r.page_id: r.text for r in extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, w in enumerate("one two three four".split()):
+        assert got[i] == f"On {w}\n{start}ends with {w}."
+    assert got[10] == f"On this\nWritten by the house.\n{start}ends with this.\nAll prices are net."
+
+
+def test_constant_text_gives_a_container_no_weight():
+    html = "<body><article class=notice-text>%s</article><article class=b>Short %s.</article></body>"
+    root = None
+    for w in "abc":
+        page = extraction.of_page(extraction.parse(html.replace("notice-text", "legal") % ("Terms and conditions of use. " * 9, w)))
+        root = page if root is None else extraction.aligned(root, page)
+    assert extraction.rules(root)[0] == ["body", "article.b"]
