@@ -430,6 +430,14 @@ def gwb_metadata(spark, sf):
     return out.select("spring_id", "unit_id", V.tidy(F.col("volume"), 3).alias("volume"))
 
 
+@query()
+def gwb_metadata_whole(spark, sf):
+    """Groundwater bodies below all springs, high ones included."""
+    springs = view(spark, sf, "springs").withColumn("z", (F.col("z") + 20) * 0.6)
+    out = groundwater.groundwater_bodies(view(spark, sf, "unit_tri"), springs)
+    return out.select("spring_id", "unit_id", V.tidy(F.col("volume"), 3).alias("volume"))
+
+
 @query("""WITH c AS (SELECT rank, ix - dx AS cx, iy - dy AS cy, iz - dz AS cz, CAST(1 << (dx + 2 * dy + 4 * dz) AS INT) AS b FROM rank_grid, (VALUES (0), (1)) AS p(dx), (VALUES (0), (1)) AS q(dy), (VALUES (0), (1)) AS r(dz) WHERE rank <> 0)
 SELECT rank, mask, count(*) AS cells FROM (SELECT rank, CAST(bit_or(b) AS INT) AS mask FROM c GROUP BY rank, cx, cy, cz) WHERE mask <> 255 GROUP BY rank, mask""")
 def surface_cell_cases(spark, sf):

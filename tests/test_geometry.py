@@ -97,3 +97,13 @@ def test_case_table_covers_all_mixed_masks():
 def test_views_have_unique_points(spark, sf_dir):
     points = view(spark, sf_dir, "points")
     assert points.count() == points.select("x", "y", "z").distinct().count()
+
+
+def test_bodies_below_all_springs_match_the_sql_without_its_limit(spark, sf_dir):
+    from comparing import assert_matches
+    from strataframe import catalog
+
+    limited = catalog.ORACLES["gwb_metadata"]
+    whole = limited.replace(" WHERE z < 60)", ")")
+    assert whole != limited
+    assert_matches(catalog.QUERIES["gwb_metadata_whole"](spark, sf_dir), whole, sf_dir)
