@@ -457,7 +457,17 @@ b AS (SELECT r.grid_id, r.ix, r.iy, r.iz, r.rank, CAST(coalesce(max(gwb_id), 0)
 SELECT grid_id, ix, iy, iz, CAST(rank AS INT) AS rank, gwb_id FROM b""")
 def voxel_table(spark, sf):
     """Rank and highest body of every voxel; ranks keep their raw number."""
-    voxels = grids.voxel_center_grid(_voxel_boxes(spark, sf).where("grid_id < 5"))
+    return _voxel_table(spark, sf, _voxel_boxes(spark, sf).where("grid_id < 5"))
+
+
+@query()
+def voxel_table_whole(spark, sf):
+    """Rank and highest body of every voxel of all grids."""
+    return _voxel_table(spark, sf, _voxel_boxes(spark, sf))
+
+
+def _voxel_table(spark, sf, boxes):
+    voxels = grids.voxel_center_grid(boxes)
     ranked = spatial.rank_sample(voxels, view(spark, sf, "rank_grid"), (40.0, 40.0, 40.0))
     hits = spatial.points_in_mesh(ranked.select("grid_id", "ix", "iy", "iz", "x", "y", "z") if "ix" in ranked.columns else voxels, view(spark, sf, "tri"))
     tags = spatial.gwb_tags(voxels, hits.join(view(spark, sf, "boxes").select("mesh_id", "gwb_id"), "mesh_id"))

@@ -107,3 +107,13 @@ def test_bodies_below_all_springs_match_the_sql_without_its_limit(spark, sf_dir)
     whole = limited.replace(" WHERE z < 60)", ")")
     assert whole != limited
     assert_matches(catalog.QUERIES["gwb_metadata_whole"](spark, sf_dir), whole, sf_dir)
+
+
+def test_all_voxel_grids_match_the_sql_without_its_subset(spark, sf_dir):
+    from comparing import assert_matches
+    from strataframe import catalog
+
+    limited = catalog.ORACLES["voxel_table"]
+    whole = limited.replace(" WHERE v.grid_id < 5)", ")")
+    assert whole != limited
+    assert_matches(catalog.QUERIES["voxel_table_whole"](spark, sf_dir), whole, sf_dir)
