@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataframe.functions.vector import Vec, add, cross, dot, let, norm, pack, scale, sub, unpack, vec
-from strataframe.runtime import sized_broadcast
+from strataframe.runtime import cut, sized_broadcast
 
 #: Rows of a small side that may be broadcast once it has been counted.
 SMALL = 200_000
@@ -164,3 +164,13 @@ def nearest_face(queries: DataFrame, tri: DataFrame, on: list[str], key: str = "
 def small(df: DataFrame) -> DataFrame:
     """``df``, marked for broadcast if a count proves that it is small."""
     return sized_broadcast(df, df.limit(SMALL + 1).count(), SMALL)
+
+
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` in ``order`` with their place ``pos``, from 1: places within range partitions after the rows before them."""
+    placed = cut(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # an id holds the partition above its lower 33 bits and the row's place in it below
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select((F.col("_before") + within + 1).cast("int").alias("pos"), *rows.columns)

@@ -213,8 +213,7 @@ def _stream(spark, sf):
 
 
 def _drain(spark, stream, mode="complete"):
-    name = f"drained_{abs(hash(shared_folder(spark, 'n')))}"
-    return streams.drained(stream, name, shared_folder(spark, "stream"), mode)
+    return streams.drained(stream, "drained", shared_folder(spark, "stream"), mode)
 
 
 @query(f"SELECT {_DAY} AS bucket_us, state, count(*) AS n FROM task_events GROUP BY ALL")

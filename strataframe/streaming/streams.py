@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from strataframe.runtime import shared_folder
+
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
     """Parquet files as they arrive; event times become instants so that they can carry a watermark."""
@@ -49,7 +51,21 @@ def append_profiles(profiles: DataFrame, path: str, checkpoint: str) -> Streamin
 
 
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what has arrived, then give its result table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what has arrived, then give its result table, from Parquet files in the shared folder.
+
+    Tasks write every batch to a folder of its own, so a batch that is run again replaces itself and no row
+    reaches the driver; in complete mode the latest batch is the result.
+    """
+    spark, folder, batches = stream.sparkSession, shared_folder(stream.sparkSession, name), []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/{batch}")
+        batches.append(batch)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    wanted = sorted(set(batches))
+    if not wanted:
+        return spark.createDataFrame([], stream.schema)
+    paths = [f"{folder}/{b}" for b in (wanted[-1:] if mode == "complete" else wanted)]
+    return spark.read.schema(stream.schema).parquet(*paths)

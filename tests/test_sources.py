@@ -64,3 +64,18 @@ def test_overdue_stream_equals_sessions(spark, sf_dir, tmp_path):
     stream = streams.event_stream(spark, f"{sf_dir}/events.parquet*", schema).select("ts", F.lit("STARTED").alias("state"), F.col("user_id").alias("task"))
     out = streams.drained(streams.overdue_tasks(stream), "late_ones", str(tmp_path / "c"), "append")
     assert out.count() > 0
+
+
+def test_drained_rows_stay_in_files(spark, sf_dir):
+    from strataframe import catalog
+
+    assert catalog.QUERIES["stream_latest_state"](spark, sf_dir).inputFiles()
+
+
+def test_ranks_run_on_over_partitions(spark):
+    from strataframe.operators import spatial
+
+    d = spark.range(1000).select((F.col("id") * 37 % 1000).alias("id"), (F.col("id") % 7).alias("z"))
+    out = spatial.ranked(d, F.desc("z"), "id")
+    assert out.select("pos", "id", "z").collect() == [(i + 1, *r) for i, r in enumerate(sorted((tuple(r) for r in d.collect()), key=lambda r: (-r[1], r[0])))]
+    assert spatial.ranked(d.limit(0), "id").count() == 0
