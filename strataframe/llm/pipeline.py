@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataframe.llm import bpe, mixing, neardup, pii, toxicity
 from strataframe.llm.common import table
+from strataframe.operators.spatial import ranked
 from strataframe.runtime import cut, sized_broadcast
 
 #: Repeated ids that may be broadcast to set their rows apart.
@@ -18,18 +19,25 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 
 
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """Add ``_key``, a number that equal rows share and that follows the order of ids; null for null ids."""
+    hashed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    keys = cut(ranked(hashed.where("doc_id IS NOT NULL").select("doc_id", "_row").distinct(), "doc_id", "_row").withColumnRenamed("pos", "_key"))
+    return hashed.join(sized_broadcast(keys, keys.count(), REPEATED_IDS), ["doc_id", "_row"], "left").select(*docs.columns, "_key")
+
+
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate group stays: five-word shingles, similarity 0.8, smallest id.
 
-    Rows that repeat a whole row stay once.  Only ids are shuffled: those that go are few or many, so they
-    are broadcast within a checked count and joined by a shuffle beyond it.
+    Rows that repeat a whole row stay once.  Where ids repeat, a row goes by its place among all ids and row hashes,
+    so a copy does not take another document of its id along.  Keys and ids are few or many, so they are
+    broadcast within a checked count and joined by a shuffle beyond it.
     """
-    found = cut(neardup.near_duplicates(docs, width=5, percent=80).select("doc_id", "kept"))
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone, again = cut(gone), cut(again)
-    left = docs.join(sized_broadcast(gone, gone.count(), REPEATED_IDS), "doc_id", "left_anti")
+    again = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     n = again.count()
+    keyed = docs.withColumn("_key", F.col("doc_id")) if n == 0 else _row_keys(docs)
+    gone = cut(neardup.near_duplicates(keyed, key="_key", width=5, percent=80).where("NOT kept").select("_key").distinct())
+    left = keyed.join(sized_broadcast(gone, gone.count(), REPEATED_IDS), "_key", "left_anti").select(*docs.columns)
     if n == 0:
         return left
     twice = sized_broadcast(again, n, REPEATED_IDS)

@@ -173,4 +173,4 @@ def ranked(rows: DataFrame, *order) -> DataFrame:
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select((F.col("_before") + within + 1).cast("int").alias("pos"), *rows.columns)
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select((F.col("_before") + within + 1).alias("pos"), *rows.columns)

@@ -397,7 +397,7 @@ def spring_units_missing(spark, sf):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY z DESC, id) AS INT) AS pos, id, z FROM springs ORDER BY z DESC, id")
 def springs_by_z(spark, sf):
-    return spatial.ranked(view(spark, sf, "springs").select("id", "z"), F.desc("z"), "id").select("pos", "id", "z")
+    return spatial.ranked(view(spark, sf, "springs").select("id", "z"), F.desc("z"), "id").select(F.col("pos").cast("int").alias("pos"), "id", "z")
 
 
 _GWB = f"""s AS (SELECT id, x, y, (z + 20) * 0.6e0 AS z, unit_id FROM springs WHERE z < 60),

@@ -366,3 +366,11 @@ def test_constant_text_gives_a_container_no_weight():
         page = extraction.of_page(extraction.parse(html.replace("notice-text", "legal") % ("Terms and conditions of use. " * 9, w)))
         root = page if root is None else extraction.aligned(root, page)
     assert extraction.rules(root)[0] == ["body", "article.b"]
+
+
+def test_a_copy_does_not_take_another_document_of_its_id(spark, sf_dir):
+    d = plain(spark, "Some words that stand here in the first text.", "Some words that stand here in the first text.", "Quite other words are told in this second text.")
+    d = d.withColumn("doc_id", F.when(F.col("doc_id") == 2, F.lit(1)).otherwise(F.col("doc_id")).cast(d.schema["doc_id"].dataType)).unionByName(d.where("doc_id IS NULL"))
+    kept = dict(pipeline.STAGES)["near_duplicates"](spark, d, sf_dir)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id, r.text[:5]) for r in kept.collect()) == [(0, "Some "), (1, "Quite")]
