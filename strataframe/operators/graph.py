@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strataframe.runtime import cut
+from strataframe.runtime import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,17 +28,19 @@ def _print_of(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node that has an edge; the label is the smallest node reached.
 
-    Self loops, repeated edges and null ends are ignored.  Each round is materialised in the shared
-    folder, so a lost executor costs one round at most.  Both steps aggregate before they join, and
-    the joins are plain shuffles that adaptive execution may split at a hub.
+    Self loops, repeated edges and null ends are ignored.  Each round is a table in the shared folder, so a
+    lost executor costs one round at most; a round is dropped when the next one is written.  Both steps
+    aggregate before they join, and the joins are plain shuffles that adaptive execution may split at a hub.
     """
+    scratch = Scratch(edges.sparkSession, "components")
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
-    now = cut(_small_star(now).distinct())
+    now = scratch.cut(_small_star(now).distinct())
     seen = _print_of(now)
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
+        before, now = now, scratch.cut(_small_star(_large_star(now).distinct()).distinct())
+        scratch.drop(before)
         last, seen = seen, _print_of(now)
         if last == seen:
             break

@@ -1,4 +1,4 @@
-"""Session helpers shared by operators: the shared folder, checkpoints, sized broadcasts."""
+"""Session helpers shared by operators: the shared folder, tables that cut lineage, sized broadcasts."""
 
 from __future__ import annotations
 
@@ -7,12 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows of a key beyond which its rows are dealt to several tasks.
+SPREAD_ROWS = 2048
+#: Keys of many rows that may be broadcast; beyond it they are joined by a shuffle.
+HOT_KEYS = 1_000_000
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a new temporary one only where it is unset and the master local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = named or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -23,12 +31,60 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage there."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back: the lineage ends there and sizes are known from then on."""
+    return _stored(df, shared_folder(df.sparkSession, "cut"))
+
+
+class Scratch:
+    """Tables of one job in a folder of the shared one; each can be dropped once its successor is written."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self._spark, self._root, self._paths = spark, shared_folder(spark, label), {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self._root}/{len(self._paths)}"
+        table = _stored(df, path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self._paths[id(table)]
+            self._remove(path)
+
+    def keep_only(self, table: DataFrame) -> DataFrame:
+        """Drop every table but ``table``, the result."""
+        self.drop(*[t for t, _ in self._paths.values() if t is not table])
+        return table
+
+    def _remove(self, path: str) -> None:
+        at = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def sized_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast a side only if its counted rows stay within ``limit``; beyond it Spark shuffles."""
     return F.broadcast(small) if rows <= limit else small
+
+
+def join_by_key(rows: DataFrame, keys: DataFrame, on: str, count: str, by: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``keys``, one row per value of ``on``, where a value may hold any share of ``rows``.
+
+    ``keys`` is a stored table and its column ``count`` tells the rows of the value.  A value of more than
+    ``SPREAD_ROWS`` is met in several tasks: its rows are dealt by a hash of ``by``, its key row goes to each.
+    """
+    hot = keys.where(F.col(count) > SPREAD_ROWS).select(on, F.ceil(F.col(count) / SPREAD_ROWS).cast("int").alias("_parts"))
+    n = hot.count()
+    if n == 0:
+        return rows.join(keys, on, how)
+    part = F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")
+    dealt = rows.join(sized_broadcast(hot, n, HOT_KEYS), on, "left").withColumn("_part", part).drop("_parts")
+    last = F.when(F.col(count) > SPREAD_ROWS, F.ceil(F.col(count) / SPREAD_ROWS).cast("int")).otherwise(1) - 1
+    copies = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.join(copies, [on, "_part"], how).drop("_part")
