@@ -6,18 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strataframe.llm.common import in_small_batches, table
 from strataframe.operators.graph import connected_components
-from strataframe.runtime import cut, sized_broadcast
+from strataframe.runtime import Scratch, join_by_key, sized_broadcast
 
 #: Hashes in half a table key, and half keys in each of the two collections: HALVES ** 2 tables.
 HALF, HALVES = 3, 14
-#: Candidate ids are broadcast to the scan up to this many (8 MB of longs); beyond it they are joined by a shuffle.
+#: Rows of cells are broadcast to the scan up to this many (28 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Classes in a block when the classes of one hub are compared with each other.
-BLOCK = 512
+#: Classes in a block when the classes of one hub are compared with each other, and in a block of a large group.
+BLOCK, MOST = 512, 4096
+#: Sides of a cell: left ones are held, right ones are asked against them, others are compared among themselves.
+LEFT, BOTH, RIGHT = 0, 1, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(32)
 _STRIDE = 2048
@@ -57,7 +59,8 @@ def shingle_set(text: str, width: int) -> np.ndarray:
 
 def _hashes(count: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(20_077)
-    return draw.integers(0, 2**63, count, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 2**63, count, np.uint64)
+    odd = draw.integers(0, 2**63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd, draw.integers(0, 2**63, count, np.uint64)
 
 
 def half_keys(shingles: np.ndarray, hashes: tuple[np.ndarray, np.ndarray], half: int) -> np.ndarray:
@@ -74,149 +77,206 @@ def half_keys(shingles: np.ndarray, hashes: tuple[np.ndarray, np.ndarray], half:
     return acc.view(np.int64)
 
 
-def signatures(docs: DataFrame, key: str, text: str, width: int, half: int = HALF, halves: int = HALVES) -> DataFrame:
+def signatures(
+    docs: DataFrame, key: str, text: str, width: int, half: int = HALF, halves: int = HALVES
+) -> DataFrame:
     """``(node, n, cls, a, b)`` per row: set size, a 128-bit name of the set, the two collections of half keys."""
+    names = ["node", "n", "cls", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes = _hashes(2 * half * halves)
+        keys_type = pa.list_(pa.int64())
         for batch in batches:
-            sizes, names, left, right = [], [], [], []
+            sizes, classes, left, right = [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py() or "", width)
                 keys = half_keys(s, hashes, half) if len(s) else np.empty(0, np.int64)
                 sizes.append(len(s))
-                names.append(xxhash.xxh128_digest(s.tobytes()))
+                classes.append(xxhash.xxh128_digest(s.tobytes()))
                 left.append(keys[:halves])
                 right.append(keys[halves:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))], ["node", "n", "cls", "a", "b"])
+            made = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary())]
+            made += [pa.array(left, keys_type), pa.array(right, keys_type)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names)
 
-    return in_small_batches(docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t"))).mapInArrow(run, "node long, n long, cls binary, a array<long>, b array<long>")
+    source = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t"))
+    return in_small_batches(source).mapInArrow(run, "node long, n long, cls binary, a array<long>, b array<long>")
 
 
-def _met(reps: DataFrame) -> DataFrame:
-    """Rows ``(ka, node, n, b)``: first half keys that two classes or more share, with the second half keys.
+def _tables(reps: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(t, node)``, the table keys that two classes or more share, and ``(t, c)``, the classes of each key.
 
-    Half keys are counted on their own first, so the other collection travels only where a table may form.
+    A table key pairs a first half key with a second one.  Half keys are counted on their own first, so the
+    second collection is unfolded only where a table may form.
     """
     first = reps.select("node", F.explode("a").alias("ka"))
-    shared = first.withColumn("c", F.expr("count(1) OVER (PARTITION BY ka)")).where("c > 1").select("ka", "node")
-    return cut(shared.join(reps.select("node", "n", "b"), "node"))
+    shared = work.cut(first.groupBy("ka").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    halves = join_by_key(first, shared, "ka", "c", "node").select("node", "ka")
+    paired = halves.join(reps.select("node", "b"), "node")
+    rows = work.cut(paired.select("node", F.explode("b").alias("kb"), "ka").select("node", F.xxhash64("ka", "kb").alias("t")))
+    sizes = work.cut(rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    return rows, sizes
 
 
-def _hubs(met: DataFrame, percent: int) -> DataFrame:
-    """``(x, y)``: for each class one hub among those that it shares a table with.
+def _homes(rows: DataFrame, sizes: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(t, node, c)`` of shared tables, and ``(node, home)``: for each class a hub that it shares a table with.
 
-    A table key joins a first half key with a second one.  In every first-half group the hub is the class
-    whose tables hold most members; of its groups' hubs a class takes the one of most members.
+    The hub of a table is the class whose tables hold most classes; a class takes the best of its tables' hubs.
     """
-    tables = met.repartition("ka").select("ka", "node", F.explode("b").alias("kb"))
-    scores = tables.withColumn("c", F.expr("count(1) OVER (PARTITION BY ka, kb)")).groupBy("ka", "node").agg(F.sum("c").alias("score"))
-    best = scores.groupBy("ka").agg(F.max(F.struct("score", (-F.col("node")).alias("low"))).alias("m")).select("ka", (-F.col("m.low")).alias("hub"), F.col("m.score").alias("score"))
-    hubs = best.join(met.select("ka", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("b").alias("hub_b")), ["ka", "hub"])
-    pairs = met.join(hubs, "ka").where(f"node <> hub AND {_fits('n', 'hub_n', percent)} AND arrays_overlap(b, hub_b)")
-    return pairs.groupBy("node").agg(F.max(F.struct("score", (-F.col("hub")).alias("low"))).alias("m")).select(F.col("node").alias("x"), (-F.col("m.low")).alias("y"))
-
-
-def _within_hubs(star: DataFrame, comps: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Links between different components among the classes of one hub, all of them compared.
-
-    Only groups with two components or more are looked at.  They are dealt into blocks of about ``BLOCK``
-    classes, every pair of a group's blocks is one row, and a task counts common shingles of a block pair
-    through postings; what leaves it are links, not pairs.
+    met = work.cut(join_by_key(rows, sizes, "t", "c", "node").select("t", "node", "c"))
+    scores = met.groupBy("node").agg(F.sum("c").alias("score"))
+    hub = F.max(F.struct("score", (-F.col("node")).alias("low")))
+    heads = met.join(scores, "node").groupBy("t").agg(hub.alias("m"), F.count(F.lit(1)).alias("c"))
+    heads = work.cut(heads.select("t", "c", F.col("m.score").alias("score"), F.col("m.low").alias("low")))
+    placed = join_by_key(met.select("t", "node"), heads, "t", "c", "node")
+    homes = placed.groupBy("node").agg(F.max(F.struct("score", "low")).alias("m"))
+    return met, work.cut(homes.select("node", (-F.col("m.low")).alias("home")))
+
+
+def _parts(size: Column) -> Column:
+    """Blocks that the classes of one hub are dealt into: of ``BLOCK`` classes first, of ``MOST`` in large groups."""
+    return F.ceil(F.when(size <= 8 * BLOCK, size / BLOCK).otherwise(F.greatest(F.lit(8.0), size / MOST))).cast("long")
+
+
+def _star_cells(homes: DataFrame) -> DataFrame:
+    """Cells ``(cell, side, node, comp)`` that compare each class with its hub; the hub goes to every block."""
+    rows = homes.where("node <> home")
+    parts = rows.groupBy("home").agg(F.count(F.lit(1)).alias("c")).select("home", F.ceil(F.col("c") / BLOCK).alias("parts"))
+    cell = F.xxhash64("home", "part").alias("cell")
+    node = F.col("node").alias("comp")
+    dealt = rows.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    hubs = parts.select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    left = hubs.select(cell, F.lit(LEFT).alias("side"), F.col("home").alias("node"), F.col("home").alias("comp"))
+    return left.unionByName(dealt.select(cell, F.lit(RIGHT).alias("side"), "node", node))
+
+
+def _raised(homes: DataFrame) -> DataFrame:
+    """``(node, home)`` with the home of each hub in the hub's place, where it has another one."""
+    above = homes.select(F.col("node").alias("home"), F.col("home").alias("above"))
+    above = sized_broadcast(above, above.count(), BROADCAST_IDS)
+    return homes.join(above, "home", "left").select("node", F.coalesce("above", "home").alias("home"))
+
+
+def _open_cells(met: DataFrame, homes: DataFrame, comps: DataFrame, work: Scratch) -> DataFrame:
+    """Cells ``(cell, side, node, comp)`` that hold every pair of a table whose classes lie in different components.
+
+    Classes of one hub are dealt into blocks, hubs that share a table with a better one counted to it, so a
+    group of near copies makes few large blocks.  Blocks that meet in a table with two components or more are
+    compared with each other: what is paired are blocks, never the classes of a table.
     """
-    members = star.select(F.col("y").alias("hub"), F.col("x").alias("node")).union(star.select("y", F.col("y").alias("node"))).distinct()
-    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("hub", "node", "comp")
-    groups = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    mixed = cut(placed.join(groups.select("hub", "size"), "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))).select("hub", "node", "comp", "block"))
-    ids = cut(mixed.select(F.col("node").alias("id")).distinct())
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(sized_broadcast(ids, ids.count(), BROADCAST_IDS), "id", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [shingle_set(t.as_py() or "", width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "s"])
-
-    rows = mixed.join(in_small_batches(texts).mapInArrow(sets, "node long, s binary"), "node")
-    blocks = cut(rows.groupBy("hub", "block").agg(F.collect_list(F.struct("node", "comp", "s")).alias("m")))
-    pairs = blocks.select("hub", "block", F.col("m").alias("p")).join(blocks.select("hub", F.col("block").alias("other"), F.col("m").alias("q")), "hub").where("block <= other").select("p", "q")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def opened(block: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-            return np.array([m["node"] for m in block], np.int64), np.array([m["comp"] for m in block], np.int64), [np.frombuffer(m["s"], np.uint64) for m in block]
-
-        for batch in batches:
-            xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for p, q in zip(batch.column(0), batch.column(1), strict=True):
-                (ids_p, comps_p, sets_p), (ids_q, comps_q, sets_q) = opened(p.as_py()), opened(q.as_py())
-                sizes = np.array([len(v) for v in sets_q])
-                owner = np.repeat(np.arange(len(sets_q)), sizes)
-                flat = np.concatenate(sets_q)
-                order = np.argsort(flat, kind="stable")
-                terms, owner = flat[order], owner[order]
-                for node, comp, own in zip(ids_p, comps_p, sets_p, strict=True):
-                    others = comps_q != comp
-                    if not others.any():
-                        continue
-                    lo, hi = np.searchsorted(terms, own, "left"), np.searchsorted(terms, own, "right")
-                    n = hi - lo
-                    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    both = np.bincount(owner[at], minlength=len(sizes))
-                    hit = others & (100 * both >= percent * (len(own) + sizes - both))
-                    xs.append(np.full(int(hit.sum()), node))
-                    ys.append(ids_q[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
-
-    return cut(pairs.mapInArrow(compare, "x long, y long"))
-
-
-def _across_hubs(met: DataFrame, star: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a table whose classes have different hubs and lie in different components, each once.
-
-    A pair is met in the first of the first-half groups that it shares.
+    sizes = met.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    spans = sizes.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
+    spans = work.cut(spans.where("lo < hi").select("t", "c"))
+    rows = work.cut(join_by_key(sizes.select("t", "node", "comp"), spans, "t", "c", "node").select("t", "node", "comp"))
+    homes = work.cut(_raised(work.cut(_raised(homes))))
+    nodes = rows.select("node", "comp").distinct().join(homes, "node")
+    parts = nodes.groupBy("home").agg(F.count(F.lit(1)).alias("c")).select("home", _parts(F.col("c")).alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = work.cut(nodes.join(parts, "home").select("node", "comp", block.alias("block")))
+    lows = rows.join(placed.select("node", "block"), "node").groupBy("t", "block")
+    lows = work.cut(lows.agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    other = lows.select("t", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    apart = "block <= other AND (lo < hi OR lo2 < hi2 OR lo <> lo2)"
+    pairs = lows.join(other, "t").where(apart).select("block", "other").distinct()
+    pairs = work.cut(pairs.withColumn("cell", F.xxhash64("block", "other")))
+    side = F.when(F.col("block") == F.col("other"), BOTH).otherwise(LEFT)
+    left = pairs.select("cell", side.alias("side"), "block")
+    right = pairs.where("block <> other").select("cell", F.lit(RIGHT).alias("side"), F.col("other").alias("block"))
+    return left.unionByName(right).join(placed, "block").select("cell", "side", "node", "comp")
+
+
+class _Cell:
+    """The classes of one cell: left ones are kept as postings, right ones are asked against them."""
+
+    def __init__(self, percent: int):
+        self.percent, self.root = percent, {}
+        self.comps, self.sets, self.index = [], [], None
+
+    def _top(self, comp: int) -> int:
+        while comp in self.root:
+            comp = self.root[comp]
+        return comp
+
+    def keep(self, comp: int, own: np.ndarray) -> None:
+        self.comps.append(comp)
+        self.sets.append(own)
+
+    def links(self, comp: int, own: np.ndarray) -> list[tuple[int, int]]:
+        """Links of one more set to kept ones of other components; components that meet are one from then on."""
+        if self.index is None:
+            sizes = np.array([len(v) for v in self.sets])
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            flat = np.concatenate(self.sets)
+            order = np.argsort(flat, kind="stable")
+            self.index = sizes, flat[order], owner[order], np.array([self._top(c) for c in self.comps], np.int64)
+        sizes, terms, owner, comps = self.index
+        comp = self._top(comp)
+        others = comps != comp
+        if not others.any():
+            return []
+        lo, hi = np.searchsorted(terms, own, "left"), np.searchsorted(terms, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sizes))
+        hit = others & (100 * both >= self.percent * (len(own) + sizes - both))
+        found = []
+        for other in np.unique(comps[hit]).tolist():
+            found.append((comp, other))
+            self.root[other] = comp
+            comps[comps == other] = comp
+        return found
+
+    def inner(self) -> list[tuple[int, int]]:
+        """Links among the kept sets themselves."""
+        return [link for comp, own in zip(self.comps, self.sets, strict=True) for link in self.links(comp, own)]
+
+
+def _compared(cells: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int, work: Scratch) -> DataFrame:
+    """``(x, y)``: components that a pair of a cell links, confirmed on full sets.
+
+    Every text goes to each of its cells once.  Rows arrive sorted by cell, left ones first, so a task holds
+    the sets of one block and streams the other.
     """
-    hub = star.select(F.col("x").alias("node"), F.col("y").alias("hub"))
-    own = met.select("node").distinct().join(hub, "node", "left").join(comps, "node", "left").select("node", F.coalesce("hub", "node").alias("hub"), F.coalesce("component", "node").alias("comp"))
-    rows = met.join(own, "node")
-    groups = rows.groupBy("ka").agg(F.min("hub").alias("h0"), F.max("hub").alias("h1"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("h0 < h1 AND c0 < c1").select("ka")
-    rows = rows.join(groups, "ka", "left_semi")
-    all_keys = met.groupBy("node").agg(F.sort_array(F.collect_set("ka")).alias("keys"))
-    rows = cut(rows.join(all_keys, "node"))
-    other = rows.select("ka", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "b", "hub", "comp", "keys")])
-    apart = f"node < o_node AND hub <> o_hub AND comp <> o_comp AND {_fits('n', 'o_n', percent)} AND arrays_overlap(b, o_b) AND array_min(array_intersect(keys, o_keys)) = ka"
-    return rows.join(other, "ka").where(apart).select(F.col("node").alias("x"), F.col("o_node").alias("y"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs ``(x, y)`` whose full sets meet ``100 * intersection >= percent * union``."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    ids = cut(ids)
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(sized_broadcast(ids, ids.count(), BROADCAST_IDS), "id", "left_semi")
-    sides = pairs.join(texts.select(F.col("id").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("id").alias("y"), F.col("t").alias("ty")), "y").select("x", "y", "tx", "ty")
+    cells = work.cut(cells)
+    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t"))
+    rows = texts.join(sized_broadcast(cells, cells.count(), BROADCAST_IDS), "node").select("cell", "side", "comp", "t")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub: tuple[str, np.ndarray] = ("", shingle_set("", width))
+        now, cell, inner = None, _Cell(percent), False
         for batch in batches:
-            good = []
-            for tx, ty in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = shingle_set(tx.as_py() or "", width), ty.as_py() or ""
-                if hub[0] != b:
-                    hub = (b, shingle_set(b, width))
-                both = len(np.intersect1d(a, hub[1], assume_unique=True))
-                good.append(100 * both >= percent * (len(a) + len(hub[1]) - both))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["x", "y"])
-
-    return cut(in_small_batches(sides).mapInArrow(run, "x long, y long"))
-
-
-def _fits(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, half: int = HALF, halves: int = HALVES) -> DataFrame:
+            links = []
+            for c, side, comp, t in zip(*map(pa.Array.to_pylist, batch.columns[:3]), batch.column(3), strict=True):
+                if c != now:
+                    links += cell.inner() if inner else []
+                    now, cell, inner = c, _Cell(percent), side == BOTH
+                own = shingle_set(t.as_py() or "", width)
+                if side == RIGHT and cell.sets:
+                    links += cell.links(comp, own)
+                else:
+                    cell.keep(comp, own)
+            yield _links(links)
+        yield _links(cell.inner() if inner else [])
+
+    return work.cut(in_small_batches(rows).mapInArrow(run, "x long, y long"))
+
+
+def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+
+
+def near_duplicates(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    half: int = HALF,
+    halves: int = HALVES,
+) -> DataFrame:
     """``(key, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
     Documents are linked when the Jaccard similarity of their sets of ``width``-word shingles is at
@@ -226,31 +286,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     (9e-5 at 0.8 by default, 7e-7 at 0.9).
 
     Equal sets form one class first, so a hot group of copies is one row from then on.  Each class is
-    verified against one hub of the tables that it is in; these links give components.  Then what lies in
-    different components is verified as well, so that no link between different texts is lost to the hubs:
-    within the classes of one hub all of them, in blocks, and between classes of different hubs each pair
-    that shares a table and whose sizes allow the similarity.  Links, components and sets never reach the
-    driver.
+    compared with one hub of the tables that it is in; these links give components.  Then what shares a table
+    but lies in different components is compared as well, in blocks of the classes of a hub, so that no link
+    between different texts is lost to the hubs.  A text moves once for each block that its own one meets, not
+    once a pair.  Links, components and sets never reach the driver; the tables between the steps lie in the
+    shared folder and are dropped at the end, when the result is a table there.
 
     Texts without words, null texts included, have no shingles and are linked with nothing.  Rows with a
-    null id take no part: component null, kept.  Ids are expected to be unique; rows that repeat one are
-    judged row by row.  Empty tables give no rows; other columns do not matter.
+    null id take no part: component null, kept.  Rows that repeat an id are one document of several texts:
+    a copy of any of them shares its component.  Empty tables give no rows; other columns do not matter.
     """
-    signed = cut(signatures(docs, key, text, width, half, halves))
-    classes = signed.where("n > 0 AND node IS NOT NULL").groupBy("cls").agg(F.min(F.struct("node", "n", "a", "b")).alias("r"))
-    reps = cut(classes.select("cls", "r.*"))
-    met = _met(reps)
-    star = cut(_hubs(met, percent))
-    links = _verified(star, docs, key, text, width, percent)
-    comps = connected_components(links, "x", "y").select("node", "component")
-    inner = _within_hubs(star, comps, docs, key, text, width, percent)
-    outer = _verified(_across_hubs(met, star, comps, percent), docs, key, text, width, percent)
-    comps = connected_components(links.unionByName(inner).unionByName(outer), "x", "y")
-
-    named = reps.select("cls", "node").join(comps.select("node", "component"), "node", "left").select("cls", F.coalesce("component", "node").alias("component"))
-    joined = signed.select(F.col("node").alias("id"), "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
-    component = F.coalesce("component", "id")
-    return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    work = Scratch(docs.sparkSession, "near-duplicates")
+    signed = work.cut(signatures(docs, key, text, width, half, halves))
+    classes = signed.where("n > 0 AND node IS NOT NULL").groupBy("cls")
+    classes = classes.agg(F.min(F.struct("node", "n", "a", "b")).alias("r"), F.count(F.lit(1)).alias("size"))
+    reps = work.cut(classes.select("cls", "size", "r.node", "r.n", "r.a", "r.b"))
+    rows, sizes = _tables(reps, work)
+    met, homes = _homes(rows, sizes, work)
+    work.drop(rows, sizes)
+
+    links = _compared(_star_cells(homes), docs, key, text, width, percent, work)
+    comps = work.cut(connected_components(links, "x", "y"))
+    links = _compared(_open_cells(met, homes, comps, work), docs, key, text, width, percent, work)
+    joined = connected_components(links, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    found = comps.select("node", "component").unionByName(joined.select(F.col("component").alias("node"), "component"))
+    found = found.groupBy("node").agg(F.min("component").alias("component")).join(joined, "component", "left")
+    found = found.select("node", F.coalesce("joined", "component").alias("component"))
+
+    named = reps.select("cls", "size", "node").join(found, "node", "left")
+    named = work.cut(named.select("cls", "size", F.coalesce("component", "node").alias("component")).where("size > 1 OR component <> node"))
+    ids = signed.select(F.col("node").alias("id"), "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+    out = join_by_key(ids, named, "cls", "size", "id", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    kept = F.coalesce(F.col("id") == component, F.lit(True))
+    names = [F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept")]
+    return work.keep_only(work.cut(out.select(*names)))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
