@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        before, now = now, scratch.cut(_small_star(_large_star(now).distinct()).distinct())
+        before, now = now, scratch.cut(_small_star(_large_star(now)).distinct())
         scratch.drop(before)
         last, seen = seen, _print_of(now)
         if last == seen:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strataframe.operators.graph import connected_components
 from strataframe.operators.meshes import cap_loops, caps, clip_walls, components, mesh_closed, mesh_volume
-from strataframe.operators.spatial import mesh_contacts, nearest_face
+from strataframe.operators.spatial import face_contacts, nearest_face, triangles_touch
 from strataframe.runtime import cut
 
 
@@ -68,61 +68,76 @@ def closest_component(walls: DataFrame, springs: DataFrame) -> DataFrame:
     return nearest_face(asked, own, ["spring_id", "unit_id"], "face").select("spring_id", "unit_id", F.col("f.component").alias("component"))
 
 
+def _face_boxes(tri: DataFrame, *keys: str) -> DataFrame:
+    return tri.select(*keys, "f", F.greatest("az", "bz", "cz").alias("top"))
+
+
+def cut_contacts(touching: DataFrame, walls: DataFrame, tops: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` between components of different units that touch below each spring.
+
+    ``touching`` holds the pairs of faces ``(m1, f1, m2, f2)`` of the uncut units that share a point, found once
+    for all springs.  Walls are parts of those faces, so no other faces can touch; where the cut leaves both faces
+    whole they do, otherwise their pieces are tested.
+    """
+    pieces = walls.join(tops, ["unit_id", "f"]).withColumn("whole", F.col("top") <= F.col("h"))
+    names = ["spring_id", "unit_id", "component"]
+    faces = cut(pieces.select(*names, "f", "whole", "part", *[f"{p}{a}" for p in "abc" for a in "xyz"]))
+    side = lambda n, p: faces.select("spring_id", *[F.col(c).alias(f"{p}_{c}") for c in faces.columns if c != "spring_id"]).withColumnsRenamed({f"{p}_unit_id": f"m{n}", f"{p}_f": f"f{n}"})
+    pairs = touching.join(side(1, "p"), ["m1", "f1"]).join(side(2, "q"), ["spring_id", "m2", "f2"])
+    met = pairs.where("p_whole AND q_whole").unionByName(pairs.where("NOT (p_whole AND q_whole)").where(triangles_touch("p_", "q_")))
+    node = lambda n, p: F.xxhash64("spring_id", f"m{n}", f"{p}_component")
+    return met.select(node(1, "p").alias("u"), node(2, "q").alias("v")).distinct()
+
+
 def groundwater_bodies(unit_tri: DataFrame, springs: DataFrame, strict: bool = True) -> DataFrame:
-    """``(spring_id, unit_id, component, volume)`` of every part of the body below each spring.
+    """``(spring_id, unit_id, component, volume)`` of every part of the body below each spring."""
+    return mesh_volume(groundwater_faces(unit_tri, springs, strict), "spring_id", "unit_id", "component")
+
+
+def groundwater_faces(unit_tri: DataFrame, springs: DataFrame, strict: bool = True) -> DataFrame:
+    """``(spring_id, unit_id, component, f, part, ax..cz)``: the closed meshes of the body below each spring.
 
     Units are cut at the spring's height; the body is every component that the spring's nearest component
     reaches by touching.  From the highest spring down (ties by id), a spring whose nearest component
-    touches a body that is already kept gives none.  All springs are worked on at once; the order only
-    decides the last step, in rounds.
+    touches a body that is already kept gives none.
+
+    Only units that the uncut unit of a spring reaches by touching are cut for it.  A body at a height holds
+    whatever touches it there, so a lower spring touches it just where a face of its nearest component belongs
+    to it; and what it would suppress lies in the higher body as well.  A spring is kept, therefore, if no
+    higher body holds that face: one maximum per face, no pairs of springs.  Units are expected not to hold
+    each other, as rock volumes do not.
     """
     if strict:
         validate(springs, unit_tri)
     known = spring_units(springs, unit_tri)
-    ranked = known.select(F.col("id").alias("spring_id"), F.col("unit_id").alias("own"), "x", "y", "z")
-    asked = ranked.select("spring_id", F.col("z").alias("h"))
+    asked = known.select(F.col("id").alias("spring_id"), F.col("unit_id").alias("own"), F.col("z").alias("h"))
+    touching = cut(face_contacts(unit_tri, "unit_id"))
     lows = unit_tri.groupBy("unit_id").agg(F.min(F.least("az", "bz", "cz")).alias("low"))
+    groups = connected_components(touching, "m1", "m2").withColumnRenamed("node", "unit_id")
+    lows = cut(lows.join(groups, "unit_id", "left").select("unit_id", "low", F.coalesce("component", "unit_id").alias("grp")))
+    own = lows.select(F.col("unit_id").alias("own"), "grp")
     keys = ["spring_id", "unit_id"]
-    chosen = asked.join(lows, F.col("low") < F.col("h")).select(*keys, "h")
+    chosen = cut(asked.join(own, "own").join(lows, "grp").where("low < h").select(*keys, "h"))
     walls, lids = cut_components(chosen.join(unit_tri, "unit_id"), keys)
-    walls = cut(walls)
+    walls, lids = cut(walls), cut(lids)
     init = cut(closest_component(walls, known))
 
-    node = lambda unit, comp: F.xxhash64("spring_id", unit, comp)
-    named = walls.withColumn("node", node("unit_id", "component"))
-    touching = cut(mesh_contacts(named, "node", within=("spring_id",)))
-    labels = connected_components(touching.select(F.col("m1").alias("u"), F.col("m2").alias("v"))).withColumnRenamed("component", "label")
-    parts = named.select(*keys, "component", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    start = init.select("spring_id", F.col("unit_id").alias("own"), F.col("component").alias("c0")).withColumn("node", F.xxhash64("spring_id", "own", "c0"))
-    seed = start.join(parts.select("node", "label"), "node").select("spring_id", "label", F.col("node").alias("init"))
-    bodies = cut(parts.join(seed, ["spring_id", "label"]).select(*keys, "component", "node", "init"))
-
-    kept = cut(_kept(bodies, named, ranked))
-    whole = walls.unionByName(lids).join(bodies.select(*keys, "component"), [*keys, "component"], "left_semi").join(kept, "spring_id", "left_semi")
-    return mesh_volume(whole, *keys, "component")
-
-
-def _kept(bodies: DataFrame, named: DataFrame, springs: DataFrame) -> DataFrame:
-    """Springs that no higher kept body suppresses: a greedy independent set by height, in rounds."""
-    order = springs.select("spring_id", F.col("z").alias("h")).join(bodies.select("spring_id").distinct(), "spring_id", "left_semi")
-    shapes = named.join(bodies.select("node", "init"), "node").withColumn("first", F.col("node") == F.col("init"))
-    # the start of one spring against the bodies of the others: meshes of different springs in one contact join
-    names = shapes.select("node", "spring_id", "first").distinct()
-    pairs = mesh_contacts(shapes.select("node", "f", "ax", "ay", "az", "bx", "by", "bz", "cx", "cy", "cz"), "node")
-    both = pairs.select(F.col("m1").alias("p"), F.col("m2").alias("q")).union(pairs.select("m2", "m1"))
-    starts = names.where("first").select(F.col("node").alias("p"), F.col("spring_id").alias("low"))
-    owners = names.select(F.col("node").alias("q"), F.col("spring_id").alias("high"))
-    met = both.join(starts, "p").join(owners, "q").where("low <> high").select("low", "high").distinct()
-    heights = order.select(F.col("spring_id").alias("high"), F.col("h").alias("hh"))
-    conflicts = met.join(heights, "high").join(order.select(F.col("spring_id").alias("low"), "h"), "low").where("hh > h OR hh = h AND high < low").select("low", "high")
-    conflicts = cut(conflicts)
-    open_ = cut(order.select("spring_id"))
-    kept = None
-    while True:
-        waiting = conflicts.join(open_.withColumnRenamed("spring_id", "high"), "high", "left_semi").select(F.col("low").alias("spring_id")).distinct()
-        now = cut(open_.join(waiting, "spring_id", "left_anti"))
-        if now.isEmpty():
-            return kept if kept is not None else now
-        kept = now if kept is None else kept.unionByName(now)
-        hit = conflicts.join(now.withColumnRenamed("spring_id", "high"), "high", "left_semi").select(F.col("low").alias("spring_id")).distinct()
-        open_ = cut(open_.join(now, "spring_id", "left_anti").join(hit, "spring_id", "left_anti"))
+    node = F.xxhash64("spring_id", "unit_id", "component").alias("node")
+    links = cut_contacts(touching, walls.join(asked.select("spring_id", "h"), "spring_id"), _face_boxes(unit_tri, "unit_id"))
+    labels = connected_components(links).withColumnRenamed("component", "label")
+    parts = walls.select(*keys, "component").distinct().withColumn("node", node).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    start = init.withColumn("node", node)
+    seed = start.join(parts.select("node", "label"), "node").select("spring_id", "label")
+    bodies = cut(parts.join(seed, ["spring_id", "label"]).select(*keys, "component"))
+
+    # one face of each spring's nearest component, and the highest spring whose body holds it
+    mine = walls.join(init, [*keys, "component"]).groupBy(*keys).agg(F.min("f").alias("f"))
+    of_bodies = walls.select(*keys, "component", "f").distinct().join(bodies, [*keys, "component"], "left_semi")
+    asked_faces = mine.select("unit_id", "f").distinct()
+    holders = of_bodies.join(asked_faces, ["unit_id", "f"]).join(asked.select("spring_id", "h"), "spring_id")
+    first = holders.groupBy("unit_id", "f").agg(F.max(F.struct("h", (-F.col("spring_id")).alias("low"))).alias("m"))
+    kept = mine.join(first, ["unit_id", "f"]).where("spring_id = -m.low").select("spring_id")
+
+    of_body = lambda t: t.join(bodies, [*keys, "component"], "left_semi").join(cut_kept, "spring_id", "left_semi")
+    cut_kept = cut(kept)
+    return of_body(walls.unionByName(lids))

@@ -9,6 +9,8 @@ from strataframe.runtime import cut, sized_broadcast
 
 #: Rows of a small side that may be broadcast once it has been counted.
 SMALL = 200_000
+#: A point lies on a mesh within this share of the diagonal of the mesh's box.  Fixed value.
+ON_FACE = 0.00001
 
 
 def dem_sample(points: DataFrame, dem: DataFrame, cell: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
@@ -30,10 +32,11 @@ def dem_sample(points: DataFrame, dem: DataFrame, cell: float, x0: float = 0.0,
 
 def rank_sample(points: DataFrame, ranks: DataFrame, cells: tuple[float, float, float], origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """Add ``rank`` of the cell that holds each point; 0 above ground (``dem_z``) and outside the grid."""
-    at = {f"i{a}": F.floor((F.col(a) - o) / c).cast("int") for a, c, o in zip("xyz", cells, origin, strict=True)}
-    met = points.withColumns(at).join(ranks.select("ix", "iy", "iz", F.col("rank").alias("_rank")), ["ix", "iy", "iz"], "left")
+    at = {f"_i{a}": F.floor((F.col(a) - o) / c).cast("int") for a, c, o in zip("xyz", cells, origin, strict=True)}
+    grid = ranks.select(*[F.col(f"i{a}").alias(f"_i{a}") for a in "xyz"], F.col("rank").alias("_rank"))
+    met = points.withColumns(at).join(grid, list(at), "left")
     above = F.coalesce(F.col("z") > F.col("dem_z"), F.lit(False)) if "dem_z" in points.columns else F.lit(False)
-    return met.withColumn("rank", F.when(above, F.lit(0)).otherwise(F.coalesce("_rank", F.lit(0)))).drop("ix", "iy", "iz", "_rank")
+    return met.withColumn("rank", F.when(above, F.lit(0)).otherwise(F.coalesce("_rank", F.lit(0)))).drop(*at, "_rank")
 
 
 def solid_angle(p: Vec) -> Column:
@@ -60,6 +63,8 @@ def mesh_bbox(tri: DataFrame, key: str = "mesh_id") -> DataFrame:
 def points_in_mesh(points: DataFrame, tri: DataFrame, key: str = "mesh_id", bucket: float = 100.0) -> DataFrame:
     """Pairs ``(points..., mesh)`` where a closed mesh holds the point: winding number over one half.
 
+    A point within ``ON_FACE`` of the box's diagonal of a face lies on the mesh and not in it, whatever the
+    rounding of its winding number.
     Bounding boxes are met first, by grid buckets in x and y, so a point sees the faces only of meshes
     whose box holds it; box pairs and faces are equi-joins and the windings partial sums.
     """
@@ -67,9 +72,15 @@ def points_in_mesh(points: DataFrame, tri: DataFrame, key: str = "mesh_id", buck
     boxes = _bucketed(mesh_bbox(tri, key), "{a}min", "{a}max", bucket)
     asked = points.withColumn("_gx", F.floor(F.col("x") / bucket)).withColumn("_gy", F.floor(F.col("y") / bucket))
     inside = " AND ".join(f"{a} BETWEEN {a}min AND {a}max" for a in "xyz")
-    near = asked.join(boxes, ["_gx", "_gy"]).where(inside).select(*keys, key)
-    wound = near.join(tri, key).groupBy(*keys, key).agg(F.sum(solid_angle(vec("x", "y", "z"))).alias("_w"))
-    return wound.where(F.abs(F.col("_w") * 2 / (4 * 3.141592653589793)) > 0.5).select(*keys, key)
+    diagonal = norm(sub(vec("xmax", "ymax", "zmax"), vec("xmin", "ymin", "zmin")))
+    near = asked.join(boxes, ["_gx", "_gy"]).where(inside).select(*keys, key, (diagonal * ON_FACE).alias("_tol"))
+    p = vec("x", "y", "z")
+    a, b, c = (sub(vec(*[f"{v}{x}" for x in "xyz"]), p) for v in "abc")
+    # the whole distance is asked for only where the face's plane is near
+    close = F.when(F.abs(dot(a, cross(b, c))) <= F.col("_tol") * triangle_area2(), point_triangle_distance(p) <= F.col("_tol") * F.col("_tol"))
+    sums = [F.sum(solid_angle(p)).alias("_w"), F.max(F.coalesce(close, F.lit(False))).alias("_on")]
+    wound = near.join(tri, key).groupBy(*keys, key).agg(*sums)
+    return wound.where(~F.col("_on") & (F.abs(F.col("_w") * 2 / (4 * 3.141592653589793)) > 0.5)).select(*keys, key)
 
 
 def gwb_tags(points: DataFrame, hits: DataFrame, order: str = "mesh_id") -> DataFrame:
@@ -109,8 +120,14 @@ def triangle_area2(prefix: str = "") -> Column:
     return norm(cross(sub(b, a), sub(c, a)))
 
 
-def mesh_contacts(tri: DataFrame, key: str = "mesh_id", within: tuple[str, ...] = (), bucket: float = 100.0) -> DataFrame:
-    """Pairs ``(within..., m1, m2)``, m1 < m2, of meshes whose surfaces touch or cross.
+def triangles_touch(p: str, q: str) -> Column:
+    """True where the triangles in the columns prefixed ``p`` and ``q`` share a point."""
+    corner = lambda s, v: vec(*[f"{s}{v}{x}" for x in "xyz"])
+    return _separating_axes([corner(p, v) for v in "abc"], [corner(q, v) for v in "abc"])
+
+
+def face_contacts(tri: DataFrame, key: str = "mesh_id", within: tuple[str, ...] = (), bucket: float = 100.0) -> DataFrame:
+    """Pairs ``(within..., m1, f1, m2, f2)``, m1 < m2, of faces of different meshes that touch or cross.
 
     Triangles meet by grid buckets (and by ``within`` columns, which must be equal); a pair counts only in
     the bucket that holds the lower corner of the boxes' overlap, so nothing is met twice.  Triangles of
@@ -124,10 +141,14 @@ def mesh_contacts(tri: DataFrame, key: str = "mesh_id", within: tuple[str, ...]
     left = work.select(*grid, *[F.col(c).alias(f"p_{c}") for c in work.columns if c not in grid])
     right = work.select(*grid, *[F.col(c).alias(f"q_{c}") for c in work.columns if c not in grid])
     boxes = " AND ".join(f"p_l{a} <= q_h{a} AND q_l{a} <= p_h{a} AND floor(greatest(p_l{a}, q_l{a}) / {bucket}D) = _g{a}" for a in "xyz")
-    pairs = left.join(right, grid).where(f"p_{key} < q_{key} AND {boxes}")
-    corner = lambda s, v: vec(*[f"{s}_{v}{x}" for x in "xyz"])
-    touch = _separating_axes([corner("p", v) for v in "abc"], [corner("q", v) for v in "abc"])
-    return pairs.where(touch).select(*within, F.col(f"p_{key}").alias("m1"), F.col(f"q_{key}").alias("m2")).distinct()
+    pairs = left.join(right, grid).where(f"p_{key} < q_{key} AND {boxes}").where(triangles_touch("p_", "q_"))
+    ends = {"m1": f"p_{key}", "f1": "p_f", "m2": f"q_{key}", "f2": "q_f"}
+    return pairs.select(*within, *[F.col(c).alias(n) for n, c in ends.items()]).distinct()
+
+
+def mesh_contacts(tri: DataFrame, key: str = "mesh_id", within: tuple[str, ...] = (), bucket: float = 100.0) -> DataFrame:
+    """Pairs ``(within..., m1, m2)``, m1 < m2, of meshes whose surfaces touch or cross; see ``face_contacts``."""
+    return face_contacts(tri, key, within, bucket).select(*within, "m1", "m2").distinct()
 
 
 def point_triangle_distance(p: Vec) -> Column:

@@ -400,7 +400,7 @@ def springs_by_z(spark, sf):
     return spatial.ranked(view(spark, sf, "springs").select("id", "z"), F.desc("z"), "id").select(F.col("pos").cast("int").alias("pos"), "id", "z")
 
 
-_GWB = f"""s AS (SELECT id, x, y, (z + 20) * 0.6e0 AS z, unit_id FROM springs WHERE z < 60),
+_GWB = f"""s AS (SELECT id, x, y, (z + 20) * 0.6e0 AS z, unit_id FROM springs),
 cutb AS (SELECT s.id AS spring_id, u.unit_id, xmin, ymin, zmin, xmax, ymax, least(zmax, s.z) AS zmax FROM s JOIN units u ON u.zmin < s.z),
 e AS (SELECT a.spring_id, a.unit_id AS p, b.unit_id AS q FROM cutb a JOIN cutb b ON a.spring_id = b.spring_id AND a.unit_id <> b.unit_id AND {_TOUCH}),
 i AS (SELECT s.id AS spring_id, s.unit_id, s.z FROM s JOIN cutb c ON c.spring_id = s.id AND c.unit_id = s.unit_id),
@@ -414,22 +414,11 @@ k AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS kept UNION ALL
 kept AS (SELECT unnest(kept) AS pos FROM k WHERE pos = (SELECT max(pos) FROM k))"""
 
 
-def _gwb_springs(spark, sf):
-    return view(spark, sf, "springs").where("z < 60").withColumn("z", (F.col("z") + 20) * 0.6)
-
-
 @query(f"""WITH RECURSIVE {_GWB}
 SELECT b.spring_id, b.unit_id, round((xmax - xmin) * (ymax - ymin) * (zmax - zmin), 3) AS volume
 FROM kept JOIN o USING (pos) JOIN r ON r.spring_id = o.spring_id JOIN cutb b ON b.spring_id = r.spring_id AND b.unit_id = r.unit_id""")
 def gwb_metadata(spark, sf):
-    """Groundwater bodies below the lower springs of all rock units."""
-    out = groundwater.groundwater_bodies(view(spark, sf, "unit_tri"), _gwb_springs(spark, sf))
-    return out.select("spring_id", "unit_id", V.tidy(F.col("volume"), 3).alias("volume"))
-
-
-@query()
-def gwb_metadata_whole(spark, sf):
-    """Groundwater bodies below all springs, high ones included."""
+    """Groundwater bodies below all springs."""
     springs = view(spark, sf, "springs").withColumn("z", (F.col("z") + 20) * 0.6)
     out = groundwater.groundwater_bodies(view(spark, sf, "unit_tri"), springs)
     return out.select("spring_id", "unit_id", V.tidy(F.col("volume"), 3).alias("volume"))
@@ -449,34 +438,24 @@ def surfaces(spark, sf):
     return meshes.mesh_volume(tri, "rank").join(closed, "rank").join(tri.groupBy("rank").agg(F.count(F.lit(1)).alias("faces")), "rank")
 
 
-@query(f"""WITH {_VOX}, r AS (SELECT v.*, coalesce(g.rank, 0) AS rank FROM voxels v LEFT JOIN rank_grid g ON g.ix = floor(v.x / 40e0) AND g.iy = floor(v.y / 40e0) AND g.iz = floor(v.z / 40e0) WHERE v.grid_id < 5),
-b AS (SELECT r.grid_id, r.ix, r.iy, r.iz, r.rank, CAST(coalesce(max(gwb_id), 0) AS INT) AS gwb_id FROM r LEFT JOIN boxes ON r.x > xmin AND r.x < xmax AND r.y > ymin AND r.y < ymax AND r.z > zmin AND r.z < zmax GROUP BY ALL)
+@query(f"""WITH {_VOX}, t AS (SELECT *, 0.00001e0 * sqrt((xmax - xmin) * (xmax - xmin) + (ymax - ymin) * (ymax - ymin) + (zmax - zmin) * (zmax - zmin)) AS tol FROM boxes),
+r AS (SELECT v.*, coalesce(g.rank, 0) AS rank FROM voxels v LEFT JOIN rank_grid g ON g.ix = floor(v.x / 40e0) AND g.iy = floor(v.y / 40e0) AND g.iz = floor(v.z / 40e0)),
+b AS (SELECT r.grid_id, r.ix, r.iy, r.iz, r.rank, CAST(coalesce(max(gwb_id), 0) AS INT) AS gwb_id FROM r LEFT JOIN t ON r.x > xmin + tol AND r.x < xmax - tol AND r.y > ymin + tol AND r.y < ymax - tol AND r.z > zmin + tol AND r.z < zmax - tol GROUP BY ALL)
 SELECT grid_id, ix, iy, iz, CAST(rank AS INT) AS rank, gwb_id FROM b""")
 def voxel_table(spark, sf):
-    """Rank and highest body of every voxel; ranks keep their raw number."""
-    return _voxel_table(spark, sf, _voxel_boxes(spark, sf).where("grid_id < 5"))
-
-
-@query()
-def voxel_table_whole(spark, sf):
-    """Rank and highest body of every voxel of all grids."""
-    return _voxel_table(spark, sf, _voxel_boxes(spark, sf))
-
-
-def _voxel_table(spark, sf, boxes):
-    voxels = grids.voxel_center_grid(boxes)
-    ranked = spatial.rank_sample(voxels, view(spark, sf, "rank_grid"), (40.0, 40.0, 40.0))
-    hits = spatial.points_in_mesh(ranked.select("grid_id", "ix", "iy", "iz", "x", "y", "z") if "ix" in ranked.columns else voxels, view(spark, sf, "tri"))
+    """Rank and highest body of every voxel of all grids; ranks keep their raw number, a point on a face is not inside."""
+    voxels = grids.voxel_center_grid(_voxel_boxes(spark, sf))
+    hits = spatial.points_in_mesh(voxels, view(spark, sf, "tri"))
     tags = spatial.gwb_tags(voxels, hits.join(view(spark, sf, "boxes").select("mesh_id", "gwb_id"), "mesh_id"))
-    keys = ["grid_id", "x", "y", "z"]
-    return tags.join(ranked.select(*keys, "rank"), keys).select("grid_id", "ix", "iy", "iz", F.col("rank").cast("int").alias("rank"), F.col("gwb_max").cast("int").alias("gwb_id"))
+    ranked = spatial.rank_sample(tags, view(spark, sf, "rank_grid"), (40.0, 40.0, 40.0))
+    return ranked.select("grid_id", "ix", "iy", "iz", F.col("rank").cast("int").alias("rank"), F.col("gwb_max").cast("int").alias("gwb_id"))
 
 
 @query(f"WITH {_VOX} SELECT grid_id, CAST(row_number() OVER (PARTITION BY grid_id ORDER BY iz, iy, ix) AS INT) AS line, ix, iy, iz FROM voxels")
 def voxel_order(spark, sf):
     from pyspark.sql import Window
 
-    rows = grids.voxel_center_grid(_voxel_boxes(spark, sf)).orderBy("grid_id", "iz", "iy", "ix")
+    rows = grids.voxel_center_grid(_voxel_boxes(spark, sf))
     return rows.select("grid_id", F.row_number().over(Window.partitionBy("grid_id").orderBy("iz", "iy", "ix")).alias("line"), "ix", "iy", "iz")
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import graph, groundwater, meshes, tunnels
+from strataframe.operators import graph, groundwater, meshes, spatial, tunnels
 from strataframe.functions import vector as V
 from strataframe.plans.views import view
 
@@ -99,21 +99,79 @@ def test_views_have_unique_points(spark, sf_dir):
     assert points.count() == points.select("x", "y", "z").distinct().count()
 
 
-def test_bodies_below_all_springs_match_the_sql_without_its_limit(spark, sf_dir):
-    from comparing import assert_matches
-    from strataframe import catalog
-
-    limited = catalog.ORACLES["gwb_metadata"]
-    whole = limited.replace(" WHERE z < 60)", ")")
-    assert whole != limited
-    assert_matches(catalog.QUERIES["gwb_metadata_whole"](spark, sf_dir), whole, sf_dir)
-
-
-def test_all_voxel_grids_match_the_sql_without_its_subset(spark, sf_dir):
-    from comparing import assert_matches
-    from strataframe import catalog
-
-    limited = catalog.ORACLES["voxel_table"]
-    whole = limited.replace(" WHERE v.grid_id < 5)", ")")
-    assert whole != limited
-    assert_matches(catalog.QUERIES["voxel_table_whole"](spark, sf_dir), whole, sf_dir)
+def volume_of(spark, cells, step=1.0):
+    """The closed surface of unit 1 over cells of a voxel grid; its bounds are half a step around the cells."""
+    ranks = spark.createDataFrame([(*c, 1) for c in cells], "ix int, iy int, iz int, rank int")
+    return meshes.extract_surfaces(spark, ranks, (step, step, step)).withColumnRenamed("rank", "unit_id")
+
+
+def u_shape(up):
+    """Two towers joined by a floor, or by a roof where ``up`` is false; 0.5 around cells 0..6, 0..2, 0..6."""
+    cells = [(x, y, z) for x in range(7) for y in range(3) for z in range(7)]
+    return [(x, y, z) for x, y, z in cells if x < 2 or x > 4 or (z < 2 if up else z > 4)]
+
+
+def shell_and_core():
+    """A block inside an open box, joined by the box's roof only."""
+    cells = [(x, y, z) for x in range(11) for y in range(11) for z in range(9)]
+    middle = lambda v, r: abs(v - 5) <= r
+    return [(x, y, z) for x, y, z in cells if z > 6 or not (middle(x, 3) and middle(y, 3)) or middle(x, 1) and middle(y, 1)]
+
+
+def bounds(lo, hi):
+    return dict(zip(("xmin", "ymin", "zmin", "xmax", "ymax", "zmax"), (*lo, *hi), strict=True))
+
+
+SINGLE = [
+    ([(0, 0, 0)], [((0.0, 0.0, 0.3), bounds((-0.5, -0.5, -0.5), (0.5, 0.5, 0.3)))]),
+    (u_shape(True), [((0.0, 1.0, 4.0), bounds((-0.5, -0.5, -0.5), (6.5, 2.5, 4.0)))]),
+    (u_shape(False), [((6.0, 1.0, 3.0), bounds((4.5, -0.5, -0.5), (6.5, 2.5, 3.0)))]),
+    (shell_and_core(), [((5.0, 5.0, 3.2), bounds((3.5, 3.5, -0.5), (6.5, 6.5, 3.2)))]),
+    (shell_and_core(), [((0.0, 0.0, 3.2), bounds((-0.5, -0.5, -0.5), (10.5, 10.5, 3.2)))]),
+    (shell_and_core(), [((5.0, 5.0, 7.2), bounds((-0.5, -0.5, -0.5), (10.5, 10.5, 7.2)))]),
+    (
+        shell_and_core(),
+        [
+            ((0.0, 0.0, 3.2), bounds((-0.5, -0.5, -0.5), (10.5, 10.5, 3.2))),
+            ((5.0, 5.0, 2.2), bounds((3.5, 3.5, -0.5), (6.5, 6.5, 2.2))),
+        ],
+    ),
+    (shell_and_core(), [((0.0, 0.0, 3.2), bounds((-0.5, -0.5, -0.5), (10.5, 10.5, 3.2))), ((0.0, 0.0, 2.2), None)]),
+    ([(0, 0, 0)], [((0.0, 0.0, -999.0), None)]),
+]
+
+
+def test_bodies_of_single_meshes(spark):
+    """Nine cases of one mesh each; every mesh lies far from the others, so one run works on all of them."""
+    tri, springs, wanted = None, [], []
+    for unit, (cells, asked) in enumerate(SINGLE):
+        mesh = meshes.translate_mesh(volume_of(spark, cells).withColumn("unit_id", F.lit(unit)), 500.0 * unit, 0.0, 0.0)
+        tri = mesh if tri is None else tri.unionByName(mesh)
+        for (x, y, z), box_of in asked:
+            if box_of is not None:
+                box_of = box_of | {"xmin": box_of["xmin"] + 500.0 * unit, "xmax": box_of["xmax"] + 500.0 * unit}
+                wanted.append((len(springs), *box_of.values()))
+            springs.append((len(springs), x + 500.0 * unit, y, z, unit))
+    faces = groundwater.groundwater_faces(tri, spark.createDataFrame(springs, "id int, x double, y double, z double, unit_id int"))
+    got = spatial.mesh_bbox(faces, "spring_id").cache()
+    assert {r.spring_id for r in got.collect()} == {w[0] for w in wanted}
+    names = "xmin ymin zmin xmax ymax zmax".split()
+    want = spark.createDataFrame(wanted, "spring_id int, " + ", ".join(f"w_{n} double" for n in names))
+    near = got.join(want, "spring_id").select("spring_id", meshes.bbox_close("w_", "").alias("near"))
+    assert [r.spring_id for r in near.collect() if not r.near] == []
+
+
+@pytest.mark.parametrize(
+    ("at", "inside"),
+    [((0.5, 0.5, 0.5), True), ((0.0, 0.5, 0.5), False), ((1.0, 0.25, 0.75), False), ((1.0, 1.0, 0.5), False), ((1e-6, 0.5, 0.5), False), ((1e-3, 0.5, 0.5), True), ((0.5, 0.5, 1.0001), False)],
+)
+def test_points_on_a_face_are_not_inside(spark, at, inside):
+    points = spark.createDataFrame([at], "x double, y double, z double")
+    tri = spark.createDataFrame(box(1), TRI).withColumnRenamed("unit_id", "mesh_id")
+    assert (spatial.points_in_mesh(points, tri).count() == 1) == inside
+
+
+def test_rank_sample_keeps_the_columns_of_its_points(spark):
+    points = spark.createDataFrame([(7, 8, 9, 1.5, 0.5, 0.5)], "ix int, iy int, iz int, x double, y double, z double")
+    ranks = spark.createDataFrame([(1, 0, 0, 4)], "ix int, iy int, iz int, rank int")
+    assert spatial.rank_sample(points, ranks, (1.0, 1.0, 1.0)).collect()[0].asDict() == {"ix": 7, "iy": 8, "iz": 9, "x": 1.5, "y": 0.5, "z": 0.5, "rank": 4}

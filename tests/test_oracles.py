@@ -5,18 +5,12 @@ import pytest
 from comparing import assert_matches
 from strataframe import catalog
 
-SLOW = {"gwb_metadata"}  # run once, below
 
-
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_its_oracle(spark, sf_dir, name):
     assert_matches(catalog.QUERIES[name](spark, sf_dir), catalog.ORACLES[name], sf_dir)
 
 
-def test_groundwater_bodies_match_their_oracle(spark, sf_dir):
-    assert_matches(catalog.QUERIES["gwb_metadata"](spark, sf_dir), catalog.ORACLES["gwb_metadata"], sf_dir)
-
-
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_oracle_gives_rows(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
