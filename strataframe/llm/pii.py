@@ -19,7 +19,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+)(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])"
-SECRET = r"(?<![A-Za-z0-9_])[A-Za-z0-9_+/-]{20,256}+(?![A-Za-z0-9_+/=-])"
+SECRET = r"(?<![A-Za-z0-9_])[A-Za-z0-9_+/-]{20,}+(?![A-Za-z0-9_+/=-])"
 
 #: Words that raise the score of a span within WINDOW code points.  Fixed values.
 CONTEXT = {
@@ -35,28 +35,62 @@ CONTEXT = {
 WINDOW = 40
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches as ``array<struct<start, end, found>>`` in code points, end exclusive.
+#: Code points in a piece of a long text: what lies far inside it is read from its piece, not from the beginning.
+PIECE = 512
 
-    The gaps that ``split`` leaves and the matches alternate, so running sums of their lengths are the
-    positions.
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` has gathered before each element of an array of integers.
+
+    The array is worked on in blocks of about its root, so no list is copied once an element.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def place(ms: Column) -> Column:
-        def sums(gaps: Column) -> Column:
-            def step(acc: Column, m: Column) -> Column:
-                done = acc["done"]
-                start = acc["at"] + F.length(F.get(gaps, F.size(done)))
-                end = start + F.length(m)
-                return F.struct(F.concat(done, F.array(F.struct(start.alias("start"), end.alias("end"), m.alias("found")))).alias("done"), end.alias("at"))
+    def of_block(block: Column, first: Column) -> Column:
+        def add(acc: Column, v: Column) -> Column:
+            return F.struct(F.concat(acc["done"], F.array(acc["at"])).alias("done"), step(acc["at"], v).alias("at"))
+
+        empty = F.struct(F.expr("cast(array() as array<int>)").alias("done"), first.alias("at"))
+        return F.aggregate(block, empty, add, lambda acc: acc["done"])
+
+    def blocked(vs: Column, size: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / size).cast("int")), lambda k: F.slice(vs, k * size + 1, size))
+
+        def placed(blocks: Column) -> Column:
+            sums = F.transform(blocks, lambda b: F.aggregate(b, start, step))
+            return let(of_block(sums, start), lambda firsts: F.flatten(F.transform(blocks, lambda b, k: of_block(b, F.get(firsts, k)))))
+
+        return let(whole, placed)
+
+    size = lambda vs: F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(vs))).cast("int"))
+    return let(values, lambda vs: F.when(F.size(vs) <= 64, of_block(vs, start)).otherwise(let(size(vs), lambda n: blocked(vs, n))))
 
-            empty = F.struct(F.expr("cast(array() as array<struct<start: int, end: int, found: string>>)").alias("done"), F.lit(0).alias("at"))
-            return F.aggregate(ms, empty, step, lambda acc: acc["done"])
 
-        return F.when(F.size(ms) > 0, let(F.split(text, pattern), sums)).otherwise(_none())
+def pieces(text: Column) -> Column:
+    """A text cut into pieces of ``PIECE`` code points."""
+    return F.when(F.length(text) <= PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+
+
+def between(cut: Column, start: Column, end: Column) -> Column:
+    """The text from code point ``start`` to ``end``, exclusive, of a text in pieces; both lie inside it."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(F.greatest(end - 1, start) / PIECE).cast("int")
+    two = F.concat(F.get(cut, first), F.when(last > first, F.get(cut, last)).otherwise(F.lit("")))
+    joined = F.when(last - first <= 1, two).otherwise(F.array_join(F.slice(cut, first + 1, last - first + 1), ""))
+    return F.when(end > start, F.substring(joined, start - first * PIECE + 1, end - start)).otherwise(F.lit(""))
+
+
+def located(matches: Column, gaps: Column) -> Column:
+    """Matches as ``array<struct<start, end, found>>`` in code points, end exclusive.
+
+    The gaps that ``split`` leaves and the matches alternate, so running sums of their lengths are the
+    positions.
+    """
+    moved = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
 
-    return let(found, place)
+    def span(before: Column, i: Column) -> Column:
+        start = before + F.length(F.get(gaps, i))
+        return F.struct(start.alias("start"), (start + F.length(F.get(matches, i))).alias("end"), F.get(matches, i).alias("found"))
+
+    return F.transform(running(moved, F.lit(0), lambda at, n: at + n), span)
 
 
 def _none() -> Column:
@@ -130,10 +164,41 @@ ADDED = (
 )
 
 
-def _near(text: Column, span: Column, kind: str) -> Column:
-    before = F.substring(text, F.greatest(span["start"] - WINDOW + 1, F.lit(1)), F.least(span["start"], F.lit(WINDOW)))
-    after = F.substring(text, span["end"] + 1, F.lit(WINDOW))
-    return F.lower(F.concat(before, F.lit(" "), after)).rlike(rf"(?<![a-zà-ÿ])(?:{CONTEXT[kind]})")
+def _near(cut: Column, length: Column, span: Column) -> Column:
+    """Whether a context word of the span's kind stands near it."""
+    before = between(cut, F.greatest(span["start"] - WINDOW, F.lit(0)), span["start"])
+    after = between(cut, span["end"], F.least(span["end"] + WINDOW, length))
+
+    def told(words: Column) -> Column:
+        out = F.lit(False)
+        for kind, listed in CONTEXT.items():
+            out = F.when(span["kind"] == kind, words.rlike(rf"(?<![a-zà-ÿ])(?:{listed})")).otherwise(out)
+        return out
+
+    return let(F.lower(F.concat(before, F.lit(" "), after)), told)
+
+
+_SPAN = "struct<kind: string, start: int, end: int, score: double, base: boolean>"
+
+
+def _clear_of(base: Column, added: Column) -> Column:
+    """The spans of ``added`` that overlap none of ``base``: one sweep over both in order of their starts."""
+    spans = F.sort_array(F.concat(*[F.transform(side, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("s"))) for side in (base, added)]))
+    far = F.lit((1 << 31) - 1)
+
+    def swept(all_: Column) -> Column:
+        ends = F.transform(all_, lambda e: F.when(e["s"]["base"], e["end"]).otherwise(0))
+        starts = F.reverse(F.transform(all_, lambda e: F.when(e["s"]["base"], e["start"]).otherwise(far)))
+        reached = running(ends, F.lit(0), lambda at, v: F.greatest(at, v))
+        ahead = F.reverse(running(starts, far, lambda at, v: F.least(at, v)))
+        free = lambda r, n: F.filter(all_, lambda e, i: ~e["s"]["base"] & (F.get(r, i) <= e["start"]) & (F.get(n, i) >= e["end"]))
+        kept = let(reached, lambda r: let(ahead, lambda n: free(r, n)))
+        return let(F.transform(kept, lambda e: e["s"]), by_kind)
+
+    def by_kind(spans: Column) -> Column:
+        return F.concat(*[F.filter(spans, lambda s: s["kind"] == k[0]) for k in ADDED])  # noqa: B023
+
+    return let(spans, swept)
 
 
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -144,42 +209,67 @@ def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Dat
     score, raised by a context word within ``WINDOW`` code points on either side, reaches
     ``threshold``.  An added span that overlaps a base span of the same text is left out.  Spans are
     ordered by kind as listed, then start.  Null and empty texts give an empty list; repeated rows are
-    searched one by one; nothing is shuffled.
+    searched one by one; very long texts and texts of very many spans take time in proportion (running sums
+    in blocks, windows from pieces); nothing is shuffled.  A clashing column ``pii`` is replaced.
     """
-    src = text_of(text)
+    src, kinds = text_of(text), [*BASE, *ADDED]
+    none, no_texts = F.expr(f"cast(array() as array<{_SPAN}>)"), F.expr("cast(array() as array<string>)")
+
+    def proposed(test: Callable, pattern: str) -> Column:
+        found = F.when(test(src), F.regexp_extract_all(src, F.lit(pattern), F.lit(0))).otherwise(no_texts)
+        gaps = lambda ms: F.when(F.size(ms) > 0, F.split(src, pattern)).otherwise(no_texts)
+        return let(found, lambda ms: F.struct(ms.alias("ms"), gaps(ms).alias("gaps")))
+
+    def of_kind(hits: Column, kind: str, valid: Callable, score: float, base: bool) -> Column:
+        named = [F.lit(kind).alias("kind"), F.lit(score).alias("score"), F.lit(base).alias("base")]
+        span = lambda s: F.struct(named[0], s["start"].alias("start"), s["end"].alias("end"), *named[1:])
+        return F.transform(F.filter(hits, lambda s: valid(s["found"])), span)
 
-    def spans(kind: str, test: Callable, pattern: str, valid: Callable, score: float, gain: float, base: bool) -> Column:
-        hits = F.filter(located(src, pattern), lambda s: valid(s["found"]))
-        scored = F.transform(
-            hits,
-            lambda s: F.struct(
-                F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                F.when(_near(src, s, kind), F.lit(score + gain)).otherwise(F.lit(score)).alias("score"), F.lit(base).alias("base"),
-            ),
-        )
-        return F.when(test(src), scored).otherwise(F.expr("cast(array() as array<struct<kind: string, start: int, end: int, score: double, base: boolean>>)"))
+    def confirmed(places: Column) -> Column:
+        """Valid spans of all kinds, scored by kind alone."""
+        out = [of_kind(F.get(places, F.lit(i)), k[0], k[3], k[4], i < len(BASE)) for i, k in enumerate(kinds)]
+        return F.concat(*out)
 
-    base = F.concat(*[spans(*k, True) for k in BASE])
-    added = F.concat(*[F.filter(spans(*k, False), lambda s: s["score"] >= threshold) for k in ADDED])
+    def scored(spans: Column, cut: Column, size: Column) -> Column:
+        def mark(s: Column) -> Column:
+            gain = F.lit(0.0)
+            for kind, *_, more in kinds:
+                gain = F.when(s["kind"] == kind, F.lit(more)).otherwise(gain)
+            score = s["score"] + F.when(_near(cut, size, s), gain).otherwise(F.lit(0.0))
+            return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"), s["base"].alias("base"))
 
-    def merged(b: Column) -> Column:
-        clear = lambda s: ~F.exists(b, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-        return F.concat(b, F.filter(added, clear))
+        return F.filter(F.transform(spans, mark), lambda s: s["base"] | (s["score"] >= threshold))
 
-    return docs.withColumn("pii", let(base, merged))
+    def merged(spans: Column) -> Column:
+        base, added = F.filter(spans, lambda s: s["base"]), F.filter(spans, lambda s: ~s["base"])
+        both = lambda b, a: F.when((F.size(a) > 0) & (F.size(b) > 0), F.concat(b, _clear_of(b, a))).otherwise(spans)
+        return let(base, lambda b: let(added, lambda a: both(b, a)))
+
+    places = F.transform(F.array(*[proposed(k[1], k[2]) for k in kinds]), lambda e: F.when(F.size(e["ms"]) > 0, located(e["ms"], e["gaps"])).otherwise(_none()))
+    given = lambda spans: F.when(F.size(spans) == 0, none).otherwise(let(let(pieces(src), lambda cut: let(F.length(src), lambda n: scored(spans, cut, n))), merged))
+    return docs.withColumn("pii", let(let(places, confirmed), given))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace every span of ``pii`` in ``text`` by its kind in brackets; overlapping spans become one mark."""
+    """Replace every span of ``pii`` in ``text`` by its kind in brackets; overlapping spans become one mark.
+
+    Texts without spans, null texts included, stay as they are.
+    """
     ordered = F.sort_array(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        cutting = F.concat(acc["out"], F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(F.struct(cutting.alias("out"), s["end"].alias("at")))
+    def cleaned(spans: Column, cut: Column) -> Column:
+        def written(reached: Column) -> Column:
+            """Texts before the spans that begin beyond all earlier ones, their marks, and what is left."""
+            mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            begins = lambda s, i: s["start"] >= F.get(reached, i)
+            out = F.transform(spans, lambda s, i: F.when(begins(s, i), F.concat(between(cut, F.get(reached, i), s["start"]), mark(s))).otherwise(F.lit("")))
+            last = F.array_max(F.transform(spans, lambda s: s["end"]))
+            return F.concat(F.array_join(out, ""), between(cut, last, F.length(text)))
+
+        return let(running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda at, v: F.greatest(at, v)), written)
 
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("at"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text)))
-    return docs.withColumn(text, F.when(F.size("pii") > 0, F.aggregate(ordered, start, step, rest)).otherwise(F.col(text)))
+    marked = let(ordered, lambda spans: let(pieces(F.col(text)), lambda cut: cleaned(spans, cut)))
+    return docs.withColumn(text, F.when(F.size("pii") > 0, marked).otherwise(F.col(text)))
 
 
 def _listed(spans: Column) -> Column:
