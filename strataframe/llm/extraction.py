@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator, Set
 from hashlib import blake2b
 from html import unescape
@@ -46,24 +47,32 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\s*
 WRAPPER_NODES = 1500
 #: A text is constant where it is the same on this many pages of a host and on half of them at least.
 CONSTANT_PAGES = 3
+#: Depth of a page's tree, at most.
+MAX_DEPTH = 160
 #: Hosts whose partial wrappers a task holds before it passes them on.
 OPEN_HOSTS = 500
 RULES_BYTES, SALTS = 32 << 20, 32
 
 
 class Node:
-    """A block element: key, children, and its own text as runs (text, position among the children)."""
+    """A block element: key, children, and its own text as runs (text, position among the children).
 
-    __slots__ = ("furniture", "key", "kids", "runs", "tag", "words")
+    ``named`` tells that only the words of its class or id make it furniture; ``sure`` that it lies in
+    furniture by its tag, role or style.
+    """
+
+    __slots__ = ("furniture", "key", "kids", "named", "runs", "sure", "tag", "up", "words")
 
-    def __init__(self, tag: str, words: tuple[str, ...] = (), furniture: bool = False):
-        self.tag, self.words, self.furniture = tag, words, furniture
+    def __init__(self, tag: str, words: tuple[str, ...] = (), furniture: bool = False, named: bool = False, up: Node | None = None):
+        self.tag, self.words, self.furniture, self.named, self.up = tag, words, furniture, named, up
+        self.sure = furniture and not named or up is not None and up.sure
         self.key = ".".join((tag, *words))
         self.kids: list[Node] = []
         self.runs: list[list] = []  # [position among the kids, text pieces, link characters]
 
 
-def _named(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
+def _named(tag: str, attributes: str) -> tuple[tuple[str, ...], bool, bool]:
+    """Words of class, id and role; whether the element is furniture; whether only its words say so."""
     words: list[str] = []
     bad = tag in DROPPED
     if attributes:
@@ -81,16 +90,70 @@ def _named(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
             elif name == "hidden" or value == "true":
                 bad = True
     parts = {p for w in words for p in re.split(r"[^a-z0-9]+", w)}
-    return tuple(sorted(set(words))), bad or bool(parts & FURNITURE)
+    named = not bad and bool(parts & FURNITURE) and tag not in ("html", "body")
+    return tuple(sorted(set(words))), bad or named, named
+
+
+def _is_main(node: Node) -> bool:
+    return node.tag in ("article", "main") or "role=main" in node.words
+
+
+def _chars(node: Node) -> int:
+    """Characters below a node, other than in what is furniture by its tag, role or style."""
+    total, open_ = 0, [node]
+    while open_:
+        n = open_.pop()
+        if not n.sure:
+            total += sum(len(t) for r in n.runs for t in r[1])
+            open_ += n.kids
+    return total
+
+
+def _own_up(root: Node, mains: list[Node]) -> None:
+    """Words never take an article away that holds most of the page: where what holds it is named furniture, it stays.
+
+    An article that is itself named so, a reader's comment say, is no such article.
+    """
+
+    def above(node: Node) -> Iterator[Node]:
+        up = node.up
+        while up is not None:
+            yield up
+            up = up.up
+
+    mains = [n for n in mains if not n.sure]
+    if not mains or not all(n.furniture or any(u.furniture for u in above(n)) for n in mains):
+        return
+    mains = [n for n in mains if not n.furniture]
+    if 2 * sum(_chars(n) for n in mains if not any(_is_main(u) for u in above(n))) >= _chars(root):
+        for node in mains:
+            for up in above(node):
+                up.furniture = False
+
+
+def _unclosed(token: str, raw: str | None) -> bool:
+    """Whether a comment or a raw text element runs to the end of the page."""
+    if raw:
+        return not re.search(rf"</{raw}\s*>\Z", token[-64:], re.I)
+    return token.startswith("<!--") and not token.endswith("-->")
 
 
 def parse(html: str) -> Node:
-    """The block tree of a page's token stream; broken markup is closed as browsers imply."""
+    """The block tree of a page's token stream; broken markup is closed as browsers imply.
+
+    Elements nested deeper than ``MAX_DEPTH`` give their text to the element at that depth, as browsers
+    also bound their trees; nothing behind the last ``>`` can be a tag, so it is not searched for one.
+    """
     root = Node("#root")
     stack, run, at, link = [root], None, 0, 0
+    deep: list[tuple[str, bool]] = []  # open elements below the greatest depth, and whether they are furniture
+    bad, inside = 0, Counter()  # of those: furniture, and names
+    mains: list[Node] = []
 
     def say(text: str) -> None:
         nonlocal run
+        if bad:
+            return
         top = stack[-1]
         if run is None:
             run = [len(top.kids), [], 0]
@@ -99,10 +162,22 @@ def parse(html: str) -> Node:
         if link:
             run[2] += len(text)
 
-    for m in _TOKEN.finditer(html):
+    def leave(name: str) -> None:
+        """Close the last of the deep elements of a name, with what is open inside it."""
+        nonlocal bad
+        while True:
+            last, furniture = deep.pop()
+            inside[last] -= 1
+            bad -= furniture
+            if last == name:
+                return
+
+    end, swallowed = html.rfind(">") + 1, False
+    for m in _TOKEN.finditer(html, 0, end):
         if m.start() > at:
             say(unescape(html[at : m.start()]) if "&" in html[at : m.start()] else html[at : m.start()])
         at = m.end()
+        swallowed = at == end and _unclosed(m[0], m[1])
         name = m[3] or m[6]
         if not name:
             continue
@@ -115,9 +190,15 @@ def parse(html: str) -> Node:
         if closing:
             if name in INLINE and not any(n.tag == name for n in stack[-3:]):
                 continue
+            if inside[name]:
+                leave(name)
+                run = None
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
                     del stack[i:]
+                    bad, inside = 0, Counter()
+                    deep.clear()
                     run = None
                     break
             continue
@@ -125,9 +206,17 @@ def parse(html: str) -> Node:
             if name == "hr":
                 run = None
             continue
-        words, furniture = _named(name, attributes)
+        words, furniture, named = _named(name, attributes)
         if name in INLINE and not furniture:
             continue
+        if len(stack) > MAX_DEPTH:
+            run = None
+            if deep and deep[-1][0] == name and (name == "p" or name in IMPLIED):
+                leave(name)
+            deep.append((name, furniture))
+            inside[name] += 1
+            bad += furniture
+            continue
         if name in _P_CLOSERS:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
@@ -144,12 +233,16 @@ def parse(html: str) -> Node:
                     del stack[i:]
                     break
         run = None
-        node = Node(name, words, furniture)
+        node = Node(name, words, furniture, named, stack[-1])
         stack[-1].kids.append(node)
+        if _is_main(node):
+            mains.append(node)
         if not attributes.endswith("/") or name not in ("svg", "math"):
             stack.append(node)
-    if at < len(html):
-        say(unescape(html[at:]))
+    tail = "" if swallowed else html[max(at, 0) :].partition("<!--")[0]
+    if tail:
+        say(unescape(tail))
+    _own_up(root, mains)
     return root
 
 
@@ -523,7 +616,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html") -> Data
     """Add ``text``, the main text of every page, to ``pages``; a clashing column is replaced.
 
     The wrappers of the hosts say where the main text lies and which texts their pages repeat.  Null html and pages without main text give
-    an empty text; null urls form a host of their own; repeated rows are extracted one by one; an empty
+    an empty text; null urls form a host of their own; very long and very deep pages are read in proportion; repeated rows are extracted one by one; an empty
     table gives no rows.  The rules of all hosts are broadcast while they measure under ``RULES_BYTES``;
     beyond it pages meet them in a shuffle salted ``SALTS`` ways.
     """

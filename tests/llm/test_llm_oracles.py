@@ -427,3 +427,28 @@ def test_a_copy_does_not_take_another_document_of_its_id(spark, sf_dir):
     kept = dict(pipeline.STAGES)["near_duplicates"](spark, d, sf_dir)
     assert kept.columns == d.columns
     assert sorted((r.doc_id, r.text[:5]) for r in kept.collect()) == [(0, "Some "), (1, "Quite")]
+
+
+def test_articles_stay_whatever_the_words_around_them_say(spark):
+    words = "The harbour was quiet that morning and the boats lay still. "
+    body = f"<nav>Home</nav><article><h1>Title</h1><p>{words * 4}</p></article><div class=comments><article class=comment><p>Nice one.</p></article></div>"
+    pages = [
+        (1, "http://a.org/1", f'<body><div class="content with-sidebar">{body}</div></body>'),
+        (2, "http://b.org/1", f'<body class="post has-newsletter">{body}</body>'),
+        (3, "http://c.org/1", f"<body><div class=post><p>{words * 4}</p></div><div class=comments><article class=comment><p>Nice one.</p></article></div></body>"),
+    ]
+    got = {r.page_id: r.text for r in extraction.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "Title\n" + (words * 4).strip() and got[3] == (words * 4).strip()
+
+
+def test_deep_and_broken_pages_are_read_in_proportion(spark):
+    import time
+
+    deep = "<div>" * 5000 + "<p>Deep text stands here.</p><nav>Menu</nav><p>More of it.</p>" + "</div>" * 5000
+    began = time.time()
+    pages = [(1, "http://a.org/1", deep), (2, "http://b.org/1", "<p>Some words.</p>" + "<a " * 350_000), (3, "http://c.org/1", "<p>Said.</p>" + "<li" * 300_000 + "<!-- " * 9)]
+    pages += [(4, "http://d.org/1", "<p>One.</p>" + "<b><i><div>" * 60_000), (5, "http://e.org/1", "<p>Kept.</p><script>var a = 1 > 0; var b = '<p>no</p>'")]
+    got = {r.page_id: r.text for r in extraction.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Deep text stands here.\nMore of it." and got[2].startswith("Some words.") and got[3].startswith("Said.")
+    assert got[4] == "One." and got[5] == "Kept."
+    assert time.time() - began < 90
