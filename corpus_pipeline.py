@@ -4,24 +4,6 @@ Stages: toxic documents go; one document of each near-duplicate group stays; per
 sources are mixed to their target weights; texts are encoded by byte-level BPE.
 """
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from strataframe.llm.pipeline import STAGES
-from strataframe.runtime import shared_folder
-
-#: A trained classifier and a tokenizer are no SQL; the stages are tested against brute-force versions.
-ORACLE_SQL = None
+from strataframe.llm.pipeline import ORACLE_SQL, STAGES, run
 
 __all__ = ["ORACLE_SQL", "STAGES", "run"]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply ``STAGES`` to ``documents``; every stage's rows are written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = shared_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs

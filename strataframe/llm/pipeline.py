@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strataframe.llm import bpe, mixing, neardup, pii, toxicity
 from strataframe.llm.common import table
 from strataframe.operators.spatial import ranked
-from strataframe.runtime import cut, sized_broadcast
+from strataframe.runtime import cut, shared_folder, sized_broadcast
 
 #: Repeated ids that may be broadcast to set their rows apart.
 REPEATED_IDS = 1_000_000
@@ -65,11 +65,19 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", toxic_out), ("near_duplicates", copies_out), ("personal_data", personal_out), ("mixing", mixed), ("byte_bpe", encoded)]
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+#: A trained classifier and a tokenizer are no SQL; the stages are tested against brute-force versions.
+ORACLE_SQL = None
 
-    return corpus_pipeline.run(spark, sf_dir)
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply ``STAGES`` to ``documents``; every stage's rows are written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_folder(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
 
-QUERIES = {"pipeline": pipeline}
+
+QUERIES = {"pipeline": run}
 SQL: dict[str, str] = {}
