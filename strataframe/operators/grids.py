@@ -69,6 +69,11 @@ def lattice_grid(boxes: DataFrame) -> DataFrame:
     return _cells(boxes, lambda n: F.greatest(n - 1, F.lit(1)), 0.0)
 
 
+def grid_cells(nx: Column, ny: Column, nz: Column) -> Column:
+    """Cells of a grid, the measure of a job's cost."""
+    return (nx.cast("long") * ny * nz).cast("long")
+
+
 def coarse_shape(n: Column) -> Column:
     """A fault grid's cells per axis: a tenth, ten at least."""
     return F.greatest(F.lit(10.0), n / 10).cast("int")

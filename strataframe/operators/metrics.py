@@ -108,3 +108,54 @@ def retained(events: DataFrame, hours: float = 8) -> DataFrame:
     now = events.agg(F.max("ts").alias("_now"))
     age = F.unix_micros(F.col("_now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return events.join(F.broadcast(now)).where(age <= hours * 3600e6).drop("_now")
+
+
+def _trailing(seconds: float, *keys: str):
+    return Window.partitionBy(*keys).orderBy("_t").rangeBetween(-int(seconds * 1e6), Window.currentRow)
+
+
+def trailing_increase(samples: DataFrame, seconds: float) -> DataFrame:
+    """Samples with ``increase``, what their counter rose by in the ``seconds`` up to them, ends included.
+
+    Rises are told between samples of the range; what the first of them rose by before it is left out.
+    """
+    rows = samples.withColumns({"_d": _increase(), "_t": F.unix_micros(F.col("ts").cast("timestamp"))})
+    over = _trailing(seconds, "series")
+    first = F.min(F.struct("_t", "seq", "_d")).over(over)["_d"]
+    return rows.withColumn("increase", F.sum("_d").over(over) - first).drop("_d", "_t")
+
+
+def trailing_counts(events: DataFrame, seconds: float, width: str = "1 day", *keys: str) -> DataFrame:
+    """Buckets ``(bucket, keys..., n)`` with the tasks of the trailing ``seconds`` up to each bucket, it included.
+
+    Events are counted by bucket first, so the window sees buckets and not events.
+    """
+    counted = tasks_over_time(events, width, *keys).withColumn("_t", F.unix_micros("bucket"))
+    return counted.withColumn("n", F.sum("n").over(_trailing(seconds, *keys))).drop("_t")
+
+
+def workers_up(events: DataFrame, seconds: float, *keys: str, worker: str = "worker") -> DataFrame:
+    """Workers seen in the last ``seconds`` before the latest event, and workers seen at all."""
+    now = events.agg(F.max("ts").alias("_now"))
+    last = events.groupBy(*keys, worker).agg(F.max("ts").alias("_last")).join(F.broadcast(now))  # one row
+    age = F.unix_micros(F.col("_now").cast("timestamp")) - F.unix_micros(F.col("_last").cast("timestamp"))
+    return last.groupBy(*keys).agg(F.count_if(age <= seconds * 1e6).alias("up"), F.count(F.lit(1)).alias("workers"))
+
+
+def runtime_percentiles(events: DataFrame, qs: list[float], key: str) -> DataFrame:
+    """Exact percentiles of raw runtimes, linear between the two nearest ranks.
+
+    Runtimes are ranked by range partitions, so the values of one key never meet in one task; only the ranks
+    that a percentile asks for are kept.
+    """
+    from strataframe.operators.spatial import ranked
+
+    rows = ranked(events.where("runtime IS NOT NULL").select(key, F.col("runtime").cast("double").alias("runtime")), key, "runtime")
+    first = rows.groupBy(key).agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    asked = first.select(key, "_first", "_n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    at = (F.col("_n") - 1) * F.col("q")
+    ends = asked.select(key, "q", (at - F.floor(at)).alias("_share"), (F.col("_first") + F.floor(at)).alias("low"), (F.col("_first") + F.ceil(at)).alias("high"))
+    wanted = ends.select(key, "q", F.explode(F.array(F.struct(F.col("low").alias("pos"), (1 - F.col("_share")).alias("w")), F.struct(F.col("high").alias("pos"), F.col("_share").alias("w")))).alias("e"))
+    met = wanted.select(key, "q", "e.pos", "e.w").join(rows.select("pos", "runtime"), "pos")
+    by_q = met.groupBy(key, "q").agg(F.sum(F.col("runtime") * F.col("w")).alias("v"))
+    return by_q.groupBy(key).agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(f"p{round(q * 100)}") for q in qs])

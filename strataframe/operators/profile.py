@@ -64,8 +64,31 @@ def metadata_table(profile: DataFrame, columns: list[str], metadata: str = "meta
     return profile.select("*", *[F.try_element_at(F.col(metadata), F.lit(c)).alias(c) for c in columns]).drop(metadata)
 
 
-def model_counts(series: DataFrame, faults: DataFrame, contacts: Column | None = None) -> DataFrame:
-    """Counts that describe a model: eroding and onlapping series, units without the dummy, faults, limits."""
+def model_counts(series: DataFrame, faults: DataFrame, contacts: DataFrame | None = None, dips: DataFrame | None = None, unit: bool = True, fault: bool = True) -> DataFrame:
+    """Counts that describe a model: eroding and onlapping series, units without the dummy, faults, limits.
+
+    With ``contacts (is_fault)`` and ``dips (is_fault)`` also the contact lines, which have two points each, and the
+    dips, of units and of faults where asked for.
+    """
     a = series.agg(F.count_if(F.col("relation") == "erode").alias("erode_series"), F.count_if(F.col("relation") == "onlap").alias("onlap_series"), (F.count(F.lit(1)) - 1).alias("units"))
     b = faults.agg(F.count_if(~F.col("infinite")).alias("finite_faults"), F.count_if("infinite").alias("infinite_faults"), F.coalesce(F.sum(F.coalesce(F.size("stops_on"), F.lit(0))), F.lit(0)).alias("limits"))
-    return a.join(F.broadcast(b))  # one row each
+    out = a.join(F.broadcast(b))  # one row each
+    sides = [side for side, asked in ((False, unit), (True, fault)) if asked]
+    for rows, name, each in ((contacts, "contact_data", 2), (dips, "dips", 1)):
+        if rows is not None:
+            of = [F.floor(F.count_if(F.col("is_fault") == side) / each) for side in sides]
+            out = out.join(F.broadcast(rows.agg(sum(of, F.lit(0)).cast("long").alias(name))))
+    return out
+
+
+def job_counts(jobs: DataFrame, **inputs: DataFrame) -> DataFrame:
+    """Rows of each job's inputs, by the input's name; zero where a job has none.  All tables have a column ``job``."""
+    out = jobs.select("job")
+    for name, rows in inputs.items():
+        out = out.join(rows.groupBy("job").agg(F.count(F.lit(1)).alias(name)), "job", "left")
+    return out.na.fill(0, list(inputs))
+
+
+def waypoints(segments: DataFrame, *keys: str) -> DataFrame:
+    """Points between which a tunnel runs: one more than its path functions."""
+    return segments.groupBy(*keys).agg((F.count(F.lit(1)) + 1).alias("waypoints"))

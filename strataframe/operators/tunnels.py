@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataframe.functions.vector import Vec, cross, derivative, let, pack, polynomial, rotate, unit, unpack
@@ -86,3 +90,26 @@ def tunnel_faces(stations: DataFrame, n: int) -> DataFrame:
     none = F.expr("cast(array() as array<struct<f:bigint,a:bigint,b:bigint,c:bigint>>)")
     faces = F.concat(F.coalesce(ahead, none), F.coalesce(back, none), F.coalesce(closing, none))
     return strips.select("tunnel", F.explode(faces).alias("t")).select("tunnel", "t.*")
+
+
+def named_path(stations: DataFrame, functions: dict[str, Callable[[np.ndarray], np.ndarray]], names: dict[str, str], t: str = "t", width: float = 1e-5) -> DataFrame:
+    """Add ``bx, by_, bz`` and ``tx, ty, tz``, place and direction on paths that are no polynomials.
+
+    ``names`` tells the column that holds each axis' function name; ``functions`` are the caller's registered
+    functions over arrays.  Directions are central differences.  An unknown name is an error.
+    """
+    out = {"x": "bx", "y": "by_", "z": "bz"}
+
+    def values(axis: pd.Series, at: pd.Series) -> pd.Series:
+        made = pd.Series(0.0, index=at.index)
+        for name, rows in at.groupby(axis):
+            if name not in functions:
+                raise ValueError(f"no path function is named {name}")
+            made[rows.index] = functions[name](rows.to_numpy())
+        return made
+
+    at = F.pandas_udf(values, "double")
+    for axis, column in names.items():
+        name, here = F.col(column), F.col(t)
+        stations = stations.withColumn(out[axis], at(name, here)).withColumn(f"t{axis}", (at(name, here + width) - at(name, here - width)) / (2 * width))
+    return stations

@@ -107,6 +107,37 @@ def voxel_grid(spark, sf):
     return grids.voxel_center_grid(_voxel_boxes(spark, sf)).select("grid_id", "ix", "iy", "iz", *_r("x", "y", "z"))
 
 
+@query(f"WITH {_VOX} SELECT grid_id, CAST(nx * ny * nz AS BIGINT) AS cells FROM v")
+def grid_cells(spark, sf):
+    boxes = _voxel_boxes(spark, sf)
+    return boxes.select("grid_id", grids.grid_cells(*[F.col(f"n{a}") for a in "xyz"]).alias("cells"))
+
+
+@query(f"""WITH {_VOX} SELECT grid_id, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz, round(ix * (1000e0 / (nx - 1)), 6) + 0e0 AS x, round(iy * (1000e0 / (ny - 1)), 6) + 0e0 AS y, round(iz * (960e0 / (nz - 1)), 6) + 0e0 AS z
+ FROM v, LATERAL (SELECT unnest(range(nx)) AS ix) AS a, LATERAL (SELECT unnest(range(ny)) AS iy) AS b, LATERAL (SELECT unnest(range(nz)) AS iz) AS c""")
+def lattice_grid(spark, sf):
+    return grids.lattice_grid(_voxel_boxes(spark, sf)).select("grid_id", "ix", "iy", "iz", *_r("x", "y", "z"))
+
+
+@query("""WITH m AS (SELECT mesh_id, xmin + mesh_id % 9 AS x2, ymin AS y2, zmin - mesh_id % 5 AS z2, xmax + mesh_id % 9 AS x3, ymax AS y3, zmax - mesh_id % 5 AS z3 FROM boxes)
+SELECT mesh_id, abs(xmin - x2) <= abs(xmin) * 0.02e0 AND abs(ymin - y2) <= abs(ymin) * 0.02e0 AND abs(zmin - z2) <= abs(zmin) * 0.02e0 AND abs(xmax - x3) <= abs(xmax) * 0.02e0
+ AND abs(ymax - y3) <= abs(ymax) * 0.02e0 AND abs(zmax - z3) <= abs(zmax) * 0.02e0 AS near FROM boxes JOIN m USING (mesh_id)""")
+def bbox_close(spark, sf):
+    """Whether each body's bounds stay within the tolerance when the body is moved."""
+    tri = view(spark, sf, "tri")
+    moved = tri.withColumns({f"{p}x": F.col(f"{p}x") + F.col("mesh_id") % 9 for p in "abc"} | {f"{p}z": F.col(f"{p}z") - F.col("mesh_id") % 5 for p in "abc"})
+    named = lambda t, s: spatial.mesh_bbox(t).select("mesh_id", *[F.col(f"{a}{e}").alias(f"{s}{a}{e}") for a in "xyz" for e in ("min", "max")])
+    return named(tri, "p_").join(named(moved, "q_"), "mesh_id").select("mesh_id", meshes.bbox_close("p_", "q_").alias("near"))
+
+
+@query("SELECT s_suppkey AS id, regexp_replace('/' || s_name, '^/(.*)$', '\\1') AS container, regexp_full_match(s_name, 'Supplier#0+[1-4].*') AS matched, CAST(regexp_extract('mesh_' || s_suppkey || '_a.off', '([0-9]+)', 1) AS INT) AS gwb_id FROM supplier")
+def labels_and_names(spark, sf):
+    """Container names without their slash, labels that match a whole pattern, bodies named by their files."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    file = F.concat(F.lit("mesh_"), F.col("s_suppkey").cast("string"), F.lit("_a.off"))
+    return s.select(F.col("s_suppkey").alias("id"), V.relabel_container(F.concat(F.lit("/"), "s_name")).alias("container"), V.label_match(F.col("s_name"), "Supplier#0+[1-4].*").alias("matched"), V.gwb_id_from_name(file).alias("gwb_id"))
+
+
 @query("""WITH v AS (SELECT n_nationkey AS grid_id, n_nationkey * 10 + 30 AS nx, n_nationkey % 5 + 8 AS ny FROM nation)
 SELECT grid_id, CAST(floor(greatest(10e0, nx / 10)) AS INT) AS nx, CAST(floor(greatest(10e0, ny / 10)) AS INT) AS ny FROM v""")
 def coarse_shape(spark, sf):
@@ -516,8 +547,16 @@ def fault_levels(spark, sf):
     return S.fault_levels(_faults(spark, sf))
 
 
-@query()
+@query(f"""WITH {_GRID}, r AS (SELECT section_id, seg, i, j, coalesce(k.rank, 0) AS rank FROM grid LEFT JOIN rank_grid k ON k.ix = floor(x / 40e0) AND k.iy = floor(y / 40e0) AND k.iz = floor((z + 200) / 40e0)),
+l AS (SELECT section_id, seg, i, string_agg(CAST(rank AS VARCHAR), ' ' ORDER BY j) AS line FROM r GROUP BY ALL)
+SELECT section_id, seg, string_agg(line, ';' ORDER BY i) AS matrix FROM l GROUP BY ALL""")
 def rank_matrix(spark, sf):
+    """Ranks of every section, a line for each step along it."""
+    lines = lambda m: F.array_join(F.transform(m, lambda line: F.array_join(F.transform(line, lambda v: v.cast("string")), " ")), ";")
+    return _rank_matrix(spark, sf).select("section_id", "seg", lines(F.col("matrix")).alias("matrix"))
+
+
+def _rank_matrix(spark, sf):
     """Nested rank arrays [along][up] of every section."""
     grid = grids.vertical_slice_grid(view(spark, sf, "sections"))
     ranked = spatial.rank_sample(grid.withColumn("z", F.col("z") + 200), view(spark, sf, "rank_grid"), (40.0, 40.0, 40.0))
@@ -527,7 +566,7 @@ def rank_matrix(spark, sf):
 @query()
 def section_report(spark, sf):
     """Ranks, springs and drillholes of every section as nested values, one row per section."""
-    ranks = rank_matrix(spark, sf)
+    ranks = _rank_matrix(spark, sf)
     springs = S.project_springs(view(spark, sf, "sections"), view(spark, sf, "springs"), _LIMIT).groupBy("section_id", "seg").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", F.array("u", "z"))))).alias("springs"))
     holes = S.project_drillholes(view(spark, sf, "sections"), view(spark, sf, "drillholes"), _LIMIT).groupBy("section_id", "seg").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", F.array(F.array("u0", "v0"), F.array("u1", "v1")))))).alias("drillholes"))
     joined = ranks.join(springs, ["section_id", "seg"], "left").join(holes, ["section_id", "seg"], "left")

@@ -103,19 +103,36 @@ def profile_table(spark, sf):
 
 
 @query("""SELECT count(*) FILTER (relation = 'erode') AS erode_series, count(*) FILTER (relation = 'onlap') AS onlap_series, count(*) - 1 AS units,
-(SELECT count(*) FROM faults WHERE NOT infinite) AS finite_faults, (SELECT count(*) FROM faults WHERE infinite) AS infinite_faults, (SELECT count(stops_on) FROM faults) AS limits FROM series""")
+(SELECT count(*) FROM faults WHERE NOT infinite) AS finite_faults, (SELECT count(*) FROM faults WHERE infinite) AS infinite_faults, (SELECT count(stops_on) FROM faults) AS limits,
+(SELECT count(*) FILTER (NOT is_fault) // 2 + count(*) FILTER (is_fault) // 2 FROM contact_points) AS contact_data, (SELECT count(*) FROM dips) AS dips FROM series""")
 def model_counts(spark, sf):
     f = view(spark, sf, "faults").withColumn("stops_on", F.filter(F.array("stops_on"), lambda x: x.isNotNull()))
-    return P.model_counts(view(spark, sf, "series"), f)
+    return P.model_counts(view(spark, sf, "series"), f, view(spark, sf, "contact_points"), view(spark, sf, "dips"))
 
 
-@query("""SELECT n_nationkey AS job, CAST(count(DISTINCT s_suppkey) AS BIGINT) AS springs, CAST(count(DISTINCT c_custkey) AS BIGINT) AS drillholes FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+@query("SELECT count(*) FILTER (is_fault) // 2 AS contact_data, (SELECT count(*) FROM dips WHERE is_fault) AS dips FROM contact_points")
+def fault_model_counts(spark, sf):
+    """Contact lines and dips of faults alone, as fault jobs count them."""
+    f = view(spark, sf, "faults").withColumn("stops_on", F.filter(F.array("stops_on"), lambda x: x.isNotNull()))
+    return P.model_counts(view(spark, sf, "series"), f, view(spark, sf, "contact_points"), view(spark, sf, "dips"), unit=False).select("contact_data", "dips")
+
+
+@query("""SELECT n_nationkey AS job, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS springs, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS drillholes,
+(SELECT count(*) FROM sections WHERE section_id = n_nationkey) AS sections, (SELECT count(*) FROM supplier WHERE s_suppkey % 25 = n_nationkey) AS gwb_parts,
+(SELECT CAST(sum(w) AS BIGINT) FROM (SELECT count(*) + 1 AS w FROM tunnels WHERE CAST(floor(tunnel / 10) AS INT) = n_nationkey GROUP BY tunnel)) AS waypoints FROM nation""")
 def job_counts(spark, sf):
-    """Springs and drillholes of a job, counted apart and joined, zero where there are none."""
+    """Inputs of every job, each counted apart and joined, zero where there are none; waypoints of all its tunnels."""
     jobs = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("job"))
-    s = spark.read.parquet(f"{sf}/supplier.parquet").groupBy(F.col("s_nationkey").alias("job")).agg(F.count(F.lit(1)).alias("springs"))
-    c = spark.read.parquet(f"{sf}/customer.parquet").groupBy(F.col("c_nationkey").alias("job")).agg(F.count(F.lit(1)).alias("drillholes"))
-    return jobs.join(s, "job", "left").join(c, "job", "left").na.fill(0, ["springs", "drillholes"])
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet")
+    inputs = {
+        "springs": suppliers.select(F.col("s_nationkey").alias("job")),
+        "drillholes": spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_nationkey").alias("job")),
+        "sections": view(spark, sf, "sections").select(F.col("section_id").alias("job")),
+        "gwb_parts": view(spark, sf, "boxes").select((F.col("mesh_id") % 25).cast("int").alias("job")),
+    }
+    tunnels = view(spark, sf, "tunnels").withColumn("job", F.floor(F.col("tunnel") / 10).cast("int"))
+    points = P.waypoints(tunnels, "job", "tunnel").groupBy("job").agg(F.sum("waypoints").alias("waypoints"))
+    return P.job_counts(jobs, **inputs).join(points, "job", "left")
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (state = '{s}') AS {s.lower()}" for s in M.STATES)
@@ -184,6 +201,27 @@ def counter_rate(spark, sf):
     return M.counter_rate(view(spark, sf, "counters")).select("series", *_r("rate", "irate"))
 
 
+@query(f"""WITH {_INC}, t AS (SELECT *, epoch_us(ts) AS us FROM d)
+SELECT series, seq, round(sum(dv) OVER w - arg_min(dv, (us, seq)) OVER w, 3) + 0e0 AS increase FROM t
+WINDOW w AS (PARTITION BY series ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW)""")
+def counter_increase_week(spark, sf):
+    """What each counter rose by in the week up to each of its samples."""
+    rows = M.trailing_increase(view(spark, sf, "counters"), 7 * 86400)
+    return rows.select("series", "seq", V.tidy(F.col("increase"), 3).alias("increase"))
+
+
+@query("""SELECT queue, count(*) FILTER (age <= 86400000000) AS up, count(*) AS workers
+FROM (SELECT queue, task % 37 AS worker, epoch_us((SELECT max(ts) FROM task_events)) - epoch_us(max(ts)) AS age FROM task_events GROUP BY ALL) GROUP BY queue""")
+def workers_up(spark, sf):
+    """Workers of each queue seen on the last day."""
+    return M.workers_up(view(spark, sf, "task_events").withColumn("worker", F.col("task") % 37), 86400, "queue")
+
+
+@query("SELECT name, round(quantile_cont(runtime, 0.5), 6) + 0e0 AS p50, round(quantile_cont(runtime, 0.95), 6) + 0e0 AS p95, round(quantile_cont(runtime, 0.99), 6) + 0e0 AS p99 FROM task_events WHERE runtime IS NOT NULL GROUP BY name")
+def runtime_percentiles(spark, sf):
+    return M.runtime_percentiles(view(spark, sf, "task_events"), [0.5, 0.95, 0.99], "name").select("name", *_r("p50", "p95", "p99"))
+
+
 _DAY = "epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP))"
 
 
@@ -192,6 +230,14 @@ def tasks_over_time(spark, sf):
     return M.tasks_over_time(view(spark, sf, "task_events"), "1 day", "queue").select(F.unix_micros("bucket").alias("bucket_us"), "queue", "n")
 
 
+@query(f"""WITH c AS (SELECT {_DAY} AS bucket_us, queue, count(*) AS c FROM task_events GROUP BY ALL)
+SELECT bucket_us, queue, CAST(sum(c) OVER (PARTITION BY queue ORDER BY bucket_us RANGE BETWEEN 518400000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM c""")
+def tasks_trailing(spark, sf):
+    """Tasks of the week that ends with each day, by queue."""
+    rows = M.trailing_counts(view(spark, sf, "task_events"), 6 * 86400, "1 day", "queue")
+    return rows.select(F.unix_micros("bucket").alias("bucket_us"), "queue", "n")
+
+
 @query("""WITH t AS (SELECT task, max(ts) FILTER (state = 'STARTED') AS started, max(ts) FILTER (state IN ('SUCCESS', 'FAILURE', 'REVOKED')) AS ended FROM task_events GROUP BY task)
 SELECT task, epoch_us(started) AS started_us FROM t WHERE started IS NOT NULL AND (ended IS NULL OR ended < started) AND epoch_us((SELECT max(ts) FROM task_events)) - epoch_us(started) > 6 * 3600000000""")
 def overdue_tasks(spark, sf):

@@ -47,6 +47,8 @@ VIEWS: dict[str, str] = {
     "unit_tri": _corners(_UNITS, "unit_id"),
     "series": """SELECT n_nationkey AS unit, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'erode' ELSE 'onlap' END AS relation, CASE WHEN n_regionkey % 2 = 0 THEN 'base' ELSE 'top' END AS reference FROM {nation}""",
     "faults": """SELECT n_nationkey AS fault, n_nationkey % 4 <> 0 AS infinite, n_regionkey AS grp, CASE WHEN n_nationkey >= 5 THEN n_nationkey - 5 END AS stops_on FROM {nation}""",
+    "contact_points": """SELECT p_partkey % 25 AS owner, p_size % 3 = 0 AS is_fault FROM {part}""",
+    "dips": """SELECT c_custkey % 25 AS owner, c_custkey % 4 = 0 AS is_fault FROM {customer}""",
     "fault_grid": """SELECT CAST(k % 30 AS INT) AS i, CAST(floor(k / 30) AS INT) AS j, k % 30 * 30e0 AS x, floor(k / 30) * 25e0 AS z FROM (SELECT p_partkey AS k FROM {part})""",
     "fault_potential": """SELECT i, j, n_nationkey AS fault,
   CASE WHEN n_nationkey = 7 THEN 0e0 ELSE (x - n_nationkey * 45e0) * (1 + n_nationkey % 3) + (z - 300e0) * (n_nationkey % 5 - 2) * 0.5e0 END AS value

@@ -11,7 +11,7 @@ def output_name(kind: Column, name: Column, n: Column | None = None) -> Column:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Add ``n`` from 0 in the given order; for a job's outputs, one row each."""
+    """Add ``n`` from 0 in the given order; for a job's outputs, which are few, so one task may order them."""
     return rows.withColumn("n", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
@@ -58,7 +58,8 @@ def manifest(outputs: DataFrame) -> DataFrame:
     """One JSON text: kind to name to paths, from ``(kind, name, path)`` rows of a job's outputs."""
     named = outputs.groupBy("kind", "name").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     kinds = named.groupBy("kind").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "paths")))).alias("names"))
-    return kinds.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", F.to_json("names").alias("names")))))).alias("value"))
+    by_kind = F.transform(F.array_sort(F.collect_list(F.struct("kind", F.map_entries("names").alias("names")))), lambda k: F.struct(k["kind"].alias("kind"), F.map_from_entries(k["names"]).alias("names")))
+    return kinds.agg(F.to_json(F.map_from_entries(by_kind)).alias("value"))
 
 
 def aquifer_report(aquifers: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -56,7 +57,19 @@ def test_voxels_are_written_in_order(spark, tmp_path):
 
 def test_manifest(spark):
     df = spark.createDataFrame([("mesh", "1", "p1"), ("mesh", "1", "p0"), ("fault", "F", "q")], "kind string, name string, path string")
-    assert "p0" in writers.manifest(df).first().value
+    assert json.loads(writers.manifest(df).first().value) == {"fault": {"F": ["q"]}, "mesh": {"1": ["p0", "p1"]}}
+
+
+def test_named_path_functions(spark):
+    import numpy as np
+    from strataframe.operators import tunnels
+
+    d = spark.createDataFrame([("sin", "line", 0.5), ("line", "sin", 1.0)], "fx string, fy string, t double")
+    rows = tunnels.named_path(d, {"sin": np.sin, "line": lambda t: 3 * t}, {"x": "fx", "y": "fy"}).orderBy("t").collect()
+    assert rows[0].bx == pytest.approx(np.sin(0.5)) and rows[0].tx == pytest.approx(np.cos(0.5)) and rows[0].ty == pytest.approx(3)
+    assert rows[1].bx == 3 and rows[1].by_ == pytest.approx(np.sin(1.0))
+    with pytest.raises(Exception, match="no path function"):
+        tunnels.named_path(d, {"sin": np.sin}, {"x": "fx"}).collect()
 
 
 def test_overdue_stream_equals_sessions(spark, sf_dir, tmp_path):
