@@ -135,7 +135,7 @@ class _Input:
     """Bytes of a file in order, with a cheap step forward where the file can seek."""
 
     def __init__(self, handle):
-        self.handle, self.buffer = handle, b""
+        self.handle, self.buffer = handle, bytearray()
 
     def more(self) -> bool:
         got = self.handle.read(CHUNK)
@@ -151,9 +151,9 @@ class _Input:
     def skip(self, n: int) -> None:
         if n > len(self.buffer):
             self.handle.seek(self.handle.tell() + n - len(self.buffer))
-            self.buffer = b""
+            self.buffer.clear()
         else:
-            self.buffer = self.buffer[n:]
+            del self.buffer[:n]
 
 
 def _plain_records(source: _Input, wanted, with_payload: bool) -> Iterator[tuple[dict, bytes | None]]:
@@ -169,7 +169,7 @@ def _plain_records(source: _Input, wanted, with_payload: bool) -> Iterator[tuple
         block = None
         if take and with_payload:
             source.need(length)
-            block = source.buffer[:length]
+            block = bytes(source.buffer[:length])
         source.skip(length + 4)
         if take:
             yield headers, block
@@ -180,27 +180,27 @@ def _gzip_records(source: _Input, wanted, with_payload: bool) -> Iterator[tuple[
     while source.need(24):
         marked = source.buffer[3] & 4 and source.buffer[12:14] == b"sl"
         whole = struct.unpack("<I", source.buffer[16:20])[0] if marked else 0
-        inflate, data, fed, at_end = zlib.decompressobj(31), b"", 0, False
+        inflate, data, fed, at_end = zlib.decompressobj(31), bytearray(), 0, False
 
         def pull(enough) -> None:
-            nonlocal data, fed, at_end
+            nonlocal fed, at_end
             while not at_end and not enough(data):
                 if fed >= len(source.buffer) and not source.more():
                     at_end = True
                     break
                 piece = source.buffer[fed : fed + (4096 if not data else CHUNK)]
-                data += inflate.decompress(piece)
+                data.extend(inflate.decompress(piece))
                 fed += len(piece) - len(inflate.unused_data)
                 at_end = inflate.eof
 
         pull(lambda d: b"\r\n\r\n" in d)
-        head, _, rest = data.partition(b"\r\n\r\n")
+        head = bytes(data[: data.find(b"\r\n\r\n")]) if b"\r\n\r\n" in data else bytes(data)
         headers = parse_headers(head)
         take, block = wanted(headers), None
         if take and with_payload or not whole:
             length = int(headers.get("content-length", 0))
             pull(lambda d: len(d) >= len(head) + 4 + length)
-            block = data[len(head) + 4 : len(head) + 4 + length]
+            block = bytes(data[len(head) + 4 : len(head) + 4 + length])
             if not whole:
                 pull(lambda d: False)
                 whole = fed
@@ -293,19 +293,19 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
     Of records with equal payloads of at least ``least_bytes`` bytes, the one with the largest key is
     the response and the others revisit it; smaller payloads are all responses.  Equal rows that share
-    the largest key are all responses.  Null html is an empty payload, a null key sorts lowest and is
-    written as -1.  Only digests and keys are grouped (summed per task before the shuffle), so a payload
+    the largest key are all responses.  Null html is an empty payload, a null key sorts lowest, names the
+    record ``urn:page:null`` and is read back as null.  Only digests and keys are grouped (summed per task before the shuffle), so a payload
     that a third of the pages share is one row there; only digests that occur twice come back to the
     pages, which are joined by a plain shuffle that adaptive execution can split, or by a broadcast that
     it chooses from the measured size.
     """
     payload = text_of(html).cast("binary")
-    rows = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("_key"), F.col(url).alias("target_uri"), payload.alias("payload"))
+    rows = pages.select(F.col(key).cast("long").alias("_key"), F.col(url).alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("_sha", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long"))
     twice = rows.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("_sha").alias("_s")).agg(F.max("_key").alias("_main"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     joined = rows.join(twice, (F.col("_sha") == F.col("_s")) & (F.col("payload_bytes") >= least_bytes), "left")
-    again = F.col("_main").isNotNull() & (F.col("_key") < F.col("_main"))
-    name = lambda k: F.concat(F.lit("urn:page:"), k.cast("string"))
+    again = F.col("_main").isNotNull() & (F.col("_key").isNull() | (F.col("_key") < F.col("_main")))
+    name = lambda k: F.concat(F.lit("urn:page:"), F.coalesce(k.cast("string"), F.lit("null")))
     return joined.select(
         name(F.col("_key")).alias("record_id"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
@@ -344,7 +344,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = shared_folder(spark, "warc")
     write_warc(plan_records(pages), path)
-    number = lambda c: F.regexp_extract(c, "([-0-9]+)$", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, "([-0-9]+)$", 1).try_cast("long")
     full = read_warc(spark, path, ("response",)).select(
         number("record_id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")
     )
@@ -353,13 +353,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH p AS (SELECT coalesce(page_id, -1) AS page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS main FROM p),
 d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(('0x' || substr(h, CAST(q * 10 + 1 AS INT), 10)) AS BIGINT) >> CAST(35 - 5 * s AS INT)) % 32 + 1 AS INT), 1), '' ORDER BY q, s) AS digest
       FROM (SELECT DISTINCT h FROM p), range(4) AS a(q), range(8) AS c(s) GROUP BY h)
 SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, digest AS payload_digest,
-       CASE WHEN page_id < main THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id < main THEN main END AS refers_to
+       CASE WHEN page_id < main OR page_id IS NULL AND main IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < main OR page_id IS NULL THEN main END AS refers_to
 FROM m JOIN d USING (h)
 """
 
