@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from strataframe.llm.common import table
+from strataframe.llm.common import in_small_batches, table
 
-#: Rows of one candidate block and of one query block; they bound a task's score arrays.
+#: Rows of one candidate block and of one query block, on average; they bound a task's score arrays.
 CANDIDATES, QUERIES_A_BLOCK = 4096, 256
 
 
@@ -70,33 +71,48 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataF
     zero weights have no posting, so vectors of unequal length meet on the terms that they share.  Each
     side is packed into blocks of bounded size; every query block visits every candidate block (the
     queries are a stated set), keeps ``k`` a query there, and the partial lists are merged by a window.
+    A candidate block moves once and is held by its task while the query blocks stream past it.
     The query's own id never answers it.  Ties go to the smaller id.  Rows with a null id or null terms
     take no part; empty vectors score 0; repeated candidate rows each take a place; of repeated query
-    ids the smallest vector asks.  Empty tables give no rows.  Products are 64-bit integers.
+    ids the smallest vector asks.  Empty tables give no rows, other columns do not matter.  Products are
+    64-bit integers.  A block holds whole vectors, so very long ones make larger blocks.
+
+    Equal candidate rows are counted first and no more than ``k`` of them go on, as no answer has room
+    for more; so blocks follow from ids and vectors alone, and no value fills one, however often it repeats.
     """
     usable = "id IS NOT NULL AND terms IS NOT NULL"
-    candidates, queries = candidates.where(usable), queries.where(usable).groupBy("id").agg(F.min("terms").alias("terms"))
+    queries = queries.where(usable).groupBy("id").agg(F.min("terms").alias("terms"))
+    candidates = candidates.where(usable).groupBy("id", "terms").agg(F.count(F.lit(1)).alias("c"))
+    candidates = candidates.select("id", "terms", F.explode(F.sequence(F.lit(1).cast("long"), F.least("c", F.lit(k)))).alias("copy"))
     n, m = candidates.count(), queries.count()
     n_blocks, m_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES_A_BLOCK))
     place = lambda blocks: F.pmod(F.xxhash64("id", F.lit(11)), F.lit(blocks)).alias("b")
-    # equal ids and equal vectors spread by a row number of the task, so no block depends on one value
-    spread = candidates.withColumn("b", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_blocks)))
-    blocks = _packed(spread.select("id", "terms", "b"), "b").repartition(max(1, min(n_blocks, 4096)), "block")
-    asked = _packed(queries.select("id", "terms", place(m_blocks)), "b")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1).cast("long"))).alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "terms", "weights")])
-    pairs = asked.join(blocks, "block")
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p in frame.itertuples(index=False):
-                q_ids, ids = np.frombuffer(p.q_ids, np.int64), np.frombuffer(p.ids, np.int64)
-                scores = _scores(_postings(p.q_rows, p.q_terms, p.q_weights), _postings(p.rows, p.terms, p.weights), len(q_ids), len(ids))
-                for i, qid in enumerate(q_ids):
-                    others = np.flatnonzero(ids != qid)
-                    best = others[_best(scores[i, others], ids[others], k)]
-                    yield pd.DataFrame({"query_id": np.full(len(best), qid), "vec_id": ids[best], "score": scores[i, best]})
-
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
+    spread = candidates.withColumn("b", F.pmod(F.xxhash64("id", "terms", "copy"), F.lit(n_blocks)))
+    blocks = _packed(spread.select("id", "terms", "b"), "b").withColumn("asks", F.lit(0))
+    asked = _packed(queries.select("id", "terms", place(m_blocks)), "b").withColumn("asks", F.lit(1))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    met = blocks.unionByName(asked).repartition(max(1, min(n_blocks, 4096)), "block").sortWithinPartitions("block", "asks")
+    met = met.select("block", "asks", "ids", "rows", "terms", "weights")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, postings = None, np.empty(0, np.int64), {}
+        for batch in batches:
+            found = [np.empty((0, 3), np.int64)]
+            for at in range(batch.num_rows):
+                block, asks, named, *packed = (column[at].as_py() for column in batch.columns)
+                if not asks:
+                    held, ids, postings = block, np.frombuffer(named, np.int64), _postings(*packed)
+                elif block == held:
+                    q_ids = np.frombuffer(named, np.int64)
+                    scores = _scores(_postings(*packed), postings, len(q_ids), len(ids))
+                    for i, qid in enumerate(q_ids):
+                        others = np.flatnonzero(ids != qid)
+                        best = others[_best(scores[i, others], ids[others], k)]
+                        found.append(np.column_stack((np.full(len(best), qid), ids[best], scores[i, best])))
+            rows = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(3)], ["query_id", "vec_id", "score"])
+
+    found = in_small_batches(met).mapInArrow(search, "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
