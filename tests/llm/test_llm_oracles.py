@@ -80,6 +80,20 @@ def test_top_k_ties_unequal_lengths_and_unusable_rows(spark):
     assert topk.exact_top_k(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_top_k_by_brute_force_with_repeated_rows(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([7, 100, 200, rng.randrange(40)]), [rng.randrange(-3, 4) for _ in range(rng.choice([0, 2, 5]))]) for _ in range(300)]
+    rows += [(9, [1, 1])] * 400
+    asked = {q: min(t for i, t in rows if i == q) for q in (100, 200)}
+    want = []
+    for q, terms in asked.items():
+        scored = sorted((-sum(x * y for x, y in zip(terms, t)), i) for i, t in rows if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:25])]
+    d = spark.createDataFrame([(i, t, "x") for i, t in rows], "id long, terms array<long>, block string")
+    got = topk.exact_top_k(d.where("id % 100 = 0 AND id > 0"), d, 25)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == want
+
+
 def test_non_finite_vectors_take_no_part(spark):
     d = spark.createDataFrame([(0, [0.5]), (1, [float("nan")]), (2, [float("inf")]), (3, [None]), (4, [-0.0001])], "vec_id long, embedding array<float>")
     assert {r.id: r.terms for r in topk.weights_of(d).collect()} == {0: [512], 1: None, 2: None, 3: None, 4: [-1]}
@@ -179,6 +193,22 @@ def test_archives_round_trip_with_revisits(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_null_page_ids_come_back_as_null(spark, tmp_path):
+    rows = [(None, "u", "same"), (-1, "v", "same"), (None, "w", "alone"), (None, None, "alone")]
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.op6_warc(spark, folder).collect()]
+    assert sorted(got, key=str) == [(-1, "response", None), (None, "response", None), (None, "response", None), (None, "revisit", -1)]
+
+
+def test_long_payloads_are_read_in_proportion(spark, tmp_path):
+    page = spark.range(1).select(F.lit(1).cast("long").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("0123456789abcdef"), 1 << 22).alias("html"))
+    path = str(tmp_path / "w")
+    warc.write_warc(warc.plan_records(page), path)
+    got = warc.read_warc(spark, path).select(F.length("payload").alias("n"), F.sha1("payload").alias("h")).first()
+    assert tuple(got) == (1 << 26, hashlib.sha1(b"0123456789abcdef" * (1 << 22)).hexdigest())
+
+
 def test_plain_archives_are_read(spark, tmp_path):
     from types import SimpleNamespace as N
 
@@ -190,11 +220,13 @@ def test_plain_archives_are_read(spark, tmp_path):
 # 7
 
 def test_classifier_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # the smaller tables hold a handful of toxic held-out rows
     scored = toxicity.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     clean = [r for r in scored if r.toxic == 0]
     assert np.mean([r.predicted == 0 for r in clean]) > 0.9
-    assert np.mean([r.score for r in scored if r.toxic == 1]) > np.mean([r.score for r in clean])
+    caught = [r.predicted == 1 for r in scored if r.toxic == 1]
+    print("caught", sum(caught), "of", len(caught), "flagged", sum(r.predicted for r in clean), "of", len(clean))
+    assert caught and np.mean(caught) >= 0.8, f"{sum(caught)} of {len(caught)}"
 
 
 def test_scores_do_not_depend_on_steps_and_empty_texts(spark):
@@ -211,6 +243,32 @@ def test_scores_do_not_depend_on_steps_and_empty_texts(spark):
     assert model.score(model.logit(model.pooled(rows)), toxicity.language(toxicity.votes(words).sum(axis=0), len(words))) == pytest.approx(whole[2])
 
 
+def test_scores_by_a_plain_convolution(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = ["bad", "worse", "good", "fine", "day", "it", "is"]
+    said = [list(rng.choice(vocabulary, rng.integers(1, 15))) for _ in range(80)]
+    labels = np.array([int("bad" in w) for w in said])
+    model = toxicity.fit([np.array([toxicity.features(x) for x in w], np.int32) for w in said], labels, ["en"] * 80)
+
+    def plain_score(text):
+        words = toxicity._tokens(text.lower())
+        rows = [sum(model.table[f] for f in toxicity.features(w)) for w in words]
+        logit = model.shift
+        for b, kernel in enumerate(model.kernels):
+            edge = [np.zeros(toxicity.DIM, np.float32)] * (len(kernel) - 1)
+            padded = [*edge, *rows, *edge]
+            for f in range(toxicity.FILTERS):
+                windows = [sum(float(padded[i + j] @ kernel[j][:, f]) for j in range(len(kernel))) for i in range(len(padded) - len(kernel) + 1)]
+                at = b * toxicity.FILTERS + f
+                logit += max(0.0, (max(windows) if rows else 0.0) + model.bias[at]) * model.out[at]
+        spoken = toxicity.language(toxicity.votes(words).sum(axis=0), len(words)) if words else ""
+        return 1 / (1 + np.exp(-(logit - model.thresholds.get(spoken, model.thresholds[""]))))
+
+    texts = ["bad", "it is a good day", "Good day, BAD day!", "is it worse " * 9, "unknown words only"]
+    got = [r.score for r in toxicity.score_toxicity(docs(spark, *texts), model).orderBy("doc_id").collect()]
+    assert got == pytest.approx([plain_score(t) for t in texts], abs=1e-4)
+
+
 def test_one_class_scores_the_prior():
     model = toxicity.fit([np.zeros((2, toxicity.FEATURES), np.int32)], np.array([0]), ["en"])
     assert model.score(0.0, "en") < 0.5
