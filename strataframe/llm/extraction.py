@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Set
 from hashlib import blake2b
@@ -54,6 +55,10 @@ OPEN_HOSTS = 500
 RULES_BYTES, SALTS = 32 << 20, 32
 
 
+#: Cells of the table that aligns two lists of elements; longer lists are aligned by their next equal keys.
+TABLE_CELLS = 1 << 20
+
+
 class Node:
     """A block element: key, children, and its own text as runs (text, position among the children).
 
@@ -305,8 +310,39 @@ def folded(parts: list[Part]) -> list[Part]:
     return out
 
 
+def _resynced(x: list[Part], y: list[Part]) -> list[tuple[int, int]]:
+    """Matches of two long lists in one pass: where keys differ, the side that is sooner at the other's key goes on to it."""
+    places: tuple[dict[str, list[int]], ...] = ({}, {})
+    for found, parts in zip(places, (x, y), strict=True):
+        for i, part in enumerate(parts):
+            found.setdefault(part.key, []).append(i)
+
+    def ahead(side: int, key: str, at: int) -> int | None:
+        found = places[side].get(key, [])
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else None
+
+    p, q, out = 0, 0, []
+    while p < len(x) and q < len(y):
+        if x[p].key == y[q].key:
+            out.append((p, q))
+            p, q = p + 1, q + 1
+            continue
+        left, right = ahead(0, y[q].key, p), ahead(1, x[p].key, q)
+        if left is None and right is None:
+            p, q = p + 1, q + 1
+        elif right is None or left is not None and left - p <= right - q:
+            p = left
+        else:
+            q = right
+    return out
+
+
 def _matches(a: list[Part], b: list[Part]) -> list[tuple[int, int]]:
-    """A longest common subsequence of keys; equal ends are matched first, so it is a table over the middle only."""
+    """A longest common subsequence of keys; equal ends are matched first, so it is a table over the middle only.
+
+    A middle of more than ``TABLE_CELLS`` pairs is aligned in one pass instead, which may match less.
+    """
     i = 0
     while i < min(len(a), len(b)) and a[i].key == b[i].key:
         i += 1
@@ -314,6 +350,9 @@ def _matches(a: list[Part], b: list[Part]) -> list[tuple[int, int]]:
     while j < min(len(a), len(b)) - i and a[-1 - j].key == b[-1 - j].key:
         j += 1
     x, y = a[i : len(a) - j], b[i : len(b) - j]
+    if len(x) * len(y) > TABLE_CELLS:
+        middle = [(i + p, i + q) for p, q in _resynced(x, y)]
+        return [*((k, k) for k in range(i)), *middle, *((len(a) - j + k, len(b) - j + k) for k in range(j))]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for p in range(len(x) - 1, -1, -1):
         for q in range(len(y) - 1, -1, -1):

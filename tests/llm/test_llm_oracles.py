@@ -510,3 +510,22 @@ def test_deep_and_broken_pages_are_read_in_proportion(spark):
     assert got[1] == "Deep text stands here.\nMore of it." and got[2].startswith("Some words.") and got[3].startswith("Said.")
     assert got[4] == "One." and got[5] == "Kept."
     assert time.time() - began < 90
+
+
+def test_pages_of_very_many_elements_are_aligned_in_proportion(monkeypatch):
+    rng = random.Random(6)
+    names = ["h2", "p", "ul", "pre", "table"]
+    pages = []
+    for _ in range(2):
+        order = [names[i % 5] for i in range(12_000)]
+        for at in sorted(rng.sample(range(len(order)), 40), reverse=True):
+            del order[at]
+        pages.append([extraction.Part(tag, False) for tag in order])
+    matched = extraction._matches(*pages)
+    assert all(pages[0][p].key == pages[1][q].key for p, q in matched)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(matched, matched[1:]))
+    assert len(matched) > 11_500
+    short = [[extraction.Part(rng.choice(names), False) for _ in range(30)] for _ in range(2)]
+    whole = len(extraction._matches(*short))
+    monkeypatch.setattr(extraction, "TABLE_CELLS", 1)
+    assert 0 < len(extraction._matches(*short)) <= whole
