@@ -45,14 +45,18 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     """
     turns = rows.groupBy(F.col(conv)).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), text_of(role).alias("role"), text_of(text).alias("text")))).alias("turns"))
 
-    def add(acc: Column, t: Column) -> Column:
-        n = F.size(acc)
-        last = F.get(acc, n - 1)
-        joined = F.concat(F.slice(acc, 1, n - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        fresh = F.concat(acc, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-        return F.when((n > 0) & (last["role"] == t["role"]), joined).otherwise(fresh)
-
-    blocks = F.aggregate("turns", F.expr("cast(array() as array<struct<role: string, texts: array<string>>>)"), add)
+    # Runs of one role are found by comparing neighbours and gathered by slices, so the work is in proportion to the turns.
+    same = lambda i, j: F.get("turns", i)["role"] == F.get("turns", j)["role"]
+    last = F.size("turns") - 1
+    places = F.sequence(F.lit(0), last)
+    opens = F.filter(places, lambda i: (i == 0) | ~same(i, i - 1))
+    ends = F.filter(places, lambda i: (i == last) | ~same(i, i + 1))
+
+    def block_of(run: Column) -> Column:
+        texts = F.transform(F.slice("turns", run["first"] + 1, run["last"] - run["first"] + 1), lambda t: t["text"])
+        return F.struct(F.get("turns", run["first"])["role"].alias("role"), texts.alias("texts"))
+
+    blocks = F.transform(F.arrays_zip(opens.alias("first"), ends.alias("last")), block_of)
 
     def parts(block: Column) -> Column:
         name, learned = _role(block["role"]), block["role"].isin(*learn)

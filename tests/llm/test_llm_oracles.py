@@ -329,6 +329,19 @@ def test_chat_reads_back_whatever_is_in_it(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_conversations_of_very_many_turns_are_merged_in_proportion(spark):
+    n = 50_000
+    rows = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 < 2, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text")
+    )
+    began = time.monotonic()
+    out = chat.format_chats(rows).select(chat.read_back(F.col("formatted")).alias("t"), chat.loss_text(F.col("segments")).alias("loss"), "formatted").collect()[0]
+    assert time.monotonic() - began < 60
+    assert [(t.role, t.text) for t in out.t] == [("user" if i % 3 < 2 else "assistant", str(i)) for i in range(n)]
+    assert out.loss == "".join(str(i) for i in range(2, n, 3))
+    assert out.formatted.count("<|user:|>") == (n + 2) // 3 and out.formatted.count("<|+user:|>") == (n + 1) // 3
+
+
 # 10
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
