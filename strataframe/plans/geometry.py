@@ -73,17 +73,17 @@ sampled AS (SELECT {named}, CASE WHEN count(d.z) = count(*) THEN sum(part * d.z)
   FROM (SELECT * FROM p2 WHERE part <> 0) AS p2 LEFT JOIN dem d ON d.ix = nx AND d.iy = ny GROUP BY {named})"""
 
 
-_MAP = f"""m AS (SELECT n_nationkey AS grid_id, (n_nationkey * 41) % 300 * 1e0 AS xmin, 5e0 AS ymin, (n_nationkey * 41) % 300 + 400.5e0 AS xmax, 5e0 + n_nationkey * 2 AS ymax, 20 AS n, 10 AS m FROM {{nation}})"""
+_MAP = """m AS (SELECT k AS grid_id, (k * 41) % 300 * 1e0 AS xmin, 5e0 AS ymin, (k * 41) % 300 + 400.5e0 AS xmax, 5e0 + k % 25 * 2 AS ymax, 20 AS n, 10 AS m FROM site)"""
 
 
 def _map_boxes(spark, sf):
-    n = spark.read.parquet(f"{sf}/nation.parquet")
-    k = F.col("n_nationkey")
+    k = F.col("k")
     x = (k * 41) % 300
-    return n.select(k.alias("grid_id"), x.cast("double").alias("xmin"), F.lit(5.0).alias("ymin"), (x + 400.5).alias("xmax"), (k * 2 + 5.0).alias("ymax"), F.lit(20).alias("n"), F.lit(10).alias("m"))
+    corners = {"xmin": x.cast("double"), "ymin": F.lit(5.0), "xmax": x + 400.5, "ymax": k % 25 * 2 + 5.0, "n": F.lit(20), "m": F.lit(10)}
+    return view(spark, sf, "site").select(k.alias("grid_id"), *[c.alias(a) for a, c in corners.items()])
 
 
-@query(f"""WITH {_MAP.format(nation='nation')}, mp AS (SELECT grid_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_LIN.format(i='i', n='n', a='xmin', b='xmax')} AS x, {_LIN.format(i='j', n='m', a='ymin', b='ymax')} AS y
+@query(f"""WITH {_MAP}, mp AS (SELECT grid_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_LIN.format(i='i', n='n', a='xmin', b='xmax')} AS x, {_LIN.format(i='j', n='m', a='ymin', b='ymax')} AS y
   FROM m, LATERAL (SELECT unnest(range(n)) AS i) AS a, LATERAL (SELECT unnest(range(m)) AS j) AS b), {_bilinear('mp', 'grid_id, i, j, x, y')}
   SELECT grid_id, i, j, {_rs('x', 'y', 'dem_z')} FROM sampled""")
 def map_grid(spark, sf):
@@ -91,13 +91,12 @@ def map_grid(spark, sf):
 
 
 def _voxel_boxes(spark, sf):
-    n = spark.read.parquet(f"{sf}/nation.parquet")
-    k = F.col("n_nationkey")
+    k = F.col("k")
     box = {f"{a}min": F.lit(0.0) for a in "xyz"} | {"xmax": F.lit(1000.0), "ymax": F.lit(1000.0), "zmax": F.lit(960.0)}
-    return n.select(k.alias("grid_id"), *[c.alias(a) for a, c in box.items()], (k % 5 + 8).alias("nx"), (k % 3 + 7).alias("ny"), (k % 4 + 5).alias("nz"))
+    return view(spark, sf, "site").select(k.alias("grid_id"), *[c.alias(a) for a, c in box.items()], (k % 5 + 8).alias("nx"), (k % 3 + 7).alias("ny"), (k % 4 + 5).alias("nz"))
 
 
-_VOX = """v AS (SELECT n_nationkey AS grid_id, n_nationkey % 5 + 8 AS nx, n_nationkey % 3 + 7 AS ny, n_nationkey % 4 + 5 AS nz FROM nation),
+_VOX = """v AS (SELECT k AS grid_id, k % 5 + 8 AS nx, k % 3 + 7 AS ny, k % 4 + 5 AS nz FROM site),
 voxels AS (SELECT grid_id, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz, (ix + 0.5e0) * (1000e0 / nx) AS x, (iy + 0.5e0) * (1000e0 / ny) AS y, (iz + 0.5e0) * (960e0 / nz) AS z
  FROM v, LATERAL (SELECT unnest(range(nx)) AS ix) AS a, LATERAL (SELECT unnest(range(ny)) AS iy) AS b, LATERAL (SELECT unnest(range(nz)) AS iz) AS c)"""
 
@@ -138,10 +137,10 @@ def labels_and_names(spark, sf):
     return s.select(F.col("s_suppkey").alias("id"), V.relabel_container(F.concat(F.lit("/"), "s_name")).alias("container"), V.label_match(F.col("s_name"), "Supplier#0+[1-4].*").alias("matched"), V.gwb_id_from_name(file).alias("gwb_id"))
 
 
-@query("""WITH v AS (SELECT n_nationkey AS grid_id, n_nationkey * 10 + 30 AS nx, n_nationkey % 5 + 8 AS ny FROM nation)
+@query("""WITH v AS (SELECT k AS grid_id, k * 10 + 30 AS nx, k % 5 + 8 AS ny FROM site)
 SELECT grid_id, CAST(floor(greatest(10e0, nx / 10)) AS INT) AS nx, CAST(floor(greatest(10e0, ny / 10)) AS INT) AS ny FROM v""")
 def coarse_shape(spark, sf):
-    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("grid_id"))
+    n = view(spark, sf, "site").select(F.col("k").alias("grid_id"))
     return n.select("grid_id", grids.coarse_shape(F.col("grid_id") * 10 + 30).alias("nx"), grids.coarse_shape(F.col("grid_id") % 5 + 8).alias("ny"))
 
 

@@ -118,8 +118,8 @@ def fault_model_counts(spark, sf):
 
 
 @query("""SELECT n_nationkey AS job, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS springs, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS drillholes,
-(SELECT count(*) FROM sections WHERE section_id = n_nationkey) AS sections, (SELECT count(*) FROM supplier WHERE s_suppkey % 25 = n_nationkey) AS gwb_parts,
-(SELECT CAST(sum(w) AS BIGINT) FROM (SELECT count(*) + 1 AS w FROM tunnels WHERE CAST(floor(tunnel / 10) AS INT) = n_nationkey GROUP BY tunnel)) AS waypoints FROM nation""")
+(SELECT count(*) FROM sections WHERE section_id % 25 = n_nationkey) AS sections, (SELECT count(*) FROM supplier WHERE s_suppkey % 25 = n_nationkey) AS gwb_parts,
+(SELECT CAST(sum(w) AS BIGINT) FROM (SELECT count(*) + 1 AS w FROM tunnels WHERE CAST(floor(tunnel / 10) AS INT) % 25 = n_nationkey GROUP BY tunnel)) AS waypoints FROM nation""")
 def job_counts(spark, sf):
     """Inputs of every job, each counted apart and joined, zero where there are none; waypoints of all its tunnels."""
     jobs = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("job"))
@@ -127,10 +127,10 @@ def job_counts(spark, sf):
     inputs = {
         "springs": suppliers.select(F.col("s_nationkey").alias("job")),
         "drillholes": spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_nationkey").alias("job")),
-        "sections": view(spark, sf, "sections").select(F.col("section_id").alias("job")),
+        "sections": view(spark, sf, "sections").select((F.col("section_id") % 25).alias("job")),
         "gwb_parts": view(spark, sf, "boxes").select((F.col("mesh_id") % 25).cast("int").alias("job")),
     }
-    tunnels = view(spark, sf, "tunnels").withColumn("job", F.floor(F.col("tunnel") / 10).cast("int"))
+    tunnels = view(spark, sf, "tunnels").withColumn("job", F.floor(F.col("tunnel") / 10).cast("int") % 25)
     points = P.waypoints(tunnels, "job", "tunnel").groupBy("job").agg(F.sum("waypoints").alias("waypoints"))
     return P.job_counts(jobs, **inputs).join(points, "job", "left")
 
