@@ -53,26 +53,35 @@ def place_ring(p: Vec, tangent: Vec, bottom: Vec) -> Column:
     return F.struct((placed["x"] + bottom[0]).alias("x"), (placed["y"] + bottom[1]).alias("y"), (placed["z"] + bottom[2]).alias("z"))
 
 
-def ring_rows(tunnels: DataFrame, n: int, scale: float = 1.0) -> DataFrame:
-    """One row per ring vertex ``(..., v, u, w)``, the ring picked by the tunnel's shape."""
-    shapes = rings(n, scale)
+def ring_of_shape(n: int, scale: float = 1.0) -> Column:
+    """The vertices ``array<struct<v, u, w>>`` of the ring that a tunnel's shape names."""
     pick: Column = F.raise_error(F.lit("unknown tunnel shape")).cast("array<struct<v:int,u:double,w:double>>")
-    for name, ring in shapes.items():
+    for name, ring in rings(n, scale).items():
         pick = F.when(F.col("shape") == name, ring).otherwise(pick)
-    return tunnels.withColumn("_p", F.explode(pick)).select("*", "_p.v", "_p.u", "_p.w").drop("_p")
+    return pick
+
+
+def ring_rows(tunnels: DataFrame, n: int, scale: float = 1.0) -> DataFrame:
+    """One row per ring vertex ``(..., v, u, w)``, the ring picked by the tunnel's shape."""
+    return tunnels.select("*", F.inline(ring_of_shape(n, scale)))
 
 
 def tunnel_vertices(tunnels: DataFrame, coefficients: dict[str, list[str]], step: float, n: int, first: int = -1, t_first: float = 0.0, last: int = -1, t_last: float = 1.0) -> DataFrame:
     """Vertices ``(tunnel, station, v, x, y, z)``; a part with both ends set is 10 % wider.
 
-    Stations are numbered within a tunnel in path order.
+    Stations are numbered within a tunnel in path order.  A ring is made once for each part of a tunnel and
+    carried to its stations.
     """
-    stations = tunnel_path(tunnel_stations(tunnels, step, first, t_first, last, t_last), coefficients)
+    shaped = tunnels.withColumn("_ring", ring_of_shape(n, 1.1 if first != -1 and last != -1 else 1.0))
+    stations = tunnel_path(tunnel_stations(shaped, step, first, t_first, last, t_last), coefficients)
     numbered = stations.withColumn("station", F.row_number().over(Window.partitionBy("tunnel").orderBy("segment", "k")) - 1)
-    laid = ring_rows(numbered, n, 1.1 if first != -1 and last != -1 else 1.0)
-    at = place_ring((F.col("u"), F.col("w"), F.lit(0.0)), (F.col("tx"), F.col("ty"), F.col("tz")), (F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    placed = laid.select("tunnel", "station", "v", "bx", "by_", "bz", at.alias("p"))
-    return placed.select("tunnel", "station", "v", (F.col("p.x") + F.col("bx")).alias("x"), (F.col("p.y") + F.col("by_")).alias("y"), (F.col("p.z") + F.col("bz")).alias("z"))
+    # Turning is linear, so a station turns the two directions of the ring's plane once and its vertices are sums of them.
+    zero, one = F.lit(0.0), F.lit(1.0)
+    way, origin = (F.col("tx"), F.col("ty"), F.col("tz")), (zero, zero, zero)
+    turned = numbered.select("*", place_ring((one, zero, zero), way, origin).alias("_e"), place_ring((zero, one, zero), way, origin).alias("_f"))
+    laid = turned.select("tunnel", "station", "bx", "by_", "bz", "_e", "_f", F.inline("_ring"))
+    at = lambda axis, base: (F.col("u") * F.col(f"_e.{axis}") + F.col("w") * F.col(f"_f.{axis}") + F.col(base)).alias(axis)
+    return laid.select("tunnel", "station", "v", at("x", "bx"), at("y", "by_"), at("z", "bz"))
 
 
 def tunnel_faces(stations: DataFrame, n: int) -> DataFrame:
