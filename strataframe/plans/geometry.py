@@ -460,12 +460,22 @@ def surface_cell_cases(spark, sf):
     return meshes.surface_cells(view(spark, sf, "rank_grid")).groupBy("rank", "mask").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query()
+# Faces and volume by rule, without a case table: six tetrahedra fill a cell and are cut at the middles of their edges.
+_SURF = """c AS (SELECT rank, ix - dx AS cx, iy - dy AS cy, iz - dz AS cz, CAST(1 << (dx + 2 * dy + 4 * dz) AS INT) AS b FROM rank_grid, (VALUES (0), (1)) AS p(dx), (VALUES (0), (1)) AS q(dy), (VALUES (0), (1)) AS r(dz) WHERE rank <> 0),
+m AS (SELECT rank, cx, cy, cz, CAST(bit_or(b) AS INT) AS mask FROM c GROUP BY rank, cx, cy, cz),
+t AS (SELECT CAST(1 + (1 << p1) + (1 << (p1 | p2)) + 128 AS INT) AS corners FROM (VALUES (1), (2), (4)) AS p(p1), (VALUES (1), (2), (4)) AS q(p2) WHERE p1 <> p2),
+h AS (SELECT rank, bit_count(mask & corners) AS inside FROM m, t),
+surf AS (SELECT rank, CAST(sum(CASE WHEN inside IN (1, 3) THEN 1 WHEN inside = 2 THEN 2 ELSE 0 END) AS BIGINT) AS faces,
+  sum(CASE inside WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 3 THEN 7 WHEN 4 THEN 8 ELSE 0 END) / 48e0 AS volume FROM h GROUP BY rank)"""
+
+
+@query(f"WITH {_SURF} SELECT rank, round(volume, 3) + 0e0 AS volume, true AS closed, faces FROM surf WHERE faces > 0")
 def surfaces(spark, sf):
     """Closed surfaces of all ranks; ``closed`` and a positive ``volume`` are the test."""
     tri = meshes.extract_surfaces(spark, view(spark, sf, "rank_grid"))
     closed = meshes.mesh_closed(tri, "rank")
-    return meshes.mesh_volume(tri, "rank").join(closed, "rank").join(tri.groupBy("rank").agg(F.count(F.lit(1)).alias("faces")), "rank")
+    made = meshes.mesh_volume(tri, "rank").join(closed, "rank").join(tri.groupBy("rank").agg(F.count(F.lit(1)).alias("faces")), "rank")
+    return made.select("rank", V.tidy(F.col("volume"), 3).alias("volume"), "closed", "faces")
 
 
 @query(f"""WITH {_VOX}, t AS (SELECT *, 0.00001e0 * sqrt((xmax - xmin) * (xmax - xmin) + (ymax - ymin) * (ymax - ymin) + (zmax - zmin) * (zmax - zmin)) AS tol FROM boxes),
@@ -591,7 +601,8 @@ def fault_mesh_outputs(spark, sf):
     return tris.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("triangles"))
 
 
-@query()
+@query(f"""WITH {_SURF} SELECT 'mesh' AS kind, 'rank_' || CASE WHEN reference = 'base' THEN unit - 1 ELSE unit END AS name, CAST(sum(faces) AS BIGINT) AS triangles
+FROM surf JOIN series ON unit = rank WHERE faces > 0 GROUP BY ALL""")
 def unit_mesh_outputs(spark, sf):
     """Triangles by rock unit from the surfaces of the rank grid."""
     tris = assembly.unit_meshes(spark, view(spark, sf, "rank_grid"), view(spark, sf, "series"))
