@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strataframe.functions import vector as V
 from strataframe.operators import assembly, graph, grids, groundwater, meshes, sections as S, spatial, tunnels as T
@@ -556,30 +556,58 @@ def fault_levels(spark, sf):
     return S.fault_levels(_faults(spark, sf))
 
 
-@query(f"""WITH {_GRID}, r AS (SELECT section_id, seg, i, j, coalesce(k.rank, 0) AS rank FROM grid LEFT JOIN rank_grid k ON k.ix = floor(x / 40e0) AND k.iy = floor(y / 40e0) AND k.iz = floor((z + 200) / 40e0)),
-l AS (SELECT section_id, seg, i, string_agg(CAST(rank AS VARCHAR), ' ' ORDER BY j) AS line FROM r GROUP BY ALL)
-SELECT section_id, seg, string_agg(line, ';' ORDER BY i) AS matrix FROM l GROUP BY ALL""")
+_LINES = """l AS (SELECT section_id, seg, i, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY j) AS line FROM r GROUP BY ALL)
+SELECT section_id, seg, string_agg(line, ';' ORDER BY i) AS matrix FROM l GROUP BY ALL"""
+
+
+def _lines(m: Column) -> Column:
+    return F.array_join(F.transform(m, lambda line: F.array_join(F.transform(line, lambda v: v.cast("string")), " ")), ";")
+
+
+@query(f"""WITH {_GRID}, {_bilinear('grid', 'section_id, seg, i, j, x, y, z')},
+r AS (SELECT section_id, seg, i, j, CASE WHEN z > dem_z THEN 0 ELSE coalesce(k.rank, 0) END - CASE WHEN section_id % 2 = 0 THEN 1 ELSE 0 END AS v
+  FROM sampled LEFT JOIN rank_grid k ON k.ix = floor(x / 40e0) AND k.iy = floor(y / 40e0) AND k.iz = floor((z + 200) / 40e0)), {_LINES}""")
 def rank_matrix(spark, sf):
-    """Ranks of every section, a line for each step along it."""
-    lines = lambda m: F.array_join(F.transform(m, lambda line: F.array_join(F.transform(line, lambda v: v.cast("string")), " ")), ";")
-    return _rank_matrix(spark, sf).select("section_id", "seg", lines(F.col("matrix")).alias("matrix"))
+    """Ranks of every section, a line for each step along it: sky above ground, one less where the pile is told by bases."""
+    return _rank_matrix(spark, sf).select("section_id", "seg", _lines(F.col("matrix")).alias("matrix"))
+
+
+def _section_points(spark, sf):
+    return grids.vertical_slice_grid(view(spark, sf, "sections")).select("section_id", "seg", "i", "j", "x", "y", "z")
 
 
 def _rank_matrix(spark, sf):
-    """Nested rank arrays [along][up] of every section."""
-    grid = grids.vertical_slice_grid(view(spark, sf, "sections"))
-    ranked = spatial.rank_sample(grid.withColumn("z", F.col("z") + 200), view(spark, sf, "rank_grid"), (40.0, 40.0, 40.0))
-    return S.matrix(ranked, ["section_id", "seg"], "rank")
+    """Nested rank arrays [along][up] of every section; sections of even number belong to piles told by bases."""
+    ground = spatial.dem_sample(_section_points(spark, sf), view(spark, sf, "dem"), 20.0)
+    ranked = spatial.rank_sample(ground, view(spark, sf, "rank_grid"), (40.0, 40.0, 40.0), (0.0, 0.0, -200.0))
+    reference = F.when(F.col("section_id") % 2 == 0, "base").otherwise("top")
+    return S.matrix(ranked.withColumn("rank", S.section_rank(F.col("rank"), reference)), ["section_id", "seg"], "rank")
+
+
+@query(f"""WITH {_GRID}, t AS (SELECT *, 0.00001e0 * sqrt((xmax - xmin) * (xmax - xmin) + (ymax - ymin) * (ymax - ymin) + (zmax - zmin) * (zmax - zmin)) AS tol FROM boxes),
+r AS (SELECT section_id, seg, i, j, coalesce(min_by(gwb_id, mesh_id), 0) AS v
+  FROM grid p LEFT JOIN t ON p.x > t.xmin + tol AND p.x < t.xmax - tol AND p.y > t.ymin + tol AND p.y < t.ymax - tol AND p.z > t.zmin + tol AND p.z < t.zmax - tol GROUP BY section_id, seg, i, j), {_LINES}""")
+def section_bodies(spark, sf):
+    """The first groundwater body that holds each point of every section, a line for each step along it."""
+    return _body_matrix(spark, sf).select("section_id", "seg", _lines(F.col("matrix")).alias("matrix"))
+
+
+def _body_matrix(spark, sf):
+    points = _section_points(spark, sf)
+    hits = spatial.points_in_mesh(points, view(spark, sf, "tri"))
+    tags = spatial.gwb_tags(points, hits.join(view(spark, sf, "boxes").select("mesh_id", "gwb_id"), "mesh_id"))
+    return S.matrix(tags, ["section_id", "seg"], "gwb_first")
 
 
 @query()
 def section_report(spark, sf):
-    """Ranks, springs and drillholes of every section as nested values, one row per section."""
-    ranks = _rank_matrix(spark, sf)
-    springs = S.project_springs(view(spark, sf, "sections"), view(spark, sf, "springs"), _LIMIT).groupBy("section_id", "seg").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", F.array("u", "z"))))).alias("springs"))
-    holes = S.project_drillholes(view(spark, sf, "sections"), view(spark, sf, "drillholes"), _LIMIT).groupBy("section_id", "seg").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", F.array(F.array("u0", "v0"), F.array("u1", "v1")))))).alias("drillholes"))
-    joined = ranks.join(springs, ["section_id", "seg"], "left").join(holes, ["section_id", "seg"], "left")
-    return joined.select("section_id", "seg", F.to_json(F.struct("matrix", "springs", "drillholes")).alias("report"))
+    """Ranks, groundwater bodies, springs and drillholes of every section as nested values, one row per section."""
+    keys = ["section_id", "seg"]
+    ranks, bodies = _rank_matrix(spark, sf), _body_matrix(spark, sf).withColumnRenamed("matrix", "bodies")
+    springs = S.project_springs(view(spark, sf, "sections"), view(spark, sf, "springs"), _LIMIT).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", F.array("u", "z"))))).alias("springs"))
+    holes = S.project_drillholes(view(spark, sf, "sections"), view(spark, sf, "drillholes"), _LIMIT).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", F.array(F.array("u0", "v0"), F.array("u1", "v1")))))).alias("drillholes"))
+    joined = ranks.join(bodies, keys).join(springs, keys, "left").join(holes, keys, "left")
+    return joined.select(*keys, F.to_json(F.struct("matrix", "bodies", "springs", "drillholes")).alias("report"))
 
 
 @query("SELECT DISTINCT fault FROM (SELECT fault FROM faults UNION ALL SELECT stops_on FROM faults WHERE stops_on IS NOT NULL)")
