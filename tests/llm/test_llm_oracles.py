@@ -316,6 +316,31 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(d, width=2).collect()} == {(None, None, True), (1, 1, True)}
 
 
+def planted_pairs(width, changes, count, seed):
+    """Pairs of texts of 180 shingles, ``m`` words apart from each other replaced: (180 - width m) / (180 + width m) alike."""
+    draw, words = random.Random(seed), 179 + width
+    for m in changes:
+        for _ in range(count):
+            a = [f"w{draw.randrange(10**9)}" for _ in range(words)]
+            b = list(a)
+            for place in draw.sample(range(width - 1, words - width + 1, width), m):
+                b[place] = f"n{draw.randrange(10**9)}"
+            yield m, " ".join(a), " ".join(b)
+
+
+def recall_by_similarity(spark, width, changes, count, seed=0):
+    pairs = list(planted_pairs(width, changes, count, seed))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, *[t for _, a, b in pairs for t in (a, b)]), width=width).collect()}
+    found = {m: [got[2 * i] == got[2 * i + 1] for i, p in enumerate(pairs) if p[0] == m] for m in changes}
+    return {round((180 - width * m) / (180 + width * m), 3): sum(f) / len(f) for m, f in found.items()}
+
+
+@pytest.mark.parametrize(("width", "changes"), [(2, (10, 8, 5, 2)), (5, (4, 3, 2, 1))])
+def test_recall_at_every_similarity(spark, width, changes):
+    recall = recall_by_similarity(spark, width, changes, 100)
+    assert min(recall) == 0.8 and min(recall.values()) >= 0.99
+
+
 # 9
 
 def test_chat_reads_back_whatever_is_in_it(spark):
