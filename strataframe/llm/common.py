@@ -42,3 +42,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes; the polynomial's table is made by its rule, four bits at a time."""
+    steps = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        steps.append(value)
+    halves = rf"regexp_extract_all(regexp_replace(hex(encode({text})), '(.)(.)', '\2\1', 'g'), '.')"
+    values = f"list_transform({halves}, lambda x: CAST('0x' || x AS BIGINT))"
+    step = f"lambda c, b: xor(c >> 4, CAST({steps} AS BIGINT[])[1 + (xor(c, b) & 15)])"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {values}), {step}))"
