@@ -213,11 +213,11 @@ s AS (SELECT t.g, d AS subroot, row_number() OVER (ORDER BY t.g) - 1 AS i, h FRO
 u AS (SELECT 0 AS l, i, subroot AS d FROM s UNION ALL
       SELECT l + 1, i // 2, sha256(d || coalesce(nx, '')) FROM (SELECT *, lead(d) OVER (ORDER BY i) AS nx, count(*) OVER () AS n FROM u) WHERE i % 2 = 0 AND n > 1),
 v AS (SELECT max(l) AS h FROM u),
-w AS (SELECT p.r, s.subroot, k.l, p.i >> k.l AS at, t.d AS sib FROM p JOIN s ON p.g = s.g JOIN (SELECT unnest(range(64)) AS l) AS k ON k.l < s.h
+w AS (SELECT p.r, s.subroot, k.l, p.i >> k.l AS place, t.d AS sib FROM p JOIN s ON p.g = s.g JOIN (SELECT unnest(range(64)) AS l) AS k ON k.l < s.h
       LEFT JOIN t ON t.g = p.g AND t.l = k.l AND t.i = xor(p.i >> k.l, 1)
       UNION ALL SELECT p.r, s.subroot, 100 + k.l, s.i >> k.l, u.d FROM p JOIN s ON p.g = s.g CROSS JOIN v JOIN (SELECT unnest(range(64)) AS l) AS k ON k.l < v.h
       LEFT JOIN u ON u.l = k.l AND u.i = xor(s.i >> k.l, 1)),
-q AS (SELECT r, string_agg(coalesce(sib, ''), '' ORDER BY l) AS proof, list(CASE WHEN sib IS NULL THEN '-' WHEN at % 2 = 1 THEN 'L' || sib ELSE 'R' || sib END ORDER BY l) AS path FROM w GROUP BY r),
+q AS (SELECT r, string_agg(coalesce(sib, ''), '' ORDER BY l) AS proof, list(CASE WHEN sib IS NULL THEN '-' WHEN place % 2 = 1 THEN 'L' || sib ELSE 'R' || sib END ORDER BY l) AS path FROM w GROUP BY r),
 f AS (SELECT p.doc_id, p.leaf, s.subroot, (SELECT d FROM u JOIN v ON u.l = v.h) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
              list_reduce(list_prepend(coalesce(forged, leaf), coalesce(path, [])), lambda x, y: sha256(CASE y[1] WHEN 'L' THEN y[2:] || x WHEN 'R' THEN x || y[2:] ELSE x END)) AS folded_root
       FROM p JOIN s ON p.g = s.g LEFT JOIN q ON p.r = q.r)
