@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataframe.llm import bpe, chat, extraction, merkle, mixing, neardup, pii, pipeline, quality, runs, topk, toxicity, warc
+from strataframe.llm import bpe, chat, extraction, merkle, mixing, neardup, pii, pipeline, quality, runs, sharding, topk, toxicity, warc
 
-_MODULES = (mixing, topk, bpe, extraction, quality, warc, toxicity, neardup, chat, pii, merkle, runs, pipeline)
+_MODULES = (mixing, topk, bpe, extraction, quality, warc, toxicity, neardup, chat, pii, merkle, sharding, runs, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

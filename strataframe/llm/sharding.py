@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from strataframe.llm.common import crc32_sql, table, text_of
 from strataframe.operators.spatial import SMALL, ranked
@@ -19,7 +19,7 @@ BINS = 4096
 #: Copies of one text may be parted if they weigh more than a shard over this.
 PARTED_FROM = 20
 #: A place in a node's order: the dimension's coordinate, the group of equal texts, the id's upper and lower half.
-_STAGES = ("c", "group", "high", "low")
+_STAGES = ("c", "grp", "high", "low")
 
 
 def group_of(text: Column) -> Column:
@@ -41,77 +41,83 @@ def with_rank(scratch: Scratch, docs: DataFrame, name: str, out: str) -> DataFra
     return met.select(*docs.columns, F.coalesce("_pos", F.lit(0)).cast("int").alias(out))
 
 
-def _exact(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("decimal(38,0)")
+def _coordinate(dims: list[str]) -> str:
+    return f"element_at(array({', '.join(f'CAST({d} AS LONG)' for d in dims)}), coalesce(dim, 1))"
 
 
 def _bounds(rows: DataFrame, dims: list[str]) -> DataFrame:
-    ends = [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))]
-    return rows.groupBy("node", "k").agg(F.sum("weight").alias("w"), *ends)
+    ends = ", ".join(f"min({d}) AS min_{d}, max({d}) AS max_{d}" for d in dims)
+    return rows.sparkSession.sql(f"SELECT node, k, sum(weight) AS w, {ends} FROM {{rows}} GROUP BY node, k", rows=rows)
+
+
+#: A search for one node's cut: its weight and shards, the dimension, the stage of the place and the ends of the bin
+#: looked into, the weight before it, and what is known of the cut.
+_STATE = ["node", "k", "w", "k_left", "dim", "stage", "before", "lo", "hi", *[f"at_{s}" for s in _STAGES], "unit", "done"]
 
 
 def _first_states(rows: DataFrame, dims: list[str], spans: Mapping[str, int]) -> DataFrame:
-    """A node's widest dimension, the share of its weight that goes left, and the ends of its coordinates."""
-    wide = [((F.col(f"max_{d}") - F.col(f"min_{d}")) / F.lit(float(max(spans[d], 1)))).alias(d) for d in dims]
-    found = _bounds(rows.where("k > 1"), dims).withColumn("_wide", F.array(*wide))
-    found = found.withColumn("dim", F.array_position("_wide", F.array_max("_wide")).cast("int"))
-    end = lambda n: F.element_at(F.array(*[F.col(f"{n}_{d}").cast("long") for d in dims]), F.col("dim"))
-    none = [F.lit(None).cast("long").alias(f"at_{s}") for s in _STAGES]
-    return found.select("node", "k", "w", F.ceil(F.col("k") / 2).cast("int").alias("k_left"), "dim", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("before"),
-                        end("min").alias("lo"), end("max").alias("hi"), *none, F.lit(None).cast("long").alias("unit"), F.lit(False).alias("done"))
-
-
-def _narrowed(rows: DataFrame, dims: list[str], states: DataFrame, whole: Column) -> DataFrame:
-    """One step for every node that is not done: the bin that holds the median, its ends, and the weight before it."""
-    names = [c for c in states.columns if c not in ("node", "k")]
-    met = rows.drop("k").join(states, "node").withColumn("c", F.element_at(F.array(*[F.col(d).cast("long") for d in dims]), F.col("dim")))
-    value = F.element_at(F.array(*_STAGES), F.col("stage") + 1)
-    following = F.get(F.array(*_STAGES), F.col("stage") + 1)
-    same = F.lit(True)
-    for s in _STAGES[:-1]:
-        same = same & (F.col(f"at_{s}").isNull() | (F.col(f"at_{s}") == F.col(s)))
-    met = met.withColumns({"_v": value, "_f": following}).where(same & F.col("_v").between(F.col("lo"), F.col("hi")))
-    step = F.expr(f"(hi - lo) DIV {BINS} + 1")
-    binned = met.withColumn("_step", step).withColumn("_bin", F.expr("(_v - lo) DIV _step"))
-    ends = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min("_f").alias("_flo"), F.max("_f").alias("_fhi")]
-    bins = binned.groupBy("node", "_bin").agg(F.sum("weight").alias("_w"), *ends)
-    upto = F.sum("_w").over(Window.partitionBy("node").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
-    bins = bins.withColumn("_upto", upto).join(states, "node")
-    reached = _exact(F.col("before") + F.col("_upto")) * _exact("k") >= _exact("w") * _exact("k_left")
-    first = bins.where(reached).groupBy("node").agg(F.min_by(F.struct("*"), "_bin").alias("s")).select("s.*")
-    one = F.col("_lo") == F.col("_hi")
-    # a group of copies stays whole unless it weighs more than its share of a shard
-    light = (F.col("stage") == 1) & (_exact("_w") * PARTED_FROM <= whole)
-    over = one & (light | (F.col("stage") == len(_STAGES) - 1))
-    moved = {
-        "before": F.col("before") + F.col("_upto") - F.col("_w"),
-        "lo": F.when(one, F.col("_flo")).otherwise(F.col("_lo")),
-        "hi": F.when(one, F.col("_fhi")).otherwise(F.col("_hi")),
-        "unit": F.when(over, F.col("_w")),
-        "done": over,
-        "stage": F.when(one & ~over, F.col("stage") + 1).otherwise(F.col("stage")),
-    } | {f"at_{s}": F.when(one & (F.col("stage") == i), F.col("_lo")).otherwise(F.col(f"at_{s}")) for i, s in enumerate(_STAGES)}
-    return first.select("node", "k", *[moved.get(n, F.col(n)).alias(n) for n in names])
-
-
-def _split(rows: DataFrame, dims: list[str], cuts: DataFrame) -> DataFrame:
-    """Every row of a node that is cut goes left or right; ``node`` is the first shard of what it leads to."""
-    kept = rows.columns
-    met = rows.join(cuts.drop("k", "w"), "node", "left").withColumn("c", F.element_at(F.array(*[F.col(d).cast("long") for d in dims]), F.coalesce("dim", F.lit(1))))
-    side = F.col("left")
-    for s in reversed(_STAGES):
-        cut = F.col(f"at_{s}")
-        side = F.when(cut.isNull(), F.col("left")).when(F.col(s) < cut, True).when(F.col(s) > cut, False).otherwise(side)
-    went = F.when(F.col("dim").isNull(), F.lit(None)).otherwise(side)
-    right = F.col("k") - F.col("k_left")
-    return met.withColumn("_left", went).select(
-        *[c for c in kept if c not in ("node", "k")],
-        F.when(F.col("_left"), F.col("node")).when(~F.col("_left"), F.col("node") + F.col("k_left")).otherwise(F.col("node")).alias("node"),
-        F.when(F.col("_left"), F.col("k_left")).when(~F.col("_left"), right).otherwise(F.col("k")).alias("k"),
-    )
+    """A node's widest dimension, the weight that goes left, and the ends of its coordinates."""
+    wide = ", ".join(f"(max_{d} - min_{d}) / {float(max(spans[d], 1))}D" for d in dims)
+    low, high = (f"element_at(array({', '.join(f'CAST({n}_{d} AS LONG)' for d in dims)}), dim)" for n in ("min", "max"))
+    unknown = ", ".join(f"CAST(NULL AS LONG) AS at_{s}" for s in _STAGES)
+    widest = f"SELECT *, CAST(array_position(array({wide}), array_max(array({wide}))) AS INT) AS dim FROM {{found}}"
+    sql = f"""SELECT node, k, w, CAST(ceil(k / 2) AS INT) AS k_left, dim, 0 AS stage, 0L AS before, {low} AS lo, {high} AS hi,
+                     {unknown}, CAST(NULL AS LONG) AS unit, false AS done FROM ({widest})"""
+    return rows.sparkSession.sql(sql, found=_bounds(rows.where("k > 1"), dims))
+
 
+def _told(spark: SparkSession, states: list[Row]) -> DataFrame:
+    """A level's states as a table of literals."""
+    values = ", ".join(f"({', '.join('NULL' if v is None else str(v) for v in row)})" for row in states)
+    kinds = ["INT" if n in ("node", "k", "k_left", "dim", "stage") else "BOOLEAN" if n == "done" else "LONG" for n in _STATE]
+    casts = ", ".join(f"CAST({n} AS {kind}) AS {n}" for n, kind in zip(_STATE, kinds, strict=True))
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(_STATE)})")
 
-def kd_shards(docs: DataFrame, dims: list[str], weight: str = "size", group: str = "group", key: str = "doc_id", shards: int | None = None, target: int | None = None) -> DataFrame:
+
+def _narrowed(rows: DataFrame, dims: list[str], states: DataFrame, whole: float) -> DataFrame:
+    """One step for every node: the bin that holds the median, its ends, and the weight before it.
+
+    A group of copies stays whole unless it weighs more than its share of ``whole``, a shard's weight.
+    """
+    known = " AND ".join(f"(at_{s} IS NULL OR at_{s} = {s})" for s in _STAGES[:-1])
+    places = f"array({', '.join(_STAGES)})"
+    exact = lambda x: f"CAST({x} AS DECIMAL(38, 0))"
+    found = ", ".join(f"CASE WHEN one AND stage = {i} THEN v_lo ELSE at_{s} END AS at_{s}" for i, s in enumerate(_STAGES))
+    sql = f"""
+    WITH met AS (SELECT r.* EXCEPT (k), s.* EXCEPT (node), {_coordinate(dims)} AS c FROM {{rows}} AS r JOIN {{states}} AS s ON r.node = s.node),
+    placed AS (SELECT *, element_at({places}, stage + 1) AS v, get({places}, stage + 1) AS f FROM met WHERE {known}),
+    binned AS (SELECT *, (v - lo) DIV ((hi - lo) DIV {BINS} + 1) AS bin FROM placed WHERE v BETWEEN lo AND hi),
+    bins AS (SELECT {', '.join(_STATE)}, bin, sum(weight) AS b, min(v) AS v_lo, max(v) AS v_hi, min(f) AS f_lo, max(f) AS f_hi FROM binned GROUP BY {', '.join(_STATE)}, bin),
+    summed AS (SELECT *, before + sum(b) OVER (PARTITION BY node ORDER BY bin) AS upto FROM bins),
+    first AS (SELECT node, min_by(struct(*), bin) AS s FROM summed WHERE {exact('upto')} * k >= {exact('w')} * k_left GROUP BY node),
+    told AS (SELECT s.*, s.v_lo = s.v_hi AS one, s.v_lo = s.v_hi AND (s.stage = {len(_STAGES) - 1} OR s.stage = 1 AND s.b * {PARTED_FROM} <= {whole}D) AS over FROM first)
+    SELECT node, k, w, k_left, dim, CASE WHEN one AND NOT over THEN stage + 1 ELSE stage END AS stage, upto - b AS before,
+           CASE WHEN one AND NOT over THEN f_lo ELSE v_lo END AS lo, CASE WHEN one AND NOT over THEN f_hi ELSE v_hi END AS hi,
+           {found}, CASE WHEN over THEN b END AS unit, over AS done FROM told"""
+    return rows.sparkSession.sql(sql, rows=rows, states=states)
+
+
+def _split(rows: DataFrame, dims: list[str], states: DataFrame) -> DataFrame:
+    """Every row of a node that is cut goes left or right; ``node`` is the first shard of what it leads to.
+
+    What straddles the cut goes left if the left is then nearer to its share than without it.
+    """
+    side = "fits"
+    for s in reversed(_STAGES):
+        side = f"CASE WHEN at_{s} IS NULL THEN fits WHEN {s} < at_{s} THEN true WHEN {s} > at_{s} THEN false ELSE {side} END"
+    exact = lambda x: f"CAST({x} AS DECIMAL(38, 0))"
+    fits = f"{exact('before + unit')} * k - {exact('w')} * k_left <= {exact('w')} * k_left - {exact('before')} * k AS fits"
+    rest = ", ".join(c for c in rows.columns if c not in ("node", "k"))
+    sql = f"""
+    WITH cuts AS (SELECT node, k_left, dim, {', '.join(f'at_{s}' for s in _STAGES)}, {fits} FROM {{states}}),
+    met AS (SELECT r.*, c.* EXCEPT (node), {_coordinate(dims)} AS c FROM {{rows}} AS r LEFT JOIN cuts AS c ON r.node = c.node),
+    went AS (SELECT *, {side} AS goes FROM met)
+    SELECT {rest}, CASE WHEN dim IS NULL OR goes THEN node ELSE node + k_left END AS node,
+           CASE WHEN dim IS NULL THEN k WHEN goes THEN k_left ELSE k - k_left END AS k FROM went"""
+    return rows.sparkSession.sql(sql, rows=rows, states=states)
+
+
+def kd_shards(docs: DataFrame, dims: list[str], weight: str = "size", group: str = "grp", key: str = "doc_id", shards: int | None = None, target: int | None = None) -> DataFrame:
     """Add ``shard`` (0 to the number of shards less 1): near equal sums of ``weight``.
 
     The number is ``shards``, or the whole weight over ``target``, rounded, one at least.  A node of k shards is cut
@@ -121,44 +127,38 @@ def kd_shards(docs: DataFrame, dims: list[str], weight: str = "size", group: str
     weighs at most a ``PARTED_FROM``-th of a shard, else the rows of one id.  So a group that is a third of the table
     is dealt to as many shards as it needs, and shards differ by about a tenth at most, or by what one row weighs.
 
-    Equal rows share a shard.  Weights are positive, groups not negative and not null; ``dims`` are never null.  Empty
-    table: no row.  Columns named shard, node, k, weight, high, low, c are replaced by what they mean here or dropped
-    from the result; others stay.  Rows move only if a table of nodes is too large to be broadcast.
+    Equal rows share a shard.  Weights are positive, groups and dimensions never null, groups not negative.  Empty table:
+    no row.  A column named shard is replaced, all others stay.  The driver holds one state for each node of a level,
+    fewer than there are shards, and rows move only if there are too many of them to be broadcast.
     """
-    scratch = Scratch(docs.sparkSession, "kd")
-    kept = [c for c in docs.columns if c not in ("shard", "node", "k", "weight", "high", "low", "c")]
-    id_ = F.col(key).cast("long")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "kd")
+    id_, names = F.col(key).cast("long"), [f"d{i}" for i in range(len(dims))]
     rows = docs.select(
-        *kept,
-        *([] if group == "group" else [F.col(group).alias("group")]),
+        F.struct(*[c for c in docs.columns if c != "shard"]).alias("row"),
+        *[F.col(d).alias(n) for d, n in zip(dims, names, strict=True)],
         F.col(weight).cast("long").alias("weight"),
+        F.col(group).alias("grp"),
         F.coalesce(F.shiftright(id_, 32), F.lit(-(1 << 31) - 1)).alias("high"),
         F.coalesce(id_.bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0)).alias("low"),
         F.lit(0).alias("node"),
         F.lit(1).alias("k"),
     )
-    rows = scratch.cut(rows)
+    rows, dims = scratch.cut(rows), names
     ends = _bounds(rows, dims).first()
     if ends is None:
-        return rows.select(*kept, F.col("node").alias("shard"))
+        return rows.select("row.*", F.col("node").alias("shard"))
     total, spans = ends["w"], {d: ends[f"max_{d}"] - ends[f"min_{d}"] for d in dims}
     n = shards or max(1, round(total / target))
     rows, levels = rows.withColumn("k", F.lit(n)), (n - 1).bit_length()
     for _ in range(levels):
-        states = scratch.cut(_first_states(rows, dims, spans))
-        cuts, left = [], states.count()
-        while left:
-            states = scratch.cut(_narrowed(rows, dims, sized_broadcast(states, left, SMALL), F.lit(total).cast("decimal(38,0)") / n))
-            cuts.append(states.where("done"))
-            states = states.where("NOT done")
-            left = states.count()
-        found = cuts[0]
-        for c in cuts[1:]:
-            found = found.unionByName(c)
-        over, under = [_exact(x) * _exact("k") - _exact("w") * _exact("k_left") for x in (F.col("before") + F.col("unit"), F.col("before"))]
-        found = scratch.cut(found.withColumn("left", over <= -under))
-        last, rows = rows, scratch.cut(_split(rows, dims, sized_broadcast(found, found.count(), SMALL)))
-    return rows.select(*kept, F.col("node").alias("shard"))
+        open_, cuts = _first_states(rows, dims, spans).collect(), []
+        while open_:
+            found = _narrowed(rows, dims, sized_broadcast(_told(spark, open_), len(open_), SMALL), total / n).collect()
+            open_, cuts = [x for x in found if not x["done"]], cuts + [x for x in found if x["done"]]
+        if cuts:
+            rows = scratch.cut(_split(rows, dims, sized_broadcast(_told(spark, cuts), len(cuts), SMALL)))
+    return rows.select("row.*", F.col("node").alias("shard"))
 
 
 def with_slots(rows: DataFrame, *order) -> DataFrame:
@@ -178,7 +178,7 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target: int | No
     scratch = Scratch(docs.sparkSession, "shards")
     text = text_of("text")
     size = F.octet_length(text).cast("long") + 1
-    narrow = docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_of(text).alias("group"))
+    narrow = docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_of(text).alias("grp"))
     narrow = scratch.cut(narrow.withColumn("size_class", size_class(F.col("size"))))
     placed = with_rank(scratch, with_rank(scratch, narrow, "source", "source_place"), "lang", "lang_place").drop("source", "lang")
     sharded = kd_shards(placed, ["source_place", "lang_place", "size_class"], shards=shards, target=target)
