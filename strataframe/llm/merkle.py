@@ -41,12 +41,12 @@ def _group_key(group: str) -> Column:
 
 
 def bitmap_words(rows: DataFrame) -> DataFrame:
-    """``(_at, bits, n)``: a bitmap's non-empty words by group and word (``_at``), and the rows whose ids they hold.
+    """``(home, bits, n)``: a bitmap's non-empty words by group and word (``home``), and the rows whose ids they hold.
 
     Bitmaps are merged by bit-or, in every task before anything is moved.
     """
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))
-    return rows.groupBy("_at").agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("n"))
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    return rows.groupBy("home").agg(F.bit_or(mark).alias("bits"), F.count(F.lit(1)).alias("n"))
 
 
 def _directory(scratch: Scratch, nodes: DataFrame, bits: int = 64 - _WORD_BITS) -> DataFrame:
@@ -65,28 +65,28 @@ def _directory(scratch: Scratch, nodes: DataFrame, bits: int = 64 - _WORD_BITS)
     return within.join(above, ["g", "_up"]).select("g", "w", "n", (F.col("_above") + F.col("_within")).alias("before"))
 
 
-def leaf_places(scratch: Scratch, leaves: DataFrame, group: str, key: str, leaf: str) -> tuple[DataFrame, DataFrame]:
-    """``leaves`` with ``g`` and the place ``i`` in the group, from 0, and the rows ``n`` of each ``g``.
+def leaf_places(scratch: Scratch, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(g, i, d, rest)``: the place ``i`` in its group, from 0, of every leaf ``(g, key, d, rest)``; and the rows ``n`` of each ``g``.
 
     Ids of which a group holds several rows are no bitmap's matter: the rows of their words, and no others, are
     sorted by id and leaf.  Null ids come first.
     """
-    word = F.coalesce(F.shiftright(F.col(key), _WORD_BITS), F.lit(_NO_WORD))
-    bit = F.coalesce(F.col(key).bitwiseAND(F.lit((1 << _WORD_BITS) - 1)), F.lit(0)).cast("int")
-    rows = leaves.withColumn("_at", F.struct(_group_key(group).alias("g"), word.alias("w"))).withColumn("_bit", bit)
+    word = F.coalesce(F.shiftright("key", _WORD_BITS), F.lit(_NO_WORD))
+    bit = F.coalesce(F.col("key").bitwiseAND(F.lit((1 << _WORD_BITS) - 1)), F.lit(0)).cast("int")
+    rows = leaves.select(F.struct("g", word.alias("w")).alias("home"), bit.alias("bit"), "key", "d", "rest")
     words = scratch.cut(bitmap_words(rows))
-    totals = scratch.cut(words.groupBy("_at.g").agg(F.sum("n").alias("n")))
-    before = _directory(scratch, words.select("_at.g", "_at.w", "n"))
+    totals = scratch.cut(words.groupBy("home.g").agg(F.sum("n").alias("n")))
+    before = _directory(scratch, words.select("home.g", "home.w", "n"))
     crowded = F.col("n") > F.bit_count("bits")
-    indexed = scratch.cut(words.join(before.select(F.struct("g", "w").alias("_at"), "before"), "_at").withColumn("crowded", crowded))
-    placed = join_by_key(rows, indexed.withColumnRenamed("n", "_n"), "_at", "_n", key)
-    below = F.bit_count(F.call_function("shiftleft", F.col("bits"), F.lit(63) - F.col("_bit"))) - 1
-    told = placed.where("NOT crowded").select(*leaves.columns, F.col("_at.g").alias("g"), (F.col("before") + below).alias("i"))
+    indexed = scratch.cut(words.join(before.select(F.struct("g", "w").alias("home"), "before"), "home").withColumn("crowded", crowded))
+    placed = join_by_key(rows, indexed, "home", "n", "key")
+    below = F.bit_count(F.call_function("shiftleft", F.col("bits"), F.lit(63) - F.col("bit"))) - 1
+    told = placed.where("NOT crowded").select("home.g", (F.col("before") + below).alias("i"), "d", "rest")
     if indexed.where("crowded").limit(1).count():
-        crowd = ranked(placed.where("crowded").select(*leaves.columns, "_at", "before"), "_at", F.asc_nulls_first(key), leaf)
-        first = crowd.groupBy("_at").agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        crowd = join_by_key(crowd, scratch.cut(first), "_at", "_n", "pos")
-        told = told.unionByName(crowd.select(*leaves.columns, F.col("_at.g").alias("g"), (F.col("before") + F.col("pos") - F.col("_first")).alias("i")))
+        crowd = ranked(placed.where("crowded").select("home", "before", "key", "d", "rest"), "home", F.asc_nulls_first("key"), "d")
+        first = crowd.groupBy("home").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
+        crowd = join_by_key(crowd, scratch.cut(first), "home", "n", "pos")
+        told = told.unionByName(crowd.select("home.g", (F.col("before") + F.col("pos") - F.col("first")).alias("i"), "d", "rest"))
     return told, totals
 
 
@@ -141,7 +141,9 @@ def climb(scratch: Scratch, nodes: DataFrame, totals: DataFrame) -> tuple[DataFr
     found = arrays.select("g", "b", let(let(digests, lambda d: F.struct(_levels(d, F.col("steps")).alias("l"))), lambda l: with_paths(l["l"])).alias("slots"))
     if above is None:
         return roots, found.select("g", F.inline("slots"))
-    return roots, found.join(above, ["g", "b"]).select("g", "above", F.inline("slots")).select("g", "i", "d", "rest", F.concat("path", "above").alias("path"))
+    # groups of one array end here, all others go on
+    met = found.join(above, ["g", "b"], "left").select("g", F.coalesce("above", F.array().cast("array<string>")).alias("above"), F.inline("slots"))
+    return roots, met.select("g", "i", "d", "rest", F.concat("path", "above").alias("path"))
 
 
 def manifest(leaves: DataFrame, group: str = "lang", key: str = "doc_id", leaf: str = "leaf") -> DataFrame:
@@ -155,18 +157,17 @@ def manifest(leaves: DataFrame, group: str = "lang", key: str = "doc_id", leaf:
     added = ("leaf_index", "path", "subroot", "root")
     names = [c for c in leaves.columns if c not in added]
     scratch = Scratch(leaves.sparkSession, "merkle")
-    plain = scratch.cut(leaves.select(*names))
-    placed, totals = leaf_places(scratch, plain, group, key, leaf)
-    nodes = placed.select("g", "i", F.col(leaf).alias("d"), F.struct(*names).alias("rest"))
-    subroots, paths = climb(scratch, nodes, totals)
+    plain = leaves.select(_group_key(group).alias("g"), F.col(key).cast("long").alias("key"), F.col(leaf).alias("d"), F.struct(*names).alias("rest"))
+    placed, totals = leaf_places(scratch, scratch.cut(plain))
+    subroots, paths = climb(scratch, placed, totals)
     tops = ranked(subroots, "g").select(F.lit("").alias("g"), (F.col("pos") - 1).alias("i"), F.col("root").alias("d"), F.struct("g").alias("rest"))
     tops = scratch.cut(tops)
     groups = tops.count()
     roots, top_paths = climb(scratch, tops, scratch.cut(tops.groupBy("g").agg(F.count(F.lit(1)).alias("n"))))
     root = roots.select("root").first()
-    heads = scratch.cut(top_paths.select("rest.g", F.col("d").alias("subroot"), F.col("path").alias("_top")).join(totals, "g"))
+    heads = scratch.cut(top_paths.select("rest.g", F.col("d").alias("subroot"), F.col("path").alias("top")).join(totals, "g"))
     joined = paths.join(F.broadcast(heads), "g") if groups <= SMALL else join_by_key(paths, heads, "g", "n", "i")
-    whole = F.concat("path", "_top").alias("path")
+    whole = F.concat("path", "top").alias("path")
     return joined.select("rest.*", F.col("i").alias("leaf_index"), whole, "subroot", F.lit(root["root"] if root else None).cast("string").alias("root"))
 
 

@@ -169,11 +169,20 @@ def with_slots(rows: DataFrame, *order) -> DataFrame:
     return placed.join(sized_broadcast(firsts, n, SMALL), "shard").select(*rows.columns, (F.col("pos") - F.col("_first")).alias("slot"))
 
 
+def with_first_places(scratch: Scratch, rows: DataFrame, places: list[str], group: str = "grp", by: str = "doc_id") -> DataFrame:
+    """Rows of one group get the lowest of its ``places``, so that a group has one place; a group may hold any share of the rows."""
+    lows = [F.min(p).alias(f"low_{i}") for i, p in enumerate(places)]
+    again = scratch.cut(rows.groupBy(group).agg(F.count(F.lit(1)).alias("copies"), *lows).where("copies > 1"))
+    met = join_by_key(rows, again, group, "copies", by, "left")
+    return met.withColumns({p: F.coalesce(f"low_{i}", p) for i, p in enumerate(places)}).select(*rows.columns)
+
+
 def shard_documents(docs: DataFrame, shards: int | None = None, target: int | None = None) -> DataFrame:
     """``doc_id, size, text_crc32`` of every document, its ``shard`` and ``slot``: dimensions source, language, size class.
 
-    Size: UTF-8 bytes and one; null texts count as empty and share a group with them.  Null sources and languages come
-    before all others.  Repeated rows each have a slot.
+    Size: UTF-8 bytes and one; null texts count as empty and share a group with them.  Equal texts have the place of the
+    first of their sources and of their languages, so they share a shard unless they are too heavy (see ``kd_shards``).
+    Null sources and languages come before all others.  Repeated rows each have a slot.
     """
     scratch = Scratch(docs.sparkSession, "shards")
     text = text_of("text")
@@ -181,6 +190,7 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target: int | No
     narrow = docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_of(text).alias("grp"))
     narrow = scratch.cut(narrow.withColumn("size_class", size_class(F.col("size"))))
     placed = with_rank(scratch, with_rank(scratch, narrow, "source", "source_place"), "lang", "lang_place").drop("source", "lang")
+    placed = with_first_places(scratch, scratch.cut(placed), ["source_place", "lang_place"])
     sharded = kd_shards(placed, ["source_place", "lang_place", "size_class"], shards=shards, target=target)
     return with_slots(sharded.select("doc_id", "size", "text_crc32", "shard"), F.asc_nulls_first("doc_id"))
 
@@ -212,7 +222,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, octet_length(
     CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS grp, {crc32_sql("coalesce(text, '')")} AS crc FROM documents),
 k AS (SELECT source, dense_rank() OVER (ORDER BY source) AS a FROM (SELECT DISTINCT source FROM d WHERE source IS NOT NULL)),
 l AS (SELECT lang, dense_rank() OVER (ORDER BY lang) AS b FROM (SELECT DISTINCT lang FROM d WHERE lang IS NOT NULL)),
-e AS (SELECT r, coalesce(CAST(doc_id AS HUGEINT), -9223372036854775809) AS id, size, grp, coalesce(a, 0) AS a, coalesce(b, 0) AS b, length(bin(size)) AS c, 0 AS node FROM d LEFT JOIN k USING (source) LEFT JOIN l USING (lang)),
+e AS (SELECT r, coalesce(CAST(doc_id AS HUGEINT), -9223372036854775809) AS id, size, grp, min(coalesce(a, 0)) OVER g AS a, min(coalesce(b, 0)) OVER g AS b, length(bin(size)) AS c, 0 AS node FROM d LEFT JOIN k USING (source) LEFT JOIN l USING (lang) WINDOW g AS (PARTITION BY grp)),
 f AS (SELECT *, {', '.join(f'greatest(max({d}) OVER () - min({d}) OVER (), 1) AS s{i}' for i, d in enumerate('abc'))}, sum(size) OVER () AS total FROM e),
 {_level_sql('f', 'g')}, {_level_sql('g', 'h')}, {_level_sql('h', 'i')}, {_level_sql('i', 'j')}
 SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, CAST(node AS INT) AS shard,
