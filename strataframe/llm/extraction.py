@@ -7,6 +7,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Set
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
@@ -28,6 +29,11 @@ FURNITURE = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login share sharing social "
     "related recommended recommendations widget comment comments disqus reply replies respond pager pagination toolbar masthead skip tags hidden".split()
 )
+#: Words that tell only what kind of box a furniture word makes: ``share-buttons`` is furniture, ``related-work`` is not.
+BOXES = frozenset(
+    "area articles bar block body bottom box boxes button buttons container content entry form group header heading icon icons inner item items label left line link links list main "
+    "module outer panel placeholder post posts right row section slot stories text title top unit wrap wrapper".split()
+)
 HEADERS = frozenset(("header", "masthead", "topbar"))
 MAIN = frozenset("article articlebody main content maincontent post entry story body text".split())
 #: A start of one of these closes an open one of those, as in HTML's implied end tags.  Fixed values.
@@ -76,6 +82,16 @@ class Node:
         self.runs: list[list] = []  # [position among the kids, text pieces, link characters]
 
 
+@lru_cache(maxsize=4096)
+def _parts(word: str) -> frozenset[str]:
+    return frozenset(re.split(r"[^a-z0-9]+", word)) - {""}
+
+
+def _plainly(words: tuple[str, ...]) -> bool:
+    """Whether a whole class or id names furniture: every part of it is such a word, or the kind of a box."""
+    return any(_parts(w) & FURNITURE and _parts(w) <= FURNITURE | BOXES for w in words)
+
+
 def _named(tag: str, attributes: str) -> tuple[tuple[str, ...], bool, bool]:
     """Words of class, id and role; whether the element is furniture; whether only its words say so."""
     words: list[str] = []
@@ -94,8 +110,7 @@ def _named(tag: str, attributes: str) -> tuple[tuple[str, ...], bool, bool]:
                 bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             elif name == "hidden" or value == "true":
                 bad = True
-    parts = {p for w in words for p in re.split(r"[^a-z0-9]+", w)}
-    named = not bad and bool(parts & FURNITURE) and tag not in ("html", "body")
+    named = not bad and any(_parts(w) & FURNITURE for w in words) and tag not in ("html", "body")
     return tuple(sorted(set(words))), bad or named, named
 
 
@@ -136,6 +151,17 @@ def _own_up(root: Node, mains: list[Node]) -> None:
                 up.furniture = False
 
 
+def _mostly_links(node: Node) -> bool:
+    """Whether links hold half of the characters below a node, or more."""
+    linked, total, open_ = 0, 0, [node]
+    while open_:
+        n = open_.pop()
+        linked += sum(r[2] for r in n.runs)
+        total += sum(len(t) for r in n.runs for t in r[1])
+        open_ += n.kids
+    return total > 0 and 2 * linked >= total
+
+
 def _unclosed(token: str, raw: str | None) -> bool:
     """Whether a comment or a raw text element runs to the end of the page."""
     if raw:
@@ -148,12 +174,15 @@ def parse(html: str) -> Node:
 
     Elements nested deeper than ``MAX_DEPTH`` give their text to the element at that depth, as browsers
     also bound their trees; nothing behind the last ``>`` can be a tag, so it is not searched for one.
+    Inside an article or ``main`` part, words make an element furniture only if a whole class or id says so, or
+    if links hold half of its text.
     """
     root = Node("#root")
     stack, run, at, link = [root], None, 0, 0
     deep: list[tuple[str, bool]] = []  # open elements below the greatest depth, and whether they are furniture
     bad, inside = 0, Counter()  # of those: furniture, and names
     mains: list[Node] = []
+    doubted: list[Node] = []
 
     def say(text: str) -> None:
         nonlocal run
@@ -212,6 +241,8 @@ def parse(html: str) -> Node:
                 run = None
             continue
         words, furniture, named = _named(name, attributes)
+        doubtful = named and not _plainly(words) and any(map(_is_main, stack))
+        furniture, named = furniture and not doubtful, named and not doubtful
         if name in INLINE and not furniture:
             continue
         if len(stack) > MAX_DEPTH:
@@ -242,11 +273,16 @@ def parse(html: str) -> Node:
         stack[-1].kids.append(node)
         if _is_main(node):
             mains.append(node)
+        if doubtful:
+            doubted.append(node)
         if not attributes.endswith("/") or name not in ("svg", "math"):
             stack.append(node)
     tail = "" if swallowed else html[max(at, 0) :].partition("<!--")[0]
     if tail:
         say(unescape(tail))
+    for node in reversed(doubted):
+        if not any(map(_is_main, node.kids)) and _mostly_links(node):
+            node.furniture = node.named = True
     _own_up(root, mains)
     return root
 
@@ -383,12 +419,15 @@ def _common(a: str, b: str) -> str:
     return ".".join((tag, *(w for w in words if w in others and w != "*"), "*"))
 
 
-def _alike(a: Part, b: Part) -> bool:
-    """Whether two unmatched elements are one container under different names, as where the id is the page's own."""
-    tag = a.key.partition(".")[0]
-    if a.furniture or b.furniture or tag != b.key.partition(".")[0]:
-        return False
-    return tag in ("article", "main") or bool(_names(_common(a.key, b.key)) & MAIN)
+def _alike_by(p: Part) -> list[str]:
+    """What an unmatched element shares with its like on the other side, as where the id is the page's own.
+
+    Its tag for an article or ``main`` part, and every word of class, id or role that names the main part.
+    """
+    if p.furniture:
+        return []
+    tag, *words = p.key.split(".")
+    return [f"{tag}.{w}" for w in words if w != "*" and _parts(w) & MAIN] + [tag] * (tag in ("article", "main"))
 
 
 def aligned(a: Part, b: Part, same_pages: bool = False) -> Part:
@@ -411,9 +450,13 @@ def aligned(a: Part, b: Part, same_pages: bool = False) -> Part:
             kids.append(p)
 
     def between(left: list[Part], right: list[Part]) -> None:
-        at = 0
+        at, places = 0, {}
+        for k, q in enumerate(right):
+            for name in _alike_by(q):
+                places.setdefault(name, []).append(k)
         for p in left:
-            k = next((k for k in range(at, len(right)) if _alike(p, right[k])), None)
+            later = [found[i] for found in (places.get(name, []) for name in _alike_by(p)) if (i := bisect_left(found, at)) < len(found)]
+            k = min(later, default=None)
             if k is None:
                 alone([p])
             else:
@@ -558,7 +601,9 @@ def main_text(root: Node, ways: list[list], constant: Set[tuple[str, str, str]]
     """Blocks of the first container that the page has and that holds text, in page order.
 
     The host's containers are asked first, then the page's own, then the host's walk and the page's own;
-    a walk leaves out page headers.  ``constant`` texts of the host are left out, unless nothing else is there.
+    a walk leaves out page headers.  An article or ``main`` part is taken whole, whatever other pages say, so a page
+    gives the same article alone or among others.  Elsewhere ``constant`` texts of the host are left out, unless
+    nothing else is there.
     """
     own: list[list] | None = None
     for walk in (False, True):
@@ -569,7 +614,7 @@ def main_text(root: Node, ways: list[list], constant: Set[tuple[str, str, str]]
             for path in paths[-1:] if walk else paths[:-1]:
                 blocks: list[str] = []
                 for n in _at([root], path):
-                    _blocks(n, blocks, not walk, constant)
+                    _blocks(n, blocks, not walk, frozenset() if _is_main(n) else constant)
                 if not blocks and constant:
                     for n in _at([root], path):
                         _blocks(n, blocks, not walk, frozenset())
@@ -580,6 +625,8 @@ def main_text(root: Node, ways: list[list], constant: Set[tuple[str, str, str]]
 
 def _blocks(node: Node, out: list[str], inside: bool, constant: Set[tuple[str, str, str]], above: str = "") -> None:
     runs, at = node.runs, 0
+    if _is_main(node):
+        constant = frozenset()
     if constant and runs and (above, node.key, _mark(_said(node))) in constant:
         runs = []
     inside = inside or node.tag in ("article", "main", "section")

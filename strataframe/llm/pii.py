@@ -19,7 +19,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+)(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])"
-SECRET = r"(?<![A-Za-z0-9_])[A-Za-z0-9_+/-]{20,}+(?![A-Za-z0-9_+/=-])"
+SECRET = r"(?<![A-Za-z0-9_])[A-Za-z0-9_+/-]{20,}+={0,2}+(?![A-Za-z0-9_+/=-])"
 
 #: Words that raise the score of a span within WINDOW code points.  Fixed values.
 CONTEXT = {

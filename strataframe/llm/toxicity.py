@@ -101,7 +101,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, languages: list[str], seed:
     """Train on hashed texts (each ``words x FEATURES``), then set a threshold for each language.
 
     Only the word windows that win the pooling get a gradient, so a step touches few table rows; rates
-    are adapted by row.  Without both classes the model scores every text by the prior alone.
+    are adapted by row.  Without both classes the model scores every text by the prior alone, and by less than 0.5
+    unless there are toxic rows: without labels nothing is called toxic.
     """
     rng = np.random.default_rng(seed)
     f = FILTERS * len(WIDTHS)
@@ -113,7 +114,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, languages: list[str], seed:
     y = np.asarray(labels, np.float32)
     if len(y) == 0 or y.min() == y.max():
         model.out[:] = 0
-        model.thresholds = {"": float(-np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))}
+        model.thresholds = {"": float(np.log((len(y) - y.sum() + 1) / (y.sum() + 0.5)))}
         return model
     held = rng.random(len(y)) < CALIBRATION
     own = np.flatnonzero(~held)
