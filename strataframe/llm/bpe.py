@@ -141,7 +141,11 @@ def map_texts(docs: DataFrame, text: str, made: list[tuple[str, T.DataType]], st
 
 
 def encode_documents(docs: DataFrame, text: str = "text", file: str = VOCABULARY) -> DataFrame:
-    """Add ``ids array<int>`` and ``decoded binary`` to each row.  Whole texts; empty ones give no ids."""
+    """Add ``ids array<int>`` and ``decoded binary`` to each row.
+
+    Whole texts; null and empty ones give no ids and empty bytes.  Rows are encoded one by one, repeats included; an
+    empty table stays empty; columns of the added names are replaced.
+    """
 
     def start() -> Callable[[str], tuple]:
         c = codec(file)
@@ -156,7 +160,10 @@ def encode_documents(docs: DataFrame, text: str = "text", file: str = VOCABULARY
 
 
 def digest_documents(docs: DataFrame, text: str = "text", file: str = VOCABULARY) -> DataFrame:
-    """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; the ids stay in the task that made them."""
+    """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; the ids stay in the task that made them.
+
+    Nulls, repeats, empty tables and clashing names as in ``encode_documents``; no ids have the digest of nothing.
+    """
 
     def start() -> Callable[[str], tuple]:
         c = codec(file)

@@ -14,7 +14,11 @@ REPEATED_IDS = 1_000_000
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the labelled documents, score every text, let predicted ones go."""
+    """Fit on the labelled documents, score every text, let predicted ones go.
+
+    Null and empty texts hold nothing toxic and stay; equal rows go or stay together; without any usable label, or
+    without documents, nothing goes.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 
@@ -45,18 +49,28 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in every text are replaced by their kind; ``n_chars`` follows the text."""
+    """Personal data in every text are replaced by their kind; ``n_chars`` follows the text.
+
+    Null texts keep their null and their ``n_chars``; rows are cleaned one by one, so repeats and order do not matter.
+    """
     cleaned = pii.redact(pii.find_pii(docs))
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as its source's target takes it."""
+    """Whole documents, each as often as its source's target takes it.
+
+    Null sources are one source, the last by name; texts without a word have no size and are taken by none; which
+    documents a source's fraction holds is told by a seeded hash, equal rows side by side.
+    """
     return mixing.repeated(mixing.mix(docs, mixing.word_count("text"), whole_documents=True)).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, and whether decoding them gives the text back."""
+    """The ids of every text, and whether decoding them gives the text back.
+
+    Null and empty texts have no ids and come back as empty; a row gives a row, repeated ones too.
+    """
     out = bpe.encode_documents(docs.select("doc_id", "source", "lang", "text"))
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return out.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
