@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strataframe.operators.spatial import segmented
+from strataframe.runtime import cut
+
 #: States of a task that are counted.  Fixed values.
 STATES = ("RECEIVED", "SENT", "STARTED", "SUCCESS", "FAILURE", "REJECTED", "RETRY", "REVOKED")
 
@@ -67,24 +70,47 @@ def runtime_quantiles(events: DataFrame, bounds: list[float], qs: list[float], *
     return counts.select(*keys, *[at(q).alias(f"p{round(q * 100)}") for q in qs])
 
 
-def _increase() -> Column:
-    order = Window.partitionBy("series").orderBy("ts", "seq")
-    before = F.lag("value").over(order)
-    return F.when(before.isNull(), F.lit(0.0)).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
+def _micros(column: str = "ts") -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+_SAMPLE = ("series", "_t", "seq")
+
+
+def counter_steps(samples: DataFrame) -> DataFrame:
+    """Samples in the order of their series, time and number, with ``_d``, what each rose by, ``_p``, the time of the one
+    before it, and ``_c``, what its series rose by up to it.
+
+    A fall is a reset and counts its new value; the first sample of a series rises by nothing.  Samples are sorted
+    into range partitions, so those of one hot series lie in many of them; within a partition steps are told by its own
+    rows, and one row a partition carries the last sample and the sums over to the next.
+    """
+    placed = segmented(samples.withColumn("_t", _micros()), *_SAMPLE)
+    inside = Window.partitionBy("_part").orderBy("_at")
+    here = F.struct("series", F.col("value").alias("v"), F.col("_t").alias("t"))
+    last = placed.groupBy("_part").agg(F.max_by(here, "_at").alias("_last"))
+    carried = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_before"))  # one row a partition
+    met = placed.join(F.broadcast(carried), "_part").withColumn("_before", F.coalesce(F.lag(here).over(inside), "_before"))
+    own = F.col("_before.series").eqNullSafe(F.col("series")) & F.col("_before").isNotNull()
+    rise = F.when(F.col("value") < F.col("_before.v"), F.col("value")).otherwise(F.col("value") - F.col("_before.v"))
+    steps = cut(met.withColumns({"_d": F.when(own & F.col("_before.v").isNotNull(), rise).otherwise(F.lit(0.0)), "_p": F.when(own, F.col("_before.t"))}).drop("_before"))
+    parts = steps.groupBy("_part", "series").agg(F.sum("_d").alias("_s"))
+    earlier = Window.partitionBy("series").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = parts.select("_part", F.col("series").alias("_series"), F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_base"))
+    so_far = F.sum("_d").over(Window.partitionBy("_part", "series").orderBy("_at"))
+    summed = steps.withColumn("_c", so_far).join(firsts.withColumnRenamed("_part", "_q"), (F.col("_part") == F.col("_q")) & F.col("series").eqNullSafe(F.col("_series")))
+    return summed.withColumn("_c", F.col("_c") + F.col("_base")).drop("_q", "_series", "_base")
 
 
 def counter_increase(samples: DataFrame) -> DataFrame:
     """What each counter rose by; a fall is a reset and counts its new value."""
-    return samples.withColumn("_d", _increase()).groupBy("series").agg(F.sum("_d").alias("increase"))
+    return counter_steps(samples).groupBy("series").agg(F.sum("_d").alias("increase"))
 
 
 def counter_rate(samples: DataFrame) -> DataFrame:
     """Rise per second over the whole range, and between the last two samples."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    order = Window.partitionBy("series").orderBy("ts", "seq")
-    rows = samples.withColumns({"_d": _increase(), "_t": micros}).withColumn("_p", F.lag("_t").over(order))
     last = F.struct("_t", "seq")
-    return rows.groupBy("series").agg(
+    return counter_steps(samples).groupBy("series").agg(
         (F.sum("_d") / F.nullif((F.max("_t") - F.min("_t")) / 1e6, F.lit(0.0))).alias("rate"),
         (F.max_by("_d", last) / F.nullif((F.max_by("_t", last) - F.max_by("_p", last)) / 1e6, F.lit(0.0))).alias("irate"),
     )
@@ -117,12 +143,28 @@ def _trailing(seconds: float, *keys: str):
 def trailing_increase(samples: DataFrame, seconds: float) -> DataFrame:
     """Samples with ``increase``, what their counter rose by in the ``seconds`` up to them, ends included.
 
-    Rises are told between samples of the range; what the first of them rose by before it is left out.
+    Rises are told between samples of the range; what the first of them rose by before it is left out.  Every sample
+    asks for the first one of its range: asking rows and samples are sorted together into range partitions, where a
+    row finds the next sample behind it, or else the first one of the next partition that has any.  A sum is then two
+    running sums apart.  Samples of one time all count for each other.
     """
-    rows = samples.withColumns({"_d": _increase(), "_t": F.unix_micros(F.col("ts").cast("timestamp"))})
-    over = _trailing(seconds, "series")
-    first = F.min(F.struct("_t", "seq", "_d")).over(over)["_d"]
-    return rows.withColumn("increase", F.sum("_d").over(over) - first).drop("_d", "_t")
+    steps = cut(counter_steps(samples).withColumn("_id", F.struct("_part", "_at")).drop("_part", "_at"))
+    kind = F.lit(0).alias("_k")
+    asking = steps.select("series", (F.col("_t") - int(seconds * 1e6)).alias("_t"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("_c"), kind, "_id")
+    told = steps.select("series", "_t", F.col("seq").cast("long").alias("seq"), "_c", F.lit(1).alias("_k"), "_id")
+    placed = segmented(asking.unionByName(told), "series", "_t", "_k", "seq")
+    sample = F.when(F.col("_k") == 1, F.struct("series", "_c"))
+    heads = placed.groupBy("_part").agg(F.min_by(sample, F.when(F.col("_k") == 1, F.col("_at"))).alias("_head"))
+    # read backwards, so that a frame grows by a row and is not read anew for each
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("_part", F.last("_head", ignorenulls=True).over(later).alias("_next"))  # one row a partition
+    behind = Window.partitionBy("_part").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.withColumn("_own", F.last(sample, ignorenulls=True).over(behind)).where("_k = 0").join(F.broadcast(heads), "_part")
+    first = found.select("_id", F.coalesce("_own", "_next")["_c"].alias("_first"))
+    # of equal times, the range of each reaches to the last
+    upto = steps.groupBy("series", "_t").agg(F.max("_c").alias("_upto")).withColumnsRenamed({"series": "_series", "_t": "_time"})
+    met = steps.join(first, "_id").join(upto, F.col("series").eqNullSafe(F.col("_series")) & (F.col("_t") == F.col("_time")))
+    return met.select(*samples.columns, (F.col("_upto") - F.col("_first")).alias("increase"))
 
 
 def trailing_counts(events: DataFrame, seconds: float, width: str = "1 day", *keys: str) -> DataFrame:

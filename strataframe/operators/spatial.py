@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataframe.functions.vector import Vec, add, cross, dot, let, norm, pack, scale, sub, unpack, vec
-from strataframe.runtime import cut, sized_broadcast
+from strataframe.runtime import cut, join_by_key, sized_broadcast
 
 #: Rows of a small side that may be broadcast once it has been counted.
 SMALL = 200_000
@@ -13,21 +15,28 @@ SMALL = 200_000
 ON_FACE = 0.00001
 
 
+def terrain_cells(dem: DataFrame) -> DataFrame:
+    """``(ix, iy, z)``: the heights of the four nodes of every terrain cell as ``z[i + 2 j]``; unknown ones null."""
+    corner = lambda i, j: F.struct((F.col("ix") - i).alias("ix"), (F.col("iy") - j).alias("iy"), F.lit(i + 2 * j).alias("n"))
+    nodes = dem.select("z", F.explode(F.array(*[corner(i, j) for j in (0, 1) for i in (0, 1)])).alias("c"))
+    heights = F.array(*[F.max(F.when(F.col("c.n") == n, F.col("z"))) for n in range(4)])
+    return nodes.groupBy("c.ix", "c.iy").agg(heights.alias("z"))
+
+
 def dem_sample(points: DataFrame, dem: DataFrame, cell: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     """Add ``dem_z``: bilinear in the four terrain nodes around each point; null off the terrain.
 
-    A point asks for its four nodes by key and their weighted heights are summed, so the terrain is met
-    by one equi-join whatever its size.
+    Every point gives one row, repeated ones and those of null coordinates (null height) too.  The terrain is
+    gathered by cell, so a point meets one row by one equi-join, whatever its size; nodes of no weight need not
+    be known.  A node that is given twice counts with its greatest height.
     """
     fx, fy = (F.col("x") - x0) / cell, (F.col("y") - y0) / cell
     ix, iy = F.floor(fx), F.floor(fy)
-    tx, ty = fx - ix, fy - iy
-    corner = lambda i, j: F.struct((ix + i).cast("int").alias("ix"), (iy + j).cast("int").alias("iy"), ((tx if i else 1 - tx) * (ty if j else 1 - ty)).alias("part"))
-    keys = points.columns
-    asked = points.withColumn("_c", F.explode(F.filter(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]), lambda c: c["part"] != 0)))
-    met = asked.select(*keys, F.col("_c.ix").alias("ix"), F.col("_c.iy").alias("iy"), F.col("_c.part").alias("_part")).join(dem.select("ix", "iy", F.col("z").alias("_z")), ["ix", "iy"], "left")
-    known = F.count("_z") == F.count(F.lit(1))
-    return met.groupBy(*keys).agg(F.when(known, F.sum(F.col("_part") * F.col("_z"))).alias("dem_z"))
+    cells = terrain_cells(dem).select(F.col("ix").cast("long").alias("_ix"), F.col("iy").cast("long").alias("_iy"), F.col("z").alias("_z"))
+    met = points.withColumns({"_ix": ix, "_iy": iy, "_tx": fx - ix, "_ty": fy - iy}).join(cells, ["_ix", "_iy"], "left")
+    shares = [(F.col("_tx") if i else 1 - F.col("_tx")) * (F.col("_ty") if j else 1 - F.col("_ty")) for j in (0, 1) for i in (0, 1)]
+    height = sum((F.when(s != 0, s * F.get("_z", F.lit(n))).otherwise(F.lit(0.0)) for n, s in enumerate(shares)), F.lit(0.0))
+    return met.select(*points.columns, F.when(F.col("_tx").isNotNull() & F.col("_ty").isNotNull() & F.col("_z").isNotNull(), height).alias("dem_z"))
 
 
 def rank_sample(points: DataFrame, ranks: DataFrame, cells: tuple[float, float, float], origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -60,27 +69,74 @@ def mesh_bbox(tri: DataFrame, key: str = "mesh_id") -> DataFrame:
     return tri.groupBy(key).agg(*lows, *highs)
 
 
-def points_in_mesh(points: DataFrame, tri: DataFrame, key: str = "mesh_id", bucket: float = 100.0) -> DataFrame:
-    """Pairs ``(points..., mesh)`` where a closed mesh holds the point: winding number over one half.
+def _even_size(x: Column, y: Column) -> Column:
+    """A cell size for boxes of these extents that gives each a few cells in the mean, however unlike they are."""
+    return F.greatest(F.sqrt(F.avg(x * y)), F.avg(x), F.avg(y))
+
 
-    A point within ``ON_FACE`` of the box's diagonal of a face lies on the mesh and not in it, whatever the
-    rounding of its winding number.
-    Bounding boxes are met first, by grid buckets in x and y, so a point sees the faces only of meshes
-    whose box holds it; box pairs and faces are equi-joins and the windings partial sums.
+def mesh_columns(tri: DataFrame, key: str = "mesh_id") -> tuple[DataFrame, DataFrame]:
+    """The index of ``points_in_mesh``: boxes of the meshes, and the faces by the vertical columns that they touch.
+
+    A mesh's columns are as wide as its faces in the mean, so faces take a few columns each and a column holds what
+    stands above one another.  Boxes: bounds, ``size`` of a column and ``tol``, what counts as on a face.
     """
-    keys = points.columns
-    boxes = _bucketed(mesh_bbox(tri, key), "{a}min", "{a}max", bucket)
-    asked = points.withColumn("_gx", F.floor(F.col("x") / bucket)).withColumn("_gy", F.floor(F.col("y") / bucket))
-    inside = " AND ".join(f"{a} BETWEEN {a}min AND {a}max" for a in "xyz")
+    low = {a: F.least(*[F.col(f"{p}{a}") for p in "abc"]) for a in "xyz"}
+    high = {a: F.greatest(*[F.col(f"{p}{a}") for p in "abc"]) for a in "xyz"}
+    ends = [f(v[a]).alias(f"{a}{n}") for a in "xyz" for n, f, v in (("min", F.min, low), ("max", F.max, high))]
+    boxes = tri.groupBy(key).agg(*ends, _even_size(high["x"] - low["x"], high["y"] - low["y"]).alias("size"), F.count(F.lit(1)).alias("faces"))
     diagonal = norm(sub(vec("xmax", "ymax", "zmax"), vec("xmin", "ymin", "zmin")))
-    near = asked.join(boxes, ["_gx", "_gy"]).where(inside).select(*keys, key, (diagonal * ON_FACE).alias("_tol"))
+    boxes = boxes.withColumn("tol", diagonal * ON_FACE)
+    boxes = cut(boxes.withColumn("size", F.greatest("size", "tol", F.lit(1e-12))))
+    ids = boxes.select(key, F.col("xmin").alias("_x"), F.col("ymin").alias("_y"), F.col("size").alias("_s"), F.col("tol").alias("_tol"), F.col("faces").alias("_n"))
+    n = ids.count()
+    known = tri.join(F.broadcast(ids), key) if n <= SMALL else join_by_key(tri, ids, key, "_n", "f")
+    span = lambda a, o: F.explode(F.sequence(F.floor((low[a] - F.col("_tol") - F.col(o)) / F.col("_s")), F.floor((high[a] + F.col("_tol") - F.col(o)) / F.col("_s"))))
+    edges = []
+    for p, q in ("ab", "bc", "ca"):
+        # both faces of an edge see it from the same end, so a point is on one side of it for both or for none
+        ends_ = [F.struct(F.col(f"{v}x").alias("x"), F.col(f"{v}y").alias("y")) for v in (p, q)]
+        edges.append(F.struct(F.least(*ends_).alias("s"), F.greatest(*ends_).alias("e")))
+    lean = [F.struct(e["s"]["x"].alias("x"), e["s"]["y"].alias("y"), e["e"]["y"].alias("to"), ((e["e"]["x"] - e["s"]["x"]) / F.nullif(e["e"]["y"] - e["s"]["y"], F.lit(0.0))).alias("by")).alias(f"e{i}") for i, e in enumerate(edges)]
+    corners = [f"{p}{a}" for p in "abc" for a in "xyz"]
+    faces = known.withColumn("_cx", span("x", "_x")).withColumn("_cy", span("y", "_y"))
+    return boxes, faces.select(key, "_cx", "_cy", *corners, *lean, high["z"].alias("_top"))
+
+
+def _boxed(points: DataFrame, boxes: DataFrame, key: str, bucket: float | None) -> DataFrame:
+    """Points with the boxes that hold them, by grid buckets of about a box's size."""
+    if bucket is None:
+        bucket = boxes.agg(_even_size(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))).first()[0] or 1.0
+    spread = _bucketed(boxes, "{a}min", "{a}max", bucket)
+    asked = points.withColumns({f"_g{a}": F.floor(F.col(a) / bucket) for a in "xy"})
+    inside = " AND ".join(f"{a} BETWEEN {a}min AND {a}max" for a in "xyz")
+    place = [F.floor((F.col(a) - F.col(f"{a}min")) / F.col("size")).alias(f"_c{a}") for a in "xy"]
+    return asked.join(spread, ["_gx", "_gy"]).where(inside).select("x", "y", "z", key, "tol", *place)
+
+
+def points_in_mesh(points: DataFrame, tri: DataFrame, key: str = "mesh_id", bucket: float | None = None) -> DataFrame:
+    """Rows ``(points..., mesh)`` where a closed mesh holds the point: faces above it, those that face up less those
+    that face down, are not even in number.
+
+    A point meets the meshes whose box holds it, and of these the faces of its own column; work is in proportion to
+    what stands above the points, not to the meshes.  A point within ``ON_FACE`` of the box's diagonal of a face lies
+    on the mesh and not in it, whatever the rounding.  Where a vertical line meets an edge, one of its faces has it, by
+    half-open rules.  Repeated points give a row each and are looked up once; points of null coordinates give none.
+    """
+    boxes, faces = mesh_columns(tri, key)
+    near = _boxed(points.select("x", "y", "z").distinct(), boxes, key, bucket)
+    met = near.join(faces, [key, "_cx", "_cy"]).where(F.col("_top") >= F.col("z") - F.col("tol"))
     p = vec("x", "y", "z")
-    a, b, c = (sub(vec(*[f"{v}{x}" for x in "xyz"]), p) for v in "abc")
+    a, b, c = (vec(*[f"{v}{x}" for x in "xyz"]) for v in "abc")
+    normal = let(pack(cross(sub(b, a), sub(c, a))), lambda n: F.struct(n.alias("n"), dot(unpack(n), sub(p, a)).alias("up"), norm(unpack(n)).alias("size")))
+    beside = lambda e: F.coalesce(((F.col(f"{e}.y") > F.col("y")) != (F.col(f"{e}.to") > F.col("y"))) & (F.col("x") < F.col(f"{e}.x") + (F.col("y") - F.col(f"{e}.y")) * F.col(f"{e}.by")), F.lit(False))
+    within = (beside("e0") != beside("e1")) != beside("e2")
+    nz, up = F.col("_n.n.z"), F.col("_n.up")
+    turn = F.when(within & (nz * up < 0), F.signum(nz).cast("int")).otherwise(F.lit(0))
     # the whole distance is asked for only where the face's plane is near
-    close = F.when(F.abs(dot(a, cross(b, c))) <= F.col("_tol") * triangle_area2(), point_triangle_distance(p) <= F.col("_tol") * F.col("_tol"))
-    sums = [F.sum(solid_angle(p)).alias("_w"), F.max(F.coalesce(close, F.lit(False))).alias("_on")]
-    wound = near.join(tri, key).groupBy(*keys, key).agg(*sums)
-    return wound.where(~F.col("_on") & (F.abs(F.col("_w") * 2 / (4 * 3.141592653589793)) > 0.5)).select(*keys, key)
+    close = F.when(F.abs(up) <= F.col("tol") * F.col("_n.size"), point_triangle_distance(p) <= F.col("tol") * F.col("tol"))
+    wound = met.withColumn("_n", normal).groupBy("x", "y", "z", key).agg(F.sum(turn).alias("_w"), F.max(F.coalesce(close, F.lit(False))).alias("_on"))
+    hits = wound.where("NOT _on AND _w <> 0").select("x", "y", "z", key)
+    return points.join(hits, ["x", "y", "z"]).select(*points.columns, key)
 
 
 def gwb_tags(points: DataFrame, hits: DataFrame, order: str = "mesh_id") -> DataFrame:
@@ -176,10 +232,67 @@ def point_triangle_distance(p: Vec) -> Column:
     return let(face, measured)
 
 
-def nearest_face(queries: DataFrame, tri: DataFrame, on: list[str], key: str = "f") -> DataFrame:
-    """For each row of ``queries (on..., x, y, z)`` the nearest triangle among those with equal ``on``; ties to the smaller face."""
-    met = queries.join(tri, on).withColumn("_d", point_triangle_distance(vec("x", "y", "z")))
-    return met.groupBy(*queries.columns).agg(F.min(F.struct(F.col("_d").alias("d"), F.col(key).alias("f"))).alias("m")).select(*queries.columns, F.col("m.f").alias("f"), F.sqrt("m.d").alias("distance"))
+def _box_distance2(p: Vec) -> Column:
+    """Squared distance from a point to the box ``xmin..zmax``."""
+    off = [F.greatest(F.col(f"{a}min") - v, F.lit(0.0), v - F.col(f"{a}max")) for a, v in zip("xyz", p, strict=True)]
+    return off[0] * off[0] + off[1] * off[1] + off[2] * off[2]
+
+
+#: Faces of a leaf of the search tree, in the mean.
+LEAF_FACES = 16
+
+
+def face_tree(tri: DataFrame, on: list[str], depth: int) -> DataFrame:
+    """``tri`` with ``cell``: the place of each face's middle among ``2^depth`` cells a side of its mesh's box, its bits
+    dealt to the axes in turn, so that a shift by three bits gives the cell above."""
+    low = [F.min(F.least(*[F.col(f"{p}{a}") for p in "abc"])).alias(f"_l{a}") for a in "xyz"]
+    high = [F.max(F.greatest(*[F.col(f"{p}{a}") for p in "abc"])).alias(f"_h{a}") for a in "xyz"]
+    whole = tri.groupBy(*on).agg(*low, *high)
+    met = tri.join(whole, on)
+    cell = F.lit(0).cast("long")
+    for k, a in enumerate("xyz"):
+        share = ((F.col(f"a{a}") + F.col(f"b{a}") + F.col(f"c{a}")) / 3 - F.col(f"_l{a}")) / F.nullif(F.col(f"_h{a}") - F.col(f"_l{a}"), F.lit(0.0))
+        at = F.coalesce(F.least(F.floor(share * (1 << depth)), F.lit((1 << depth) - 1)), F.lit(0))
+        for bit in range(depth):
+            cell = cell + F.shiftleft(F.shiftright(at, bit).bitwiseAND(F.lit(1)).cast("long"), 3 * bit + k)
+    return met.withColumn("cell", cell).drop(*[f"_{n}{a}" for n in "lh" for a in "xyz"])
+
+
+def nearest_face(queries: DataFrame, tri: DataFrame, on: list[str], key: str = "f", read: str | None = None) -> DataFrame:
+    """For each row of ``queries (on..., x, y, z)`` the nearest triangle among those with equal ``on``; ties to the smaller face.
+
+    A mesh of many faces is searched by a tree of boxes, level by level for all queries at once: a box stays while it
+    is no farther than the nearest corner found so far, and only faces of boxes that are left are measured.  ``read``
+    names a column for the number of those.  Repeated queries give a row each and are searched once; queries of null
+    coordinates, or without a face of theirs, give none.
+    """
+    asked = queries.select(*on, "x", "y", "z").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").distinct()
+    most = tri.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    # faces lie on surfaces, so a halved cell holds about a quarter of them
+    depth = min(20, max(0, math.ceil(math.log(max(most, 1) / LEAF_FACES, 4))))
+    p, who = vec("x", "y", "z"), [*on, "x", "y", "z"]
+    if depth == 0:
+        met = asked.join(tri, on)
+    else:
+        placed = cut(face_tree(tri, on, depth))
+        sides = [f(*[F.col(f"{c}{a}") for c in "abc"]) for a in "xyz" for f in (F.least, F.greatest)]
+        ends = [f(s).alias(f"{a}{n}") for (a, n, f), s in zip([(a, n, f) for a in "xyz" for n, f in (("min", F.min), ("max", F.max))], sides, strict=True)]
+        active, above = asked.withColumn("up", F.lit(0).cast("long")), 0
+        for level in [*range(min(2, depth), depth, 2), depth]:
+            shift = 3 * (depth - level)
+            nodes = cut(placed.groupBy(*on, F.shiftright("cell", shift).alias("cell")).agg(*ends, F.min(F.struct("ax", "ay", "az")).alias("corner")))
+            nodes = nodes.withColumn("up", F.shiftright("cell", 3 * (level - above)))
+            met = active.join(nodes, [*on, "up"])
+            to = sub(vec("corner.ax", "corner.ay", "corner.az"), p)
+            bound = F.min("_most").over(Window.partitionBy(*who))
+            met = met.withColumns({"_least": _box_distance2(p), "_most": dot(to, to)}).withColumn("_bound", bound)
+            # a little slack, so that rounding drops no box of the nearest face
+            active, above = met.where("_least <= _bound * (1 + 1e-9D) + 1e-300D").select(*who, F.col("cell").alias("up")), level
+        met = active.join(placed.withColumnRenamed("cell", "up"), [*on, "up"])
+    met = met.withColumn("_d", point_triangle_distance(p))
+    best = met.groupBy(*who).agg(F.min(F.struct(F.col("_d").alias("d"), F.col(key).alias("f"))).alias("m"), F.count(F.lit(1)).alias("_read"))
+    more = [F.col("_read").alias(read)] if read else []
+    return queries.join(best, who).select(*queries.columns, F.col("m.f").alias("f"), F.sqrt("m.d").alias("distance"), *more)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -187,11 +300,20 @@ def small(df: DataFrame) -> DataFrame:
     return sized_broadcast(df, df.limit(SMALL + 1).count(), SMALL)
 
 
-def ranked(rows: DataFrame, *order) -> DataFrame:
-    """``rows`` in ``order`` with their place ``pos``, from 1: places within range partitions after the rows before them."""
+def segmented(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` sorted into range partitions and stored, with ``_part``, the partition's number, and ``_at``, the place.
+
+    Places ascend over all partitions; rows of one key may lie in several, next to each other.
+    """
     placed = cut(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     # an id holds the partition above its lower 33 bits and the row's place in it below
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
+    return placed.withColumn("_part", F.shiftright("_at", 33))
+
+
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` in ``order`` with their place ``pos``, from 1: places within range partitions after the rows before them."""
+    placed = segmented(rows, *order)
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select((F.col("_before") + within + 1).alias("pos"), *rows.columns)
+    return placed.join(F.broadcast(before), "_part").select((F.col("_before") + within + 1).alias("pos"), *rows.columns)

@@ -70,7 +70,7 @@ p1 AS (SELECT *, x / {cell} - fx AS tx, y / {cell} - fy AS ty FROM p0),
 p2 AS (SELECT p1.*, CAST(fx + a AS INT) AS nx, CAST(fy + b AS INT) AS ny, (CASE WHEN a = 1 THEN tx ELSE 1 - tx END) * (CASE WHEN b = 1 THEN ty ELSE 1 - ty END) AS part
   FROM p1 CROSS JOIN (VALUES (0), (1)) AS q(a) CROSS JOIN (VALUES (0), (1)) AS r(b)),
 sampled AS (SELECT {named}, CASE WHEN count(d.z) = count(*) THEN sum(part * d.z) END AS dem_z
-  FROM (SELECT * FROM p2 WHERE part <> 0) AS p2 LEFT JOIN dem d ON d.ix = nx AND d.iy = ny GROUP BY {named})"""
+  FROM (SELECT * FROM p2 WHERE part <> 0 OR part IS NULL) AS p2 LEFT JOIN dem d ON d.ix = nx AND d.iy = ny GROUP BY {named})"""
 
 
 _MAP = """m AS (SELECT k AS grid_id, (k * 41) % 300 * 1e0 AS xmin, 5e0 AS ymin, (k * 41) % 300 + 400.5e0 AS xmax, 5e0 + k % 25 * 2 AS ymax, 20 AS n, 10 AS m FROM site)"""
@@ -256,12 +256,14 @@ def _dem_points(spark, sf):
     return spatial.dem_sample(view(spark, sf, "points").select("x", "y", "z"), view(spark, sf, "dem"), 20.0)
 
 
-@query(f"WITH {_bilinear('points', 'x, y, z')} SELECT x, y, z, {_rs('dem_z')} FROM (SELECT x, y, z, dem_z FROM sampled)")
-def dem_sample(spark, sf):
-    return _dem_points(spark, sf).select("x", "y", "z", *_r("dem_z"))
+#: Points as rows of their own: equal ones and those of null coordinates count one by one.
+_ROWS = "pts AS (SELECT row_number() OVER () AS r, * FROM points)"
+_ABOVE = f"{_ROWS}, {_bilinear('pts', 'r, x, y, z')}"
 
 
-_ABOVE = f"{_bilinear('points', 'x, y, z')}"
+@query(f"WITH {_ABOVE} SELECT x, y, z, {_rs('dem_z')} FROM sampled")
+def dem_sample(spark, sf):
+    return _dem_points(spark, sf).select("x", "y", "z", *_r("dem_z"))
 
 
 @query(f"WITH {_ABOVE} SELECT x, y, z, round(z - dem_z, 6) + 0e0 AS height, coalesce(z - dem_z > 0, false) AS above FROM sampled")
@@ -330,12 +332,11 @@ _IN = "p.x > xmin AND p.x < xmax AND p.y > ymin AND p.y < ymax AND p.z > zmin AN
 
 
 def _hits(spark, sf):
-    """Points off the boxes' faces: the reference says nothing of points within 1e-5 of a face."""
-    points = view(spark, sf, "points").select((F.col("x") + 0.3).alias("x"), "y", "z")
+    points = view(spark, sf, "points")
     return points, spatial.points_in_mesh(points, view(spark, sf, "tri"))
 
 
-@query(f"WITH p AS (SELECT x + 0.3e0 AS x, y, z FROM points) SELECT {_rs('x')}, p.y, p.z, mesh_id FROM p JOIN boxes ON {_IN}")
+@query(f"SELECT {_rs('x')}, p.y, p.z, mesh_id FROM points p JOIN boxes ON {_IN}")
 def points_in_mesh(spark, sf):
     return _hits(spark, sf)[1].select(*_r("x"), "y", "z", "mesh_id")
 
@@ -346,12 +347,12 @@ def _tags(spark, sf):
     return spatial.gwb_tags(points, hits.join(bodies, "mesh_id"))
 
 
-@query(f"WITH p AS (SELECT x + 0.3e0 AS x, y, z FROM points) SELECT {_rs('x')}, p.y, p.z, CAST(coalesce(min_by(gwb_id, mesh_id), 0) AS INT) AS gwb_first FROM p LEFT JOIN boxes ON {_IN} GROUP BY p.x, p.y, p.z")
+@query(f"WITH {_ROWS} SELECT {_rs('x')}, p.y, p.z, CAST(coalesce(min_by(gwb_id, mesh_id), 0) AS INT) AS gwb_first FROM pts p LEFT JOIN boxes ON {_IN} GROUP BY p.r, p.x, p.y, p.z")
 def gwb_first(spark, sf):
     return _tags(spark, sf).select(*_r("x"), "y", "z", F.col("gwb_first").cast("int").alias("gwb_first"))
 
 
-@query(f"WITH p AS (SELECT x + 0.3e0 AS x, y, z FROM points) SELECT {_rs('x')}, p.y, p.z, CAST(coalesce(max(gwb_id), 0) AS INT) AS gwb_max FROM p LEFT JOIN boxes ON {_IN} GROUP BY p.x, p.y, p.z")
+@query(f"WITH {_ROWS} SELECT {_rs('x')}, p.y, p.z, CAST(coalesce(max(gwb_id), 0) AS INT) AS gwb_max FROM pts p LEFT JOIN boxes ON {_IN} GROUP BY p.r, p.x, p.y, p.z")
 def gwb_max(spark, sf):
     return _tags(spark, sf).select(*_r("x"), "y", "z", F.col("gwb_max").cast("int").alias("gwb_max"))
 

@@ -41,7 +41,7 @@ VIEWS: dict[str, str] = {
   CASE WHEN k % 5 = 0 THEN x WHEN k % 25 = 24 THEN x ELSE x + 300.5e0 END AS xmax,
   CASE WHEN k % 25 = 24 THEN y ELSE y + 150.25e0 END AS ymax, 100.5e0 AS zmax, 20 + k % 25 AS resolution
   FROM (SELECT k, (k * 41) % 700 * 1e0 AS x, (k * 83) % 800 * 1e0 AS y FROM {SITES})""",
-    "points": """SELECT x, y, z, count(*) AS copies FROM (SELECT l_partkey % 1000 * 1e0 AS x, l_suppkey * 7 % 1000 * 1e0 + 0.5e0 AS y, l_quantity * 20 + 0.25e0 AS z FROM {lineitem}) GROUP BY x, y, z""",
+    "points": """SELECT CASE WHEN l_orderkey % 97 <> 5 THEN l_partkey % 1000 * 1e0 END AS x, l_suppkey * 7 % 1000 * 1e0 + 0.5e0 AS y, l_quantity * 20 + 0.25e0 AS z FROM {lineitem}""",
     "dem": """SELECT CAST(p_partkey % 50 AS INT) AS ix, CAST(floor(p_partkey / 50) AS INT) AS iy, p_partkey % 50 * 20e0 AS x, floor(p_partkey / 50) * 20e0 AS y, p_retailprice / 10 + (p_partkey * 13) % 17 AS z FROM {part}""",
     "rank_grid": """SELECT CAST(k % 25 AS INT) AS ix, CAST(floor(k / 25) % 25 AS INT) AS iy, CAST(floor(k / 625) AS INT) AS iz,
   CAST(floor((floor(k / 625) + k % 25 * 0.3e0 + floor(k / 25) % 25 * 0.2e0) / 4e0) % 6 AS INT) AS rank FROM (SELECT o_orderkey AS k FROM {orders})""",

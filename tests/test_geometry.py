@@ -1,9 +1,12 @@
+import datetime
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import graph, groundwater, meshes, spatial, tunnels
+from strataframe.operators import graph, groundwater, meshes, metrics, spatial, tunnels
 from strataframe.functions import vector as V
 from strataframe.plans.views import view
 
@@ -94,9 +97,10 @@ def test_case_table_covers_all_mixed_masks():
     assert len(table) == 254 and all(table.values())
 
 
-def test_views_have_unique_points(spark, sf_dir):
+def test_views_hold_repeated_points_and_null_coordinates(spark, sf_dir):
     points = view(spark, sf_dir, "points")
-    assert points.count() == points.select("x", "y", "z").distinct().count()
+    assert points.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert points.where("x IS NULL").count() > 0
 
 
 def volume_of(spark, cells, step=1.0):
@@ -175,3 +179,142 @@ def test_rank_sample_keeps_the_columns_of_its_points(spark):
     points = spark.createDataFrame([(7, 8, 9, 1.5, 0.5, 0.5)], "ix int, iy int, iz int, x double, y double, z double")
     ranks = spark.createDataFrame([(1, 0, 0, 4)], "ix int, iy int, iz int, rank int")
     assert spatial.rank_sample(points, ranks, (1.0, 1.0, 1.0)).collect()[0].asDict() == {"ix": 7, "iy": 8, "iz": 9, "x": 1.5, "y": 0.5, "z": 0.5, "rank": 4}
+
+
+POINTS = "x double, y double, z double, _ix string, tag string"
+ASKED = [(5.0, 5.0, 0.5, "u", "a"), (5.0, 5.0, 0.5, "u", "a"), (5.0, 5.0, 0.5, "u", "b"), (None, 5.0, 0.5, "u", "c"), (5.0, None, 0.5, "u", "c"), (0.0, 0.0, None, "u", "d"), (99.0, 99.0, 9.0, "u", "e")]
+
+
+def test_every_point_gives_a_row_of_the_terrain(spark):
+    points = spark.createDataFrame([r[:3] + r[4:] for r in ASKED] + [(10.0, 10.0, 1.0, "f"), (10.0, 10.5, 1.0, "g"), (10.5, 10.0, 1.0, "h")], "x double, y double, z double, tag string")
+    dem = spark.createDataFrame([(0, 0, 10.0), (1, 0, 12.0), (0, 1, 14.0), (1, 1, 8.0), (1, 1, 8.0)], "ix int, iy int, z double")
+    got = spatial.dem_sample(points, dem, 10.0).collect()
+    assert sorted((r.tag, r.dem_z or 0) for r in got) == [("a", 11.0), ("a", 11.0), ("b", 11.0), ("c", 0), ("c", 0), ("d", 10.0), ("e", 0), ("f", 8.0), ("g", 0), ("h", 0)]
+    assert spatial.dem_sample(points.limit(0), dem, 10.0).count() == 0 == spatial.dem_sample(points, dem.limit(0), 10.0).where("dem_z IS NOT NULL").count()
+
+
+def test_repeated_and_null_points_in_meshes(spark):
+    tri = spark.createDataFrame(box(1, size=10) + box(2, 4, 4, 0, size=2), TRI).withColumnRenamed("unit_id", "mesh_id")
+    points = spark.createDataFrame([r[:3] + r[4:] for r in ASKED], "x double, y double, z double, tag string")
+    got = spatial.points_in_mesh(points, tri)
+    assert sorted((r.tag, r.mesh_id) for r in got.collect()) == sorted((t, m) for t in "aab" for m in (1, 2))
+    bodies = tri.select("mesh_id").distinct().withColumn("gwb_id", F.col("mesh_id") * 10)
+    tags = spatial.gwb_tags(points, got.join(bodies, "mesh_id")).collect()
+    assert sorted((r.tag, r.gwb_first, r.gwb_max) for r in tags) == [("a", 10, 20), ("a", 10, 20), ("b", 10, 20), *[(t, 0, 0) for t in "ccde"]]
+    assert spatial.points_in_mesh(points.limit(0), tri).count() == 0 == spatial.points_in_mesh(points, tri.limit(0)).count()
+
+
+def test_repeated_and_null_points_by_nearest_face(spark):
+    tri = spark.createDataFrame(box(1, size=10), TRI)
+    asked = spark.createDataFrame([(1, *r[:3], r[4]) for r in ASKED] + [(2, 1.0, 1.0, 1.0, "z")], "unit_id int, x double, y double, z double, tag string")
+    got = spatial.nearest_face(asked, tri, ["unit_id"], read="read").collect()
+    assert sorted((r.tag, r.distance, r.read) for r in got)[:3] == [("a", 0.5, 12), ("a", 0.5, 12), ("b", 0.5, 12)] and sorted(r.tag for r in got) == ["a", "a", "b", "e"]
+
+
+def sphere(mesh, rings, turns, radius=100.0, wobble=0.0):
+    """A closed mesh of 2 turns (rings - 1) faces around (0, 0, 0), its sides outward."""
+    draw = random.Random(mesh)
+    at = [[(0.0, 0.0, -radius)]]
+    for i in range(1, rings):
+        low = math.pi * i / rings - math.pi / 2
+        r = [radius * (1 + wobble * draw.random()) for _ in range(turns)]
+        at.append([(r[j] * math.cos(low) * math.cos(2 * math.pi * j / turns), r[j] * math.cos(low) * math.sin(2 * math.pi * j / turns), r[j] * math.sin(low)) for j in range(turns)])
+    at.append([(0.0, 0.0, radius)])
+    faces = []
+    for i in range(rings):
+        for j in range(turns):
+            a, b = at[i][j % len(at[i])], at[i][(j + 1) % len(at[i])]
+            c, d = at[i + 1][j % len(at[i + 1])], at[i + 1][(j + 1) % len(at[i + 1])]
+            faces += [(a, b, d)] * (i > 0) + [(a, d, c)] * (i < rings - 1)
+    return [(mesh, f, *p, *q, *r) for f, (p, q, r) in enumerate(faces)]
+
+
+def winding(points, faces):
+    a, b, c = (np.array([f[k : k + 3] for f in faces])[None] - points[:, None] for k in (2, 5, 8))
+    la, lb, lc = (np.linalg.norm(v, axis=2) for v in (a, b, c))
+    top = (a * np.cross(b, c)).sum(axis=2)
+    under = la * lb * lc + (a * b).sum(axis=2) * lc + (b * c).sum(axis=2) * la + (c * a).sum(axis=2) * lb
+    return np.arctan2(top, under).sum(axis=1) / (2 * math.pi)
+
+
+def test_points_in_rough_meshes_by_winding_numbers(spark):
+    rows = [r for m in (1, 2) for r in sphere(m, 12, 17, wobble=0.8)]
+    # the second mesh winds twice round its middle: an even number of faces above a point that it holds
+    rows += [(2, 1000 + f, *[v * 0.4 for v in t]) for _, f, *t in sphere(2, 12, 17, wobble=0.8)]
+    draw = random.Random(0)
+    asked = [tuple(draw.uniform(-150, 150) for _ in range(3)) for _ in range(900)] + [(0.0, 0.0, 5.0), (0.0, 0.0, -500.0), *dict.fromkeys(r[2:5] for r in rows[17:57])]
+    want = set()
+    # the last of the points are corners of the first mesh, so they lie on it
+    for mesh, count in ((1, 902), (2, len(asked))):
+        w = winding(np.array(asked[:count]), [r for r in rows if r[0] == mesh])
+        want |= {(asked[i], mesh) for i in range(count) if abs(w[i]) > 0.5}
+    got = spatial.points_in_mesh(spark.createDataFrame(asked, "x double, y double, z double"), spark.createDataFrame(rows, TRI), "unit_id").collect()
+    assert {((r.x, r.y, r.z), r.unit_id) for r in got} == want and len(got) == len(want)
+
+
+def test_columns_hold_few_faces_of_a_mesh_of_very_many(spark):
+    tri = spark.createDataFrame(sphere(1, 150, 300), TRI)
+    boxes, faces = spatial.mesh_columns(tri, "unit_id")
+    assert faces.count() <= 9 * tri.count()
+    points = spark.range(3000).selectExpr("double(id % 60 - 30) AS x", "double(id / 60 - 25) AS y", "double(id % 7) AS z")
+    near = spatial._boxed(points, boxes, "unit_id", None)
+    read = near.join(faces, ["unit_id", "_cx", "_cy"]).groupBy("x", "y", "z").count().agg(F.max("count")).first()[0]
+    assert read < tri.count() / 100
+    assert spatial.points_in_mesh(points, tri, "unit_id").count() == 3000
+
+
+def plain_distance(p, faces):
+    """Distance from a point to the nearest of many triangles: the foot on the plane if inside, else on an edge."""
+    best = np.inf
+    a, b, c = (np.array([f[k : k + 3] for f in faces]) for k in (2, 5, 8))
+    n = np.cross(b - a, c - a)
+    inside = np.ones(len(a), bool)
+    for s, e in ((a, b), (b, c), (c, a)):
+        d = e - s
+        t = np.clip(((p - s) * d).sum(axis=1) / (d * d).sum(axis=1), 0, 1)
+        best = min(best, np.linalg.norm(s + d * t[:, None] - p, axis=1).min())
+        inside &= (np.cross(d, p - s) * n).sum(axis=1) >= 0
+    height = np.abs(((p - a) * n).sum(axis=1)) / np.linalg.norm(n, axis=1)
+    return min(best, height[inside].min()) if inside.any() else best
+
+
+def test_nearest_of_very_many_faces_by_brute_force(spark):
+    rows = sphere(1, 40, 60, wobble=0.3) + sphere(2, 3, 4)
+    draw = random.Random(4)
+    asked = [(draw.choice([1, 1, 2]), *[draw.choice([draw.uniform(-200, 200), draw.uniform(-1e4, 1e4), 0.0]) for _ in range(3)]) for _ in range(120)]
+    got = spatial.nearest_face(spark.createDataFrame(asked, "unit_id int, x double, y double, z double"), spark.createDataFrame(rows, TRI), ["unit_id"], read="read").collect()
+    assert len(got) == len(asked)
+    for r in got:
+        assert r.distance == pytest.approx(plain_distance(np.array([r.x, r.y, r.z]), [f for f in rows if f[0] == r.unit_id]), rel=1e-9)
+    outside = [r.read for r in got if r.unit_id == 1 and abs(r.x) + abs(r.y) + abs(r.z) > 200]
+    assert sum(outside) / len(outside) < 4680 / 4
+
+
+def test_counters_by_a_plain_scan(spark):
+    draw = random.Random(6)
+    rows = []
+    for n in range(400):
+        series = draw.choice(["hot", "hot", "hot", "cold", None, "one"]) if n else "single"
+        rows.append((series, n, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=draw.randrange(300)), float(draw.randrange(50))))
+    samples = spark.createDataFrame(rows, "series string, seq long, ts timestamp, value double").repartition(7)
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[1])):
+        by.setdefault(r[0], []).append(r)
+    rises = {s: [0.0] + [b[3] if b[3] < a[3] else b[3] - a[3] for a, b in zip(v, v[1:])] for s, v in by.items()}
+    assert {r.series: r.increase for r in metrics.counter_increase(samples).collect()} == {s: sum(d) for s, d in rises.items()}
+    want = {}
+    for s, v in by.items():
+        for k, (_, n, t, _) in enumerate(v):
+            span = [d for d, x in zip(rises[s], v) if t - datetime.timedelta(minutes=20) <= x[2] <= t]
+            want[n] = sum(span) - span[0]
+    got = metrics.trailing_increase(samples, 1200).collect()
+    assert {r.seq: r.increase for r in got} == want and len(got) == len(rows)
+    assert metrics.trailing_increase(samples.limit(0), 60).count() == 0 == metrics.counter_rate(samples.limit(0)).count()
+
+
+def test_a_hot_counter_lies_in_several_tasks(spark):
+    samples = spark.range(40_000).selectExpr("'hot' AS series", "id AS seq", "timestamp_millis(id * 10) AS ts", "double(id) AS value")
+    steps = metrics.counter_steps(samples)
+    most = steps.groupBy("_part").count().agg(F.max("count"), F.count("*")).first()
+    assert most[1] > 1 and most[0] < 40_000 * 0.6
+    assert metrics.counter_increase(samples).first().increase == 39_999.0
