@@ -90,10 +90,14 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_profile_csv(spark: SparkSession, path: str, steps: list[str]) -> DataFrame:
-    """Timings in ms from ``<computation>_v<version>.csv`` files, ``;``-separated: start time, then steps."""
+    """Timings in ms, ``;``-separated: start time, then steps; from ``<computation>_v<version>.csv`` files, or from the
+    folders by computation and version that ``write_profile_csv`` makes."""
     schema = ", ".join(["start_time timestamp", *[f"`{s}` double" for s in steps]])
     rows = spark.read.schema(schema).option("sep", ";").option("header", True).csv(path).withColumn("_f", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    named = rows.withColumn("computation", F.regexp_extract("_f", r"^(.*)_v[0-9]+", 1)).withColumn("version", F.regexp_extract("_f", r"_v([0-9]+)", 1).cast("int"))
+    if "computation" in rows.columns:
+        named = rows.withColumns({"computation": F.col("computation").cast("string"), "version": F.col("version").cast("int")})
+    else:
+        named = rows.withColumns({"computation": F.regexp_extract("_f", r"^(.*)_v[0-9]+", 1), "version": F.regexp_extract("_f", r"_v([0-9]+)", 1).cast("int")})
     entries = F.filter(F.array(*[F.struct(F.lit(s).alias("key"), (F.col(f"`{s}`") / 1000).alias("value")) for s in steps]), lambda e: e["value"].isNotNull())
     return named.select("computation", "version", "start_time", F.map_from_entries(entries).alias("steps"))
 

@@ -63,14 +63,17 @@ def manifest(outputs: DataFrame) -> DataFrame:
 
 
 def aquifer_report(aquifers: DataFrame) -> DataFrame:
-    """``(value)``: a JSON object per aquifer with its file, unit, spring and volume."""
+    """``(value)``: a JSON object per aquifer with its file, unit, spring and volume; an error when there is none."""
+    if aquifers.isEmpty():
+        raise ValueError("no aquifer was found")
     rows = numbered(aquifers, "spring_id", "unit_id", "component")
     return rows.select(F.to_json(F.struct(F.concat(F.lit("mesh_"), "n", F.lit(".off")).alias("file"), F.col("unit_id").alias("unitId"), F.col("spring_id").alias("springId"), "volume")).alias("value"))
 
 
 def write_profile_csv(profile: DataFrame, path: str, steps: list[str]) -> None:
     """Append timings in ms with five decimals, ``;``-separated, by computation and version."""
-    cells = [F.format_string("%.5f", F.try_element_at("steps", F.lit(s)) * 1000).alias(s) for s in steps]
+    took = lambda s: F.try_element_at("steps", F.lit(s))
+    cells = [F.when(took(s).isNotNull(), F.format_string("%.5f", took(s) * 1000)).alias(s) for s in steps]
     profile.select("computation", "version", "start_time", *cells).write.mode("append").partitionBy("computation", "version").option("sep", ";").option("header", True).csv(path)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from strataframe.runtime import shared_folder
 
@@ -38,11 +42,42 @@ def retained_stream(events: DataFrame, hours: float = 8) -> DataFrame:
     return events.where(F.col("ts") >= F.current_timestamp() - F.make_dt_interval(F.lit(0), F.lit(int(hours))))
 
 
-def overdue_tasks(events: DataFrame, limit: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """Sessions of a task that began and closed, ``limit`` later, without an end; emitted as they close."""
-    ended = F.col("state").isin("SUCCESS", "FAILURE", "REVOKED")
-    sessions = events.withWatermark("ts", late).groupBy(F.session_window("ts", limit).alias("w"), "task")
-    return sessions.agg(F.count_if(F.col("state") == "STARTED").alias("starts"), F.count_if(ended).alias("ends"), F.min("ts").alias("started")).where("starts > 0 AND ends = 0").select("task", "started")
+#: States that end a task.  Fixed values.
+ENDS = ("SUCCESS", "FAILURE", "REVOKED")
+
+
+def overdue_tasks(events: DataFrame, hours: float = 6, late: str = "1 hour") -> DataFrame:
+    """``(task, started)`` of tasks that began and had no end within ``hours``, emitted once the watermark passes that.
+
+    The limit runs from the latest start: a task may have begun and ended before, and a new start sets its timer
+    anew.  A task's state is its latest start and end; it goes when its timer ends, ended tasks' as well, so the
+    state holds what happened within ``hours`` and the lateness.  Rows without a task or a time are left out.
+    """
+    limit = int(hours * 3600e3)
+    schema = T.StructType([T.StructField("task", events.schema["task"].dataType), T.StructField("started", T.TimestampType())])
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, ended = state.get if state.exists else (None, None)
+        is_open = lambda: started is not None and (ended is None or ended < started)
+        if state.hasTimedOut:
+            state.remove()
+            if is_open():
+                yield pd.DataFrame({"task": [key[0]], "started": [pd.Timestamp(started, unit="us", tz="UTC")]})
+            return
+        for rows in frames:
+            for kinds, last in ((("STARTED",), started), (ENDS, ended)):
+                times = rows.loc[rows["state"].isin(kinds), "us"].tolist() + ([] if last is None else [last])
+                if kinds == ENDS:
+                    ended = max(times, default=None)
+                else:
+                    started = max(times, default=None)
+        known = [t for t in (started, ended) if t is not None]
+        if known:
+            state.update((started, ended))
+            state.setTimeoutTimestamp(max((started if is_open() else max(known)) // 1000 + limit, state.getCurrentWatermarkMs() + 1))
+
+    asked = events.where("task IS NOT NULL AND ts IS NOT NULL").select("task", "ts", "state", F.unix_micros("ts").alias("us"))
+    return asked.withWatermark("ts", late).groupBy("task").applyInPandasWithState(follow, schema, "started long, ended long", "append", "EventTimeTimeout")
 
 
 def append_profiles(profiles: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,9 +1,13 @@
-import pytest
+import datetime
 import json
+import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions import vector as V
+from strataframe.operators import metrics
 from strataframe.sources import readers, writers
 from strataframe.streaming import streams
 
@@ -72,11 +76,41 @@ def test_named_path_functions(spark):
         tunnels.named_path(d, {"sin": np.sin}, {"x": "fx"}).collect()
 
 
-def test_overdue_stream_equals_sessions(spark, sf_dir, tmp_path):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = streams.event_stream(spark, f"{sf_dir}/events.parquet*", schema).select("ts", F.lit("STARTED").alias("state"), F.col("user_id").alias("task"))
-    out = streams.drained(streams.overdue_tasks(stream), "late_ones", str(tmp_path / "c"), "append")
-    assert out.count() > 0
+def test_overdue_stream_equals_the_batch(spark, tmp_path):
+    draw, first = random.Random(2), datetime.datetime(2024, 1, 1)
+    rows = [(7, "STARTED", 0.0), (7, "SUCCESS", 1.0), (7, "STARTED", 3.0)]  # began again and did not end
+    for task in range(20, 60):
+        at = draw.uniform(0, 30)
+        for _ in range(draw.randrange(4)):
+            took = draw.uniform(0, 5)
+            rows += [(task, "STARTED", at), (task, draw.choice(streams.ENDS), at + took)]
+            at += took + draw.uniform(0, 9)
+        rows += [(task, "STARTED", at)] * draw.randrange(2) + [(task, "RETRY", at + 0.1)]
+    rows += [(99, "RETRY", 80.0), (None, "STARTED", 1.0)]
+    rows = sorted(((t, s, first + datetime.timedelta(hours=h)) for t, s, h in rows), key=lambda r: r[2])
+    schema = "task long, state string, ts timestamp"
+    for k in range(4):
+        part = rows[k * len(rows) // 4 : (k + 1) * len(rows) // 4]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = streams.event_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=1)
+    got = streams.drained(streams.overdue_tasks(stream, late="0 seconds"), "late_ones", str(tmp_path / "c"), "append").collect()
+    want = metrics.overdue(spark.createDataFrame(rows, schema).where("task IS NOT NULL")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and 7 in {r.task for r in got} and len(got) > 5
+
+
+def test_profile_csv_comes_back(spark, tmp_path):
+    start = datetime.datetime(2024, 5, 6, 7, 8, 9)
+    rows = [("meshes", 3, start, {"a": 0.25, "b": 1.5}), ("voxels", 1, start, {"b": 2.0}), ("voxels", 1, start, {"b": 2.0})]
+    profile = spark.createDataFrame(rows, "computation string, version int, start_time timestamp, steps map<string,double>")
+    writers.write_profile_csv(profile, str(tmp_path / "csv"), ["a", "b"])
+    got = readers.read_profile_csv(spark, str(tmp_path / "csv"), ["a", "b"]).collect()
+    assert sorted((r.computation, r.version, r.start_time, tuple(sorted(r.steps.items()))) for r in got) == sorted((c, v, t, tuple(sorted(s.items()))) for c, v, t, s in rows)
+
+
+def test_report_of_no_aquifer_is_an_error(spark):
+    with pytest.raises(ValueError, match="no aquifer"):
+        writers.aquifer_report(spark.createDataFrame([], "spring_id int, unit_id int, component int, volume double"))
 
 
 def test_drained_rows_stay_in_files(spark, sf_dir):
