@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strataframe.functions.vector import cross, dot, let, vec
 from strataframe.operators.graph import connected_components
-from strataframe.runtime import cut
+from strataframe.operators.spatial import ranked
+from strataframe.runtime import cut, join_by_key
 
 _CORNERS = [f"{p}{a}" for p in "abc" for a in "xyz"]
 
@@ -41,6 +42,26 @@ def mesh_sizes(tri: DataFrame, *keys: str) -> DataFrame:
     return faces.join(corners.groupBy(*keys).agg(F.count_distinct("v").alias("vertices")), list(keys))
 
 
+def welded(tri: DataFrame, key: str = "mesh_id") -> tuple[DataFrame, DataFrame]:
+    """Vertices ``(key, v, x, y, z)`` and faces ``(key, f, a, b, c)`` of bare triangles, as ``write_off`` takes them.
+
+    Equal corners of a mesh are one vertex.  Vertices and faces are numbered from 0 in the order of their coordinates,
+    by the counts of range partitions, so a mesh may lie in many tasks; equal faces stay faces of their own.
+    """
+
+    def dense(rows: DataFrame, number: str, *order: str) -> DataFrame:
+        placed = ranked(rows, key, *order)
+        first = placed.groupBy(key).agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        met = join_by_key(placed, cut(first), key, "_n", "pos")
+        return met.select(*rows.columns, (F.col("pos") - F.col("_first")).cast("int").alias(number))
+
+    faces = cut(dense(tri.select(key, *_CORNERS), "f", *_CORNERS))
+    corners = faces.select(key, "f", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), *[F.col(f"{p}{a}").alias(a) for a in "xyz"]) for p in "abc"])).alias("c")).select(key, "f", "c.*")
+    vertices = cut(dense(corners.select(key, *"xyz").distinct(), "v", *"xyz"))
+    named = corners.join(vertices, [key, *"xyz"]).groupBy(key, "f").agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(p) for p in "abc"])
+    return vertices.select(key, "v", *"xyz"), named
+
+
 def translate_mesh(tri: DataFrame, dx: float, dy: float, dz: float) -> DataFrame:
     move = dict(zip("xyz", (dx, dy, dz), strict=True))
     return tri.withColumns({c: F.col(c) + move[c[1]] for c in _CORNERS})

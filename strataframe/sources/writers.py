@@ -27,7 +27,9 @@ def off_text(vertices: DataFrame, faces: DataFrame, key: str = "mesh_id", digits
 
 def write_off(vertices: DataFrame, faces: DataFrame, path: str, key: str = "mesh_id") -> None:
     """One folder per mesh name; every mesh is a row of its own, so files are written where meshes lie."""
-    off_text(vertices, faces, key).write.mode("overwrite").option("lineSep", "").partitionBy(key).text(path)
+    # the writer ends each row by a line feed of its own
+    rows = off_text(vertices, faces, key).select(key, F.regexp_replace("value", "\n$", "").alias("value"))
+    rows.write.mode("overwrite").partitionBy(key).text(path)
 
 
 def vox_lines(voxels: DataFrame) -> DataFrame:

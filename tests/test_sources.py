@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.functions import vector as V
-from strataframe.operators import metrics
+from strataframe.operators import meshes, metrics
 from strataframe.sources import readers, writers
 from strataframe.streaming import streams
 
@@ -99,6 +99,21 @@ def test_overdue_stream_equals_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and 7 in {r.task for r in got} and len(got) > 5
 
 
+def test_surfaces_are_welded_written_and_read_back(spark, sf_dir, tmp_path):
+    from strataframe.plans.views import view
+
+    tri = meshes.extract_surfaces(spark, view(spark, sf_dir, "rank_grid")).withColumn("mesh_id", F.concat(F.lit("rank_"), "rank"))
+    vertices, faces = meshes.welded(tri)
+    writers.write_off(vertices, faces, str(tmp_path / "off"))
+    for folder in (tmp_path / "off").glob("mesh_id=*"):
+        next(folder.glob("part-*")).rename(tmp_path / folder.name.removeprefix("mesh_id="))
+    back = readers.triangles(*readers.read_off(spark, str(tmp_path / "rank_*"))[:2])
+    told = lambda t: {r.mesh_id: (round(r.volume, 6), r.closed, r.faces, r.vertices) for r in meshes.mesh_volume(t, "mesh_id").join(meshes.mesh_closed(t), "mesh_id").join(meshes.mesh_sizes(t, "mesh_id"), "mesh_id").collect()}
+    assert told(back) == told(tri) and len(told(tri)) > 1 and all(v[1] for v in told(tri).values())
+    counted = {r.mesh_id: r.n for r in vertices.groupBy("mesh_id").agg((F.max("v") + 1).alias("n")).collect()}
+    assert counted == {m: v[3] for m, v in told(tri).items()}
+
+
 def test_profile_csv_comes_back(spark, tmp_path):
     start = datetime.datetime(2024, 5, 6, 7, 8, 9)
     rows = [("meshes", 3, start, {"a": 0.25, "b": 1.5}), ("voxels", 1, start, {"b": 2.0}), ("voxels", 1, start, {"b": 2.0})]
