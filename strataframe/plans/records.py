@@ -10,7 +10,7 @@ from strataframe.functions import vector as V
 from strataframe.operators import metrics as M, profile as P
 from strataframe.plans.views import oracle, view
 from strataframe.runtime import shared_folder
-from strataframe.streaming import streams
+from strataframe.streaming import stores, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -269,7 +269,10 @@ def stream_task_counts(spark, sf):
 
 @query("SELECT task, max_by(state, (ts, id)) AS state FROM task_events GROUP BY task")
 def stream_latest_state(spark, sf):
-    return _drain(spark, streams.latest_states(_stream(spark, sf)))
+    """Every batch writes the tasks that it names; the store is read back once the stream is drained."""
+    store, events = shared_folder(spark, "states"), _stream(spark, sf)
+    stores.upsert_states(events, store).awaitTermination()
+    return stores.read_states(spark, store, events.schema)
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) - CAST(k AS INT) AS bucket, name, runtime FROM task_events, range(7) AS q(k))
@@ -278,6 +281,22 @@ def stream_sliding_runtime(spark, sf):
     return _drain(spark, streams.sliding_runtime(_stream(spark, sf))).select(F.unix_micros("bucket").alias("bucket_us"), "name", V.tidy(F.col("avg_runtime"), 5).alias("avg_runtime"))
 
 
+_GAMMA = repr((1 + streams.SKETCH_ERROR) / (1 - streams.SKETCH_ERROR))
+
+
+@query(f"""WITH v AS (SELECT CAST(ts AS DATE) AS day, name, CAST(sign(runtime) AS INT) AS sgn, CASE WHEN runtime = 0 THEN 0 ELSE CAST(ceil(ln(abs(nullif(runtime, 0e0))) / ln({_GAMMA}e0)) AS INT) END AS bin
+  FROM task_events WHERE runtime IS NOT NULL AND isfinite(runtime)),
+m AS (SELECT CAST(day - CAST(k AS INT) AS DATE) AS bucket, name, sgn, bin, count(*) AS c FROM v, range(7) AS q(k) GROUP BY ALL),
+r AS (SELECT *, sum(c) OVER (PARTITION BY bucket, name ORDER BY sgn, sgn * bin) AS upto, sum(c) OVER (PARTITION BY bucket, name) AS n FROM m)
+SELECT epoch_us(CAST(bucket AS TIMESTAMP)) AS bucket_us, name, CAST(max(n) AS BIGINT) AS n, {", ".join(f"round(arg_min(sgn * (2e0 / (1e0 + {_GAMMA}e0)) * pow({_GAMMA}e0, bin), upto) FILTER (upto >= ceil(n * {q}e0)), 5) + 0e0 AS p{round(q * 100)}" for q in (0.5, 0.95, 0.99))}
+FROM r GROUP BY bucket, name""")
+def stream_sliding_quantiles(spark, sf):
+    """Medians and upper quantiles of the runtimes of each week, by day and name, from sketches that a stream keeps by day."""
+    kept = _drain(spark, streams.runtime_sketches(_stream(spark, sf)))
+    out = streams.sliding_quantiles(kept, [0.5, 0.95, 0.99])
+    return out.select(F.unix_micros("bucket").alias("bucket_us"), "name", "n", *[V.tidy(F.col(p), 5).alias(p) for p in ("p50", "p95", "p99")])
+
+
 @query("SELECT CAST(count(DISTINCT task) AS BIGINT) AS tasks FROM task_events")
 def stream_distinct_tasks(spark, sf):
     """Task ids that a deduplicating stream lets through once, its watermark spanning all events."""

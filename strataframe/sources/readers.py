@@ -102,10 +102,15 @@ def read_profile_csv(spark: SparkSession, path: str, steps: list[str]) -> DataFr
     return named.select("computation", "version", "start_time", F.map_from_entries(entries).alias("steps"))
 
 
-def read_profile_json(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the profile store, partitioned by computation and version; steps in ms."""
+def read_profile_json(spark: SparkSession, path: str | list[str], base: str | None = None) -> DataFrame:
+    """Entries of the profile store, partitioned by computation and version; steps in ms.
+
+    ``path`` may name several folders of the store ``base``, none included.
+    """
     schema = "computation string, version int, metadata map<string,string>, steps map<string,double>"
-    rows = spark.read.schema(schema).json(path)
+    read = spark.read.schema(schema) if base is None else spark.read.schema(schema).option("basePath", base)
+    rows = read.json(path) if path else spark.createDataFrame([], schema)
+    rows = rows.select("computation", "version", "metadata", "steps")
     return rows.withColumn("start_time", F.to_timestamp(F.try_element_at("metadata", F.lit("start_time"))))
 
 

@@ -79,8 +79,8 @@ def write_profile_csv(profile: DataFrame, path: str, steps: list[str]) -> None:
     profile.select("computation", "version", "start_time", *cells).write.mode("append").partitionBy("computation", "version").option("sep", ";").option("header", True).csv(path)
 
 
-def append_profile_json(profile: DataFrame, path: str) -> None:
+def append_profile_json(profile: DataFrame, path: str, mode: str = "append") -> None:
     """Append entries ``{metadata, steps}`` in ms rounded to five decimals, by computation and version."""
     steps = F.transform_values("steps", lambda _, s: F.round(s * 1000, 5))
     metadata = F.map_concat(F.map_filter("metadata", lambda k, _: k != "start_time"), F.create_map(F.lit("start_time"), F.col("start_time").cast("string"))) if "metadata" in profile.columns else F.create_map(F.lit("start_time"), F.col("start_time").cast("string"))
-    profile.select("computation", "version", metadata.alias("metadata"), steps.alias("steps")).write.mode("append").partitionBy("computation", "version").json(path)
+    profile.select("computation", "version", metadata.alias("metadata"), steps.alias("steps")).write.mode(mode).partitionBy("computation", "version").json(path)

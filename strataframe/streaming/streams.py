@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState
 
 from strataframe.runtime import shared_folder
@@ -32,6 +31,46 @@ def sliding_runtime(events: DataFrame, width: str = "7 days", slide: str = "1 da
     return events.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "name").agg(F.avg("runtime").alias("avg_runtime")).select(F.col("w.start").alias("bucket"), "name", "avg_runtime")
 
 
+#: Relative error of the values that a sketch tells.
+SKETCH_ERROR = 0.01
+
+
+def _gamma(error: float) -> float:
+    return (1 + error) / (1 - error)
+
+
+def runtime_sketches(events: DataFrame, slide: str = "1 day", late: str = "1 day", error: float = SKETCH_ERROR, value: str = "runtime") -> DataFrame:
+    """Sketches ``(bucket, name, sgn, bin, n)`` of a value by tumbling window: counts of values by the power of
+    (1 + error) / (1 - error) that they do not exceed.
+
+    Counts add up, so sketches of windows, batches and names can be merged in any order, and a window holds at most
+    as many rows as there are powers (1,460 / error for all doubles), however many events it has.  Values that are
+    null or not finite take no part.
+    """
+    x = F.col(value).cast("double")
+    power = F.ceil(F.log(F.abs(x)) / F.log(F.lit(_gamma(error)))).cast("int")
+    told = events.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select("ts", "name", F.signum(x).cast("int").alias("sgn"), F.when(x == 0, 0).otherwise(power).alias("bin"))
+    counted = told.withWatermark("ts", late).groupBy(F.window("ts", slide).alias("w"), "name", "sgn", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("w.start").alias("bucket"), "name", "sgn", "bin", "n")
+
+
+def sliding_quantiles(sketches: DataFrame, qs: list[float], width: str = "7 days", slide: str = "1 day", error: float = SKETCH_ERROR) -> DataFrame:
+    """Quantiles ``(bucket, name, n, p..)`` of windows merged from the sketches of ``runtime_sketches``.
+
+    The value of rank ceil(q n), counted from 1, is told within ``error`` of itself; windows begin at ``bucket``.
+    Only sketches are moved: each goes to the windows that cover it and counts are added before and after.
+    """
+    merged = sketches.groupBy(F.window("bucket", width, slide).alias("w"), "name", "sgn", "bin").agg(F.sum("n").alias("n"))
+    by_window = Window.partitionBy("w", "name")
+    upto = by_window.orderBy("sgn", F.col("sgn") * F.col("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.withColumns({"_upto": F.sum("n").over(upto), "_n": F.sum("n").over(by_window)})
+    gamma = _gamma(error)
+    known = F.col("sgn") * F.lit(2 / (1 + gamma)) * F.pow(F.lit(gamma), F.col("bin"))
+    reached = lambda q: F.when(F.col("_upto") >= F.ceil(F.col("_n") * F.lit(float(q))), F.struct("_upto", known.alias("v")))
+    out = ranked.groupBy("w", "name").agg(F.max("_n").alias("n"), *[F.min(reached(q))["v"].alias(f"p{round(q * 100)}") for q in qs])
+    return out.select(F.col("w.start").alias("bucket"), "name", "n", *[f"p{round(q * 100)}" for q in qs])
+
+
 def first_of_task(events: DataFrame, late: str = "1 day") -> DataFrame:
     """One row per task id within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["task"])
@@ -80,11 +119,6 @@ def overdue_tasks(events: DataFrame, hours: float = 6, late: str = "1 hour") ->
     return asked.withWatermark("ts", late).groupBy("task").applyInPandasWithState(follow, schema, "started long, ended long", "append", "EventTimeTimeout")
 
 
-def append_profiles(profiles: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append finished entries to the profile store, by computation and version."""
-    return profiles.writeStream.format("json").partitionBy("computation", "version").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what has arrived, then give its result table, from Parquet files in the shared folder.
 
