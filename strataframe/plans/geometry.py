@@ -600,15 +600,101 @@ def _body_matrix(spark, sf):
     return S.matrix(tags, ["section_id", "seg"], "gwb_first")
 
 
+def _field_clip(points: str, keys: str) -> str:
+    """SQL of ``kept``: the clipped fields of all faults that cross a section, from ``points (keys, i, j, x, y, z, height)``."""
+    same = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in f"{keys}, i, j".split(","))
+    return f"""pv AS (SELECT {keys}, i, j, fault, height, a * x + b * y + c * z + d AS value,
+  (x - mx) / rx * ((x - mx) / rx) + (y - my) / ry * ((y - my) / ry) + (z - mz) / rz * ((z - mz) / rz) - 1 AS e FROM {points} CROSS JOIN fault_fields),
+own AS (SELECT * FROM pv WHERE ({keys}, fault) IN (SELECT ({keys}, fault) FROM pv WHERE value <> 0)),
+sd AS (SELECT f.fault, f.stops_on AS limit_fault, coalesce(avg(v.value), 1e0) AS side FROM faults f LEFT JOIN fault_interface_value v ON v.fault = f.fault AND v.limit_fault = f.stops_on GROUP BY ALL),
+cl AS (SELECT own.*, CASE WHEN coalesce(own.height > 0, false) OR coalesce(NOT f.infinite AND own.e > 0, false) OR coalesce(NOT (sd.side * l.value > 0), false) THEN NULL ELSE own.value END AS kept
+  FROM own LEFT JOIN faults f ON f.fault = own.fault LEFT JOIN sd ON sd.fault = own.fault LEFT JOIN own l ON {same('l', 'own')} AND l.fault = sd.limit_fault),
+kept AS (SELECT {keys}, i, j, fault, kept AS value FROM cl WHERE ({keys}, fault) IN (SELECT ({keys}, fault) FROM cl GROUP BY {keys}, fault HAVING bool_or(kept < 0) AND bool_or(kept > 0))),
+fl AS (SELECT {keys}, fault, j, string_agg(coalesce(CAST(CAST(round((round(value, 6) + 0e0) * 1000) AS BIGINT) AS VARCHAR), 'null'), ' ' ORDER BY i) AS line FROM kept GROUP BY ALL),
+fm AS (SELECT {keys}, CAST(fault AS VARCHAR) AS name, string_agg(line, ';' ORDER BY j) AS value FROM fl GROUP BY ALL)"""
+
+
+def _millis(v: Column) -> Column:
+    """A length in thousandths as text, so that values read back from a report compare as whole numbers."""
+    return F.coalesce(F.round(V.tidy(v) * 1000).cast("long").cast("string"), F.lit("null"))
+
+
+def _fault_matrices(spark, sf, points, keys: tuple[str, ...]):
+    """By fault, what crosses each section or map, from its points with their ``height`` above ground."""
+    told = S.plane_fields(points, view(spark, sf, "fault_fields"))
+    fields = S.fault_section(told, _faults(spark, sf), view(spark, sf, "fault_interface_value"), keys=keys)
+    return S.fault_matrices(fields, list(keys))
+
+
 @query()
 def section_report(spark, sf):
-    """Ranks, groundwater bodies, springs and drillholes of every section as nested values, one row per section."""
+    """Ranks, groundwater bodies, springs, drillholes and faults of every section as nested values, one row per section."""
     keys = ["section_id", "seg"]
     ranks, bodies = _rank_matrix(spark, sf), _body_matrix(spark, sf).withColumnRenamed("matrix", "bodies")
     springs = S.project_springs(view(spark, sf, "sections"), view(spark, sf, "springs"), _LIMIT).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", F.array("u", "z"))))).alias("springs"))
     holes = S.project_drillholes(view(spark, sf, "sections"), view(spark, sf, "drillholes"), _LIMIT).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", F.array(F.array("u0", "v0"), F.array("u1", "v1")))))).alias("drillholes"))
-    joined = ranks.join(bodies, keys).join(springs, keys, "left").join(holes, keys, "left")
-    return joined.select(*keys, F.to_json(F.struct("matrix", "bodies", "springs", "drillholes")).alias("report"))
+    ground = spatial.dem_sample(_section_points(spark, sf), view(spark, sf, "dem"), 20.0).withColumn("height", F.col("z") - F.col("dem_z")).drop("dem_z")
+    faults = _fault_matrices(spark, sf, ground, ("section_id", "seg"))
+    joined = ranks.join(bodies, keys).join(springs, keys, "left").join(holes, keys, "left").join(faults, keys, "left")
+    return joined.select(*keys, F.to_json(F.struct("matrix", "bodies", "springs", "drillholes", "faults")).alias("report"))
+
+
+_REPORT = "matrix array<array<int>>, bodies array<array<int>>, springs map<string,array<double>>, drillholes map<string,array<array<double>>>, faults map<string,array<array<double>>>"
+
+
+def _report_rows(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., part, name, value)``: what the reports' texts say, a row for each matrix and each feature."""
+    read = reports.select(*keys, F.from_json("report", _REPORT).alias("r"))
+    whole = lambda m: F.map_from_entries(F.array(F.struct(F.lit("").alias("k"), _lines(m).alias("v"))))
+    told = lambda values: F.array_join(F.transform(values, _millis), " ")
+    parts = {
+        "ranks": whole(F.col("r.matrix")),
+        "bodies": whole(F.col("r.bodies")),
+        "springs": F.transform_values("r.springs", lambda _, v: told(v)),
+        "drillholes": F.transform_values("r.drillholes", lambda _, v: told(F.flatten(v))),
+        "faults": F.transform_values("r.faults", lambda _, m: F.array_join(F.transform(m, told), ";")),
+    }
+
+    def named(part: str, values: Column) -> Column:
+        row = lambda e: F.struct(F.lit(part).alias("part"), e["key"].alias("name"), e["value"].alias("value"))
+        return F.transform(F.coalesce(F.map_entries(values), F.array()), row)
+
+    listed = F.flatten(F.array(*[named(part, values) for part, values in parts.items()]))
+    return read.select(*keys, F.inline(listed)).where("value IS NOT NULL")
+
+
+_M = "CAST(CAST(round({} * 1000) AS BIGINT) AS VARCHAR)"
+_SECTION_ROWS = f"""SELECT section_id, seg, 'ranks' AS part, '' AS name, matrix AS value FROM ({ORACLES["rank_matrix"]})
+UNION ALL SELECT section_id, seg, 'bodies', '', matrix FROM ({ORACLES["section_bodies"]})
+UNION ALL SELECT section_id, seg, 'springs', CAST(id AS VARCHAR), concat_ws(' ', {", ".join(_M.format(c) for c in ("u", "z"))}) FROM ({ORACLES["project_springs"]})
+UNION ALL SELECT section_id, seg, 'drillholes', CAST(id AS VARCHAR), concat_ws(' ', {", ".join(_M.format(c) for c in ("u0", "v0", "u1", "v1"))}) FROM ({ORACLES["project_drillholes"]})
+UNION ALL SELECT section_id, seg, 'faults', name, value FROM fm"""
+
+
+@query(f"""WITH {_GRID}, {_bilinear('grid', 'section_id, seg, i, j, x, y, z')}, hp AS (SELECT *, z - dem_z AS height FROM sampled), {_field_clip('hp', 'section_id, seg')}
+{_SECTION_ROWS}""")
+def section_report_rows(spark, sf):
+    """The reports of all sections read back from their text: ranks, bodies, springs, drillholes and faults."""
+    return _report_rows(section_report(spark, sf), ["section_id", "seg"])
+
+
+@query(f"""WITH {_MAP}, mp AS (SELECT grid_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_LIN.format(i='i', n='n', a='xmin', b='xmax')} AS x, {_LIN.format(i='j', n='m', a='ymin', b='ymax')} AS y
+  FROM m, LATERAL (SELECT unnest(range(n)) AS i) AS a, LATERAL (SELECT unnest(range(m)) AS j) AS b), {_bilinear('mp', 'grid_id, i, j, x, y')},
+hp AS (SELECT *, dem_z AS z, 0e0 AS height FROM sampled), {_field_clip('hp', 'grid_id')},
+r AS (SELECT grid_id, i, j, coalesce(k.rank, 0) - CASE WHEN grid_id % 2 = 0 THEN 1 ELSE 0 END AS v
+  FROM hp LEFT JOIN rank_grid k ON k.ix = floor(x / 40e0) AND k.iy = floor(y / 40e0) AND k.iz = floor((z + 200) / 40e0)),
+l AS (SELECT grid_id, i, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY j) AS line FROM r GROUP BY ALL)
+SELECT grid_id, 'ranks' AS part, '' AS name, string_agg(line, ';' ORDER BY i) AS value FROM l GROUP BY grid_id
+UNION ALL SELECT grid_id, 'faults', name, value FROM fm""")
+def map_report_rows(spark, sf):
+    """Ranks and faults of every map, whose points lie on the terrain, read back from the reports' text."""
+    on = spatial.dem_sample(grids.map_grid(_map_boxes(spark, sf)), view(spark, sf, "dem"), 20.0).withColumnsRenamed({"dem_z": "z"})
+    ranked = spatial.rank_sample(on, view(spark, sf, "rank_grid"), (40.0, 40.0, 40.0), (0.0, 0.0, -200.0))
+    reference = F.when(F.col("grid_id") % 2 == 0, "base").otherwise("top")
+    ranks = S.matrix(ranked.withColumn("rank", S.section_rank(F.col("rank"), reference)), ["grid_id"], "rank")
+    faults = _fault_matrices(spark, sf, on.withColumn("height", F.lit(0.0)), ("grid_id",))
+    reports = ranks.join(faults, "grid_id", "left").select("grid_id", F.to_json(F.struct("matrix", "faults")).alias("report"))
+    return _report_rows(reports, ["grid_id"])
 
 
 @query("SELECT DISTINCT fault FROM (SELECT fault FROM faults UNION ALL SELECT stops_on FROM faults WHERE stops_on IS NOT NULL)")

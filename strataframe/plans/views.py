@@ -60,6 +60,9 @@ VIEWS: dict[str, str] = {
     "fault_ellipsoid": """SELECT i, j, n_nationkey AS fault, (x - n_nationkey * 45e0) * (x - n_nationkey * 45e0) / 90000e0 + (z - 400e0) * (z - 400e0) / 160000e0 - 1 AS e
   FROM (SELECT CAST(k % 30 AS INT) AS i, CAST(floor(k / 30) AS INT) AS j, k % 30 * 30e0 AS x, floor(k / 30) * 25e0 AS z FROM (SELECT p_partkey AS k FROM {part})) CROSS JOIN {nation}
   WHERE n_nationkey % 4 = 0""",
+    "fault_fields": """SELECT CAST(n_nationkey AS INT) AS fault, f * (1 + n_nationkey % 3) AS a, f * (n_nationkey % 4 - 1) * 0.25e0 AS b, f * (n_nationkey % 5 - 2) * 0.5e0 AS c, f * (-37.3e0 * n_nationkey - 11.7e0) AS d,
+  CASE WHEN e THEN n_nationkey * 45e0 END AS mx, CASE WHEN e THEN 480.3e0 END AS my, CASE WHEN e THEN -50.2e0 END AS mz, 300e0 AS rx, 400e0 AS ry, 250e0 AS rz
+  FROM (SELECT n_nationkey, CASE WHEN n_nationkey = 7 THEN 0e0 ELSE 1e0 END AS f, n_nationkey % 4 = 0 AND n_nationkey <> 8 AS e FROM {nation})""",
     "fault_interface_value": f"""SELECT k AS fault, k - 5 AS limit_fault, ((k % 25 * 29) % 13 - 6) * 1e0 + n AS value
   FROM {SITES} CROSS JOIN (VALUES (0), (1), (2)) AS q(n) WHERE k % 25 >= 10""",
     "tunnels": f"""SELECT k * 10 + s AS tunnel, shape, 10e0 AS radius, 20e0 AS width, 10e0 AS height, j AS segment,
