@@ -29,6 +29,27 @@ def validate(springs: DataFrame, unit_tri: DataFrame) -> None:
         raise ValueError("the mesh of a spring's unit is not closed")
 
 
+def loops_around(holes: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., inner, loop, area, outer)``: the loops that hold each hole's ``apex``, by cut.
+
+    A loop holds a point where a ray from it along x crosses the loop's ``segments`` (``s`` to ``e``) an odd number of
+    times.  Segments are dealt to strips of y as high as they are in the mean, two strips a segment on average, and a
+    hole meets the segments of its own strip; a cut of very many loops therefore lies in many tasks.  Level
+    segments cross no ray.
+    """
+    sx, sy, ex, ey = F.col("s.x"), F.col("s.y"), F.col("e.x"), F.col("e.y")
+    px, py = F.col("apex.x"), F.col("apex.y")
+    slanted = segments.where(sy != ey)
+    heights = slanted.groupBy(*keys).agg(F.avg(F.abs(ey - sy)).alias("_high"))
+    strip = lambda y: F.floor(y / F.col("_high"))
+    strips = F.sequence(strip(F.least(sy, ey)), strip(F.greatest(sy, ey)))
+    dealt = slanted.join(heights, keys).withColumn("_strip", F.explode(strips)).drop("_high")
+    asked = holes.join(heights, keys).withColumn("_strip", strip(py)).drop("_high")
+    crosses = ((sy > py) != (ey > py)) & (px < (ex - sx) * (py - sy) / F.nullif(ey - sy, F.lit(0.0)) + sx)
+    met = asked.join(dealt, [*keys, "_strip"]).where(crosses)
+    return met.groupBy(*keys, "inner", "loop", "area", "outer").agg(F.count(F.lit(1)).alias("hits")).where("hits % 2 = 1").drop("hits")
+
+
 def cut_components(cut_tri: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Wall pieces and caps of meshes cut at height ``h``, each with its ``component``.
 
@@ -44,11 +65,7 @@ def cut_components(cut_tri: DataFrame, keys: list[str]) -> tuple[DataFrame, Data
     rims = loops.groupBy(*keys, "loop", "area", "apex").agg(F.min("component").alias("component"))
     holes = rims.where("area < 0").select(*keys, F.col("component").alias("inner"), "apex")
     outer = loops.join(rims.select(*keys, "loop", F.col("component").alias("outer")), [*keys, "loop"]).select(*keys, "loop", "area", "s", "e", "outer")
-    # a loop holds a point where a ray from it crosses the loop's segments an odd number of times
-    sx, sy, ex, ey = F.col("s.x"), F.col("s.y"), F.col("e.x"), F.col("e.y")
-    px, py = F.col("apex.x"), F.col("apex.y")
-    crosses = ((sy > py) != (ey > py)) & (px < (ex - sx) * (py - sy) / F.nullif(ey - sy, F.lit(0.0)) + sx)
-    around = holes.join(outer, keys).where("inner <> outer").groupBy(*keys, "inner", "loop", "area", "outer").agg(F.sum(F.coalesce(crosses, F.lit(False)).cast("int")).alias("hits")).where("hits % 2 = 1")
+    around = loops_around(holes, outer, keys).where("inner <> outer")
     smallest = around.groupBy(*keys, "inner").agg(F.min(F.struct(F.abs("area").alias("size"), "area", "outer")).alias("m")).where("m.area > 0").select(*keys, "inner", F.col("m.outer").alias("outer"))
     merged = cut(smallest)
     if merged.isEmpty():

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from strataframe.operators.spatial import small
+from strataframe.runtime import cut
 
 _BOX = "struct<xmin:double,ymin:double,zmin:double,xmax:double,ymax:double,zmax:double>"
 _POINT = "struct<x:double,y:double,z:double>"
@@ -19,20 +22,38 @@ def _words(line: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
 
 
+def _numbered(lines: DataFrame, name: str) -> DataFrame:
+    """Add each line's number within its ``file``, from 0, as ``name``.
+
+    Lines are read by byte ranges (``block``), in order within each; one row a range tells how many lines lie in
+    those before it.  That table is stored, so it is counted before it is broadcast.
+    """
+    placed = lines.withColumn("_id", F.monotonically_increasing_id())
+    blocks = cut(placed.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_start")
+    return placed.join(small(blocks.select("file", "block", start)), ["file", "block"]).withColumn(name, F.col("_id") + F.col("_start")).drop("_id", "_start")
+
+
 def read_dem(spark: SparkSession, path: str) -> DataFrame:
-    """Cells ``(ix, iy, x, y, z)`` of ASCII grids, one whole file a row at first.
+    """Cells ``(ix, iy, x, y, z)`` of ASCII grids, read by byte ranges, so that a grid of any size lies in many tasks.
 
     The header is read by place: corner x, corner y and cell size on lines 3 to 5; a seventh line that
-    names the no-data value is skipped, its value is not masked.  Row 0 of the result is the south.
+    names the no-data value is skipped, its value is not masked.  Blank lines among the rows are passed over, row 0
+    of the result is the south, and a word that is no number gives null.  Lines are counted once and read twice.
     """
-    files = spark.read.text(path, wholetext=True).select(_lines(F.col("value")).alias("l"))
-    number = lambda i: F.element_at(_words(F.get("l", F.lit(i))), -1).cast("double")
-    skip = F.when(F.upper(F.get("l", F.lit(5))).startswith("NODATA"), 7).otherwise(F.when(F.upper(F.get("l", F.lit(6))).startswith("NODATA"), 8).otherwise(7))
-    rows = F.filter(F.slice("l", skip, F.greatest(F.size("l") - skip + 1, F.lit(0))), lambda s: F.trim(s) != "")
-    laid = files.select(number(2).alias("x0"), number(3).alias("y0"), number(4).alias("c"), rows.alias("rows"))
-    lines = laid.select("x0", "y0", "c", F.size("rows").alias("n"), F.posexplode("rows").alias("r", "line"))
-    cells = lines.select("x0", "y0", "c", (F.col("n") - 1 - F.col("r")).alias("iy"), F.posexplode(_words(F.col("line"))).alias("ix", "z"))
-    return cells.select("ix", "iy", (F.col("x0") + F.col("ix") * F.col("c")).alias("x"), (F.col("y0") + F.col("iy") * F.col("c")).alias("y"), F.col("z").cast("double").alias("z"))
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.trim("value").alias("line"))
+    head = _numbered(text, "no").where("no < 8").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("no", "line"))).alias("l"))
+    named = lambda i: F.coalesce(F.upper(F.try_element_at("l", F.lit(i).cast("long"))).startswith("NODATA"), F.lit(False))
+    number = lambda i: F.element_at(_words(F.try_element_at("l", F.lit(i).cast("long"))), -1).try_cast("double")
+    skipped = F.when(~named(5) & named(6), 7).otherwise(6)
+    above = F.size(F.filter(F.map_entries("l"), lambda e: (e["key"] < F.col("skipped")) & (e["value"] != "")))
+    laid = cut(head.withColumn("skipped", skipped).select("file", number(2).alias("x0"), number(3).alias("y0"), number(4).alias("c"), above.alias("above")))
+    full = _numbered(text.where("line <> ''"), "at")
+    ends = cut(full.groupBy("file").agg((F.max("at") + 1).alias("n")))
+    rows = full.drop("block").join(small(laid.join(ends, "file")), "file").where("at >= above")
+    cells = rows.select("x0", "y0", "c", (F.col("n") - 1 - F.col("at")).cast("int").alias("iy"), F.posexplode(_words(F.col("line"))).alias("ix", "z"))
+    return cells.select("ix", "iy", (F.col("x0") + F.col("ix") * F.col("c")).alias("x"), (F.col("y0") + F.col("iy") * F.col("c")).alias("y"), F.col("z").try_cast("double").alias("z"))
 
 
 def _off(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import collections
 import datetime
 import math
 import random
@@ -63,6 +64,45 @@ def test_cavity_belongs_to_the_body_and_an_island_does_not(spark):
     assert volumes == [4.0, 500.0 - 6 * 6 * 3]
 
 
+def _square(loop, x, y, size, hole):
+    corners = [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
+    turned = corners[::-1] if hole else corners
+    return [(1, loop, -size * size if hole else size * size, a, b, loop) for a, b in zip(turned, turned[1:] + turned[:1], strict=True)]
+
+
+SEGMENT = "k int, loop int, area double, s struct<x:double,y:double>, e struct<x:double,y:double>, outer int"
+HOLE = "k int, inner int, apex struct<x:double,y:double>"
+
+
+def test_loops_around_holes_by_a_plain_test(spark):
+    draw = random.Random(8)
+    segments, holes = [], []
+    for loop in range(60):
+        x, y, size = draw.uniform(-50, 50), draw.uniform(-50, 50), draw.choice([0.5, 3.0, 20.0, 90.0])
+        segments += _square(loop, x, y, size, loop % 2 == 0)
+        if loop % 2 == 0:
+            holes.append((1, loop, (x, y)))
+    got = groundwater.loops_around(spark.createDataFrame(holes, HOLE), spark.createDataFrame(segments, SEGMENT), ["k"])
+    want = set()
+    for _, inner, (px, py) in holes:
+        hits = collections.Counter(loop for _, loop, _, (sx, sy), (ex, ey), _ in segments if (sy > py) != (ey > py) and px < (ex - sx) * (py - sy) / (ey - sy) + sx)
+        want |= {(inner, loop) for loop, n in hits.items() if n % 2}
+    assert {(r.inner, r.loop) for r in got.collect()} == want and len(want) > 60
+
+
+def test_very_many_loops_of_one_cut(spark):
+    """Ten thousand cavities, each in a body of its own, in one cut: a hole meets the loops of its strip."""
+    side = spark.range(10_000).select(F.col("id"), (F.col("id") % 100 * 10).alias("x"), (F.floor(F.col("id") / 100) * 10).alias("y"))
+    ring = lambda lo, hi: F.array(*[F.struct((F.col("x") + (hi if i in (1, 2) else lo)).cast("double").alias("x"), (F.col("y") + (hi if i in (2, 3) else lo)).cast("double").alias("y")) for i in (0, 1, 2, 3, 0)])
+    loops = side.withColumn("p", ring(0, 8)).withColumn("loop", F.col("id")).unionByName(side.withColumn("p", ring(2, 5)).withColumn("loop", F.col("id") + 10_000))
+    segments = loops.select(F.lit(1).alias("k"), "loop", F.lit(1.0).alias("area"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.get("p", i).alias("s"), F.get("p", i + 1).alias("e")))).alias("g"), F.col("loop").alias("outer"))
+    segments = segments.select("k", "loop", "area", "g.s", "g.e", "outer")
+    holes = side.select(F.lit(1).alias("k"), (F.col("id") + 10_000).alias("inner"), F.struct((F.col("x") + 2.0).alias("x"), (F.col("y") + 2.5).alias("y")).alias("apex"))
+    found = groundwater.loops_around(holes, segments, ["k"]).where("inner <> outer")
+    told = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("outer") == F.col("inner") - 10_000).alias("own")).first()
+    assert (told.n, told.own) == (10_000, 10_000)
+
+
 def test_unknown_unit_and_open_mesh_are_errors(spark):
     tri = spark.createDataFrame(box(42), TRI)
     spring = lambda unit: spark.createDataFrame([(0, 1.0, 1.0, 0.5, unit)], "id int, x double, y double, z double, unit_id int")

@@ -18,6 +18,36 @@ def test_dem_grid_is_read_from_the_south(spark, tmp_path):
     assert got == {(0, 0): (100, 200, 3), (1, 0): (110, 200, -9999), (0, 1): (100, 210, 1), (1, 1): (110, 210, 2)}
 
 
+def _whole_dem(text):
+    """Cells of a grid read as one text, by a plain loop."""
+    lines = text.splitlines()
+    number = lambda i: float(lines[i].split()[-1])
+    skip = 7 if not lines[5].upper().startswith("NODATA") and lines[6].upper().startswith("NODATA") else 6
+    rows = [line.split() for line in lines[skip:] if line.strip()]
+    x0, y0, c = number(2), number(3), number(4)
+    return sorted((ix, iy, x0 + ix * c, y0 + iy * c, float(z)) for iy, row in enumerate(reversed(rows)) for ix, z in enumerate(row))
+
+
+def test_dem_of_many_byte_ranges(spark, tmp_path):
+    draw, head = random.Random(5), "ncols 7\nnrows 90\nxllcorner 100\nyllcorner 200\ncellsize 2.5\n"
+    texts = {}
+    for name, extra in (("a", "NODATA_value -9999\n"), ("b", "more -1\nNODATA_value -9999\n"), ("c", "more -1\n")):
+        rows = [" ".join(str(draw.randrange(1000)) for _ in range(7)) for _ in range(90)]
+        rows.insert(40, "  ")
+        texts[name] = head + extra + "\n".join(rows) + "\n\n"
+        (tmp_path / f"{name}.asc").write_text(texts[name])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (64, 300, 1 << 27):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            cells = readers.read_dem(spark, str(tmp_path))
+            assert size > 1000 or cells.rdd.getNumPartitions() > 3
+            got = sorted(tuple(r) for r in cells.collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got == sorted(c for t in texts.values() for c in _whole_dem(t))
+
+
 def test_off_round_trip_and_rejects(spark, tmp_path):
     v = spark.createDataFrame([("m", 0, 0.0, 0.0, 0.0), ("m", 1, 1.00049, 0.0, 0.0), ("m", 2, 0.0, 2.5, -1.0)], "mesh_id string, v int, x double, y double, z double")
     f = spark.createDataFrame([("m", 0, 0, 1, 2)], "mesh_id string, f int, a int, b int, c int")
@@ -56,7 +86,8 @@ def test_voxels_are_written_in_order(spark, tmp_path):
     rows = [(x, y, z, x + 10 * y + 100 * z, 0) for x in range(2) for y in range(2) for z in range(2)]
     writers.write_vox(spark.createDataFrame(rows, "ix int, iy int, iz int, rank int, gwb_id int"), str(tmp_path / "v"), (0, 0, 0, 1, 1, 1), (2, 2, 2))
     lines = [r.value for r in spark.read.text(str(tmp_path / "v")).withColumn("f", F.col("_metadata.file_path")).orderBy("f").collect()]
-    assert len(lines) == 10 and sorted(lines[2:]) == sorted(f"{r[3]} 0" for r in rows)
+    assert lines[:2] == [writers.vox_header((0, 0, 0, 1, 1, 1), (2, 2, 2)), "rank gwb_id"]
+    assert lines[2:] == [f"{r[3]} 0" for r in sorted(rows, key=lambda r: r[2::-1])]
 
 
 def test_manifest(spark):
