@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from strataframe.functions import vector as V
 from strataframe.operators import assembly, graph, grids, groundwater, meshes, sections as S, spatial, tunnels as T
 from strataframe.plans.views import oracle, view
+from strataframe.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -722,3 +723,69 @@ def unit_mesh_outputs(spark, sf):
     """Triangles by rock unit from the surfaces of the rank grid."""
     tris = assembly.unit_meshes(spark, view(spark, sf, "rank_grid"), view(spark, sf, "series"))
     return tris.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("triangles"))
+
+
+@query(f"""WITH {_SURF}, e AS (SELECT rank, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1, min(iz) AS z0, max(iz) AS z1 FROM rank_grid WHERE rank <> 0 GROUP BY rank)
+SELECT rank, faces, round(volume * 3e0, 3) + 0e0 AS volume, (x0 - 0.5e0) * 2e0 + 100e0 AS xmin, (x1 + 0.5e0) * 2e0 + 100e0 AS xmax, (y0 - 0.5e0) * 3e0 - 50e0 AS ymin, (y1 + 0.5e0) * 3e0 - 50e0 AS ymax,
+  (z0 - 0.5e0) * 0.5e0 + 7e0 AS zmin, (z1 + 0.5e0) * 0.5e0 + 7e0 AS zmax FROM surf JOIN e USING (rank) WHERE faces > 0""")
+def surfaces_to_scale(spark, sf):
+    """Surfaces brought from grid steps to a box whose cells are 2 by 3 by 0.5."""
+    tri = meshes.extract_surfaces(spark, view(spark, sf, "rank_grid"), steps=(2.0, 3.0, 0.5), origin=(100.0, -50.0, 7.0))
+    made = meshes.mesh_volume(tri, "rank").join(tri.groupBy("rank").agg(F.count(F.lit(1)).alias("faces")), "rank").join(spatial.mesh_bbox(tri, "rank"), "rank")
+    return made.select("rank", "faces", V.tidy(F.col("volume"), 3).alias("volume"), *[f"{a}{e}" for a in "xyz" for e in ("min", "max")])
+
+
+_PARTS = "f AS (SELECT p_partkey % 40 AS part, p_size % 6 AS more, p_partkey AS f, list_transform(range(p_size % 6 + 3), lambda i: p_partkey * 3 + i * i) AS face FROM part)"
+
+
+def _part_faces(spark, sf):
+    return _polygons(spark, sf).select((F.col("face_id") % 40).alias("part"), (F.size("face") - 3).alias("more"), F.col("face_id").alias("f"), "face")
+
+
+@query(f"WITH {_PARTS} SELECT part * 2 + CASE WHEN more > 0 THEN 1 ELSE 0 END AS mesh_id, count(*) AS faces, bool_and(len(face) = 3) AS valid FROM f GROUP BY ALL")
+def mesh_validity(spark, sf):
+    """Meshes of polygon faces that are triangle meshes, and those that are not."""
+    kind = F.when(F.col("more") > 0, 1).otherwise(0)
+    return meshes.mesh_validity(_part_faces(spark, sf).withColumn("mesh_id", F.col("part") * 2 + kind)).select("mesh_id", "faces", "valid")
+
+
+@query(f"WITH {_PARTS} SELECT part, string_agg(array_to_string(face, ' '), ';' ORDER BY f) AS faces FROM f GROUP BY part")
+def grouped_faces(spark, sf):
+    grouped = assembly.grouped_faces(_part_faces(spark, sf))
+    return grouped.select("part", _lines(F.col("faces")).alias("faces"))
+
+
+@query(f"WITH {_PARTS} SELECT part, f, CAST(k - 1 AS INT) AS part_of_face, concat_ws(' ', face[1], face[k + 1], face[k + 2]) AS tri FROM f, LATERAL (SELECT unnest(range(1, len(face) - 1)) AS k) AS g")
+def triangulated_faces(spark, sf):
+    """Faces as triangles, those that are triangles already as they are."""
+    told = assembly.triangulated(_part_faces(spark, sf))
+    return told.select("part", "f", "part_of_face", F.array_join(F.transform("tri", lambda v: v.cast("string")), " ").alias("tri"))
+
+
+@query("SELECT mesh_id, CAST(CASE WHEN zmin > 200 THEN gwb_id ELSE 0 END AS INT) AS gwb_id FROM boxes")
+def tag_gwb(spark, sf):
+    """The body's number on what was selected, 0 elsewhere."""
+    return view(spark, sf, "boxes").select("mesh_id", assembly.tag_gwb(F.col("zmin") > 200, F.col("gwb_id")).cast("int").alias("gwb_id"))
+
+
+_JOB = f"{ORACLES['unit_mesh_outputs']} UNION ALL SELECT * FROM ({ORACLES['fault_mesh_outputs']})"
+
+
+def _job(spark, sf):
+    faces = _polygons(spark, sf).select((F.col("face_id") % 40).cast("string").alias("part"), F.col("face_id").alias("f"), "face")
+    units = assembly.unit_meshes(spark, view(spark, sf, "rank_grid"), view(spark, sf, "series"))
+    return assembly.job_meshes(units, assembly.fault_meshes(faces, view(spark, sf, "faults")))
+
+
+@query(f"SELECT * FROM ({_JOB})")
+def job_meshes(spark, sf):
+    """All outputs of a mesh job, units and faults, with their triangles."""
+    return _job(spark, sf)
+
+
+@query(f"""SELECT kind, name, CAST(row_number() OVER (ORDER BY kind, name) - 1 AS INT) AS n,
+  CASE WHEN kind = 'mesh' THEN 'mesh_' || (row_number() OVER (ORDER BY kind, name) - 1) ELSE kind || '_' || name END AS file FROM ({_JOB})""")
+def output_names(spark, sf):
+    """Outputs of a mesh job numbered in the order of their names, and the files that they go to."""
+    rows = writers.numbered(_job(spark, sf).select("kind", "name"), "kind", "name")
+    return rows.select("kind", "name", F.col("n").cast("int").alias("n"), writers.output_name(F.col("kind"), F.col("name"), F.col("n")).alias("file"))

@@ -38,3 +38,40 @@ def test_rates_without_outcomes_are_null(spark):
     events = spark.createDataFrame([("q", "STARTED")], "queue string, state string")
     assert metrics.success_rate(events, "queue").first().success_rate is None
     assert metrics.task_stats(events, "queue").select(F.col("started")).first().started == 1
+
+
+def test_fields_are_clipped_by_section(spark):
+    """A field of zeros, a limit and a crossing are judged in each section by its own points."""
+    rows = [("s", 0, 0, "a", 5.0, -1.0), ("s", 0, 1, "a", -5.0, -1.0), ("s", 1, 0, "a", 3.0, 2.0), ("s", 0, 0, "b", 1.0, None), ("s", 0, 1, "b", 1.0, None), ("s", 1, 0, "b", -1.0, None)]
+    rows += [("t", 0, 0, "a", 5.0, 1.0), ("t", 0, 1, "a", -5.0, -1.0), ("t", 0, 0, "b", 0.0, None), ("t", 0, 1, "b", 0.0, None)]
+    potential = spark.createDataFrame(rows, "k string, i int, j int, fault string, value double, e double")
+    faults = spark.createDataFrame([("a", False, ["b"]), ("b", True, [])], "fault string, infinite boolean, stops_on array<string>")
+    none = spark.createDataFrame([], "fault string, limit_fault string, value double")
+    told = lambda df: {(r.k, r.i, r.j, r.fault): r.value for r in df.collect()}
+    clipped = told(sections.clipped_faults(potential, faults, none, keys=("k",)))
+    assert {k: v for k, v in clipped.items() if k[3] == "a"} == {("s", 0, 0, "a"): 5.0, ("s", 0, 1, "a"): -5.0, ("s", 1, 0, "a"): None, ("t", 0, 0, "a"): None, ("t", 0, 1, "a"): -5.0}
+    assert not any(k[0] == "t" and k[3] == "b" for k in clipped)  # its field is zero there, and no limit
+    kept = told(sections.fault_section(potential, faults, none, keys=("k",)))
+    assert {(k, f) for k, _, _, f in kept} == {("s", "a"), ("s", "b")}
+    high = potential.withColumn("height", F.when(F.col("j") == 1, 1.0))
+    assert told(sections.clipped_faults(high, faults, none, keys=("k",)))[("s", 0, 1, "a")] is None
+    nested = sections.fault_matrices(sections.fault_section(potential, faults, none, keys=("k",)), ["k"]).first()
+    assert nested.faults == {"a": [[5.0, None], [-5.0]], "b": [[1.0, -1.0], [1.0]]}
+
+
+def test_a_part_with_both_ends_is_wider(spark):
+    from strataframe.operators import tunnels
+
+    rows = [(1, "Circle", 2.0, 3.0, 4.0, s) for s in (0, 1)] + [(2, "Rectangle", 2.0, 3.0, 4.0, s) for s in (0, 1)] + [(3, "Elliptic", 2.0, 3.0, 4.0, s) for s in (0, 1)]
+    t = spark.createDataFrame(rows, "tunnel int, shape string, radius double, width double, height double, segment int").withColumns({"c0": F.col("segment") * 10.0, "c1": F.lit(10.0), "z": F.lit(0.0)})
+    way = {"x": ["c0", "c1"], "y": ["z", "c1"], "z": ["z"]}
+    told = lambda df: [(r.tunnel, r.station, r.v, round(r.x, 6), round(r.y, 6), round(r.z, 6)) for r in df.orderBy("tunnel", "station", "v").collect()]
+    wide = t.withColumns({c: F.col(c) * 1.1 for c in ("radius", "width", "height")})
+    part = lambda df, **k: told(tunnels.tunnel_vertices(df, way, 0.25, 8, first=1, t_first=0.5, **k))
+    assert part(t, last=1) == part(wide) != part(t)
+
+
+def test_water_layer_and_outputs_of_jobs(spark):
+    assert assembly.has_hydro_layer(0, 0, 1) and assembly.has_hydro_layer(0, 2, 0) and assembly.has_hydro_layer(1, 0, 0) and not assembly.has_hydro_layer(0, 0, 0)
+    one = spark.createDataFrame([("mesh", "rank_1"), ("mesh", "rank_1")], "kind string, name string")
+    assert [tuple(r) for r in assembly.job_meshes(one, one.limit(0)).collect()] == [("mesh", "rank_1", 2)]

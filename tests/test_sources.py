@@ -172,3 +172,45 @@ def test_ranks_run_on_over_partitions(spark):
     out = spatial.ranked(d, F.desc("z"), "id")
     assert out.select("pos", "id", "z").collect() == [(i + 1, *r) for i, r in enumerate(sorted((tuple(r) for r in d.collect()), key=lambda r: (-r[1], r[0])))]
     assert spatial.ranked(d.limit(0), "id").count() == 0
+
+
+def test_jobs_of_meshes_tunnels_and_points(spark, tmp_path):
+    box = {"xmin": 0, "ymin": 1, "zmin": 2, "xmax": 3, "ymax": 4, "zmax": 5}
+    (tmp_path / "m.json").write_text(json.dumps({"resolution": {"x": 5, "y": 6, "z": 7}, "box": box}))
+    params = readers.read_job(spark, str(tmp_path / "m.json"), "meshes")["params"].first()
+    assert (params.resolution.y, params.box.zmax) == (6, 5.0)
+    tunnel = {"name": "t", "shape": "Circle", "radius": 2, "functions": [{"x": [0, 1], "y": [2], "z": [3]}, {"x": [1, 1], "y": [2], "z": [3, 0, 1]}]}
+    (tmp_path / "t.json").write_text(json.dumps({"tunnels": [tunnel], "step": 0.1, "nb_vertices": 8, "idxStart": -1, "idxEnd": -1, "tStart": 0, "tEnd": 1}))
+    job = readers.read_job(spark, str(tmp_path / "t.json"), "tunnels")
+    assert [(r.name, r.segment, r.fx, r.fz) for r in job["tunnels"].orderBy("segment").collect()] == [("t", 0, [0, 1], [3]), ("t", 1, [1, 1], [3, 0, 1])]
+    assert job["params"].first().nb_vertices == 8
+    (tmp_path / "p.json").write_text(json.dumps({"points": [{"x": 1, "y": 2, "z": 3}, {"x": 4}]}))
+    assert [tuple(r) for r in readers.read_points(spark, str(tmp_path / "p.json")).collect()] == [(1, 2, 3), (4, None, None)]
+
+
+def test_only_text_meshes_are_read(spark, tmp_path):
+    (tmp_path / "a.off").write_text("OFF\n3 1 0\n0 0 0\n1 0 0\n0 1 0\n3 0 1 2\n")
+    (tmp_path / "b.drc").write_bytes(b"DRACO\x02\x00")
+    (tmp_path / "c.off").write_text("OFF\nno counts\n")
+    vertices, _, bad = readers.read_off(spark, str(tmp_path), strict=False)
+    assert {r.mesh_id for r in vertices.collect()} == {"a.off"} and [r.mesh_id for r in bad.collect()] == ["c.off"]
+    with pytest.raises(Exception, match="not a triangle mesh"):
+        readers.read_off(spark, str(tmp_path))[0].collect()
+
+
+def test_results_as_lines_of_json(spark, tmp_path):
+    df = spark.createDataFrame([(1, [0.5, None]), (2, None)], "id int, v array<double>")
+    writers.write_json(df, str(tmp_path / "j"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "j")).collect()) == ['{"id":1,"v":[0.5,null]}', '{"id":2}']
+    found = spark.createDataFrame([(2, 7, 0, 1.5), (1, 7, 3, 2.5)], "spring_id int, unit_id int, component int, volume double")
+    report = [json.loads(r.value) for r in writers.aquifer_report(found).collect()]
+    assert report == [{"file": "mesh_0.off", "unitId": 7, "springId": 1, "volume": 2.5}, {"file": "mesh_1.off", "unitId": 7, "springId": 2, "volume": 1.5}]
+
+
+def test_stream_keeps_recent_rows(spark, tmp_path):
+    now = datetime.datetime.now(datetime.timezone.utc)
+    rows = [(k, now - datetime.timedelta(hours=h)) for k, h in enumerate((0.5, 7, 9, 100))] + [(9, None)]
+    spark.createDataFrame(rows, "task long, ts timestamp").write.parquet(str(tmp_path / "in"))
+    stream = streams.event_stream(spark, str(tmp_path / "in"), "task long, ts timestamp")
+    kept = streams.drained(streams.retained_stream(stream), "recent", str(tmp_path / "c"), "append")
+    assert {r.task for r in kept.collect()} == {0, 1}
