@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from strataframe.functions import vector as V
 from strataframe.operators import assembly, graph, grids, groundwater, meshes, sections as S, spatial, tunnels as T
 from strataframe.plans.views import oracle, view
+from strataframe.runtime import cut
 from strataframe.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -623,7 +624,7 @@ def _millis(v: Column) -> Column:
 def _fault_matrices(spark, sf, points, keys: tuple[str, ...]):
     """By fault, what crosses each section or map, from its points with their ``height`` above ground."""
     told = S.plane_fields(points, view(spark, sf, "fault_fields"))
-    fields = S.fault_section(told, _faults(spark, sf), view(spark, sf, "fault_interface_value"), keys=keys)
+    fields = S.clipped_faults(told, _faults(spark, sf), view(spark, sf, "fault_interface_value"), keys=keys)
     return S.fault_matrices(fields, list(keys))
 
 
@@ -636,6 +637,8 @@ def section_report(spark, sf):
     holes = S.project_drillholes(view(spark, sf, "sections"), view(spark, sf, "drillholes"), _LIMIT).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", F.array(F.array("u0", "v0"), F.array("u1", "v1")))))).alias("drillholes"))
     ground = spatial.dem_sample(_section_points(spark, sf), view(spark, sf, "dem"), 20.0).withColumn("height", F.col("z") - F.col("dem_z")).drop("dem_z")
     faults = _fault_matrices(spark, sf, ground, ("section_id", "seg"))
+    # parts are made one after the other, so no plan holds them all
+    ranks, bodies, springs, holes, faults = (cut(part) for part in (ranks, bodies, springs, holes, faults))
     joined = ranks.join(bodies, keys).join(springs, keys, "left").join(holes, keys, "left").join(faults, keys, "left")
     return joined.select(*keys, F.to_json(F.struct("matrix", "bodies", "springs", "drillholes", "faults")).alias("report"))
 
