@@ -4,44 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strataframe.runtime import Scratch
+from strataframe.runtime import Scratch, join_by_key
 
+#: Links of a round up to which a single task may hold them all, so a step is one plan; beyond it the links of a hub are dealt.
+TASK_LINKS = 65_536
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
+def _higher(links: DataFrame) -> DataFrame:
+    """Links as ``u > v``, each once; self loops and null ends go."""
+    return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    links = down.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return links.unionByName(low.select("u", F.col("m").alias("v")))
 
+def _lowest(links: DataFrame) -> DataFrame:
+    """``(u, m, n)``: the smallest of a node's smaller neighbours and how many links it has to such."""
+    return links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
-def _print_of(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
 
+def _large_star(scratch: Scratch, links: DataFrame, spread: bool) -> DataFrame:
+    """Larger neighbours of every node meet the smallest of its neighbours and itself.
 
-def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
+    A link ``u > v`` is met at ``v``; the smallest is a smaller neighbour, or ``v`` itself where it has none.
+    """
+    low = _lowest(links).select(F.col("u").alias("v"), "m")
+    if not spread:
+        return links.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+    met = links.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(low, "v", "left")
+    keys = scratch.cut(met.select("v", "n", F.coalesce("m", "v").alias("m")))
+    return scratch.cut(join_by_key(links, keys, "v", "n", "u").select("u", F.col("m").alias("v")).distinct())
+
+
+def _small_star(scratch: Scratch, links: DataFrame, spread: bool) -> DataFrame:
+    """Smaller neighbours of every node, and the node, meet the smallest of them."""
+    low = _lowest(links)
+    if spread:
+        low = scratch.cut(low)
+        met = join_by_key(links, low, "u", "n", "v")
+    else:
+        met = links.join(low, "u")
+    moved = met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
+def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60, task_links: int | None = None) -> DataFrame:
     """``(node, component)`` for every node that has an edge; the label is the smallest node reached.
 
-    Self loops, repeated edges and null ends are ignored.  Each round is a table in the shared folder, so a
-    lost executor costs one round at most; a round is dropped when the next one is written.  Both steps
-    aggregate before they join, and the joins are plain shuffles that adaptive execution may split at a hub.
+    Self loops, repeated edges and null ends are ignored.  Each round is a table in the shared folder, so a lost
+    executor costs one round at most; a round's tables are dropped when the next one is written.  A round of more than
+    ``task_links`` links stores the links of each node as a number, and those of a hub go to several tasks; the
+    labels are the same either way.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
-    now = scratch.cut(_small_star(now).distinct())
-    seen = _print_of(now)
+    limit = TASK_LINKS if task_links is None else task_links
+    print_of = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    now, seen = scratch.cut_told(_higher(edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))), **print_of)
     for _ in range(max_rounds):
-        if seen[0] == 0:
+        if seen["n"] == 0:
             break
-        before, now = now, scratch.cut(_small_star(_large_star(now)).distinct())
-        scratch.drop(before)
-        last, seen = seen, _print_of(now)
+        spread = seen["n"] > limit
+        last, (now, seen) = seen, scratch.cut_told(_small_star(scratch, _large_star(scratch, now, spread), spread), **print_of)
+        scratch.keep_only(now)
         if last == seen:
             break
     else:

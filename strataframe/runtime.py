@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: Rows of a key beyond which its rows are dealt to several tasks.
 SPREAD_ROWS = 2048
@@ -31,13 +31,24 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
+    at, files = _at(df.sparkSession, path)
+    files.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there and sizes are known from then on."""
+    """Write ``df`` to the shared folder and read it back: the lineage ends there and sizes are known from then on.
+
+    The table stays as long as the driver lives, since results may read it, and goes when the driver ends.
+    """
     return _stored(df, shared_folder(df.sparkSession, "cut"))
 
 
@@ -46,27 +57,33 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self._spark, self._root, self._paths = spark, shared_folder(spark, label), {}
+        self._made = 0
 
     def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self._root}/{len(self._paths)}"
+        path = f"{self._root}/{self._made}"
+        self._made += 1
         table = _stored(df, path)
         self._paths[id(table)] = (table, path)
         return table
 
+    def cut_told(self, df: DataFrame, **told: Column) -> tuple[DataFrame, dict]:
+        """A table and aggregates over its rows, taken while it is written."""
+        seen = Observation()
+        table = self.cut(df.observe(seen, *[value.alias(name) for name, value in told.items()]))
+        return table, seen.get
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            _, path = self._paths[id(table)]
-            self._remove(path)
+            _, path = self._paths.pop(id(table), (None, None))
+            if path is not None:
+                at, files = _at(self._spark, path)
+                files.delete(at, True)
 
     def keep_only(self, table: DataFrame) -> DataFrame:
         """Drop every table but ``table``, the result."""
         self.drop(*[t for t, _ in self._paths.values() if t is not table])
         return table
 
-    def _remove(self, path: str) -> None:
-        at = self._spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(at, True)
-
 
 def sized_broadcast(small: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast a side only if its counted rows stay within ``limit``; beyond it Spark shuffles."""

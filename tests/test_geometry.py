@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataframe import runtime
 from strataframe.operators import graph, groundwater, meshes, metrics, spatial, tunnels
 from strataframe.functions import vector as V
 from strataframe.plans.views import view
@@ -130,6 +131,48 @@ def test_components_of_chains_and_stars(spark):
 
 def test_components_of_no_edges(spark):
     assert graph.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert graph.connected_components(spark.createDataFrame([(4, 4), (None, 2)], "u long, v long")).count() == 0
+
+
+def _joined(edges):
+    """Smallest reachable node by node, by repeated union."""
+    top = {}
+
+    def find(n):
+        while top.setdefault(n, n) != n:
+            n = top[n]
+        return n
+
+    for u, v in edges:
+        if u != v and None not in (u, v):
+            low, high = sorted((find(u), find(v)))
+            top[high] = low
+    return {n: find(n) for n in top}
+
+
+@pytest.mark.parametrize("task_links", [None, 0])
+def test_components_of_hubs_equal_unions(spark, monkeypatch, task_links):
+    """A low hub, a high hub and a random graph, with repeats and nulls; in one plan and with the links of hubs dealt."""
+    monkeypatch.setattr(runtime, "SPREAD_ROWS", 16)
+    draw = random.Random(8)
+    edges = [(0, i) for i in range(1, 300)] + [(i, 9_999) for i in range(1_000, 1_300)] + [(9_999, 1_000)] * 40
+    edges += [(draw.randrange(2_000, 2_600), draw.randrange(2_000, 2_600)) for _ in range(400)] + [(5, 5), (None, 3), (7, None)]
+    got = graph.connected_components(spark.createDataFrame(edges, "u long, v long"), task_links=task_links).collect()
+    want = _joined(edges)
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_tables_of_finished_rounds_are_dropped(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    work = runtime.Scratch(spark, "rounds")
+    first, told = work.cut_told(links, n=F.count(F.lit(1)), top=F.max("v"))
+    second = work.cut(first.where("u < 5"))
+    assert told == {"n": 40, "top": 40}
+    assert work.keep_only(second) is second and second.count() == 5
+    third = work.cut(second)
+    work.drop(second)
+    work.drop(second)
+    assert third.count() == 5
 
 
 def test_case_table_covers_all_mixed_masks():
