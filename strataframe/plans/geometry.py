@@ -333,30 +333,23 @@ def mesh_sizes(spark, sf):
 _IN = "p.x > xmin AND p.x < xmax AND p.y > ymin AND p.y < ymax AND p.z > zmin AND p.z < zmax"
 
 
-def _hits(spark, sf):
-    points = view(spark, sf, "points")
-    return points, spatial.points_in_mesh(points, view(spark, sf, "tri"))
-
-
 @query(f"SELECT {_rs('x')}, p.y, p.z, mesh_id FROM points p JOIN boxes ON {_IN}")
 def points_in_mesh(spark, sf):
-    return _hits(spark, sf)[1].select(*_r("x"), "y", "z", "mesh_id")
+    return spatial.points_in_mesh(view(spark, sf, "points"), view(spark, sf, "tri")).select(*_r("x"), "y", "z", "mesh_id")
 
 
-def _tags(spark, sf):
-    points, hits = _hits(spark, sf)
-    bodies = view(spark, sf, "boxes").select("mesh_id", "gwb_id")
-    return spatial.gwb_tags(points, hits.join(bodies, "mesh_id"))
+def _tags(spark, sf, points):
+    return spatial.mesh_tags(points, view(spark, sf, "tri"), view(spark, sf, "boxes").select("mesh_id", "gwb_id"))
 
 
 @query(f"WITH {_ROWS} SELECT {_rs('x')}, p.y, p.z, CAST(coalesce(min_by(gwb_id, mesh_id), 0) AS INT) AS gwb_first FROM pts p LEFT JOIN boxes ON {_IN} GROUP BY p.r, p.x, p.y, p.z")
 def gwb_first(spark, sf):
-    return _tags(spark, sf).select(*_r("x"), "y", "z", F.col("gwb_first").cast("int").alias("gwb_first"))
+    return _tags(spark, sf, view(spark, sf, "points")).select(*_r("x"), "y", "z", F.col("gwb_first").cast("int").alias("gwb_first"))
 
 
 @query(f"WITH {_ROWS} SELECT {_rs('x')}, p.y, p.z, CAST(coalesce(max(gwb_id), 0) AS INT) AS gwb_max FROM pts p LEFT JOIN boxes ON {_IN} GROUP BY p.r, p.x, p.y, p.z")
 def gwb_max(spark, sf):
-    return _tags(spark, sf).select(*_r("x"), "y", "z", F.col("gwb_max").cast("int").alias("gwb_max"))
+    return _tags(spark, sf, view(spark, sf, "points")).select(*_r("x"), "y", "z", F.col("gwb_max").cast("int").alias("gwb_max"))
 
 
 _OVER = "a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax AND a.zmin <= b.zmax AND b.zmin <= a.zmax"
@@ -375,7 +368,7 @@ SELECT m AS mesh_id, min(c) AS body FROM r GROUP BY m""")
 def contact_bodies(spark, sf):
     """Meshes joined by touching, named by the smallest mesh that they reach."""
     ids = view(spark, sf, "boxes").select("mesh_id")
-    labels = graph.connected_components(spatial.mesh_contacts(view(spark, sf, "tri")), "m1", "m2")
+    labels = graph.connected_components(spatial.contact_links(view(spark, sf, "tri")), "m1", "m2")
     return ids.join(labels.withColumnRenamed("node", "mesh_id"), "mesh_id", "left").select("mesh_id", F.coalesce("component", "mesh_id").alias("body"))
 
 
@@ -488,9 +481,7 @@ SELECT grid_id, ix, iy, iz, CAST(rank AS INT) AS rank, gwb_id FROM b""")
 def voxel_table(spark, sf):
     """Rank and highest body of every voxel of all grids; ranks keep their raw number, a point on a face is not inside."""
     voxels = grids.voxel_center_grid(_voxel_boxes(spark, sf))
-    hits = spatial.points_in_mesh(voxels, view(spark, sf, "tri"))
-    tags = spatial.gwb_tags(voxels, hits.join(view(spark, sf, "boxes").select("mesh_id", "gwb_id"), "mesh_id"))
-    ranked = spatial.rank_sample(tags, view(spark, sf, "rank_grid"), (40.0, 40.0, 40.0))
+    ranked = spatial.rank_sample(_tags(spark, sf, voxels), view(spark, sf, "rank_grid"), (40.0, 40.0, 40.0))
     return ranked.select("grid_id", "ix", "iy", "iz", F.col("rank").cast("int").alias("rank"), F.col("gwb_max").cast("int").alias("gwb_id"))
 
 
@@ -596,10 +587,7 @@ def section_bodies(spark, sf):
 
 
 def _body_matrix(spark, sf):
-    points = _section_points(spark, sf)
-    hits = spatial.points_in_mesh(points, view(spark, sf, "tri"))
-    tags = spatial.gwb_tags(points, hits.join(view(spark, sf, "boxes").select("mesh_id", "gwb_id"), "mesh_id"))
-    return S.matrix(tags, ["section_id", "seg"], "gwb_first")
+    return S.matrix(_tags(spark, sf, _section_points(spark, sf)), ["section_id", "seg"], "gwb_first")
 
 
 def _field_clip(points: str, keys: str) -> str:

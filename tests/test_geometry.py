@@ -405,3 +405,30 @@ def test_a_hot_counter_lies_in_several_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert most[1] > 1 and most[0] < 40_000 * 0.6
     assert metrics.counter_increase(samples).first().increase == 39_999.0
+
+
+def test_copies_of_meshes_and_points_are_judged_once(spark):
+    rows = box(1, size=10) + [(3, 11 - f, *t) for _, f, *t in box(3, size=10)] + box(2, 4, 4, 0, size=2) + box(5, size=10)[:11] + box(7, 4, 4, 0, size=2)
+    tri = spark.createDataFrame(rows, TRI).withColumnRenamed("unit_id", "mesh_id")
+    known = spatial.shapes(tri)
+    assert {r.mesh_id: r.shape for r in known.collect()} == {1: 1, 3: 1, 2: 2, 7: 2, 5: 5}
+    points = spark.createDataFrame([r[:3] + r[4:] for r in ASKED] * 50, "x double, y double, z double, tag string")
+    closed = tri.where("mesh_id <> 5")
+    assert spatial.mesh_hits(points, spatial.of_shapes(closed, known)).count() == 2  # one point, two shapes
+    assert spatial.points_in_mesh(points, closed).count() == 150 * 4
+    bodies = spark.createDataFrame([(1, 0), (3, 4), (2, 9), (7, 11)], "mesh_id int, gwb_id int")
+    tags = spatial.mesh_tags(points, closed, bodies).collect()
+    assert len(tags) == 350 and {(r.tag, r.gwb_first, r.gwb_max) for r in tags} == {("a", 9, 11), ("b", 9, 11), *[(t, 0, 0) for t in "cde"]}
+
+
+def test_a_fuller_column_is_dealt_to_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "COLUMN_FACES", 2)
+    test_points_in_rough_meshes_by_winding_numbers(spark)
+
+
+def test_copies_of_meshes_touch_and_are_linked_once(spark):
+    rows = box(1) + box(2) + box(3, 0.5, 0.5, 0.5) + box(4, 9) + box(5, 9) + box(6, 20)
+    tri = spark.createDataFrame(rows, TRI).withColumnRenamed("unit_id", "mesh_id")
+    assert sorted(tuple(r) for r in spatial.mesh_contacts(tri).select("m1", "m2").collect()) == [(1, 2), (1, 3), (2, 3), (4, 5)]
+    links = sorted(tuple(r) for r in spatial.contact_links(tri).select("m1", "m2").collect())
+    assert links == [(1, 2), (1, 3), (4, 5)]  # the copy is linked with its shape only
