@@ -432,3 +432,18 @@ def test_copies_of_meshes_touch_and_are_linked_once(spark):
     assert sorted(tuple(r) for r in spatial.mesh_contacts(tri).select("m1", "m2").collect()) == [(1, 2), (1, 3), (2, 3), (4, 5)]
     links = sorted(tuple(r) for r in spatial.contact_links(tri).select("m1", "m2").collect())
     assert links == [(1, 2), (1, 3), (4, 5)]  # the copy is linked with its shape only
+
+
+def test_equal_planes_and_places_are_projected_once(spark):
+    from strataframe.operators import sections as S
+
+    draw = random.Random(9)
+    corners = [(float(draw.randrange(50)), float(draw.randrange(50)), 0.0, float(draw.randrange(60, 90)), float(draw.randrange(50)), 10.0) for _ in range(3)]
+    sections = spark.createDataFrame([(i, 0, *corners[i % 3]) for i in range(9)], "section_id int, seg int, xmin double, ymin double, zmin double, xmax double, ymax double, zmax double")
+    springs = spark.createDataFrame([(i, i % 4 * 20.0 if i else None, 30.0, i * 1.0) for i in range(40)], "id int, x double, y double, z double")
+    got = S.project_springs(sections, springs, 25.0, 6)
+    u, z, near = S._projected((F.col("x"), F.col("y"), F.col("z")), 25.0)
+    want = S.planes(sections).crossJoin(springs).where(near).select("section_id", "seg", "id", V.tidy(u).alias("u"), V.tidy(z).alias("z"))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+    assert got.select("u").distinct().count() <= 12
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("round(") <= 3
