@@ -215,7 +215,7 @@ h AS (SELECT tunnel, station, v, bx + CASE WHEN abs(turn) > 0.01 THEN qx * c2 +
   bz + CASE WHEN abs(turn) > 0.01 THEN qz * c2 + (ux * qy - uy * qx) * s2 + uz * along * (1 - c2) ELSE qz END AS z FROM g)
 SELECT tunnel, CAST(station AS INT) AS station, v, {_rs('x', 'y', 'z')} FROM h""")
 def tunnel_vertices(spark, sf):
-    return T.tunnel_vertices(view(spark, sf, "tunnels"), _COEF, 0.1, _N).select("tunnel", "station", "v", *_r("x", "y", "z"))
+    return T.tunnel_vertices(view(spark, sf, "tunnels"), _COEF, 0.1, _N, digits=6).select("tunnel", "station", "v", "x", "y", "z")
 
 
 @query(f"""WITH s AS (SELECT DISTINCT tunnel FROM tunnels), c AS (SELECT tunnel, s AS st, i FROM s, range(19) AS a(s), range({_N}) AS b(i)),

@@ -434,6 +434,18 @@ def test_copies_of_meshes_touch_and_are_linked_once(spark):
     assert links == [(1, 2), (1, 3), (4, 5)]  # the copy is linked with its shape only
 
 
+def test_equal_parts_of_tunnels_are_laid_once(spark, sf_dir):
+    from strataframe.plans.geometry import _COEF
+
+    parts = view(spark, sf_dir, "tunnels").where("tunnel < 40")
+    more = parts.unionByName(parts.withColumn("tunnel", F.col("tunnel") + 1000))
+    plan = tunnels.tunnel_vertices(more, _COEF, 0.1, 24, digits=6)
+    got = plan.groupBy("tunnel", "station").count()
+    assert got.count() == more.count() * 10 and "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+    moved = plan.where("tunnel >= 1000").withColumn("tunnel", F.col("tunnel") - 1000)
+    assert moved.exceptAll(plan.where("tunnel < 1000")).isEmpty()
+
+
 def test_equal_planes_and_places_are_projected_once(spark):
     from strataframe.operators import sections as S
 
