@@ -434,6 +434,24 @@ def test_copies_of_meshes_touch_and_are_linked_once(spark):
     assert links == [(1, 2), (1, 3), (4, 5)]  # the copy is linked with its shape only
 
 
+def test_strips_of_tunnels_keep_the_order_of_their_faces(spark):
+    for n in (1, 2, 3, 7):
+        got = tunnels.tunnel_faces(spark.createDataFrame([(1, 3)], "tunnel int, stations long"), n).orderBy("f").collect()
+        want = []
+        for s in range(2):
+            strip = {}
+            for i in range(n):
+                if i != n - 1:
+                    strip[0 if i == 0 else 2 * i - 1] = (s * n + i, (s + 1) * n + i, (s + 1) * n + i + 1)
+                if i != 0:
+                    strip[2 * i - 1 if i == n - 1 else 2 * i] = (s * n + i, s * n + i - 1, (s + 1) * n + i)
+            strip[2 * n - 2], strip[2 * n - 1] = (s * n, (s + 1) * n - 1, (s + 1) * n), ((s + 1) * n - 1, (s + 2) * n - 1, (s + 1) * n)
+            want += [(s * 2 * n + f, *strip[f]) for f in sorted(strip)]
+        assert [(r.f, r.a, r.b, r.c) for r in got] == want
+    plan = got and tunnels.tunnel_faces(spark.createDataFrame([(1, 3)], "tunnel int, stations long"), 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1
+
+
 def test_equal_parts_of_tunnels_are_laid_once(spark, sf_dir):
     from strataframe.plans.geometry import _COEF
 
