@@ -126,7 +126,8 @@ def groundwater_faces(unit_tri: DataFrame, springs: DataFrame, strict: bool = Tr
     """
     if strict:
         validate(springs, unit_tri)
-    known = spring_units(springs, unit_tri)
+    # of equal springs the first alone can be kept, and it stands for all of them
+    known = spring_units(springs, unit_tri).groupBy("unit_id", "x", "y", "z").agg(F.min("id").alias("id"))
     asked = known.select(F.col("id").alias("spring_id"), F.col("unit_id").alias("own"), F.col("z").alias("h"))
     touching = cut(face_contacts(unit_tri, "unit_id"))
     lows = unit_tri.groupBy("unit_id").agg(F.min(F.least("az", "bz", "cz")).alias("low"))

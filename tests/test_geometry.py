@@ -464,6 +464,15 @@ def test_equal_parts_of_tunnels_are_laid_once(spark, sf_dir):
     assert moved.exceptAll(plan.where("tunnel < 1000")).isEmpty()
 
 
+def test_equal_springs_are_cut_once(spark, monkeypatch):
+    seen = []
+    whole = groundwater.cut_components
+    monkeypatch.setattr(groundwater, "cut_components", lambda tri, keys: seen.append(tri.select("spring_id").distinct().count()) or whole(tri, keys))
+    springs = spark.createDataFrame([(i, 0.5, 0.5, 0.6, 1) for i in range(2, 22)] + [(1, 0.5, 0.5, 0.3, 1)], "id int, x double, y double, z double, unit_id int")
+    got = groundwater.groundwater_bodies(spark.createDataFrame(box(1), TRI), springs).collect()
+    assert seen == [2] and [(r.spring_id, round(r.volume, 6)) for r in got] == [(2, 0.6)]
+
+
 def test_equal_planes_and_places_are_projected_once(spark):
     from strataframe.operators import sections as S
 
@@ -476,4 +485,5 @@ def test_equal_planes_and_places_are_projected_once(spark):
     want = S.planes(sections).crossJoin(springs).where(near).select("section_id", "seg", "id", V.tidy(u).alias("u"), V.tidy(z).alias("z"))
     assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
     assert got.select("u").distinct().count() <= 12
-    assert got._jdf.queryExecution().optimizedPlan().toString().count("round(") <= 3
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 4 and "_place" in plan and plan.startswith("Project [section_id")  # nothing is rounded after the joins
