@@ -292,6 +292,11 @@ def test_heights_of_level_points_are_summed_as_in_sql(spark):
     assert [r.above for r in _level_points(spark).selectExpr("z - dem_z > 0 AS above").collect()] == [True] * 3
 
 
+def test_ranks_of_level_points_are_those_of_sql(spark):
+    ranks = spark.createDataFrame([(ix, iy, 2, 4) for ix in range(20) for iy in range(20)], "ix int, iy int, iz int, rank int")
+    assert [r["rank"] for r in spatial.rank_sample(_level_points(spark), ranks, (40.0, 40.0, 40.0)).collect()] == [0] * 3
+
+
 def test_repeated_and_null_points_in_meshes(spark):
     tri = spark.createDataFrame(box(1, size=10) + box(2, 4, 4, 0, size=2), TRI).withColumnRenamed("unit_id", "mesh_id")
     points = spark.createDataFrame([r[:3] + r[4:] for r in ASKED], "x double, y double, z double, tag string")
