@@ -59,6 +59,31 @@ def test_fields_are_clipped_by_section(spark):
     assert nested.faults == {"a": [[5.0, None], [-5.0]], "b": [[1.0, -1.0], [1.0]]}
 
 
+def test_fields_are_told_from_gathered_points(spark):
+    """Matrices of all faults of a section at once equal those of fields told and clipped pair by pair, whose rows are shuffled."""
+    rows = [(k, i, j, i * 7.5 - 11 + k, j * 3.25 - 4, None if (i, j) == (2, 1) else 5.0 - i * j, None if i == 0 else i - 4.5) for k in range(3) for i in range(6) for j in range(5 - k) if (i, j) != (4, 2)]
+    points = spark.createDataFrame(rows, "k int, i int, j int, x double, y double, z double, height double")
+    plane = [(1, 1.0, 0.5, -1.0, 0.3), (2, -0.5, 1.0, 0.0, 0.1), (3, 0.0, 0.0, 0.0, 0.0), (4, 0.0, 1.0, 1.0, -2.0), (5, 1.0, 0.0, 0.0, 4.0), (10, 0.3, -1.0, 0.7, 1.0)]
+    fields = spark.createDataFrame([(*p, *((4.0, -1.0, 2.0) if p[0] in (2, 5) else (None,) * 3), 9.0, 6.0, 8.0) for p in plane], "fault int, a double, b double, c double, d double, mx double, my double, mz double, rx double, ry double, rz double")
+    faults = spark.createDataFrame([(1, True, [2, 3, 99]), (2, False, []), (3, True, []), (4, False, [1, 10]), (5, True, [4]), (77, True, [1])], "fault int, infinite boolean, stops_on array<int>")
+    sides = spark.createDataFrame([(1, 2, -3.0), (1, 2, 1.0), (4, 1, 2.0)], "fault int, limit_fault int, value double")
+    want = sections.fault_matrices(sections.clipped_faults(sections.plane_fields(points, fields), faults, sides, keys=("k",)), ["k"])
+    got = sections.field_matrices(points, fields, faults, sides, ["k"])
+    told = lambda df: sorted((r.k, list(r.faults.items())) for r in df.collect())
+    assert told(got) == told(want) and len(told(want)) == 3
+    again = sections.field_matrices(points, fields, faults, sides, ["k"])
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert told(sections.field_matrices(points, fields.where("fault = 3"), faults, sides, ["k"])) == []
+
+
+def test_rows_of_equal_values_share_what_is_made_of_one(spark):
+    rows = spark.createDataFrame([(1, 5.0), (2, None), (3, 5.0), (4, None), (5, 7.0)], "id int, x double")
+    first, members = sections.alike(rows, ["id"], ["x", F.col("id") % 2])
+    assert sorted(r.id for r in first.collect()) == [1, 2, 5]
+    made = first.select("id", F.explode(F.array("id", F.lit(0))).alias("v"))
+    assert sorted(tuple(r) for r in sections.of_alike(made, members, ["id"]).collect()) == sorted((i, v) for i, n in ((1, 1), (2, 2), (3, 1), (4, 2), (5, 5)) for v in (n, 0))
+
+
 def test_a_part_with_both_ends_is_wider(spark):
     from strataframe.operators import tunnels
 
