@@ -76,6 +76,21 @@ def test_fields_are_told_from_gathered_points(spark):
     assert told(sections.field_matrices(points, fields.where("fault = 3"), faults, sides, ["k"])) == []
 
 
+def test_features_are_gathered_where_their_sections_are(spark):
+    """Maps of features near each section equal the projections, which are rows; a section with none has a row as well."""
+    boxes = spark.createDataFrame([(n, 0, x, y, 0.0, x + 30.0, y + n, 10.0) for n, (x, y) in enumerate([(0.0, 0.0), (40.0, 5.0), (40.0, 5.0), (0.0, 900.0)])], "section_id int, seg int, xmin double, ymin double, zmin double, xmax double, ymax double, zmax double")
+    holes = spark.createDataFrame([(i, i * 7.0 % 50, i * 11.0 % 60, 9.0, i * 7.0 % 50 + i % 3, i * 11.0 % 60, None if i == 4 else -float(i)) for i in range(40)], "id int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    got = sections.gathered_drillholes(boxes, holes, 9.0)
+    told = {(r.section_id, i): tuple(v for end in ends for v in end) for r in got.collect() for i, ends in (r.drillholes or {}).items()}
+    assert told == {(r.section_id, r.id): (r.u0, r.v0, r.u1, r.v1) for r in sections.project_drillholes(boxes, holes, 9.0).collect()} != {}
+    assert sorted((r.section_id, r.drillholes is None) for r in got.collect()) == [(0, False), (1, False), (2, False), (3, True)]
+    springs = holes.selectExpr("id", "x0 AS x", "y0 AS y", "z1 AS z")
+    listed = {(r.section_id, i): tuple(v) for r in sections.gathered_springs(boxes, springs, 9.0).collect() for i, v in (r.springs or {}).items()}
+    assert listed == {(r.section_id, r.id): (r.u, r.z) for r in sections.project_springs(boxes, springs, 9.0).collect()} != {}
+    met = sections.gathered_springs(boxes, springs, 9.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in met and "BroadcastNestedLoopJoin" in met
+
+
 def test_rows_of_equal_values_share_what_is_made_of_one(spark):
     rows = spark.createDataFrame([(1, 5.0), (2, None), (3, 5.0), (4, None), (5, 7.0)], "id int, x double")
     first, members = sections.alike(rows, ["id"], ["x", F.col("id") % 2])
