@@ -129,6 +129,16 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in range(7, 40)} == {7} and 3 not in got
 
 
+def test_small_components_settle_in_few_rounds(spark, monkeypatch):
+    """Links are contracted in a few tasks before a round's shuffles, so a long chain takes few rounds."""
+    rounds, told = [], graph.Scratch.cut_told
+    monkeypatch.setattr(graph.Scratch, "cut_told", lambda self, *a, **b: rounds.append(1) or told(self, *a, **b))
+    nodes = [i * 7919 % 3001 for i in range(3001)]
+    edges = spark.createDataFrame(list(zip(nodes, nodes[1:])), "u long, v long").repartition(16)
+    assert {tuple(r) for r in graph.connected_components(edges).select("node", "component").collect()} == {(i, 0) for i in range(3001)}
+    assert len(rounds) <= 6
+
+
 def test_components_of_no_edges(spark):
     assert graph.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert graph.connected_components(spark.createDataFrame([(4, 4), (None, 2)], "u long, v long")).count() == 0
