@@ -91,6 +91,19 @@ def test_features_are_gathered_where_their_sections_are(spark):
     assert "SortMergeJoin" not in met and "BroadcastNestedLoopJoin" in met
 
 
+def test_lists_of_features_are_neither_dealt_anew_nor_sorted(spark):
+    """Also where a key of the sections is a constant, which Spark drops from the keys of joins and groups."""
+    boxes = spark.range(40).select(F.col("id").cast("int").alias("section_id"), F.lit(0).alias("seg"), *[(F.col("id") * 1.0 + n).alias(c) for n, c in enumerate(("xmin", "ymin", "zmin", "xmax", "ymax", "zmax"))])
+    holes = spark.range(90).selectExpr("id", "id % 9 * 5D AS x0", "id % 7 * 5D AS y0", "9D AS z0", "id % 9 * 5D AS x1", "id % 7 * 5D AS y1", "-double(id) AS z1")
+    near = sections.near_drillholes(boxes, holes, 9.0)
+    told = near.join(near.select("section_id", "seg", F.size("drillholes").alias("n")).hint("shuffle_hash"), ["section_id", "seg"])
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan.replace("sort_array", "").replace("SortOrder", "") and "ENSURE_REQUIREMENTS" not in plan and plan.count("REPARTITION_BY_NUM") == 2
+    want = {r.section_id: r["count"] for r in sections.project_drillholes(boxes, holes, 9.0).groupBy("section_id").count().collect()}
+    got = {r.section_id: len(r.drillholes) for r in sections.gathered_drillholes(boxes, holes, 9.0).collect() if r.drillholes is not None}
+    assert got == want != {}
+
+
 def test_rows_of_equal_values_share_what_is_made_of_one(spark):
     rows = spark.createDataFrame([(1, 5.0), (2, None), (3, 5.0), (4, None), (5, 7.0)], "id int, x double")
     first, members = sections.alike(rows, ["id"], ["x", F.col("id") % 2])
