@@ -79,10 +79,10 @@ def cut_components(cut_tri: DataFrame, keys: list[str]) -> tuple[DataFrame, Data
 
 
 def closest_component(walls: DataFrame, springs: DataFrame) -> DataFrame:
-    """``(spring_id, unit_id, component)``: the component of each spring's own unit that is nearest to it."""
-    own = walls.join(springs.select(F.col("id").alias("spring_id"), "unit_id"), ["spring_id", "unit_id"], "left_semi").withColumn("face", F.struct("f", "part", "component"))
-    asked = springs.select(F.col("id").alias("spring_id"), "unit_id", "x", "y", "z")
-    return nearest_face(asked, own, ["spring_id", "unit_id"], "face").select("spring_id", "unit_id", F.col("f.component").alias("component"))
+    """``(spring_id, unit_id, id, component)``: the component of each spring's own unit that is nearest to it, in its cut ``spring_id``."""
+    own = walls.join(springs.select("spring_id", "unit_id"), ["spring_id", "unit_id"], "left_semi").withColumn("face", F.struct("f", "part", "component"))
+    asked = springs.select("spring_id", "unit_id", "id", "x", "y", "z")
+    return nearest_face(asked, own, ["spring_id", "unit_id"], "face").select("spring_id", "unit_id", "id", F.col("f.component").alias("component"))
 
 
 def _face_boxes(tri: DataFrame, *keys: str) -> DataFrame:
@@ -123,39 +123,45 @@ def groundwater_faces(unit_tri: DataFrame, springs: DataFrame, strict: bool = Tr
     to it; and what it would suppress lies in the higher body as well.  A spring is kept, therefore, if no
     higher body holds that face: one maximum per face, no pairs of springs.  Units are expected not to hold
     each other, as rock volumes do not.
+
+    Springs of one group of units and one height share their cut, named by the first of them, and of those of one
+    body in it the first alone can be kept; so work is in proportion to heights and not to springs.
     """
     if strict:
         validate(springs, unit_tri)
     # of equal springs the first alone can be kept, and it stands for all of them
     known = spring_units(springs, unit_tri).groupBy("unit_id", "x", "y", "z").agg(F.min("id").alias("id"))
-    asked = known.select(F.col("id").alias("spring_id"), F.col("unit_id").alias("own"), F.col("z").alias("h"))
     touching = cut(face_contacts(unit_tri, "unit_id"))
     lows = unit_tri.groupBy("unit_id").agg(F.min(F.least("az", "bz", "cz")).alias("low"))
     groups = connected_components(touching, "m1", "m2").withColumnRenamed("node", "unit_id")
     lows = cut(lows.join(groups, "unit_id", "left").select("unit_id", "low", F.coalesce("component", "unit_id").alias("grp")))
-    own = lows.select(F.col("unit_id").alias("own"), "grp")
     keys = ["spring_id", "unit_id"]
-    chosen = cut(asked.join(own, "own").join(lows, "grp").where("low < h").select(*keys, "h"))
+    known = cut(known.join(lows.select("unit_id", "grp"), "unit_id"))
+    cuts = cut(known.groupBy("grp", F.col("z").alias("h")).agg(F.min("id").alias("spring_id")))
+    known = known.join(cuts.withColumnRenamed("h", "z"), ["grp", "z"])
+    chosen = cut(cuts.join(lows, "grp").where("low < h").select(*keys, "h"))
     walls, lids = cut_components(chosen.join(unit_tri, "unit_id"), keys)
     walls, lids = cut(walls), cut(lids)
-    init = cut(closest_component(walls, known))
+    nearest = cut(closest_component(walls, known))
 
     node = F.xxhash64("spring_id", "unit_id", "component").alias("node")
-    links = cut_contacts(touching, walls.join(asked.select("spring_id", "h"), "spring_id"), _face_boxes(unit_tri, "unit_id"))
+    heights = cuts.select("spring_id", "h")
+    links = cut_contacts(touching, walls.join(heights, "spring_id"), _face_boxes(unit_tri, "unit_id"))
     labels = connected_components(links).withColumnRenamed("component", "label")
     parts = walls.select(*keys, "component").distinct().withColumn("node", node).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    start = init.withColumn("node", node)
-    seed = start.join(parts.select("node", "label"), "node").select("spring_id", "label")
-    bodies = cut(parts.join(seed, ["spring_id", "label"]).select(*keys, "component"))
+    seeds = nearest.withColumn("node", node).join(parts.select("node", "label"), "node")
+    first_of = seeds.groupBy("spring_id", "label").agg(F.min(F.struct("id", "unit_id", "component")).alias("s"))
+    init = cut(first_of.select("spring_id", "label", "s.*"))
+    bodies = cut(parts.join(init.select("spring_id", "label", "id"), ["spring_id", "label"]).select(*keys, "component", "id"))
 
     # one face of each spring's nearest component, and the highest spring whose body holds it
-    mine = walls.join(init, [*keys, "component"]).groupBy(*keys).agg(F.min("f").alias("f"))
-    of_bodies = walls.select(*keys, "component", "f").distinct().join(bodies, [*keys, "component"], "left_semi")
+    mine = walls.join(init.drop("label"), [*keys, "component"]).groupBy("id", "unit_id").agg(F.min("f").alias("f"))
+    of_bodies = walls.select(*keys, "component", "f").distinct().join(bodies, [*keys, "component"])
     asked_faces = mine.select("unit_id", "f").distinct()
-    holders = of_bodies.join(asked_faces, ["unit_id", "f"]).join(asked.select("spring_id", "h"), "spring_id")
-    first = holders.groupBy("unit_id", "f").agg(F.max(F.struct("h", (-F.col("spring_id")).alias("low"))).alias("m"))
-    kept = mine.join(first, ["unit_id", "f"]).where("spring_id = -m.low").select("spring_id")
+    holders = of_bodies.join(asked_faces, ["unit_id", "f"]).join(heights, "spring_id")
+    first = holders.groupBy("unit_id", "f").agg(F.max(F.struct("h", (-F.col("id")).alias("low"))).alias("m"))
+    kept = cut(mine.join(first, ["unit_id", "f"]).where("id = -m.low").select("id"))
 
-    of_body = lambda t: t.join(bodies, [*keys, "component"], "left_semi").join(cut_kept, "spring_id", "left_semi")
-    cut_kept = cut(kept)
-    return of_body(walls.unionByName(lids))
+    of_body = bodies.join(kept, "id", "left_semi")
+    shown = walls.unionByName(lids)
+    return shown.join(of_body, [*keys, "component"]).withColumn("spring_id", F.col("id")).select(*shown.columns)

@@ -517,6 +517,17 @@ def test_equal_springs_are_cut_once(spark, monkeypatch):
     assert seen == [2] and [(r.spring_id, round(r.volume, 6)) for r in got] == [(2, 0.6)]
 
 
+def test_springs_of_one_height_share_a_cut(spark, monkeypatch):
+    """One cut a height and group of units, also where springs differ in place or unit; apart units keep a spring each."""
+    seen = []
+    whole = groundwater.cut_components
+    monkeypatch.setattr(groundwater, "cut_components", lambda tri, keys: seen.append(tri.select("spring_id").distinct().count()) or whole(tri, keys))
+    units = box(1) + box(2, 1) + box(3, 50)
+    springs = [(i, 0.1 + i / 40, 0.4, 0.6, 1 + i % 2) for i in range(5, 25)] + [(i, 50.5, i / 60, 0.6, 3) for i in range(30, 40)] + [(3, 50.5, 0.5, 0.5, 3)]
+    got = groundwater.groundwater_bodies(spark.createDataFrame(units, TRI), spark.createDataFrame(springs, "id int, x double, y double, z double, unit_id int")).collect()
+    assert seen == [3] and sorted((r.spring_id, r.unit_id, round(r.volume, 6)) for r in got) == [(5, 1, 0.6), (5, 2, 0.6), (30, 3, 0.6)]
+
+
 def test_equal_planes_and_places_are_projected_once(spark):
     from strataframe.operators import sections as S
 
